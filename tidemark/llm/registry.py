@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, toxicity
+from tidemark.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def byte_bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+@_query("op1_substring_dedup")
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 @_query("op3_near_dedup")
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
