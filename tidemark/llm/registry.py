@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
+from tidemark.llm import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,11 @@ def op7_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+@_query("op8_ann")
+def op8_ann(spark, sf_dir):
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @_query("op9_exact_dedup", exact_dedup.ORACLE)
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
