@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, substring_dedup, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity
+from tidemark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,12 @@ def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+@_query("op2_sharding")
+def op2_sharding(spark, sf_dir):
+    root = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    return sharding.assignment(sharding.shard_documents(table(spark, sf_dir, "documents"), root))
+
+
 @_query("op3_near_dedup")
 def op3_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
