@@ -17,53 +17,61 @@ whatever their names.  Lines are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty
-from tidemark.llm.links import candidate_runs, linked_classes
-from tidemark.llm.near_dedup import _MIX, mixed
+from tidemark.llm.links import Matcher, candidate_runs, linked_classes
+from tidemark.llm.near_dedup import _MIX, mixed, rolling
 
 _NO_ID = 2**62
 
 
-def minhash_signer(k: int, bands: int, rows: int, seed: int = 11):
+class LineHashes:
+    """Minimum hashes of the k-character shingles of lines, and the keys of their bands."""
+
+    def __init__(self, k: int, bands: int, rows: int, seed: int = 11):
+        rng = np.random.default_rng(seed)
+        self.k, self.bands, self.rows = k, bands, rows
+        self.factors = rng.integers(1, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.shifts = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
+
+    def least(self, lines: list[str]) -> np.ndarray:
+        """Minimum hashes, one row a function and one column a line; lines have k characters or more."""
+        k = self.k
+        lengths = np.array([len(x) for x in lines])
+        chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h = rolling(chars + np.uint64(1), k)
+        ends = np.cumsum(lengths)
+        valid = np.ones(len(chars), bool)
+        for j in range(1, k):
+            valid[ends - j] = False
+        h = (mixed(h[valid[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
+        starts = np.concatenate([[0], np.cumsum(lengths - k + 1)[:-1]])
+        low = np.empty((self.bands * self.rows, len(lines)), np.uint32)
+        for j in range(self.bands * self.rows):
+            low[j] = np.minimum.reduceat((h ^ self.shifts[j]) * self.factors[j], starts)
+        return low
+
+    def keys(self, low: np.ndarray) -> np.ndarray:
+        """One row a band and one column a line."""
+        keys = np.empty((self.bands, low.shape[1]), np.uint64)
+        for b in range(self.bands):
+            key = np.full(low.shape[1], np.uint64(b + 1) * _MIX)
+            for j in range(b * self.rows, (b + 1) * self.rows):
+                key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + low[j])
+            keys[b] = key
+        return keys
+
+
+def minhash_signer(k: int, bands: int, rows: int):
     """A signer of ``bands`` keys for each line of at least k characters."""
 
     def make():
-        rng = np.random.default_rng(seed)
-        factors = rng.integers(1, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        shifts = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
-
-        def block(lines):
-            lengths = np.array([len(x) for x in lines])
-            chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            h, width = chars + np.uint64(1), 1
-            power = np.uint64(0xD6E8FEB86659FD93)
-            while width * 2 <= k:  # hash of 2 * width characters from two of width
-                h = h[:-width] * power + h[width:]
-                power = power * power
-                width *= 2
-            if width < k:
-                h = h[: len(h) - (k - width)] * np.uint64(0xA0761D6478BD642F) + h[k - width :]
-            ends = np.cumsum(lengths)
-            valid = np.ones(len(chars), bool)
-            for j in range(1, k):
-                valid[ends - j] = False
-            h = (mixed(h[valid[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
-            starts = np.concatenate([[0], np.cumsum(lengths - k + 1)[:-1]])
-            low = np.empty((bands * rows, len(lines)), np.uint64)
-            for j in range(bands * rows):
-                low[j] = np.minimum.reduceat((h ^ shifts[j]) * factors[j], starts)
-            keys = np.empty((bands, len(lines)), np.uint64)
-            for b in range(bands):
-                key = np.full(len(lines), np.uint64(b + 1) * _MIX)
-                for j in range(b * rows, (b + 1) * rows):
-                    key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + low[j])
-                keys[b] = key
-            return keys
+        hashes = LineHashes(k, bands, rows)
 
         def sign(texts):
             index = [i for i, t in enumerate(texts) if len(t) >= k]
@@ -73,7 +81,7 @@ def minhash_signer(k: int, bands: int, rows: int, seed: int = 11):
                 while stop < len(index) and (total < 60_000 or stop == at):
                     total += len(texts[index[stop]])
                     stop += 1
-                keys.append(block([texts[i] for i in index[at:stop]]).ravel())
+                keys.append(hashes.keys(hashes.least([texts[i] for i in index[at:stop]])).ravel())
                 owners.append(np.tile(np.array(index[at:stop]), bands))
                 at = stop
             if not keys:
@@ -85,22 +93,27 @@ def minhash_signer(k: int, bands: int, rows: int, seed: int = 11):
     return make
 
 
-def jaccard_check(k: int, threshold: float):
-    def make():
-        @functools.lru_cache(maxsize=512)
-        def shingles(line):
-            return frozenset(line[i : i + k] for i in range(len(line) - k + 1))
+class JaccardMatcher(Matcher):
+    """Exact Jaccard similarity of shingle sets, after a look at the minimum hashes."""
 
-        def check(a, x, b, y):
-            p, q = shingles(x), shingles(y)
-            if min(len(p), len(q)) < threshold * max(len(p), len(q)):
-                return False
-            both = len(p & q)
-            return both >= threshold * (len(p) + len(q) - both)
+    def __init__(self, k: int, threshold: float, bands: int, rows: int):
+        self.hashes, self.threshold = LineHashes(k, bands, rows), threshold
+        # four standard deviations under the threshold
+        self.least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
+        self.shingles = functools.lru_cache(maxsize=2048)(
+            lambda line: frozenset(line[i : i + k] for i in range(len(line) - k + 1))
+        )
 
-        return check
+    def sketch(self, texts):
+        low = self.hashes.least(texts)
+        return np.ascontiguousarray(self.hashes.keys(low).T), np.ascontiguousarray((low.T >> np.uint32(24)).astype(np.uint8))
 
-    return make
+    def check(self, x, y):
+        p, q = self.shingles(x), self.shingles(y)
+        if min(len(p), len(q)) < self.threshold * max(len(p), len(q)):
+            return False
+        both = len(p & q)
+        return both >= self.threshold * (len(p) + len(q) - both)
 
 
 def _lines(documents: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -149,7 +162,7 @@ def removed_lines(
         .dropDuplicates(["id"]),
         "line-texts",
     )
-    classes = linked_classes(runs, payload, jaccard_check(k, threshold))
+    classes = linked_classes(runs, payload, lambda: JaccardMatcher(k, threshold, bands, rows))
     named = first.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = named.groupBy("component").agg(F.min("at").alias("best"))
     keep = named.join(best, "component").select("id", "best", F.col("at").alias("own"))

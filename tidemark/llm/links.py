@@ -6,10 +6,13 @@ for each key, and sends on only the smallest id of a key; the other ids of that
 already known to be in a run and travel in a bucket of their own, so that a key that a
 third of all items share never gathers in one task.
 
-``linked_classes`` then finds the classes of the verified link graph without writing out all pairs of a run: each
-member is compared with the smallest id of its runs, components are formed, and then
-only members of a run that are still in different classes are compared.  When that is
-done, every two members of a run are either in one class or were found not to be linked.
+``linked_classes`` then finds the classes of the verified link graph without writing out
+all pairs of a run: each member is compared with the smallest id of its runs and
+components are formed.  Runs whose members are still in different classes are compared
+inside tasks, in blocks of bounded size; a task leaves out pairs of one class, pairs that
+an earlier key of both settles, and pairs whose sketches are too different, and returns
+the links of a spanning forest only.  When that is done, every two members of a run are
+either in one class or were found not to be linked.
 """
 
 from __future__ import annotations
@@ -104,20 +107,120 @@ def candidate_runs(items: DataFrame, make_signer: Callable[[], Signer], n_bucket
     return packed.groupBy("bucket").applyInArrow(gather, "key long, id long")
 
 
-def verified(pairs: DataFrame, payload: DataFrame, make_check: Callable[[], Callable[[int, str, int, str], bool]]) -> DataFrame:
-    """The pairs (a, b) whose texts pass the check; payload has (id, text), ids unique."""
+class Matcher:
+    """How candidates are judged; made anew in each task.
+
+    ``sketch(texts)`` gives for each text its keys and a row of minimum hashes (uint8);
+    ``least`` is the share of equal minimum hashes under which a pair can't be linked (several
+    standard deviations under the threshold); ``check(text, text)`` decides.
+    """
+
+    least = 0.0
+
+    def sketch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def check(self, x: str, y: str) -> bool:
+        raise NotImplementedError
+
+
+def with_sketches(payload: DataFrame, make_matcher: Callable[[], Matcher]) -> DataFrame:
+    """(id, text) to (id, text, keys, mins)."""
 
     def run(batches):
-        check = make_check()
+        matcher = make_matcher()
         for batch in batches:
-            a, x, b, y = (batch.column(c).to_pylist() for c in ("a", "x", "b", "y"))
-            ok = pa.array([check(*row) for row in zip(a, x, b, y)], pa.bool_())
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                keys, mins = matcher.sketch(b.column("text").to_pylist())
+                cols = [b.column("id"), b.column("text")]
+                cols += [pa.array([r.tobytes() for r in m], pa.binary()) for m in (keys, mins)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "text", "keys", "mins"])
+
+    return payload.select("id", "text").mapInArrow(run, "id long, text string, keys binary, mins binary")
+
+
+def verified(pairs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher]) -> DataFrame:
+    """The pairs (a, b) whose texts are linked; payload as made by ``with_sketches``."""
+
+    def run(batches):
+        matcher = make_matcher()
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("p", "q"))
+            near = (p == q).reshape(batch.num_rows, -1).mean(1) >= matcher.least if batch.num_rows else []
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            ok = pa.array([bool(n) and matcher.check(x[i], y[i]) for i, n in enumerate(near)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
 
-    both = pairs.join(payload.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(
-        payload.select(F.col("id").alias("b"), F.col("text").alias("y")), "b"
+    left = payload.select(F.col("id").alias("a"), F.col("text").alias("x"), F.col("mins").alias("p"))
+    right = payload.select(F.col("id").alias("b"), F.col("text").alias("y"), F.col("mins").alias("q"))
+    both = pairs.join(left, "a").join(right, "b")
+    return both.select("a", "x", "p", "b", "y", "q").mapInArrow(run, "a long, b long")
+
+
+def _block_links(key: int, side: np.ndarray | None, ids, classes, keys, mins, texts, matcher: Matcher):
+    """Links between members of different classes of a block (or of its two sides) as a spanning forest."""
+    parent: dict[int, int] = {}
+
+    def find(c):
+        while (up := parent.get(c, c)) != c:
+            c = up
+        return c
+
+    n = len(ids)
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[classes[j] != classes[i]]
+        if side is not None:
+            j = j[side[j] != side[i]]
+        if not len(j):
+            continue
+        j = j[(mins[j] == mins[i]).mean(1) >= matcher.least]
+        if not len(j):
+            continue
+        equal = keys[j] == keys[i]
+        j = j[keys[i][equal.argmax(1)] == key]  # the first key that both have
+        for other in j.tolist():
+            a, b = find(int(classes[i])), find(int(classes[other]))
+            if a != b and matcher.check(texts[i], texts[other]):
+                parent[max(a, b)] = min(a, b)
+                yield int(ids[i]), int(ids[other])
+
+
+def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000) -> DataFrame:
+    """mixed (key, id, c) to links (a, b) between members of different classes c.
+
+    A run of more than ``block`` members is cut into parts; every two parts meet in a task of their own.
+    """
+    n_buckets = 4 * wide_partitions(mixed.sparkSession)
+    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
+    dealt = (
+        mixed.join(sizes, "key")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", "id", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_buckets)).cast("int"))
     )
-    return both.select("a", "x", "b", "y").mapInArrow(run, "a long, b long")
+
+    def meet(t: pa.Table) -> pa.Table:
+        matcher = make_matcher()
+        key, ids, c, own, lo, hi = (t.column(x).to_numpy() for x in ("key", "id", "c", "own", "lo", "hi"))
+        keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(ids), -1)
+        mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), np.uint8).reshape(len(ids), -1)
+        texts = t.column("text")
+        order = np.lexsort((ids, hi, lo, key))
+        k, low, high = key[order], lo[order], hi[order]
+        cut = np.flatnonzero((k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        out = []
+        for rows in np.split(order, cut):
+            side = own[rows] if lo[rows[0]] != hi[rows[0]] else None
+            some = [texts[int(r)].as_py() for r in rows]
+            out += _block_links(int(key[rows[0]]), side, ids[rows], c[rows], keys[rows], mins[rows], some, matcher)
+        cols = list(zip(*out)) if out else [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return dealt.join(payload, "id").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -151,27 +254,19 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.select("id", "component")
 
 
-def linked_classes(runs: DataFrame, payload: DataFrame, make_check) -> DataFrame:
-    """(id, component) of the verified link graph over candidate runs; single ids are left out."""
+def linked_classes(runs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher]) -> DataFrame:
+    """(id, component) of the verified link graph over candidate runs; single ids are left out.
+
+    runs (key, id) and payload (id, text) are read several times and should be written tables.
+    """
+    payload = materialize(with_sketches(payload, make_matcher), "sketched")
     leaders = runs.groupBy("key").agg(F.min("id").alias("a"))
     stars = runs.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    first = materialize(verified(stars, payload, make_check), "links")
+    first = materialize(verified(stars, payload, make_matcher), "links")
     classes = components(first)
-    placed = runs.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    # what the leader's class does not hold is compared with all of the run that is in another class
-    led = placed.groupBy("key").agg(F.min(F.struct("id", "c")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    mixed = materialize(
-        placed.join(led.where("lo <> hi").select("key", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")), "key"),
-        "mixed-runs",
-    )
-    odd = mixed.where("c <> lead_c").select("key", F.col("id").alias("odd"), F.col("c").alias("odd_c"))
-    pairs = (
-        odd.join(mixed, "key")
-        .where("c <> odd_c and id <> lead and (c = lead_c or id < odd)")
-        .select(F.least("id", "odd").alias("a"), F.greatest("id", "odd").alias("b"))
-        .distinct()
-    )
-    second = materialize(verified(pairs, payload, make_check), "links")
+    placed = materialize(runs.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    second = materialize(run_links(placed.join(mixed, "key"), payload, make_matcher), "links")
     if not second.limit(1).count():
         return classes
     return components(first.unionByName(second))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty
-from tidemark.llm.links import candidate_runs, linked_classes
+from tidemark.llm.links import Matcher, candidate_runs, linked_classes
 
 #: stand-ins for null ids come after all ids
 _NO_ID = 2**62
@@ -51,6 +51,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def rolling(chars: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k values from each position on (k >= 1), by doubling."""
+    whole, done = None, 0
+    h, width = chars, 1
+    p = int(_BASE)
+    while True:
+        if k & width:
+            if whole is None:
+                whole = h
+            else:
+                n = len(chars) - done - width + 1
+                whole = whole[:n] * np.uint64(p) + h[done : done + n]
+            done += width
+        width *= 2
+        if width > k:
+            return whole
+        n = len(h) - width // 2
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        h = h[:n] * np.uint64(p) + h[width // 2 : width // 2 + n]
+        p = p * p % 2**64
+
+
 def shingle_hashes(words: list[str], k: int, hashes: dict) -> np.ndarray:
     """Hashes of the k-word shingles in text order; all words are one shingle if there are fewer."""
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -61,22 +84,26 @@ def shingle_hashes(words: list[str], k: int, hashes: dict) -> np.ndarray:
     return mixed(out)
 
 
-def order_minhash_signer(k: int, take: int, sketches: int, seed: int = 7):
+def hash_functions(sketches: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 2**63, sketches, dtype=np.uint64)
+
+
+def order_minhash_signer(k: int, take: int, sketches: int):
     """A signer of ``sketches`` ordered minimum samples for each text."""
 
     def make():
         hashes = _WordHash()
-        rng = np.random.default_rng(seed)
-        factors = rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        shifts = rng.integers(0, 2**63, sketches, dtype=np.uint64)
+        factors, shifts = hash_functions(sketches)
 
         def sign(texts):
             parts = [shingle_hashes(t.split(), k, hashes) for t in texts]
             rows = np.flatnonzero([len(p) > 0 for p in parts])
             if not len(rows):
                 return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            keys = [_sketch([parts[i] for i in rows[a:b]], factors, shifts, take) for a, b in _blocks(parts, rows)]
-            return np.tile(rows, sketches), np.concatenate(keys, axis=1).ravel()
+            keys = np.concatenate([_sketch([parts[i] for i in rows[a:b]], factors, shifts, take)[0] for a, b in _blocks(parts, rows)], axis=1)
+            return np.tile(rows, sketches), keys.ravel()
 
         return sign
 
@@ -95,8 +122,8 @@ def _blocks(parts, rows, size: int = 30_000):
         yield start, len(rows)
 
 
-def _sketch(parts, factors, shifts, take) -> np.ndarray:
-    """Keys, one row a sketch and one column a text."""
+def _sketch(parts, factors, shifts, take) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and smallest hashes, one row a sketch and one column a text."""
     lengths = np.array([len(p) for p in parts])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     segment = np.repeat(np.arange(len(parts)), lengths)
@@ -112,6 +139,7 @@ def _sketch(parts, factors, shifts, take) -> np.ndarray:
     h = mixed(h + occurrence * _BASE)
     index = np.arange(len(h), dtype=np.int64)
     keys = np.empty((len(factors), len(parts)), np.uint64)
+    least = np.empty((len(factors), len(parts)), np.uint64)
     for j, (f, s) in enumerate(zip(factors, shifts)):
         x = (h ^ s) * f
         chosen = np.empty((take, len(parts)), np.int64)
@@ -120,12 +148,14 @@ def _sketch(parts, factors, shifts, take) -> np.ndarray:
             at = np.minimum.reduceat(np.where(x == low[segment], index, len(h)), starts)
             chosen[t] = np.where(low == _TOP, -1, at)
             x[at] = _TOP
+            if not t:
+                least[j] = low
         chosen.sort(axis=0)
         key = np.full(len(parts), np.uint64(j + 1) * _MIX)
         for row in chosen:
             key = mixed(key * _BASE + np.where(row < 0, np.uint64(0), h[row]))
         keys[j] = key
-    return keys
+    return keys, least
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -168,17 +198,24 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return m / (p + q - m) if m >= need else 0.0
 
 
-def alignment_check(k: int, threshold: float):
-    def make():
-        hashes = _WordHash()
+class AlignmentMatcher(Matcher):
+    """Banded alignment of shingle sequences, after a look at the minimum hashes."""
 
-        @functools.lru_cache(maxsize=256)
-        def shingles(text):
-            return shingle_hashes(text.split(), k, hashes)
+    def __init__(self, k: int, threshold: float, take: int, sketches: int):
+        self.k, self.threshold, self.take = k, threshold, take
+        self.functions = hash_functions(sketches)
+        self.hashes = _WordHash()
+        # four standard deviations under the threshold
+        self.least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / sketches)
+        self.shingles = functools.lru_cache(maxsize=512)(lambda text: shingle_hashes(text.split(), k, self.hashes))
 
-        return lambda a, x, b, y: aligned_similarity(shingles(x), shingles(y), threshold) >= threshold
+    def sketch(self, texts):
+        parts = [shingle_hashes(t.split(), self.k, self.hashes) for t in texts]
+        keys, least = _sketch(parts, *self.functions, self.take)
+        return np.ascontiguousarray(keys.T), np.ascontiguousarray((least.T >> np.uint64(56)).astype(np.uint8))
 
-    return make
+    def check(self, x, y):
+        return aligned_similarity(self.shingles(x), self.shingles(y), self.threshold) >= self.threshold
 
 
 def near_dedup(
@@ -212,7 +249,7 @@ def near_dedup(
         .select("id", "text"),
         "near-texts",
     )
-    classes = linked_classes(runs, payload, alignment_check(k, threshold))
+    classes = linked_classes(runs, payload, lambda: AlignmentMatcher(k, threshold, take, sketches))
     named = items.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_class = named.groupBy("component").agg(F.min("rep").alias("class_rid"), F.sum("n").alias("class_size"))
     by_text = named.join(of_class, "component").select("id", "class_rid", "class_size")

@@ -34,10 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty, wide_partitions
-from tidemark.llm.near_dedup import mixed
+from tidemark.llm.near_dedup import mixed, rolling
 
 _NO_ID = 2**62
-_B = 0xD6E8FEB86659FD93
 _KEY_BITS = np.uint64(40)
 _KEY_MASK = np.uint64(2**40 - 1)
 _CHUNK = 60_000
@@ -45,29 +44,6 @@ _CHUNK = 60_000
 MOST_HOT = 100_000
 
 
-def rolling(chars: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k values from each position on (k >= 1), by doubling."""
-    whole, done, power = None, 0, 1
-    h, width = chars, 1
-    p = _B
-    while True:
-        if k & width:
-            if whole is None:
-                whole = h
-            else:
-                n = len(chars) - done - width + 1
-                whole = whole[:n] * np.uint64(p) + h[done : done + n]
-            done += width
-        width *= 2
-        if width > k:
-            return whole
-        n = len(h) - width // 2
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        h = h[:n] * np.uint64(p) + h[width // 2 : width // 2 + n]
-        p = p * p % 2**64
-
-
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w values in a row."""
     span = 1
