@@ -57,9 +57,13 @@ def test_mixing_odd_rows(spark):
 
 
 def test_mix_documents_repeats(spark):
-    df = docs(spark, [(1, "a b", "x"), (2, "c", "x"), (3, "d", "y")])
-    copies = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "doc_id long, copies long")
-    assert sorted(r["doc_id"] for r in mixing.mix_documents(df, copies).collect()) == [1, 1, 3]
+    df = docs(spark, ODD).selectExpr("*", "1 as copies", "2 as th")
+    times = Counter()
+    for r in rows(mixing.systematic_mix(df)):
+        times[r["doc_id"]] += r["copies"]
+    got = mixing.mix_documents(df)
+    assert got.columns == df.columns
+    assert Counter(r["doc_id"] for r in got.collect()) == +times
 
 
 def base_spans(text):

@@ -57,18 +57,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
     )
 
 
-def systematic_mix(
-    documents: DataFrame,
-    weights: Sequence[int] = (5, 2, 1),
-    cap: int = 3,
-    seed: str = "mix",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, copies."""
+def _placed(documents, weights, cap, seed, id_col, text_col, source_col) -> DataFrame:
+    """systematic_mix with the hash of the text, which tells rows apart that repeat an id."""
     base = documents.select(
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_or_empty(text_col)).alias("th"),
         F.when(F.col(source_col).isNull(), F.lit("1"))
         .otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
         .alias("skey"),
@@ -108,15 +101,49 @@ def systematic_mix(
         "target",
         (F.col("copies") * F.col("size")).alias("taken"),
         "copies",
+        "th",
     )
 
 
-def mix_documents(documents: DataFrame, copies: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as ``copies`` says (doc_id, copies), ids unique."""
+def systematic_mix(
+    documents: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    cap: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken, copies."""
+    return _placed(documents, weights, cap, seed, id_col, text_col, source_col).drop("th")
+
+
+def mix_documents(
+    documents: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    cap: int = 3,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: the documents with all their columns, each as often as it is taken."""
+    n = _placed(documents, weights, cap, seed, id_col, text_col, source_col)
+    here = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"))
+    times = (
+        n.groupBy("doc_id", "th")
+        .agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+        .select(F.struct("doc_id", "th").alias("__at"), "all", "rows")
+    )
+    joined = documents.withColumn("__at", here).join(times, "__at")
+    # rows that repeat id and text share their copies as evenly as they divide
+    row = F.row_number().over(Window.partitionBy("__at").orderBy(F.lit(0)))
+    own = F.floor(F.col("all") * row / F.col("rows")) - F.floor(F.col("all") * (row - 1) / F.col("rows"))
     return (
-        documents.join(copies.where("copies > 0").select("doc_id", F.col("copies").alias("__copies")), "doc_id")
-        .withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .drop("__copies")
+        joined.withColumn("__n", own)
+        .where("__n > 0")
+        .withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+        .select(*documents.columns)
     )
 
 

@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty
@@ -218,23 +218,17 @@ class AlignmentMatcher(Matcher):
         return aligned_similarity(self.shingles(x), self.shingles(y), self.threshold) >= self.threshold
 
 
-def near_dedup(
-    documents: DataFrame,
-    k: int = 5,
-    threshold: float = 0.8,
-    take: int = 4,
-    sketches: int = 24,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id of its class), kept, class_size.
+def _place(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The hash of a row's text, and its id or a stand-in."""
+    h = F.xxhash64(text_or_empty(text_col))
+    return h, F.coalesce(F.col(id_col).cast("long"), _NO_ID + h.bitwiseAND(F.lit(2**62 - 1)))
 
-    At a similarity of 0.8 a pair shares a given sketch with probability of about 0.8 ** take,
-    and none of them with about 3e-6 (take 4, 24 sketches).
-    """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    docs = docs.withColumn("id", F.xxhash64("text")).withColumn(
-        "rid", F.coalesce("doc_id", _NO_ID + F.col("id").bitwiseAND(F.lit(2**62 - 1)))
+
+def _classified(documents, k, threshold, take, sketches, id_col, text_col) -> DataFrame:
+    """(doc_id, rid, id, class_rid, class_size) of each row."""
+    h, rid = _place(id_col, text_col)
+    docs = documents.select(
+        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), h.alias("id"), rid.alias("rid")
     )
     slim = docs.select("doc_id", "rid", "id")
     runs = materialize(
@@ -253,9 +247,49 @@ def near_dedup(
     named = items.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_class = named.groupBy("component").agg(F.min("rep").alias("class_rid"), F.sum("n").alias("class_size"))
     by_text = named.join(of_class, "component").select("id", "class_rid", "class_size")
-    return slim.join(by_text, "id").select(
+    return slim.join(by_text, "id")
+
+
+def near_dedup(
+    documents: DataFrame,
+    k: int = 5,
+    threshold: float = 0.8,
+    take: int = 4,
+    sketches: int = 24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id of its class), kept, class_size.
+
+    At a similarity of 0.8 a pair shares a given sketch with probability of about 0.8 ** take,
+    and none of them with about 3e-6 (take 4, 24 sketches).
+    """
+    return _classified(documents, k, threshold, take, sketches, id_col, text_col).select(
         "doc_id",
         F.when(F.col("class_rid") < _NO_ID, F.col("class_rid")).alias("class_id"),
         (F.col("rid") == F.col("class_rid")).alias("kept"),
         "class_size",
     )
+
+
+def keep_representatives(
+    documents: DataFrame,
+    k: int = 5,
+    threshold: float = 0.8,
+    take: int = 4,
+    sketches: int = 24,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One document of each class, with its own columns; of rows that repeat id and text one stays."""
+    found = _classified(documents, k, threshold, take, sketches, id_col, text_col)
+    reps = found.where("rid = class_rid").select(F.struct("rid", "id").alias("__at")).distinct()
+    h, rid = _place(id_col, text_col)
+    first = F.row_number().over(Window.partitionBy("__at").orderBy(F.lit(0)))
+    return (
+        documents.withColumn("__at", F.struct(rid.alias("rid"), h.alias("id")))
+        .join(reps, "__at", "left_semi")
+        .withColumn("__n", first)
+        .where("__n = 1")
+        .select(*documents.columns)
+    )
