@@ -244,29 +244,56 @@ def _mark_runs(first: int, covered: np.ndarray, length: int) -> Iterator[tuple[i
         yield first + i, first + j - 1 + length
 
 
-def _marks_table(marks: list[tuple[int, int, int, int]]) -> dict:
-    """(rid, ord, from, to) to one row a document with merged ranges."""
-    marks.sort()
-    rid, ords, ranges = [], [], []
-    for r, o, a, b in marks:
-        if not rid or (rid[-1], ords[-1]) != (r, o):
-            rid.append(r)
-            ords.append(o)
-            ranges.append([a, b])
-        elif a <= ranges[-1][-1]:
-            ranges[-1][-1] = max(b, ranges[-1][-1])
-        else:
-            ranges[-1] += [a, b]
-    return {"rid": rid, "ord": ords, "ranges": [np.array(x, np.uint32).tobytes() for x in ranges]}
-
-
-_SEGMENT_DDL = "bucket int, rid long, ord int, packed binary"
+def _mark_rows(marks: list[tuple[int, int, int, int]], n_groups: int) -> Iterator[tuple[int, bytes]]:
+    """(rid, ord, from, to) to one packed row for each group of documents."""
+    if marks:
+        m = np.array(marks, np.int64)
+        order, parts = _grouped((mixed(m[:, 0].view(np.uint64)) % np.uint64(n_groups)).astype(np.int64))
+        m = m[order]
+        for g, i, j in parts:
+            yield g, b"".join(planes(np.ascontiguousarray(m[i:j, c]), 8) for c in range(4))
+
+
+def merge_marks(sent: DataFrame) -> DataFrame:
+    """Packed marks (g, packed) to (rid, marks): the merged byte ranges of each document, by ord."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        cols = []
+        for raw in t.column("packed").to_pylist():
+            n = len(raw) // 4
+            cols.append([unplanes(raw[c * n : (c + 1) * n], 8) for c in range(4)])
+        rid, o, start, end = (np.concatenate(x) for x in zip(*cols))
+        order = np.lexsort((end, start, o, rid))
+        rid, o, start, end = (x[order] for x in (rid, o, start, end))
+        head = np.ones(len(rid), bool)
+        head[1:] = (rid[1:] != rid[:-1]) | (o[1:] != o[:-1])
+        # one line of numbers for all documents, so that a running maximum stays in its document
+        base = np.cumsum(head) << 33
+        reach = np.maximum.accumulate(base + end)
+        fresh = np.ones(len(rid), bool)
+        fresh[1:] = base[1:] + start[1:] > reach[:-1]
+        at = np.flatnonzero(fresh)
+        till = np.append(reach[at[1:] - 1], reach[-1:]) - base[at]
+        ranges = np.stack([start[at], till], axis=1).astype(np.uint32)
+        rid, o, head = rid[at], o[at], np.ones(len(at), bool)
+        head[1:] = (rid[1:] != rid[:-1]) | (o[1:] != o[:-1])
+        cut = [*np.flatnonzero(head).tolist(), len(at)]
+        out: dict[int, list] = {}
+        for i, j in zip(cut, cut[1:]):
+            out.setdefault(int(rid[i]), []).append({"ord": int(o[i]), "ranges": ranges[i:j].tobytes()})
+        kind = pa.list_(pa.struct([("ord", pa.int32()), ("ranges", pa.binary())]))
+        return pa.table({"rid": pa.array(list(out), pa.int64()), "marks": pa.array(list(out.values()), kind)})
+
+    return sent.groupBy("g").applyInArrow(merge, "rid long, marks array<struct<ord:int,ranges:binary>>")
+
+
+_SEGMENT_DDL = "bucket int, n int, packed binary"
 
 
 def send_segments(docs: DataFrame, length: int, anchor: int, n_buckets: int, hot_keys: bytes) -> DataFrame:
-    """docs (rid, ord, text, keys) to packed segments by bucket, with their number in ``rid``.
+    """docs (rid, ord, text, keys) to ``n`` packed segments by bucket.
 
-    Rows with a negative bucket hold byte ranges of a document that are settled already.
+    Rows with a negative bucket -1 - g hold marks of group g that are settled already.
     """
 
     def emit(seen: dict, marks: list) -> Iterator[pa.RecordBatch]:
@@ -286,12 +313,11 @@ def send_segments(docs: DataFrame, length: int, anchor: int, n_buckets: int, hot
             ]
             body = pa.compress(b"".join(parts), codec="zstd", asbytes=True)
             size = sum(map(len, parts))
-            rows.append((b, len(raw), 0, size.to_bytes(8, "little") + body))
-        table = _marks_table(marks)
-        rows += [(-1 - r % n_buckets, r, o, x) for r, o, x in zip(table["rid"], table["ord"], table["ranges"])]
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        names = ["bucket", "rid", "ord", "packed"]
+            rows.append((b, len(raw), size.to_bytes(8, "little") + body))
+        rows += [(-1 - g, 0, packed) for g, packed in _mark_rows(marks, n_buckets)]
+        cols = list(zip(*rows)) if rows else [[]] * 3
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
+        names = ["bucket", "n", "packed"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
     def run(batches):
@@ -344,12 +370,12 @@ def unpack_segments(packed: bytes, n: int):
     return (*cols, raw[40 * n :])
 
 
-def settle_segments(sent: DataFrame, length: int) -> DataFrame:
-    """Packed segments to (rid, ord, ranges): byte ranges to remove, a few rows a document."""
+def settle_segments(sent: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """Packed segments to (rid, marks): byte ranges to remove, one row a document that has any."""
 
     def settle(t: pa.Table) -> pa.Table:
         marks: list[tuple[int, int, int, int]] = []
-        packs = [(p, n) for b, n, p in zip(*(t.column(c).to_pylist() for c in ("bucket", "rid", "packed"))) if b >= 0]
+        packs = [(p, n) for n, p in zip(t.column("n").to_pylist(), t.column("packed").to_pylist())]
         if packs:
             cols = [unpack_segments(p, n) for p, n in packs]
             key, rid, o, start, size = (np.concatenate(x) for x in list(zip(*cols))[:5])
@@ -380,10 +406,11 @@ def settle_segments(sent: DataFrame, length: int) -> DataFrame:
                     _previous_factors(waiting, length, marks)
                     waiting, windows = [], 0
             _previous_factors(waiting, length, marks)
-        return pa.table(_marks_table(marks), schema=pa.schema([("rid", pa.int64()), ("ord", pa.int32()), ("ranges", pa.binary())]))
+        rows = list(_mark_rows(marks, n_buckets))
+        return pa.table({"g": pa.array([g for g, _ in rows], pa.int32()), "packed": pa.array([p for _, p in rows], pa.binary())})
 
-    settled = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(settle, "rid long, ord int, ranges binary")
-    return settled.unionByName(sent.where("bucket < 0").select("rid", "ord", F.col("packed").alias("ranges")))
+    settled = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(settle, "g int, packed binary")
+    return merge_marks(settled.unionByName(sent.where("bucket < 0").select((-1 - F.col("bucket")).alias("g"), "packed")))
 
 
 def _previous_factors(waiting: list[tuple], length: int, marks: list) -> None:
@@ -405,17 +432,6 @@ def _previous_factors(waiting: list[tuple], length: int, marks: list) -> None:
             marks.append((rid, o, a, b))
 
 
-def merge_ranges(parts: list[bytes]) -> np.ndarray:
-    """Sorted, disjoint ranges (n x 2); touching ones are one."""
-    r = np.concatenate([np.frombuffer(p, np.uint32).reshape(-1, 2) for p in parts]).astype(np.int64)
-    r = r[np.argsort(r[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(r[:, 1])
-    fresh = np.ones(len(r), bool)
-    fresh[1:] = r[1:, 0] > reach[:-1]
-    at = np.flatnonzero(fresh)
-    return np.stack([r[at, 0], np.append(reach[at[1:] - 1], reach[-1])], axis=1)
-
-
 def dedup_substrings(
     documents: DataFrame,
     length: int = 50,
@@ -448,7 +464,7 @@ def dedup_substrings(
     sent = materialize(
         send_segments(candidates.select("rid", "ord", "text", "keys"), length, anchor, n_buckets, hot_keys), "substring-segments"
     )
-    marks = settle_segments(sent, length).groupBy("rid").agg(F.collect_list(F.struct("ord", "ranges")).alias("marks"))
+    marks = settle_segments(sent, length, n_buckets)
     judged = numbered.join(marks, "rid", "left").join(copies, "rid", "left")
     judged = judged.select("rid", "ord", "text", "marks", is_copy.alias("is_copy"))
 
@@ -463,10 +479,9 @@ def dedup_substrings(
                 if copy:
                     kept, n_spans = b"", 1
                 elif parts:
-                    ranges = merge_ranges(parts)
-                    edges = [0, *ranges.ravel().tolist(), len(raw)]
+                    edges = [0, *np.frombuffer(parts[0], np.uint32).tolist(), len(raw)]
                     kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
-                    n_spans = len(ranges)
+                    n_spans = len(edges) // 2 - 1
                 else:
                     kept, n_spans = raw, 0
                 row = (None if rid >= _NO_ID else rid, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
