@@ -52,8 +52,11 @@ class LineHashes:
         h = (mixed(h[valid[: len(h)]]) >> np.uint64(32)).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum(lengths - k + 1)[:-1]])
         low = np.empty((self.bands * self.rows, len(lines)), np.uint32)
+        x = np.empty_like(h)
         for j in range(self.bands * self.rows):
-            low[j] = np.minimum.reduceat((h ^ self.shifts[j]) * self.factors[j], starts)
+            np.bitwise_xor(h, self.shifts[j], out=x)
+            np.multiply(x, self.factors[j], out=x)
+            np.minimum.reduceat(x, starts, out=low[j])
         return low
 
     def keys(self, low: np.ndarray) -> np.ndarray:
@@ -78,7 +81,7 @@ def minhash_signer(k: int, bands: int, rows: int):
             owners, keys, at = [], [], 0
             while at < len(index):
                 stop, total = at, 0
-                while stop < len(index) and (total < 60_000 or stop == at):
+                while stop < len(index) and (total < 25_000 or stop == at):
                     total += len(texts[index[stop]])
                     stop += 1
                 keys.append(hashes.keys(hashes.least([texts[i] for i in index[at:stop]])).ravel())

@@ -158,33 +158,30 @@ def verified(pairs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Ma
     return both.select("a", "x", "p", "b", "y", "q").mapInArrow(run, "a long, b long")
 
 
-def _block_links(key: int, side: np.ndarray | None, ids, classes, keys, mins, texts, matcher: Matcher):
-    """Links between members of different classes of a block (or of its two sides) as a spanning forest."""
-    parent: dict[int, int] = {}
-
-    def find(c):
-        while (up := parent.get(c, c)) != c:
-            c = up
-        return c
-
-    n = len(ids)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        j = j[classes[j] != classes[i]]
-        if side is not None:
-            j = j[side[j] != side[i]]
-        if not len(j):
-            continue
-        j = j[(mins[j] == mins[i]).mean(1) >= matcher.least]
-        if not len(j):
-            continue
-        equal = keys[j] == keys[i]
-        j = j[keys[i][equal.argmax(1)] == key]  # the first key that both have
-        for other in j.tolist():
-            a, b = find(int(classes[i])), find(int(classes[other]))
-            if a != b and matcher.check(texts[i], texts[other]):
-                parent[max(a, b)] = min(a, b)
-                yield int(ids[i]), int(ids[other])
+def _near_pairs(members: np.ndarray, key: np.ndarray, own, split: bool, classes, keys, mins, least: float):
+    """Pairs (i, j) worth checking within each of equally large runs; ``members`` has a row of positions a run.
+
+    Left out are pairs of one class, pairs on one side where two sides meet, pairs that share
+    an earlier key, and pairs with too few equal minimum hashes.
+    """
+    n = members.shape[1]
+    left, right = np.triu_indices(n, 1)
+    step = max(1, 2_000_000 // (len(left) * (keys.shape[1] + mins.shape[1])))
+    for at in range(0, len(members), step):
+        block = members[at : at + step]
+        i, j = block[:, left].ravel(), block[:, right].ravel()
+        k = np.repeat(key[block[:, 0]], len(left))
+        keep = classes[i] != classes[j]
+        if split:
+            keep &= own[i] != own[j]
+        i, j, k = i[keep], j[keep], k[keep]
+        for part in range(0, len(i), 100_000):
+            p, q, r = (x[part : part + 100_000] for x in (i, j, k))
+            near = (mins[p] == mins[q]).mean(1) >= least
+            p, q, r = p[near], q[near], r[near]
+            first = (keys[p] == keys[q]).argmax(1)
+            mine = keys[p, first] == r
+            yield from zip(p[mine].tolist(), q[mine].tolist())
 
 
 def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000) -> DataFrame:
@@ -211,12 +208,25 @@ def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], M
         texts = t.column("text")
         order = np.lexsort((ids, hi, lo, key))
         k, low, high = key[order], lo[order], hi[order]
-        cut = np.flatnonzero((k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        sizes = np.diff(np.append(heads, len(order)))
+        met = low[heads] != high[heads]
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
         out = []
-        for rows in np.split(order, cut):
-            side = own[rows] if lo[rows[0]] != hi[rows[0]] else None
-            some = [texts[int(r)].as_py() for r in rows]
-            out += _block_links(int(key[rows[0]]), side, ids[rows], c[rows], keys[rows], mins[rows], some, matcher)
+        for n, split in sorted(set(zip(sizes.tolist(), met.tolist()))):
+            if n > 1:
+                members = order[heads[(sizes == n) & (met == split)][:, None] + np.arange(n)]
+                for i, j in _near_pairs(members, key, own, split, c, keys, mins, matcher.least):
+                    a, b = find(int(c[i])), find(int(c[j]))
+                    if a != b and matcher.check(texts[i].as_py(), texts[j].as_py()):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((int(ids[i]), int(ids[j])))
         cols = list(zip(*out)) if out else [[], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
