@@ -157,10 +157,10 @@ def quotes(spark, sf):
     )
 
 
-@query("fwd_from_points", sql(QUOTES, "SELECT day, ccy, round(CASE WHEN ccy = 'A' THEN mid + d * 10000 / 100 ELSE (mid * (1 - d) + mid * (1 + d)) / 2 END, 4) + 0.0 AS fwd FROM q"))
+@query("fwd_from_points", sql(QUOTES, "SELECT day, ccy, round(CASE WHEN ccy = 'A' THEN mid + d * 10000 / 100 ELSE (mid * (1 - d) + mid * (1 + d)) / 2 END, 6) + 0.0 AS fwd FROM q"))
 def _(spark, sf):
     f = F.coalesce(F.when(F.col("ccy") == "A", F.expr("mid + d * 10000 / 100")), F.expr("(mid * (1 - d) + mid * (1 + d)) / 2"))
-    return quotes(spark, sf).select("day", "ccy", rnd(f, 4).alias("fwd"))
+    return quotes(spark, sf).select("day", "ccy", rnd(f, 6).alias("fwd"))
 
 
 @query("cip_forward", sql(QUOTES, "SELECT q.day, q.ccy, round(q.mid * exp(-(q.i - u.i) / 12), 4) + 0.0 AS fwd FROM q JOIN q u ON u.day = q.day AND u.ccy = 'N' WHERE q.ccy <> 'N'"))
