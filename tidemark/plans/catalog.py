@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library outside ``tidemark.llm``."""
 
-from tidemark.plans import q_joins, q_series, q_tape  # noqa: F401, I001
+from tidemark.plans import q_book, q_joins, q_series, q_tape  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

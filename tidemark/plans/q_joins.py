@@ -58,7 +58,7 @@ def _(spark, sf):
     return markets(spark, sf).select("contract_id", F.explode(z).alias("zone"))
 
 
-ORD = "od AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS seen, min(o_orderkey) AS id, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), lp AS (SELECT l_suppkey % 1500 AS k, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS pt FROM lineitem WHERE l_linenumber = 1)"
+ORD = "od AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS seen, min(o_orderkey) AS id, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), lp AS (SELECT DISTINCT l_suppkey % 1500 AS k, l_orderkey, CAST(l_shipdate AS DATE) AS pt FROM lineitem WHERE l_linenumber = 1)"
 
 
 def od(spark, sf):
@@ -66,12 +66,12 @@ def od(spark, sf):
 
 
 def lp(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 1500).alias("k"), "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("pt"))
+    return table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 1500).alias("k"), "l_orderkey", F.to_date("l_shipdate").alias("pt")).distinct()
 
 
 for _key, _how, _op, _pick in (("asof_le", "le", "<=", "arg_max"), ("asof_lt", "lt", "<", "arg_max"), ("asof_next", "ge", ">=", "arg_min")):
 
-    @query(_key, sql(ORD, f"SELECT l_orderkey, {_pick}(id, seen) AS id FROM lp LEFT JOIN od ON od.k = lp.k AND od.seen {_op} lp.pt GROUP BY l_orderkey"))
+    @query(_key, sql(ORD, f"SELECT l_orderkey, {_pick}(id, seen) AS id FROM lp LEFT JOIN od ON od.k = lp.k AND od.seen {_op} lp.pt GROUP BY l_orderkey, lp.k, lp.pt"))
     def _(spark, sf, how=_how):
         return asof_join(lp(spark, sf), od(spark, sf), ["k"], "pt", "at", ["id"], how).select("l_orderkey", "id")
 
