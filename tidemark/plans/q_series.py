@@ -9,11 +9,8 @@ from tidemark.operators import changes, stats
 from tidemark.plans.base import DAYS, MARKET, PANEL, RETURNS, TRADES, days, market_long, panel, returns, sql, table, trades
 from tidemark.plans.registry import query
 
-UNIT = F.when(F.col("is_deadline"), "hazard").otherwise("prob")
-
-
 def changed(spark, sf):
-    d = days(spark, sf).where("value is not null and not stale").withColumn("unit", UNIT)
+    d = days(spark, sf).where("value is not null and not stale").withColumn("unit", F.when(F.col("is_deadline"), "hazard").otherwise("prob"))
     return changes.gap_scaled_changes(d)
 
 
