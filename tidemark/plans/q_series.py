@@ -299,7 +299,10 @@ def _(spark, sf):
 @query("rolling_corr_regime", sql(RETURNS, "SELECT ticker, day, lag(CASE WHEN c < 0 THEN 1 WHEN c >= 0 THEN 0 END) OVER (PARTITION BY ticker ORDER BY day) AS regime FROM (SELECT *, CASE WHEN count(r) OVER w >= 30 THEN round(corr(r, CAST(n AS DOUBLE)) OVER w, 9) END AS c FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"))
 def _(spark, sf):
     w = by_ticker().rowsBetween(-59, 0)
-    c = returns(spark, sf).withColumn("c", F.when(F.count("r").over(w) >= 30, F.round(F.corr("r", F.col("n").cast("double")).over(w), 9)))
+    n = F.when(F.col("r").isNotNull(), F.col("n").cast("double"))
+    spread = F.stddev_samp("r").over(w) * F.stddev_samp(n).over(w)
+    corr = F.covar_samp("r", n).over(w) / F.when(spread > 0, spread)
+    c = returns(spark, sf).withColumn("c", F.when(F.count("r").over(w) >= 30, F.round(corr, 9)))
     return c.select("ticker", "day", F.lag(F.when(F.col("c") < 0, 1).when(F.col("c") >= 0, 0)).over(by_ticker()).alias("regime"))
 
 
