@@ -37,8 +37,7 @@ def ewm_mean(value: Column, alpha: float, keys: Sequence[str], order: str) -> Co
         )
 
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    done = F.aggregate(_recent(value, alpha, keys, order), zero, step)
-    return done["num"] / F.when(done["den"] > 0, done["den"])
+    return F.aggregate(_recent(value, alpha, keys, order), zero, step, lambda a: a["num"] / F.when(a["den"] > 0, a["den"]))
 
 
 def ewm_recursive(value: Column, alpha: float, keys: Sequence[str], order: str) -> Column:
@@ -69,7 +68,9 @@ def ewm_var(value: Column, alpha: float, keys: Sequence[str], order: str) -> Col
         )
 
     zero = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "w2", "s", "q")])
-    a = F.aggregate(_recent(value, alpha, keys, order), zero, step)
-    var = a["q"] / a["w"] - (a["s"] / a["w"]) * (a["s"] / a["w"])
-    room = a["w"] * a["w"] - a["w2"]
-    return F.when(room > 1e-12, var * a["w"] * a["w"] / room)
+
+    def finish(a):
+        room = a["w"] * a["w"] - a["w2"]
+        return F.when(room > 1e-12, (a["q"] / a["w"] - (a["s"] / a["w"]) * (a["s"] / a["w"])) * a["w"] * a["w"] / room)
+
+    return F.aggregate(_recent(value, alpha, keys, order), zero, step, finish)
