@@ -86,42 +86,47 @@ class Forest:
         self.planes = np.frombuffer(row["planes"]).reshape(row["dim"] + 1, -1)
         self.top = row["top"]
 
-    def candidates(self, q: np.ndarray, enough: int) -> np.ndarray:
-        """Positions of at least ``enough`` vectors (all, if fewer), by synchronous ascent."""
-        key = hash_keys(np.append(q, 0.0)[None, :], self.planes, self.trees, self.bits)[:, 0]
-        if enough >= len(self.ids):
-            return np.arange(len(self.ids))
-        found = np.zeros(len(self.ids), bool)
-        n_found = 0
+    def candidates(self, queries: np.ndarray, enough: int) -> list[np.ndarray]:
+        """For each query positions of at least ``enough`` vectors (all, if fewer), by synchronous ascent.
+
+        All queries of the block go up together, one bit a step; each stops where it has enough.
+        """
+        n = len(self.ids)
+        if enough >= n:
+            return [np.arange(n)] * len(queries)
+        keys = hash_keys(np.hstack([queries, np.zeros((len(queries), 1))]), self.planes, self.trees, self.bits)
         # descent: at its longest prefix a query stands next to its place in the sorted array
-        at = [int(np.searchsorted(k, key[t])) for t, k in enumerate(self.keys)]
-        longest = 0
+        longest = np.zeros(len(queries), np.int64)
         for t, k in enumerate(self.keys):
-            for near in (at[t] - 1, at[t]):
-                if 0 <= near < len(k):
-                    longest = max(longest, self.bits - int(k[near] ^ key[t]).bit_length())
-        for level in range(longest, -1, -1):
+            at = np.searchsorted(k, keys[t])
+            for near in (np.maximum(at - 1, 0), np.minimum(at, n - 1)):
+                differ = (k[near] ^ keys[t]).astype(np.float64)  # exact: fewer than 53 bits
+                longest = np.maximum(longest, self.bits - np.frexp(differ)[1])
+        found: list[np.ndarray | None] = [None] * len(queries)
+        waiting = np.arange(len(queries))
+        for level in range(int(longest.max(initial=0)), -1, -1):
             shift = np.uint64(self.bits - level)
-            total = 0
-            ranges = []
-            for t, k in enumerate(self.keys):
-                low = key[t] >> shift << shift
-                a = int(np.searchsorted(k, low))
-                b = int(np.searchsorted(k, low + (np.uint64(1) << shift)))
-                ranges.append((a, b))
-                total += b - a
-            if total + n_found < enough and level:
-                continue  # too few even if all are different
-            for t, (a, b) in enumerate(ranges):
-                found[self.positions[t, a:b]] = True
-            n_found = int(found.sum())
-            if n_found >= enough:
+            low = keys[:, waiting] >> shift << shift
+            start = np.stack([np.searchsorted(k, low[t]) for t, k in enumerate(self.keys)])
+            stop = np.stack([np.searchsorted(k, low[t] + (np.uint64(1) << shift)) for t, k in enumerate(self.keys)])
+            left = []
+            for c in range(len(waiting)):
+                if int((stop[:, c] - start[:, c]).sum()) >= enough:  # else too few even if all are different
+                    mark = np.zeros(n, bool)
+                    for t, (a, b) in enumerate(zip(start[:, c].tolist(), stop[:, c].tolist())):
+                        mark[self.positions[t, a:b]] = True
+                    at = np.flatnonzero(mark)
+                    if len(at) >= enough:
+                        found[waiting[c]] = at
+                        continue
+                left.append(c)
+            waiting = waiting[left]
+            if not len(waiting):
                 break
-        return np.flatnonzero(found)
+        return found
 
-    def nearest(self, query_id: int, q: np.ndarray, k: int, share: float, least: int) -> list[tuple[int, float]]:
-        """(vec_id, score) of the k best candidates in this block."""
-        at = self.candidates(q, max(least, math.ceil(share * len(self.ids))))
+    def nearest(self, query_id: int, q: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, float]]:
+        """(vec_id, score) of the k best of the candidates ``at``."""
         at = at[self.ids[at] != query_id]
         rough = self.x[at] @ q
         if len(at) > k:
@@ -158,8 +163,13 @@ def search(
         out = []
         if index.num_rows and asked.num_rows:
             block = Forest(index.to_pylist()[0], trees, bits)
-            for q, v in zip(asked.column("query_id").to_pylist(), asked.column("v").to_pylist()):
-                out += [(q, i, s) for i, s in block.nearest(q, np.array(v), k, share, least)]
+            names = asked.column("query_id").to_pylist()
+            vectors = np.array(asked.column("v").to_pylist(), dtype=np.float64)
+            enough = max(least, math.ceil(share * len(block.ids)))
+            for first in range(0, len(names), 1000):
+                some = vectors[first : first + 1000]
+                for q, v, at in zip(names[first : first + 1000], some, block.candidates(some, enough)):
+                    out += [(q, i, s) for i, s in block.nearest(q, v, at, k)]
         cols = list(zip(*out)) if out else [[], [], []]
         kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), cols)})
