@@ -58,6 +58,13 @@ def test_components_chain_and_star(spark):
     assert got == union(edges, set(itertools.chain(*edges)))
 
 
+def test_components_of_a_long_chain(spark):
+    ids = np.random.default_rng(6).integers(-(2**62), 2**62, 2000).tolist()
+    edges = list(zip(ids, ids[1:]))
+    got = links.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["id"]: r["component"] for r in got} == {i: min(ids) for i in ids} and len(got) == len(ids)
+
+
 def test_packed_runs_find_every_shared_key():
     rng = np.random.default_rng(1)
     keys, ids = rng.integers(0, 60, 400).astype(np.uint64), rng.integers(-50, 50, 400)

@@ -233,11 +233,14 @@ def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], M
     return dealt.join(payload, "id").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest id of the component, for every id with an edge.
 
-    Union-find over tables: labels move along edges and along label chains (pointer
-    jumping) until nothing changes; every round is written to the shared folder.
+    Union-find over tables: in every round an id takes the smallest label at the end of its
+    own label chain and of its neighbours' (pointer jumping), and so does the root that it
+    points to, so that whole trees are hooked and the rounds grow with the logarithm of a
+    chain's length.  Labels only fall and rounds end when none does, at one label a
+    component.  Every round is written to the shared folder.
     """
     edges = materialize(edges.where("a <> b").select("a", "b"), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -245,23 +248,26 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")),
         "labels",
     )
-    for _ in range(rounds):
-        root = labels.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        jumped = labels.join(root, "component", "left").select(
-            "id", F.col("component").alias("old"), F.least("component", "root").alias("component")
-        )
+    while True:
+        ends = labels.select(F.col("id").alias("component"), F.col("component").alias("end"))
+        jumped = labels.join(ends, "component").select("id", F.col("component").alias("old"), "end")
         near = (
-            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+            both.join(jumped.select(F.col("id").alias("b"), "end"), "b")
             .groupBy(F.col("a").alias("id"))
-            .agg(F.min("component").alias("near"))
+            .agg(F.min("end").alias("near"))
         )
+        own = F.struct("id", "old", F.least("end", "near").alias("component"))
+        root = F.struct(F.col("old").alias("id"), F.lit(None).cast("long").alias("old"), F.least("end", "near").alias("component"))
         labels = materialize(
-            jumped.join(near, "id", "left").select("id", "old", F.least("component", "near").alias("component")), "labels"
+            jumped.join(near, "id")
+            .select(F.inline(F.array(own, root)))
+            .groupBy("id")
+            .agg(F.max("old").alias("old"), F.min("component").alias("component")),
+            "labels",
         )
         if not labels.where("component <> old").limit(1).count():
-            break
+            return labels.select("id", "component")
         labels = labels.drop("old")
-    return labels.select("id", "component")
 
 
 def linked_classes(runs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher]) -> DataFrame:
