@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 from tests.llm.util import ODD, docs
 
-from tidemark.llm import line_dedup, links, near_dedup
+from tidemark.llm import line_dedup, links, near_dedup, registry
 
 
 def union(pairs, ids):
@@ -168,6 +168,17 @@ def test_line_dedup_against_brute_force(spark):
     assert got[61]["n_lines"] == 0 and got[60]["n_lines"] == 4
 
 
+def test_short_lines_count_as_exact_copies(spark, tmp_path):
+    rows = [(1, "Les.\n\nLes.\nAnd ornd."), (2, "And ornd.\n \nLes\nLes."), (3, "\n\n")]
+    docs(spark, [(i, t, "s") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: r["removed"] for i, r in got.items()} == {1: "2", 2: "0,3", 3: ""}
+    assert {i: (r["n_exact"], r["n_fuzzy"]) for i, r in got.items()} == {1: (1, 0), 2: (2, 0), 3: (0, 0)}
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, exact_chars=1).collect()}
+    assert clean == {1: "Les.\n\nAnd ornd.", 2: " \nLes", 3: "\n\n"}
+
+
 def test_line_dedup_odd_rows(spark):
     df = docs(spark, ODD)
     out = line_dedup.dedup_lines(df)

@@ -59,7 +59,7 @@ def op5_packing(spark, sf_dir):
 
 @_query("op6_line_dedup")
 def op6_line_dedup(spark, sf_dir):
-    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 @_query("op7_secret_scan")
