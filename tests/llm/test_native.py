@@ -116,3 +116,13 @@ def test_ownership_separates_examples(spark):
     assert got[9]["n_live"] == 1 and got[0]["most_owners"] == 5
     assert secrets.find_secrets(df.limit(0)).count() == 0
     assert own not in secrets.redact(df).where("doc_id = 9").first()["text"].split("token")[1]
+
+
+def test_value_in_many_texts_of_one_source_is_an_example(spark):
+    copied, own = "Abc123" * 5, "Xyz789" * 5
+    data = [(i, f"see {copied} there {i} token={copied}", "s") for i in range(11)]
+    data += [(i, f"key {own} there {i} token={own}", "s") for i in range(20, 30)]
+    got = {r["doc_id"]: r for r in rows(secrets.digest(secrets.find_secrets(docs(spark, data))))}
+    assert all((got[i]["spans"].count("opaque"), got[i]["n_live"], got[i]["n_example"]) == (0, 0, 1) for i in range(11))
+    assert all((got[i]["spans"].count("opaque"), got[i]["n_live"], got[i]["n_example"]) == (1, 1, 0) for i in range(20, 30))
+    assert got[0]["most_owners"] == 1 and got[0]["most_repos"] == 11

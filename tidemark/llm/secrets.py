@@ -5,7 +5,8 @@ Positions are found by putting marks around the matches and adding up the length
 pieces, all with built-in functions.  Every value that looks like a credential, among
 them ``opaque`` runs (letters in both cases and digits, outside base spans), is hashed and
 counted over the corpus by distinct owners (sources) and repositories (distinct texts).
-A value of few owners looks live, one that many owners copy is an example.  Opaque runs
+A value of few owners and few repositories looks live, one that many owners or many
+repositories copy is an example.  Opaque runs
 are reported only where they look live; base spans always stay.
 
 Cases: a null text counts as empty, a null source is one owner; empty texts and tables
@@ -72,11 +73,12 @@ def find_secrets(
     text_col: str = "text",
     owner_col: str = "source",
     max_owners: int = 2,
+    max_repos: int = 10,
 ) -> DataFrame:
     """Per document: doc_id, base and opaque spans with values, and how each value is owned.
 
     Columns: doc_id, base (spans), live_opaque (spans), n_live, n_example: values of base
-    spans with at most and with more than ``max_owners`` owners.
+    spans that look live (at most ``max_owners`` owners and ``max_repos`` repositories) and the others.
     """
     clean = F.translate(text_or_empty(text_col), "\u0001\u0002", "\u0003\u0003")
     scanned = documents.select(
@@ -101,7 +103,8 @@ def find_secrets(
     repos = values.groupBy("value_hash", "repo").agg(F.count("*").alias("n_uses"))
     owned = owners.groupBy("value_hash").agg(F.count("*").alias("n_owners"))
     owned = owned.join(repos.groupBy("value_hash").agg(F.count("*").alias("n_repos")), "value_hash")
-    judged = values.join(owned, "value_hash").withColumn("live", F.col("n_owners") <= max_owners)
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    judged = values.join(owned, "value_hash").withColumn("live", live)
     is_base = F.col("span.kind") != "opaque"
     per_doc = judged.groupBy("doc_id", "owner", "repo").agg(
         F.collect_set(F.when(~is_base & F.col("live"), F.col("span"))).alias("live_opaque"),
