@@ -48,6 +48,18 @@ def test_matches_sql(spark, con, key):
     assert norm(got) == norm([dict(zip(names, r)) for r in cur.fetchall()])
 
 
+def test_leave_one_out_of_many_keys(spark, tmp_path):
+    c = duckdb.connect()
+    c.execute(f"""COPY (SELECT DATE '2020-01-01' + d::INT AS o_orderdate, 'k' || k AS o_orderpriority, (1000 + k * 7 + (k * d * 31) % 97)::DOUBLE AS o_totalprice
+        FROM range(120) a(k), range(6) b(d)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)""")
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["leave_one_event_out"](spark, str(tmp_path)).select("without", "mean").collect()]
+    want = c.execute(f"SELECT without, mean FROM ({catalog.ORACLES['leave_one_event_out']})").fetchall()
+    assert len(got) == 120
+    assert [k for k, _ in sorted(got)] == [k for k, _ in sorted(want)]
+    assert all(math.isclose(x, y, abs_tol=2e-6) for (_, x), (_, y) in zip(sorted(got), sorted(want)))
+
+
 def test_entry_imports_without_the_subpackage():
     code = (
         "import sys\n"

@@ -395,8 +395,10 @@ def _(spark, sf):
 @query("leave_one_event_out", sql(RETURNS, ", e AS (SELECT ticker FROM rt GROUP BY 1) SELECT e.ticker AS without, round(avg(r) * 252, 6) + 0.0 AS mean FROM e JOIN rt ON rt.ticker <> e.ticker GROUP BY 1").replace(")\n, e", "), e"))
 def _(spark, sf):
     r = returns(spark, sf)
-    e = F.broadcast(r.select(F.col("ticker").alias("without")).distinct().orderBy("without").limit(100))
-    return r.crossJoin(e).where("ticker <> without").groupBy("without").agg(rnd(F.avg("r") * 252).alias("mean"))
+    own = r.where("ticker is not null").groupBy("ticker").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"), F.count("r").alias("n"), F.count("*").alias("rows"))
+    total = F.broadcast(own.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.sum("rows").alias("all_rows")))
+    mean = F.when(F.col("all_n") > F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) * 252)
+    return own.crossJoin(total).where("all_rows > rows").select(F.col("ticker").alias("without"), rnd(mean).alias("mean"))
 
 
 @query("threshold_panels", sql(RETURNS, "SELECT k, ticker, count(*) AS n FROM rt JOIN (VALUES (1), (2), (4)) t(k) ON n >= k GROUP BY 1, 2"))
