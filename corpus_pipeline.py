@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, *byte_bpe())
+    return packing.pack_documents(docs, *byte_bpe(), added_tokens=True)
 
 
 STAGES = [

@@ -107,3 +107,15 @@ def test_packing_odd_rows_and_sequences(spark):
     whole = packing.sequences(pieces).collect()
     assert all(len(r["ids"]) == 4 * r["length"] and r["padding"] == 0 for r in whole)
     assert packing.pack_documents(df.limit(0), path, pattern).count() == 0
+
+
+def test_packing_added_tokens_as_by_the_unmodified_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, _ = registry.byte_bpe()
+    plain = Tokenizer.from_file(path)
+    texts = {1: "a<|endoftext|>b", 2: "a < b", 3: "<|endoftext|><|endoftext|> c", 4: "<|endoftext"}
+    docs(spark, [(i, t, None) for i, t in texts.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.QUERIES["op5_packing"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows}[1] == 4
+    check_pieces(rows, texts, lambda t: plain.encode(t, add_special_tokens=False).ids)

@@ -49,11 +49,13 @@ def byte_alphabet() -> dict[str, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(tokenizer_path: str, pattern: str):
+def encoder(tokenizer_path: str, pattern: str, added_tokens: bool = False):
     """text -> ids, from a byte-level BPE vocabulary file of the ``tokenizers`` library.
 
     The vocabulary's ids are in the order of its merges, so they serve as merge ranks for a
     faster encoder of the same ids; texts that it refuses go through the library itself.
+    With ``added_tokens``, a text that contains an added token goes through the library with
+    its default settings, where the token is one id; without, it is ordinary text.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -66,8 +68,11 @@ def encoder(tokenizer_path: str, pattern: str):
     fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(tokenizer_path)
     slow.encode_special_tokens = True
+    default = Tokenizer.from_file(tokenizer_path)
 
     def encode(text: str) -> list[int]:
+        if added_tokens and any(t in text for t in special):
+            return default.encode(text, add_special_tokens=False).ids
         try:
             return fast.encode_ordinary(text)
         except BaseException as error:  # the regex engine panics on some very long runs
@@ -197,20 +202,22 @@ def pack_documents(
     end_id: int = 0,
     window: int = 256,
     with_ids: bool = False,
+    added_tokens: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (, ids).
 
     ``window`` pieces wait in a task before the next sequence is filled.  ``ids`` are the
-    piece's ids as little-endian unsigned 32-bit numbers.  The vocabulary file has to be
+    piece's ids as little-endian unsigned 32-bit numbers.  ``added_tokens`` reads added tokens
+    in a text as the library does by default.  The vocabulary file has to be
     at ``tokenizer_path`` on every executor.
     """
     fields = FIELDS + ([("ids", pa.binary())] if with_ids else [])
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, pattern)
+        encode = encoder(tokenizer_path, pattern, added_tokens)
 
         def rows():
             for b in batches:

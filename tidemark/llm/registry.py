@@ -54,7 +54,7 @@ def op4_toxicity(spark, sf_dir):
 
 @_query("op5_packing")
 def op5_packing(spark, sf_dir):
-    return packing.pack_documents(table(spark, sf_dir, "documents"), *byte_bpe())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *byte_bpe(), added_tokens=True)
 
 
 @_query("op6_line_dedup")
