@@ -87,3 +87,16 @@ def test_odd_rows(spark):
     kept = sd.dedup_substrings(df, with_text=True).where("doc_id = 3").first()["kept"]
     assert bytes(kept) == b"same text here"
     assert sd.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_ids_of_all_sizes_and_rows_without_one(spark):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    ids = [2**62 + 5, 2**62 + 6, 2**63 - 2, 2**63 - 1, -(2**63), 0, None, None, 2**62 - 1]
+    rows = [(i, f"{n} {passage} {n * n}") for n, i in enumerate(ids)] + [(None, passage + " ends"), (2**62 + 5, passage)]
+    df = docs(spark, [(i, t, "s") for i, t in rows]).repartition(4)
+    want = brute([(2**63 - 1 if i is None else i, t) for i, t in rows])
+    found = sd.dedup_substrings(df)
+    assert {r["doc_id"] for r in found.collect()} == set(ids)
+    assert got(found.na.fill(2**63 - 1, ["doc_id"])) == want
+    assert got(sd.dedup_substrings(df, hot=1, n_buckets=3).na.fill(2**63 - 1, ["doc_id"])) == want

@@ -6,7 +6,8 @@ with a smaller id.  Documents are compared as UTF-8 bytes, and matches stay insi
 1. Anchors.  Each window of ``length`` bytes is keyed by the smallest hash of its
    ``anchor``-byte strings (its minimizer), so equal windows have equal keys; windows in
    a row with one key form a segment.  Tasks pack (key, document) entries by bucket, and
-   the bucket's owner says which keys two documents share.
+   the bucket's owner says which keys two documents share, in a packed row for each group
+   of documents; a group's owner puts the shared keys of each document together.
 2. Segments.  Only segments with a shared key are sent on, by key.  Equal segments are
    settled in the sending task, all but the first document's being repeats.  The windows
    of a key with more than ``hot`` documents are sent one by one under hashes of their
@@ -18,9 +19,10 @@ with a smaller id.  Documents are compared as UTF-8 bytes, and matches stay insi
 
 Copies of a whole text are settled beforehand by SHA-256 and length, and need no segments.
 
-Cases: a null text counts as empty; a null id comes after all ids; rows with the same id
-are not earlier than each other, and each is judged by itself; texts under ``length``
-bytes are left alone; an empty table gives an empty result; other columns are ignored.
+Cases: a null text counts as empty; any 64-bit id is an id, and a null one counts as the
+largest of them; rows with the same id are not earlier than each other, and each is judged
+by itself (they are told apart by a 64-bit hash of the text); texts under ``length`` bytes
+are left alone; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,18 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, text_or_empty, wide_partitions
 from tidemark.llm.near_dedup import mixed, rolling
 
-_NO_ID = 2**62
+_NO_ID = 2**63 - 1
 _KEY_BITS = np.uint64(40)
 _KEY_MASK = np.uint64(2**40 - 1)
+_KEY_ODD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 60_000
-#: so many keys at most are told to all tasks as hot (a matter of speed, not of results)
-MOST_HOT = 100_000
+#: a key is hot only from one part in so many of all entries on, so there are fewer hot keys than this
+HOT_PARTS = 1_000_000
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -95,6 +98,13 @@ def unplanes(raw: bytes, n: int, dtype=np.int64) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> _KEY_BITS) % np.uint64(n)).astype(np.int64)
 
@@ -139,9 +149,10 @@ def _anchor_rows(keys, rids, n_buckets):
 
 
 def shared_anchors(docs: DataFrame, length: int, anchor: int, hot: int, n_buckets: int) -> DataFrame:
-    """docs (rid, text) to (rid, keys): packed shared keys of each document.
+    """docs (u, text) to (g, packed): the shared keys of each document u, packed by document group.
 
-    Rows without rid hold keys of more than about ``hot`` documents, ``MOST_HOT`` in all at most.
+    Group -1 holds the hot keys: those of more than about ``hot`` documents and more than one part in
+    ``HOT_PARTS`` of all entries, so that they are fewer than ``HOT_PARTS`` whatever the input.
     """
 
     def emit(keys, rids):
@@ -190,22 +201,49 @@ def shared_anchors(docs: DataFrame, length: int, anchor: int, hot: int, n_bucket
             out_keys.append(keys[keep])
             out_rids.append(rids[keep])
             n_docs = np.add.reduceat(np.exp2(np.maximum(known, 3).astype(float) - 3), starts)
-            most = np.argsort(-n_docs, kind="stable")[: max(1, MOST_HOT // n_buckets)]
-            hottest = keys[starts[most[n_docs[most] > hot]]]
-        keys, rids = np.concatenate(out_keys), np.concatenate(out_rids)
-        order = np.argsort(rids, kind="stable")
-        keys, rids = keys[order], rids[order]
-        at = np.flatnonzero(np.concatenate([[True], rids[1:] != rids[:-1]])) if len(rids) else np.zeros(0, int)
-        ends = [*at[1:], len(rids)]
-        return pa.table(
-            {
-                "rid": pa.array([*rids[at].tolist(), None], pa.int64()),
-                "keys": pa.array([*[planes(keys[i:j], 5) for i, j in zip(at, ends)], planes(hottest, 5)], pa.binary()),
-            }
-        )
+            part = n_docs.sum() * n_buckets / HOT_PARTS
+            hottest = keys[starts[n_docs > max(hot, part)]]
+        rows = [*_key_rows(np.concatenate(out_keys), np.concatenate(out_rids), n_buckets), (-1, planes(hottest, 5))]
+        return pa.table({"g": pa.array([g for g, _ in rows], pa.int32()), "packed": pa.array([p for _, p in rows], pa.binary())})
 
     packed = docs.mapInArrow(scan, "bucket int, keys binary, members binary, rids binary, kinds binary")
-    return packed.groupBy("bucket").applyInArrow(judge, "rid long, keys binary")
+    return packed.groupBy("bucket").applyInArrow(judge, "g int, packed binary")
+
+
+def _key_rows(keys: np.ndarray, rids: np.ndarray, n_groups: int) -> Iterator[tuple[int, bytes]]:
+    """(group, packed) rows of (key, document) entries: number of documents, documents, keys of each, keys."""
+    group = (mixed(rids.view(np.uint64)) % np.uint64(n_groups)).astype(np.int64)
+    order = np.lexsort((rids, group))
+    keys, rids, group = keys[order], rids[order], group[order]
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(group)]):
+        own = rids[i:j]
+        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        n = np.diff(np.append(head, len(own)))
+        yield int(group[i]), len(head).to_bytes(8, "little") + planes(own[head], 8) + planes(n, 4) + planes(keys[i:j], 5)
+
+
+def keys_by_document(anchors: DataFrame) -> DataFrame:
+    """Packed rows of ``shared_anchors`` to (u, keys): the shared keys of each document, in order."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        keys, rids = [], []
+        for raw in t.column("packed").to_pylist():
+            n = int.from_bytes(raw[:8], "little")
+            own, counts = unplanes(raw[8 : 8 + 8 * n], 8), unplanes(raw[8 + 8 * n : 8 + 12 * n], 4)
+            rids.append(np.repeat(own, counts))
+            keys.append(unplanes(raw[8 + 12 * n :], 5, np.uint64))
+        keys, rids = np.concatenate(keys), np.concatenate(rids)
+        order = np.lexsort((keys, rids))
+        keys, rids = keys[order], rids[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (rids[1:] != rids[:-1])
+        keys, rids = keys[fresh], rids[fresh]
+        at = np.flatnonzero(np.concatenate([[True], rids[1:] != rids[:-1]]))
+        packs = [planes(keys[i:j], 5) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(rids)])]
+        return pa.table({"u": pa.array(rids[at], pa.int64()), "keys": pa.array(packs, pa.binary())})
+
+    return anchors.where("g >= 0").groupBy("g").applyInArrow(merge, "u long, keys binary")
 
 
 def longest_previous_factor(windows: np.ndarray, owners: np.ndarray) -> np.ndarray:
@@ -245,28 +283,30 @@ def _mark_runs(first: int, covered: np.ndarray, length: int) -> Iterator[tuple[i
 
 
 def _mark_rows(marks: list[tuple[int, int, int, int]], n_groups: int) -> Iterator[tuple[int, bytes]]:
-    """(rid, ord, from, to) to one packed row for each group of documents."""
+    """(rid, th, from, to) to one packed row for each group of documents."""
     if marks:
         m = np.array(marks, np.int64)
-        order, parts = _grouped((mixed(m[:, 0].view(np.uint64)) % np.uint64(n_groups)).astype(np.int64))
+        m = m[np.lexsort((m[:, 2], m[:, 1], m[:, 0]))]
+        place = m[:, 0].view(np.uint64) * _KEY_ODD + m[:, 1].view(np.uint64)
+        order, parts = _grouped((mixed(place) % np.uint64(n_groups)).astype(np.int64))
         m = m[order]
         for g, i, j in parts:
             yield g, b"".join(planes(np.ascontiguousarray(m[i:j, c]), 8) for c in range(4))
 
 
 def merge_marks(sent: DataFrame) -> DataFrame:
-    """Packed marks (g, packed) to (rid, marks): the merged byte ranges of each document, by ord."""
+    """Packed marks (g, packed) to (rid, th, ranges): the merged byte ranges of each document."""
 
     def merge(t: pa.Table) -> pa.Table:
         cols = []
         for raw in t.column("packed").to_pylist():
             n = len(raw) // 4
             cols.append([unplanes(raw[c * n : (c + 1) * n], 8) for c in range(4)])
-        rid, o, start, end = (np.concatenate(x) for x in zip(*cols))
-        order = np.lexsort((end, start, o, rid))
-        rid, o, start, end = (x[order] for x in (rid, o, start, end))
+        rid, th, start, end = (np.concatenate(x) for x in zip(*cols))
+        order = np.lexsort((end, start, th, rid))
+        rid, th, start, end = (x[order] for x in (rid, th, start, end))
         head = np.ones(len(rid), bool)
-        head[1:] = (rid[1:] != rid[:-1]) | (o[1:] != o[:-1])
+        head[1:] = (rid[1:] != rid[:-1]) | (th[1:] != th[:-1])
         # one line of numbers for all documents, so that a running maximum stays in its document
         base = np.cumsum(head) << 33
         reach = np.maximum.accumulate(base + end)
@@ -275,23 +315,22 @@ def merge_marks(sent: DataFrame) -> DataFrame:
         at = np.flatnonzero(fresh)
         till = np.append(reach[at[1:] - 1], reach[-1:]) - base[at]
         ranges = np.stack([start[at], till], axis=1).astype(np.uint32)
-        rid, o, head = rid[at], o[at], np.ones(len(at), bool)
-        head[1:] = (rid[1:] != rid[:-1]) | (o[1:] != o[:-1])
-        cut = [*np.flatnonzero(head).tolist(), len(at)]
-        out: dict[int, list] = {}
-        for i, j in zip(cut, cut[1:]):
-            out.setdefault(int(rid[i]), []).append({"ord": int(o[i]), "ranges": ranges[i:j].tobytes()})
-        kind = pa.list_(pa.struct([("ord", pa.int32()), ("ranges", pa.binary())]))
-        return pa.table({"rid": pa.array(list(out), pa.int64()), "marks": pa.array(list(out.values()), kind)})
+        rid, th, head = rid[at], th[at], np.ones(len(at), bool)
+        head[1:] = (rid[1:] != rid[:-1]) | (th[1:] != th[:-1])
+        cut = np.flatnonzero(head)
+        packs = [ranges[i:j].tobytes() for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(at)])]
+        return pa.table(
+            {"rid": pa.array(rid[cut], pa.int64()), "th": pa.array(th[cut], pa.int64()), "ranges": pa.array(packs, pa.binary())}
+        )
 
-    return sent.groupBy("g").applyInArrow(merge, "rid long, marks array<struct<ord:int,ranges:binary>>")
+    return sent.groupBy("g").applyInArrow(merge, "rid long, th long, ranges binary")
 
 
 _SEGMENT_DDL = "bucket int, n int, packed binary"
 
 
 def send_segments(docs: DataFrame, length: int, anchor: int, n_buckets: int, hot_keys: bytes) -> DataFrame:
-    """docs (rid, ord, text, keys) to ``n`` packed segments by bucket.
+    """docs (rid, th, text, keys) to ``n`` packed segments by bucket.
 
     Rows with a negative bucket -1 - g hold marks of group g that are settled already.
     """
@@ -299,14 +338,14 @@ def send_segments(docs: DataFrame, length: int, anchor: int, n_buckets: int, hot
     def emit(seen: dict, marks: list) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
         for (key, raw), (rid, places) in seen.items():
-            by.setdefault((key >> 40) % n_buckets, []).extend((key, rid, o, start, raw) for o, start in places)
+            by.setdefault((key >> 40) % n_buckets, []).extend((key, rid, th, start, raw) for th, start in places)
         rows = []
         for b, found in by.items():
-            key, rid, o, start, raw = zip(*found)
+            key, rid, th, start, raw = zip(*found)
             parts = [
                 planes(np.array(key, np.uint64), 8),
                 planes(np.array(rid, np.int64), 8),
-                planes(np.array(o, np.int64), 8),
+                planes(np.array(th, np.int64), 8),
                 planes(np.array(start, np.int64), 8),
                 planes(np.array([len(x) for x in raw], np.int64), 8),
                 b"".join(raw),
@@ -325,35 +364,42 @@ def send_segments(docs: DataFrame, length: int, anchor: int, n_buckets: int, hot
         marks: list[tuple[int, int, int, int]] = []
         size = 0
 
-        def put(key, raw, rid, o, start):
+        def put(key, raw, rid, th, start):
             """Keeps the places of the smallest id; places of larger ids are settled."""
             nonlocal size
             old = seen.get((key, raw))
             if old is None:
-                seen[key, raw] = (rid, [(o, start)])
+                seen[key, raw] = (rid, [(th, start)])
                 size += len(raw) + 200
             elif old[0] < rid:
-                marks.append((rid, o, start, start + len(raw)))
+                marks.append((rid, th, start, start + len(raw)))
             elif old[0] == rid:
-                old[1].append((o, start))
+                old[1].append((th, start))
             else:
-                seen[key, raw] = (rid, [(o, start)])
+                seen[key, raw] = (rid, [(th, start)])
                 marks.extend((old[0], p, at, at + len(raw)) for p, at in old[1])
 
-        hot = set(np.frombuffer(hot_keys, np.uint64).tolist())
-        for b in batches:
-            rids, ords = b.column("rid").to_pylist(), b.column("ord").to_pylist()
-            for i, text in enumerate(b.column("text").to_pylist()):
-                text = text.encode()
-                wanted = np.concatenate([unplanes(x, 5, np.uint64) for x in b.column("keys")[i].as_py()])
-                for _, first, n, key in segments([text], length, anchor):
-                    for a, c, k in zip(*(x[np.isin(key & _KEY_MASK, wanted)].tolist() for x in (first, n, key))):
-                        if k & (2**40 - 1) in hot:
+        hot = np.sort(unplanes(hot_keys, 5, np.uint64))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
+                rids, ths = b.column("rid").to_pylist(), b.column("th").to_pylist()
+                texts = _to_bytes(b.column("text"))
+                keys = [unplanes(x, 5, np.uint64) for x in b.column("keys").to_pylist()]
+                # documents number the high bits, so that one sorted array holds the keys of all of them
+                wanted = np.concatenate([k | np.uint64(i << 40) for i, k in enumerate(keys)])
+                for owner, first, n, key in segments(texts, length, anchor):
+                    low = key & _KEY_MASK
+                    asked = _among(owner.astype(np.uint64) << _KEY_BITS | low, wanted)
+                    fine = _among(low[asked], hot).tolist()
+                    for i, a, c, k, split in zip(*(x[asked].tolist() for x in (owner, first, n, key)), fine):
+                        text = texts[i]
+                        if split:
                             for w in range(a, a + c):
                                 raw = text[w : w + length]
-                                put(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"), raw, rids[i], ords[i], w)
+                                put(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little"), raw, rids[i], ths[i], w)
                         else:
-                            put(k, text[a : a + c + length - 1], rids[i], ords[i], a)
+                            put(k, text[a : a + c + length - 1], rids[i], ths[i], a)
                 if size > 48_000_000 or len(marks) > 500_000:
                     yield from emit(seen, marks)
                     seen, size = {}, 0
@@ -378,16 +424,16 @@ def settle_segments(sent: DataFrame, length: int, n_buckets: int) -> DataFrame:
         packs = [(p, n) for n, p in zip(t.column("n").to_pylist(), t.column("packed").to_pylist())]
         if packs:
             cols = [unpack_segments(p, n) for p, n in packs]
-            key, rid, o, start, size = (np.concatenate(x) for x in list(zip(*cols))[:5])
+            key, rid, th, start, size = (np.concatenate(x) for x in list(zip(*cols))[:5])
             body = b"".join(c[5] for c in cols)
             del cols
             at = np.concatenate([[0], np.cumsum(size)[:-1]])
             order = np.argsort(key, kind="stable")
-            key, rid, o, start, size, at = (x[order] for x in (key, rid, o, start, size, at))
+            key, rid, th, start, size, at = (x[order] for x in (key, rid, th, start, size, at))
             heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(heads[1:], len(key))
             many = ends - heads > 1
-            rids, ords, starts, sizes, ats = (x.tolist() for x in (rid, o, start, size, at))
+            rids, ths, starts, sizes, ats = (x.tolist() for x in (rid, th, start, size, at))
             waiting: list[tuple] = []
             windows = 0
             for i, j in zip(heads[many].tolist(), ends[many].tolist()):
@@ -398,9 +444,9 @@ def settle_segments(sent: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 for s in range(i, j):
                     raw = body[ats[s] : ats[s] + sizes[s]]
                     if distinct[raw] < rids[s]:
-                        marks.append((rids[s], ords[s], starts[s], starts[s] + sizes[s]))
+                        marks.append((rids[s], ths[s], starts[s], starts[s] + sizes[s]))
                     elif len(distinct) > 1:
-                        waiting.append((rids[s], ords[s], starts[s], raw))
+                        waiting.append((rids[s], ths[s], starts[s], raw))
                         windows += sizes[s] - length + 1
                 if windows > 60_000:
                     _previous_factors(waiting, length, marks)
@@ -427,9 +473,9 @@ def _previous_factors(waiting: list[tuple], length: int, marks: list) -> None:
     rids = np.array([x[0] for x in waiting])
     covered = longest_previous_factor(rows, rids[owner]) >= length
     for s in np.unique(owner[covered]).tolist():
-        rid, o, start, _ = waiting[s]
+        rid, th, start, _ = waiting[s]
         for a, b in _mark_runs(start, covered[head[s] : head[s] + counts[s]], length):
-            marks.append((rid, o, a, b))
+            marks.append((rid, th, a, b))
 
 
 def dedup_substrings(
@@ -444,47 +490,44 @@ def dedup_substrings(
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: the remaining bytes)."""
     n_buckets = n_buckets or wide_partitions(documents.sparkSession)
-    docs = documents.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("rid"), text_or_empty(text_col).alias("text")
-    )
-    anchors = materialize(shared_anchors(docs, length, anchor, hot, n_buckets), "substring-anchors")
-    found_hot = anchors.where("rid IS NULL").collect()  # at most MOST_HOT keys, a few a bucket
-    hot_keys = np.concatenate([np.zeros(0, np.uint64), *[unplanes(r["keys"], 5, np.uint64) for r in found_hot]]).tobytes()
-    slim = docs.select("rid", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
+    rid = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), rid.alias("rid"), text_or_empty(text_col).alias("text"))
+    docs = docs.withColumn("th", F.xxhash64("text"))
+    # rows without an id go by their text, so that they don't gather
+    docs = docs.withColumn("u", F.when(F.col("rid") == _NO_ID, F.col("th")).otherwise(F.col("rid")))
+    anchors = materialize(shared_anchors(docs.select("u", "text"), length, anchor, hot, n_buckets), "substring-anchors")
+    # fewer than HOT_PARTS keys
+    hot_keys = planes(np.concatenate([np.zeros(0, np.uint64), *[unplanes(r["packed"], 5, np.uint64) for r in anchors.where("g = -1").collect()]]), 5)
+    slim = docs.select("rid", "th", "u", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n"))
     earliest = slim.where(F.col("n") >= length).groupBy("sha", "n").agg(F.min("rid").alias("first_rid"), F.count("*").alias("c"))
     copies = materialize(
-        slim.join(earliest.where("c > 1"), ["sha", "n"]).where("rid > first_rid").select("rid", "sha"), "substring-copies"
+        slim.join(earliest.where("c > 1"), ["sha", "n"]).where("rid > first_rid").select("rid", "th", "u").distinct(), "substring-copies"
     )
-    copies = copies.groupBy("rid").agg(F.collect_set("sha").alias("copies"))
-    numbered = docs.withColumn("ord", F.row_number().over(Window.partitionBy("rid").orderBy(F.xxhash64("text"))))
-    wanted = anchors.where("rid IS NOT NULL").groupBy("rid").agg(F.collect_list("keys").alias("keys"))
-    wanted = wanted.join(copies, "rid", "left")
-    is_copy = F.coalesce(F.array_contains("copies", F.sha2("text", 256)), F.lit(False))
-    candidates = numbered.join(wanted, "rid").where(F.col("copies").isNull() | ~is_copy)
+    wanted = keys_by_document(anchors).join(copies.groupBy("u").agg(F.collect_list("th").alias("copies")), "u", "left")
+    is_copy = F.coalesce(F.array_contains("copies", F.col("th")), F.lit(False))
+    candidates = docs.join(wanted, "u").where(~is_copy)
     sent = materialize(
-        send_segments(candidates.select("rid", "ord", "text", "keys"), length, anchor, n_buckets, hot_keys), "substring-segments"
+        send_segments(candidates.select("rid", "th", "text", "keys"), length, anchor, n_buckets, hot_keys), "substring-segments"
     )
-    marks = settle_segments(sent, length, n_buckets)
-    judged = numbered.join(marks, "rid", "left").join(copies, "rid", "left")
-    judged = judged.select("rid", "ord", "text", "marks", is_copy.alias("is_copy"))
+    marks = settle_segments(sent, length, n_buckets).unionByName(copies.select("rid", "th", F.lit(None).cast("binary").alias("ranges")))
+    marks = marks.withColumn("marked", F.lit(True))
+    judged = docs.join(marks, ["rid", "th"], "left").select("doc_id", "text", "marked", "ranges")
 
     def cut(batches):
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
         for b in batches:
             out = []
-            cols = (b.column(c).to_pylist() for c in ("rid", "ord", "text", "marks", "is_copy"))
-            for rid, o, text, found, copy in zip(*cols):
+            for doc_id, text, marked, ranges in zip(*(c.to_pylist() for c in b.columns)):
                 raw = text.encode()
-                parts = [m["ranges"] for m in found or () if m["ord"] == o]
-                if copy:
+                if not marked:
+                    kept, n_spans = raw, 0
+                elif ranges is None:  # a copy of a whole text
                     kept, n_spans = b"", 1
-                elif parts:
-                    edges = [0, *np.frombuffer(parts[0], np.uint32).tolist(), len(raw)]
+                else:
+                    edges = [0, *np.frombuffer(ranges, np.uint32).tolist(), len(raw)]
                     kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
                     n_spans = len(edges) // 2 - 1
-                else:
-                    kept, n_spans = raw, 0
-                row = (None if rid >= _NO_ID else rid, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
+                row = (doc_id, len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
                 out.append(row + (kept,) * with_text)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             cols = list(zip(*out)) if out else [[]] * len(names)
