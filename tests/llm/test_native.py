@@ -126,3 +126,63 @@ def test_value_in_many_texts_of_one_source_is_an_example(spark):
     assert all((got[i]["spans"].count("opaque"), got[i]["n_live"], got[i]["n_example"]) == (0, 0, 1) for i in range(11))
     assert all((got[i]["spans"].count("opaque"), got[i]["n_live"], got[i]["n_example"]) == (1, 1, 0) for i in range(20, 30))
     assert got[0]["most_owners"] == 1 and got[0]["most_repos"] == 11
+
+
+def test_repeated_rows_count_their_secrets_once(spark):
+    own = "Xyz789" * 5
+    row = (1, f"token={own} and again token={own} or secret=abcdef123", "s")
+    got = rows(secrets.digest(secrets.find_secrets(docs(spark, [row] * 3))))
+    assert [(r["n_assign"], r["n_live"], r["n_example"]) for r in got] == [(3, 3, 0)] * 3
+
+
+def test_text_of_very_many_matches(spark):
+    text = " ".join(f"token=abcdef{i}" for i in range(5000))
+    got = rows(secrets.digest(secrets.find_secrets(docs(spark, [(1, text, "s")]))))[0]
+    assert got["n_assign"] == 5000
+    assert got["base_sha256"] == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+
+
+def test_redact_takes_out_live_opaque_values(spark):
+    own = "Xyz789" * 5
+    df = docs(spark, [(1, f"see {own} and token={own}!", "s"), (1, "plain", "s"), (None, None, None), (2, f"{own}", "s")])
+    df = df.withColumnRenamed("lang", "spans")
+    got = Counter((r["doc_id"], r["text"]) for r in rows(secrets.redact(df)))
+    assert got == Counter([(1, "see [SECRET] and token=[SECRET]!"), (1, "plain"), (None, None), (2, "[SECRET]")])
+
+
+def test_exact_dedup_compares_bytes_and_reads_the_index(spark):
+    many = [(i, f"text {i % 40}", "s") for i in range(400)] + [(2**62 + i, "text 1", "s") for i in range(3)]
+    df = docs(spark, many)
+    index, slots, bits = exact_dedup.build_index(exact_dedup.hashed(df, "doc_id", "text"), 4, 1)
+    entries = rows(index)
+    assert len(entries) == 40 and sum(r["n"] for r in entries) == len(many)
+    buckets = Counter((r["depth"], r["bucket"]) for r in entries)
+    assert max(buckets.values()) <= 4 and len({r["slot"] for r in rows(slots)}) <= 2**bits
+    got = {r["doc_id"]: r for r in rows(exact_dedup.exact_dedup(df, capacity=4, base_depth=1))}
+    assert got[1]["keep_id"] == 2**62 + 2 and got[1]["group_size"] == 13 and got[2]["keep_id"] == 362
+
+
+def test_water_filling_against_a_loop(spark):
+    data = [(i, "w " * (1 + i % 7), f"s{i % 9 if i % 3 else 0}") for i in range(300)]
+    got = rows(mixing.systematic_mix(docs(spark, data)))
+    of = {i: s for i, _, s in data}
+    size = Counter()
+    for i, t, s in data:
+        size[s] += len(t.split())
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(size))}
+    target, free, left = {}, set(size), float(sum(size.values()))
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * size[s]}
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+        free -= over
+    assert all(abs(r["target"] - target[of[r["doc_id"]]]) < 1e-6 for r in got)
+    taken = Counter()
+    for r in got:
+        taken[of[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 14 for s in size)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a session in one process gets a folder of its own; a cluster has to name one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/tidemark-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -42,3 +48,16 @@ def text_or_empty(col: str = "text"):
 def wide_partitions(spark: SparkSession, floor: int = 12) -> int:
     """Number of partitions for a keyed exchange: the session's own setting."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_order(df: DataFrame, prefix: str = "") -> Column:
+    """A hash of all columns (but maps), so that a choice among rows is the same in every run."""
+    return F.xxhash64(*[F.col(f"{prefix}`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty
+from tidemark.llm.common import free_name, materialize, row_order, text_or_empty
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
@@ -129,21 +129,18 @@ def mix_documents(
 ) -> DataFrame:
     """The mix itself: the documents with all their columns, each as often as it is taken."""
     n = _placed(documents, weights, cap, seed, id_col, text_col, source_col)
-    here = F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"))
-    times = (
-        n.groupBy("doc_id", "th")
-        .agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
-        .select(F.struct("doc_id", "th").alias("__at"), "all", "rows")
-    )
-    joined = documents.withColumn("__at", here).join(times, "__at")
+    times = n.groupBy("doc_id", "th").agg(F.sum("copies").alias("all"), F.count("*").alias("rows")).alias("t")
+    here = F.col(f"d.{id_col}").eqNullSafe(F.col("t.doc_id")) & (F.xxhash64(text_or_empty(f"d.{text_col}")) == F.col("t.th"))
+    joined = documents.alias("d").join(times, here)
     # rows that repeat id and text share their copies as evenly as they divide
-    row = F.row_number().over(Window.partitionBy("__at").orderBy(F.lit(0)))
-    own = F.floor(F.col("all") * row / F.col("rows")) - F.floor(F.col("all") * (row - 1) / F.col("rows"))
+    row = F.row_number().over(Window.partitionBy("t.doc_id", "t.th").orderBy(row_order(documents, "d.")))
+    own = F.floor(F.col("t.all") * row / F.col("t.rows")) - F.floor(F.col("t.all") * (row - 1) / F.col("t.rows"))
+    name = free_name(documents, "times")
     return (
-        joined.withColumn("__n", own)
-        .where("__n > 0")
-        .withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
-        .select(*documents.columns)
+        joined.select("d.*", own.alias(name))
+        .where(F.col(name) > 0)
+        .withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name))))
+        .drop(name)
     )
 
 

@@ -27,12 +27,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Za-z0-9+/_-]{20})[A-Za-z0-9+/_-]++"
 KINDS = ("assign", "access", "hex", "opaque")
+CHUNK = 64
 
 
 def spans(clean: Column, pattern: str, kind: str) -> Column:
     """array<struct<start,kind_no,stop,kind,value>> of the matches in ``clean``; code points, end exclusive."""
     parts = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit("\u0001$0\u0002")), "\u0001")
     one = "struct<start:int,kind_no:int,stop:int,kind:string,value:string>"
+    none = F.array().cast(f"array<{one}>")
 
     def step(acc, part):
         match = F.substring_index(part, "\u0002", 1)
@@ -53,11 +55,22 @@ def spans(clean: Column, pattern: str, kind: str) -> Column:
         found = F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct((begin + F.length(part) - 1).cast("int").alias("at"), found.cast(f"array<{one}>").alias("found"))
 
-    zero = F.struct(
-        F.length(F.element_at(parts, 1)).alias("at"), F.array().cast(f"array<{one}>").alias("found")
-    )
-    found = F.aggregate(F.slice(parts, 2, F.size(parts)), zero, step)["found"]
-    return F.when(clean.rlike(pattern), found).otherwise(F.array().cast(f"array<{one}>"))
+    def chunk_step(acc, chunk):
+        return F.aggregate(
+            chunk,
+            F.struct(acc["at"].alias("at"), none.alias("found")),
+            step,
+            lambda done: F.struct(
+                done["at"].alias("at"), F.concat(acc["found"], F.array(done["found"])).cast(f"array<array<{one}>>").alias("found")
+            ),
+        )
+
+    # appending to an array copies it: short chunks keep a text of very many matches from being quadratic
+    last = F.greatest(F.ceil((F.size(parts) - 1) / CHUNK) - 1, F.lit(0)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(parts, c * CHUNK + 2, CHUNK))
+    zero = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast(f"array<array<{one}>>").alias("found"))
+    found = F.flatten(F.aggregate(chunks, zero, chunk_step)["found"])
+    return F.when(clean.rlike(pattern), found).otherwise(none)
 
 
 def joined(found: Column) -> Column:
@@ -108,14 +121,16 @@ def find_secrets(
     is_base = F.col("span.kind") != "opaque"
     per_doc = judged.groupBy("doc_id", "owner", "repo").agg(
         F.collect_set(F.when(~is_base & F.col("live"), F.col("span"))).alias("live_opaque"),
-        F.count_if(is_base & F.col("live")).alias("n_live"),
-        F.count_if(is_base & ~F.col("live")).alias("n_example"),
+        # sets, as rows that repeat an id, owner and text meet here
+        F.size(F.collect_set(F.when(is_base & F.col("live"), F.col("span")))).alias("n_live"),
+        F.size(F.collect_set(F.when(is_base & ~F.col("live"), F.col("span")))).alias("n_example"),
         F.max("n_owners").alias("max_owners"),
         F.max("n_repos").alias("max_repos"),
     )
     key = [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "owner", "repo")]
     return scanned.alias("s").join(per_doc.alias("p"), key, "left").select(
         "s.doc_id",
+        "s.repo",
         "s.base",
         F.coalesce("p.live_opaque", F.filter("s.base", lambda _: F.lit(False))).alias("live_opaque"),
         F.coalesce("p.n_live", F.lit(0)).cast("long").alias("n_live"),
@@ -125,12 +140,28 @@ def find_secrets(
     )
 
 
-def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The documents with base matches of a sufficient length replaced in their text."""
-    out = F.regexp_replace(F.col(text_col), F.lit(ASSIGN.replace("=-]+)", "=-]{6,})")), F.lit("$1=" + mask))
-    for pattern in (ACCESS, HEX):
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(mask))
-    return documents.withColumn(text_col, out)
+def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", **options) -> DataFrame:
+    """The documents with the values of base spans and live opaque runs replaced in their text; null texts stay null."""
+    found = find_secrets(documents, id_col, text_col, **options)
+    # a value ends its span; the word that it is assigned to stays
+    values = F.transform(
+        F.concat("base", "live_opaque"), lambda s: F.struct((s["stop"] - F.length(s["value"])).alias("start"), s["stop"].alias("stop"))
+    )
+    found = found.select("doc_id", "repo", F.array_sort(values).alias("spans")).where(F.size("spans") > 0)
+    found = found.dropDuplicates(["doc_id", "repo"])
+    key = F.col("f.doc_id").eqNullSafe(F.col(f"d.{id_col}")) & (F.col("f.repo") == F.xxhash64(text_or_empty(f"d.{text_col}")))
+    text = F.col(f"d.{text_col}")
+
+    def step(acc, span):
+        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(mask))
+        out = F.when(span["start"] >= acc["at"], piece).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], span["stop"]).alias("at"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    masked = F.aggregate("f.spans", zero, step, lambda r: F.concat(r["out"], F.substring(text, r["at"] + 1, F.length(text))))
+    new = F.when(F.col("f.spans").isNull(), text).otherwise(masked)
+    joined_rows = documents.alias("d").join(found.alias("f"), key, "left")
+    return joined_rows.select(*[new.alias(c) if c == text_col else F.col(f"d.{c}") for c in documents.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
