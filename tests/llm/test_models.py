@@ -119,3 +119,26 @@ def test_packing_added_tokens_as_by_the_unmodified_library(spark, tmp_path):
     rows = registry.QUERIES["op5_packing"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["doc_tokens"] for r in rows}[1] == 4
     check_pieces(rows, texts, lambda t: plain.encode(t, add_special_tokens=False).ids)
+
+
+def test_packing_repeated_rows_and_windows_from_the_subset_sums(spark):
+    path, pattern = registry.byte_bpe()
+    text = "some words that repeat " * 20
+    df = docs(spark, [(7, text, None)] * 30).coalesce(1)
+    rows = packing.pack_documents(df, path, pattern).collect()
+    total = rows[0]["doc_tokens"]
+    assert sum(r["length"] for r in rows) == 30 * total
+    by_seq = defaultdict(int)
+    for r in rows:
+        by_seq[r["sequence_id"]] += r["length"]
+    assert sum(n != 1024 for n in by_seq.values()) == bin(30 * total % 1024).count("1")
+    assert all(n & (n - 1) == 0 for n in by_seq.values())
+
+
+def test_packing_keeps_best_windows_and_cuts_one_piece_each():
+    lengths = [600] * 40 + [300] * 40 + [130] * 40
+    data = [(i, "x" * (n - 1)) for i, n in enumerate(lengths)]
+    out = list(packing.pack_partition(iter(data), lambda t: [1] * len(t), 0, 1024, 64, 0))
+    whole = sum(p[2] == p[4] for p in out)
+    assert len(out) - len(lengths) <= len({p[5] for p in out})  # one cut a window at most
+    assert whole >= len(lengths) / 2

@@ -5,8 +5,9 @@ sequences of their own; what is left of a document (shorter than a window) waits
 pool.  For each sequence the longest waiting piece is taken, and a subset-sum dynamic
 program over the multiset of waiting lengths (one bit for each reachable total) finds
 the pieces that come closest to the rest of the window; the counts are found by going
-back through the recorded bitsets.  What still leaves slack at the end of a partition is
-laid end to end and cut: full windows, then powers of two, which need no padding.
+back through the recorded bitsets.  Where the closest total leaves slack, one waiting piece
+is cut to close the window and its rest waits on.  What is left at the end of a partition
+is less than a window; it is cut into powers of two, which need no padding.
 
 Each task packs its own partition, so nothing is shuffled, and a lost task is repeated
 from its input with the same result.
@@ -116,15 +117,17 @@ class Pool:
         self.capacity = capacity
         self.by_length: dict[int, deque] = {}
         self.counts: Counter = Counter()
-        self.size = 0
+        self.size = self.total = 0
 
     def add(self, piece, length: int) -> None:
         self.by_length.setdefault(length, deque()).append(piece)
         self.counts[length] += 1
         self.size += 1
+        self.total += length
 
     def take(self, length: int):
         self.size -= 1
+        self.total -= length
         self.counts[length] -= 1
         if not self.counts[length]:
             del self.counts[length]
@@ -143,7 +146,6 @@ def pack_partition(documents, encode, end_id: int, capacity: int, window: int, f
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of one partition."""
     sequence = first_sequence
     pool = Pool(capacity)
-    slack: list = []
 
     def piece(doc, start, ids, total, offset):
         raw = ids.tobytes()
@@ -155,6 +157,17 @@ def pack_partition(documents, encode, end_id: int, capacity: int, window: int, f
             yield piece(doc, start, ids, total, offset)
             offset += len(ids)
 
+    def closed():
+        """Pieces of the next sequence; slack only if nothing waits that could close it."""
+        pieces, left = pool.fill()
+        if left and pool.size:
+            longest = max(pool.counts)  # longer than the slack, or it would have been chosen
+            doc, start, ids, total = pool.take(longest)
+            pieces.append((doc, start, ids[:left], total))
+            pool.add((doc, start + left, ids[left:], total), longest - left)
+            left = 0
+        return pieces, left
+
     for doc, text in documents:
         ids = np.array([*encode(text), end_id], dtype="<u4")
         total = len(ids)
@@ -164,28 +177,25 @@ def pack_partition(documents, encode, end_id: int, capacity: int, window: int, f
         start = total - total % capacity
         if start < total:
             pool.add((doc, start, ids[start:], total), total - start)
-        while pool.size >= window:
-            pieces, left = pool.fill()
-            if left:
-                slack += pieces
-            else:
-                yield from lay(pieces)
-                sequence += 1
+        while pool.size >= window and pool.total >= 2 * capacity:  # so much that the next sequence can be closed
+            yield from lay(closed()[0])
+            sequence += 1
     while pool.size:
-        pieces, left = pool.fill()
+        pieces, left = closed()
         if left:
-            slack += pieces
-        else:
-            yield from lay(pieces)
-            sequence += 1
-    remaining = sum(len(p[2]) for p in slack)
+            break
+        yield from lay(pieces)
+        sequence += 1
+    else:
+        return
+    remaining = capacity - left
     target = offset = 0
-    for doc, start, ids, total in slack:
+    for doc, start, ids, total in pieces:
         at = 0
         while at < len(ids):
             if offset == target:
                 sequence += bool(target)
-                target = capacity if remaining >= capacity else 1 << (remaining.bit_length() - 1)
+                target = 1 << (remaining.bit_length() - 1)
                 remaining -= target
                 offset = 0
             n = min(target - offset, len(ids) - at)
