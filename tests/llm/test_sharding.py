@@ -70,3 +70,30 @@ def test_clashing_columns(spark):
     store.compact()
     back = store.read(columns=["doc_id", "run", "path"])
     assert back.count() == len(ODD) and {r["run"] for r in back.collect()} == {1}
+
+
+def test_two_writers_that_interleave(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    sharding.ShardStore(spark, root).append(docs(spark, ODD[:2]))
+    slow, fast = sharding.ShardStore(spark, root), sharding.ShardStore(spark, root)
+    commit, taken = slow._commit, []
+
+    def late(files, version):
+        taken.append(fast.append(docs(spark, ODD[2:4])))  # between the slow writer's data and its commit
+        return commit(files, version)
+
+    slow._commit = late
+    with pytest.raises(RuntimeError):
+        slow.append(docs(spark, ODD[4:6]))
+    assert taken == [2] and fast.version() == 2
+    assert content(fast.read()) == content(docs(spark, ODD[:4]))
+    assert sharding.ShardStore(spark, root).append(docs(spark, ODD[4:6])) == 3
+    assert content(fast.read()) == content(docs(spark, ODD[:6]))
+
+
+def test_columns_named_like_the_store_s_own(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+    df = docs(spark, ODD).selectExpr("*", "1 as __run", "2 as shard", "3 as tier", "4 as cell")
+    store = sharding.shard_documents(df.repartition(3), root, rows_per_file=2)
+    assert {(r[0], r[1]) for r in store.read(columns=["doc_id", "__run"]).select("__run", "doc_id").collect()} == {(1, i) for i, _, _ in ODD}
+    assert sharding.assignment(store).count() == len(ODD)

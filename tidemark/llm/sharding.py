@@ -17,9 +17,13 @@ from __future__ import annotations
 import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_name, materialize, wide_partitions
+
+CELLS = 256
 MANIFEST = "path string, shard long, first_id long, n_docs long, n_bytes long, tier int, added_in int"
 
 
@@ -51,14 +55,25 @@ class ShardStore:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:08d}")
 
     def _commit(self, files: DataFrame, version: int) -> int:
+        """Makes the manifest visible by a rename that fails if the version is there already."""
         staged = f"{self.root}/staged-{uuid.uuid4().hex}"
-        files.select("path", "shard", "first_id", "n_docs", "n_bytes", "tier", "added_in").coalesce(1).write.parquet(staged)
+        columns = ["path", "shard", "first_id", "n_docs", "n_bytes", "tier", "added_in"]
+        files.select(*columns).repartition("path").write.parquet(staged)  # adaptive execution merges small partitions
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop, self.spark.sparkContext._gateway
         fs, source = self._fs(staged)
         _, folder = self._fs(f"{self.root}/manifest")
         _, target = self._fs(f"{self.root}/manifest/v{version:08d}")
         fs.mkdirs(folder)
-        if fs.exists(target) or not fs.rename(source, target):
-            raise RuntimeError(f"manifest version {version} was committed by someone else")
+        mode = getattr(hadoop.fs, "Options$Rename")
+        modes = gateway.new_array(mode, 1)
+        modes[0] = mode.NONE
+        context = hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(source), fs.makeQualified(target), modes)
+        except Py4JJavaError as error:
+            if not fs.exists(target):
+                raise
+            raise RuntimeError(f"manifest version {version} was committed by someone else") from error
         return version
 
     # -- data -------------------------------------------------------------------------------------
@@ -68,7 +83,7 @@ class ShardStore:
         fs, p = self._fs(folder)
         if not fs.exists(p):
             return self.spark.createDataFrame([], MANIFEST).drop("shard")
-        written = self.spark.read.parquet(folder)
+        written = self._rows([folder])
         if self.id_col not in written.columns:
             raise ValueError(f"no column {self.id_col}")
         return (
@@ -90,9 +105,14 @@ class ShardStore:
         """The files of the version before, less those in ``without``, and the new ones with numbers after theirs."""
         old = self.manifest(version - 1)
         last = old.agg(F.coalesce(F.max("shard"), F.lit(-1)).alias("last"))
-        order = Window.orderBy(F.col("first_id").asc_nulls_last(), "path")
-        new = new.withColumn("shard", F.row_number().over(order).cast("long")).crossJoin(last)  # one row
-        new = new.withColumn("shard", F.col("shard") + F.col("last")).drop("last")
+        # numbers within cells of the path's hash, after those of the cells before
+        new = new.withColumn("cell", F.pmod(F.xxhash64("path"), F.lit(CELLS)))
+        cells = new.groupBy("cell").agg(F.count("*").alias("n")).crossJoin(last)  # one row; CELLS rows at most
+        before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+        cells = cells.select("cell", (F.col("last") + F.coalesce(before, F.lit(0))).alias("before"))
+        row = F.row_number().over(Window.partitionBy("cell").orderBy("path"))
+        new = new.withColumn("row", row).join(cells, "cell")
+        new = new.withColumn("shard", (F.col("before") + F.col("row")).cast("long")).drop("cell", "row", "before")
         kept = old if without is None else old.join(without, "path", "left_anti")
         return kept.unionByName(new)
 
@@ -112,8 +132,6 @@ class ShardStore:
 
         One call merges ``max_files`` files at most (the plan is broadcast); call it until the version stays.
         """
-        from tidemark.llm.common import materialize, wide_partitions
-
         current = self.version()
         plan = materialize(self.plan(target_bytes, min_run, max_files), "compaction-plan")
         paths = [r["path"] for r in plan.select("path").collect()]  # at most max_files
@@ -121,13 +139,13 @@ class ShardStore:
             return current
         version = current + 1
         folder = f"{self.root}/data/merged-{uuid.uuid4().hex}"
-        rows = self.spark.read.parquet(*paths)
+        rows = self._rows(paths)
         columns = rows.columns
-        run = "__run"
-        marked = rows.select(*[F.col(c) for c in columns], F.col("_metadata.file_path").alias("__path"))
-        marked = marked.join(F.broadcast(plan.withColumnsRenamed({"path": "__path", "run": run})), "__path")
+        run, path = free_name(rows, "run"), free_name(rows, "path")
+        marked = rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias(path))
+        marked = marked.join(F.broadcast(plan.withColumnsRenamed({"path": path, "run": run})), path)
         marked = marked.repartition(wide_partitions(self.spark), run).sortWithinPartitions(run, self.id_col)
-        marked.select(*columns, run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
+        marked.select(*[f"`{c}`" for c in columns], run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
         files = self._files(folder, fanout, version)
         return self._commit(self._numbered(version, files, plan.select("path")), version)
 
@@ -137,13 +155,17 @@ class ShardStore:
         paths = [r["path"] for r in files.select("path").collect()]  # Spark's file index holds the same list
         if not paths:
             raise ValueError("the store has no files")
-        rows = self.spark.read.parquet(*paths)
-        columns = columns or [c for c in rows.columns if c != "__run"]
+        rows = self._rows(paths)
+        columns, path = columns or rows.columns, free_name(rows, "path")
         of_file = files.select(
-            F.col("path").alias("__path"), "shard", F.col("n_docs").alias("shard_docs"), F.col("n_bytes").alias("shard_bytes"), "tier", "added_in"
+            F.col("path").alias(path), "shard", F.col("n_docs").alias("shard_docs"), F.col("n_bytes").alias("shard_bytes"), "tier", "added_in"
         )
-        rows = rows.select(*columns, F.col("_metadata.file_path").alias("__path"))
-        return rows.join(of_file, "__path").drop("__path")
+        rows = rows.select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias(path))
+        return rows.join(of_file, path).drop(path)
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        """The files' own columns; the folders that they lie in add none."""
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*paths)
 
 
 def shard_documents(
@@ -159,7 +181,7 @@ def shard_documents(
 
 def assignment(store: ShardStore) -> DataFrame:
     """Per stored document: doc_id, n_bytes and sha of its text as stored, and its shard in the latest version."""
-    rows = store.read()
+    rows = store.read(columns=["doc_id", "text"])
     return rows.select(
         "doc_id",
         F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
