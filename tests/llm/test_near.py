@@ -186,3 +186,24 @@ def test_line_dedup_odd_rows(spark):
     text = {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"] is not None}
     assert text[3] == "same text here" and text[4] == "" and text[1] is None
     assert line_dedup.line_report(df.limit(0)).count() == 0
+
+
+def test_ids_of_all_sizes(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "completely other words in this one here and more of them again"
+    data = [(2**62 + 5, a, "s"), (2**63 - 1, a, "s"), (None, a, "s"), (2**62 + 7, b, "s"), (-(2**63), b, "s"), (None, "alone", "s")]
+    got = Counter((r["doc_id"], r["class_id"], r["kept"], r["class_size"]) for r in near_dedup.near_dedup(docs(spark, data)).collect())
+    want = [(2**62 + 5, 2**62 + 5, True, 3), (2**63 - 1, 2**62 + 5, False, 3), (None, 2**62 + 5, False, 3)]
+    want += [(2**62 + 7, -(2**63), False, 2), (-(2**63), -(2**63), True, 2), (None, None, True, 1)]
+    assert got == Counter(want)
+    kept = near_dedup.keep_representatives(docs(spark, data).selectExpr("*", "1 as n", "2 as id", "3 as __at")).collect()
+    assert Counter(r["doc_id"] for r in kept) == Counter([2**62 + 5, -(2**63), None])
+    assert kept[0]["n"] == 1 and kept[0]["__at"] == 3
+
+
+def test_lines_with_ids_of_all_sizes(spark):
+    line = "a line that is long enough to be compared"
+    df = docs(spark, [(2**62 + 5, line, "s"), (2**62 + 6, line, "s"), (None, line, "s"), (-5, "other\n" + line, "s")])
+    df = df.selectExpr("*", "1 as rid", "2 as removed", "3 as __at", "4 as __text")
+    got = line_dedup.dedup_lines(df).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {2**62 + 5: "", 2**62 + 6: "", None: "", -5: "other\n" + line}
+    assert all((r["rid"], r["removed"], r["__at"], r["__text"]) == (1, 2, 3, 4) for r in got)

@@ -12,7 +12,7 @@ Lines under ``min_chars`` characters are compared for equality only, from ``exac
 characters on.
 
 Cases: a null text has no lines; blank lines and lines under ``exact_chars`` characters are
-always kept; a null id comes after all ids; rows that repeat id and text share their
+always kept; a null id counts as the largest 64-bit number; rows that repeat id and text share their
 decisions; an empty table gives an empty result; other columns are kept or ignored,
 whatever their names.  Lines are told apart by 64-bit hashes.
 """
@@ -30,7 +30,7 @@ from tidemark.llm.common import materialize, text_or_empty
 from tidemark.llm.links import Matcher, candidate_runs, linked_classes
 from tidemark.llm.near_dedup import _MIX, mixed, rolling
 
-_NO_ID = 2**62
+_NO_ID = 2**63 - 1
 
 
 class LineHashes:
@@ -184,14 +184,12 @@ def removed_lines(
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with later lines of every component taken out of their text; null texts stay null."""
     gone = removed_lines(documents, id_col=id_col, text_col=text_col, **options)
-    gone = gone.select(F.struct("rid", "th").alias("__at"), F.col("removed").alias("__removed"))
-    at = F.struct(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("rid"), F.xxhash64(text_or_empty(text_col)).alias("th")
-    )
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains(F.col("__removed"), i))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    joined = documents.withColumn("__at", at).join(gone, "__at", "left").withColumn("__text", text)
-    return joined.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in documents.columns])
+    rid, th, out = F.coalesce(F.col(f"d.{id_col}").cast("long"), F.lit(_NO_ID)), F.xxhash64(text_or_empty(f"d.{text_col}")), F.col(f"d.{text_col}")
+    gone = gone.select("rid", "th", "removed").alias("g")
+    joined = documents.alias("d").join(gone, (rid == F.col("g.rid")) & (th == F.col("g.th")), "left")
+    kept = F.filter(F.split(out, "\n"), lambda _, i: ~F.array_contains(F.col("g.removed"), i))
+    text = F.when(F.col("g.removed").isNull(), out).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in documents.columns])
 
 
 def line_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

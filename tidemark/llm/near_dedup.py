@@ -13,8 +13,9 @@ allows are outside the band.  Near-duplicates are linked into classes; equal tex
 
 Cases: a null text counts as empty, and empty texts are copies of each other; texts of
 fewer than k words are one shingle; a row without an id is kept only if no row of its
-class has one (``class_id`` is null then); rows that repeat an id and a text share a
-decision; an empty table gives an empty result; other columns are ignored.  Texts are
+class has one (``class_id`` is null then), and any 64-bit number is an id; rows that repeat
+an id and a text share a decision; an empty table gives an empty result; other columns are
+ignored.  Texts are
 told apart by 64-bit hashes.
 """
 
@@ -25,14 +26,12 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty
+from tidemark.llm.common import free_name, materialize, row_order, text_or_empty
 from tidemark.llm.links import Matcher, candidate_runs, linked_classes
 
-#: stand-ins for null ids come after all ids
-_NO_ID = 2**62
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -218,36 +217,29 @@ class AlignmentMatcher(Matcher):
         return aligned_similarity(self.shingles(x), self.shingles(y), self.threshold) >= self.threshold
 
 
-def _place(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """The hash of a row's text, and its id or a stand-in."""
-    h = F.xxhash64(text_or_empty(text_col))
-    return h, F.coalesce(F.col(id_col).cast("long"), _NO_ID + h.bitwiseAND(F.lit(2**62 - 1)))
-
-
 def _classified(documents, k, threshold, take, sketches, id_col, text_col) -> DataFrame:
-    """(doc_id, rid, id, class_rid, class_size) of each row."""
-    h, rid = _place(id_col, text_col)
-    docs = documents.select(
-        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), h.alias("id"), rid.alias("rid")
-    )
-    slim = docs.select("doc_id", "rid", "id")
+    """(doc_id, id, class_id, kept, class_size) of each row; id is the hash of its text."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    docs = docs.withColumn("id", F.xxhash64("text"))
+    slim = docs.select("doc_id", "id")
     runs = materialize(
         candidate_runs(docs.select("id", "text"), order_minhash_signer(k, take, sketches)), "near-runs"
     )
-    items = slim.groupBy("id").agg(F.min("rid").alias("rep"), F.count("*").alias("n"))
-    wanted = runs.select("id").distinct().join(items.drop("n"), "id")
+    items = slim.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    wanted = runs.select("id").distinct().join(items.drop("n"), "id").select(F.col("id").alias("item"), "rep")
     payload = materialize(
-        docs.join(wanted.withColumnRenamed("rep", "rid"), ["rid", "id"])
-        .groupBy("id", "rid")
-        .agg(F.first("text").alias("text"))
-        .select("id", "text"),
+        docs.join(wanted, (F.col("id") == F.col("item")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        .groupBy("id")
+        .agg(F.first("text").alias("text")),
         "near-texts",
     )
     classes = linked_classes(runs, payload, lambda: AlignmentMatcher(k, threshold, take, sketches))
     named = items.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    of_class = named.groupBy("component").agg(F.min("rep").alias("class_rid"), F.sum("n").alias("class_size"))
-    by_text = named.join(of_class, "component").select("id", "class_rid", "class_size")
-    return slim.join(by_text, "id")
+    first = F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", F.col("id").alias("item")))
+    of_class = named.groupBy("component").agg(first.alias("first"), F.sum("n").alias("class_size"))
+    by_text = named.join(of_class, "component").select("id", F.col("first.rep").alias("class_id"), "first.item", "class_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("item"))
+    return slim.join(by_text, "id").withColumn("kept", kept).drop("item")
 
 
 def near_dedup(
@@ -264,12 +256,8 @@ def near_dedup(
     At a similarity of 0.8 a pair shares a given sketch with probability of about 0.8 ** take,
     and none of them with about 3e-6 (take 4, 24 sketches).
     """
-    return _classified(documents, k, threshold, take, sketches, id_col, text_col).select(
-        "doc_id",
-        F.when(F.col("class_rid") < _NO_ID, F.col("class_rid")).alias("class_id"),
-        (F.col("rid") == F.col("class_rid")).alias("kept"),
-        "class_size",
-    )
+    found = _classified(documents, k, threshold, take, sketches, id_col, text_col)
+    return found.select("doc_id", "class_id", "kept", "class_size")
 
 
 def keep_representatives(
@@ -283,13 +271,9 @@ def keep_representatives(
 ) -> DataFrame:
     """One document of each class, with its own columns; of rows that repeat id and text one stays."""
     found = _classified(documents, k, threshold, take, sketches, id_col, text_col)
-    reps = found.where("rid = class_rid").select(F.struct("rid", "id").alias("__at")).distinct()
-    h, rid = _place(id_col, text_col)
-    first = F.row_number().over(Window.partitionBy("__at").orderBy(F.lit(0)))
-    return (
-        documents.withColumn("__at", F.struct(rid.alias("rid"), h.alias("id")))
-        .join(reps, "__at", "left_semi")
-        .withColumn("__n", first)
-        .where("__n = 1")
-        .select(*documents.columns)
-    )
+    reps = found.where("kept").select("doc_id", "id").distinct().alias("r")
+    h, rid, n = F.xxhash64(text_or_empty(text_col)), F.col(id_col).cast("long"), free_name(documents, "n")
+    here = (F.xxhash64(text_or_empty(f"d.{text_col}")) == F.col("r.id")) & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("r.doc_id"))
+    same = F.row_number().over(Window.partitionBy(rid, h).orderBy(row_order(documents)))
+    kept = documents.alias("d").join(reps, here, "left_semi").select("d.*")
+    return kept.withColumn(n, same).where(F.col(n) == 1).drop(n)
