@@ -62,14 +62,25 @@ class LineHashes:
             np.minimum.reduceat(x, starts, out=low[j])
         return low
 
+    def least_of_all(self, lines: list[str], chars: int = 50_000) -> np.ndarray:
+        """``least`` by blocks of about ``chars`` characters, which stay in the processor's cache."""
+        parts, at = [np.empty((self.bands * self.rows, 0), np.uint32)], 0
+        while at < len(lines):
+            stop, total = at, 0
+            while stop < len(lines) and (total < chars or stop == at):
+                total += len(lines[stop])
+                stop += 1
+            parts.append(self.least(lines[at:stop]))
+            at = stop
+        return np.concatenate(parts, axis=1)
+
     def keys(self, low: np.ndarray) -> np.ndarray:
         """One row a band and one column a line."""
+        bands = low.reshape(self.bands, self.rows, -1)
         keys = np.empty((self.bands, low.shape[1]), np.uint64)
-        for b in range(self.bands):
-            key = np.full(low.shape[1], np.uint64(b + 1) * _MIX)
-            for j in range(b * self.rows, (b + 1) * self.rows):
-                key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + low[j])
-            keys[b] = key
+        keys[:] = (np.arange(1, self.bands + 1, dtype=np.uint64) * _MIX)[:, None]
+        for j in range(self.rows):
+            keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + bands[:, j])
         return keys
 
 
@@ -80,19 +91,9 @@ def minhash_signer(k: int, bands: int, rows: int):
         hashes = LineHashes(k, bands, rows)
 
         def sign(texts):
-            index = [i for i, t in enumerate(texts) if len(t) >= k]
-            owners, keys, at = [], [], 0
-            while at < len(index):
-                stop, total = at, 0
-                while stop < len(index) and (total < 25_000 or stop == at):
-                    total += len(texts[index[stop]])
-                    stop += 1
-                keys.append(hashes.keys(hashes.least([texts[i] for i in index[at:stop]])).ravel())
-                owners.append(np.tile(np.array(index[at:stop]), bands))
-                at = stop
-            if not keys:
-                return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-            return np.concatenate(owners), np.concatenate(keys)
+            index = np.array([i for i, t in enumerate(texts) if len(t) >= k], np.int64)
+            keys = hashes.keys(hashes.least_of_all([texts[i] for i in index]))
+            return np.tile(index, bands), keys.ravel()
 
         return sign
 
@@ -100,25 +101,34 @@ def minhash_signer(k: int, bands: int, rows: int):
 
 
 class JaccardMatcher(Matcher):
-    """Exact Jaccard similarity of shingle sets, after a look at the minimum hashes."""
+    """Exact Jaccard similarity of shingle sets (as 64-bit hashes), after a look at the minimum hashes."""
+
+    #: shingle sets of lines up to so many characters are kept for later pairs
+    SHORT = 8192
 
     def __init__(self, k: int, threshold: float, bands: int, rows: int):
-        self.hashes, self.threshold = LineHashes(k, bands, rows), threshold
+        self.hashes, self.threshold, self.k = LineHashes(k, bands, rows), threshold, k
         # four standard deviations under the threshold
         self.least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
-        self.shingles = functools.lru_cache(maxsize=2048)(
-            lambda line: frozenset(line[i : i + k] for i in range(len(line) - k + 1))
-        )
+        self.kept = functools.lru_cache(maxsize=4096)(self.shingles)
+
+    def shingles(self, line: str) -> np.ndarray:
+        """The distinct shingles, in order of their hashes."""
+        chars = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        h = np.sort(mixed(rolling(chars + np.uint64(1), self.k)))
+        return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
     def sketch(self, texts):
-        low = self.hashes.least(texts)
+        low = self.hashes.least_of_all(texts)
         return np.ascontiguousarray(self.hashes.keys(low).T), np.ascontiguousarray((low.T >> np.uint32(24)).astype(np.uint8))
 
     def check(self, x, y):
-        p, q = self.shingles(x), self.shingles(y)
+        p, q = (self.kept(t) if len(t) <= self.SHORT else self.shingles(t) for t in (x, y))
         if min(len(p), len(q)) < self.threshold * max(len(p), len(q)):
             return False
-        both = len(p & q)
+        every = np.concatenate([p, q])
+        every.sort()
+        both = int(np.count_nonzero(every[1:] == every[:-1]))
         return both >= self.threshold * (len(p) + len(q) - both)
 
 
@@ -151,8 +161,11 @@ def removed_lines(
     fuzzy = lines.where(F.length("line") >= min_chars).select("id", F.col("line").alias("text"))
     runs = materialize(candidate_runs(fuzzy, minhash_signer(k, bands, rows)), "line-runs")
     places = materialize(lines.select("rid", "th", "line_no", "id"), "line-places")
-    first = places.groupBy("id").agg(F.min(F.struct("rid", "th", "line_no")).alias("at"))
-    wanted = runs.select("id").distinct().join(first, "id").select("id", "at.*")
+    first = places.groupBy("id").agg(F.min(F.struct("rid", "th", "line_no")).alias("at"), F.count("*").alias("n"))
+    in_runs = runs.select("id").distinct().withColumn("in_run", F.lit(True))
+    first = first.join(in_runs, "id", "left").where((F.col("n") > 1) | F.col("in_run"))
+    first = materialize(first, "line-first")  # lines that stand in one place and are in no run stay
+    wanted = first.where("in_run").select("id", "at.*")
     texts = (
         documents.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("rid"), text_or_empty(text_col).alias("text")
@@ -200,7 +213,7 @@ def line_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("rid"),
         F.xxhash64(text_or_empty(text_col)).alias("th"),
         F.when(F.col(text_col).isNull(), 0)
-        .otherwise(F.length(text_or_empty(text_col)) - F.length(F.replace(text_or_empty(text_col), F.lit("\n"), F.lit(""))) + 1)
+        .otherwise(F.octet_length(text_or_empty(text_col)) - F.octet_length(F.replace(text_or_empty(text_col), F.lit("\n"), F.lit(""))) + 1)
         .cast("long")
         .alias("n_lines"),
     )

@@ -158,30 +158,35 @@ def verified(pairs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Ma
     return both.select("a", "x", "p", "b", "y", "q").mapInArrow(run, "a long, b long")
 
 
-def _near_pairs(members: np.ndarray, key: np.ndarray, own, split: bool, classes, keys, mins, least: float):
-    """Pairs (i, j) worth checking within each of equally large runs; ``members`` has a row of positions a run.
+def _near_pairs(order: np.ndarray, run: np.ndarray, split: np.ndarray, own, classes, key, keys, mins, least: float):
+    """Pairs (i, j) worth checking: of one run and of different classes.
 
-    Left out are pairs of one class, pairs on one side where two sides meet, pairs that share
-    an earlier key, and pairs with too few equal minimum hashes.
+    ``order`` lists positions by run and class, ``run`` and ``split`` belong to it.  Left out are pairs on one
+    side where two sides meet, pairs that share an earlier key, and pairs with too few equal minimum hashes.
     """
-    n = members.shape[1]
-    left, right = np.triu_indices(n, 1)
-    step = max(1, 2_000_000 // (len(left) * (keys.shape[1] + mins.shape[1])))
-    for at in range(0, len(members), step):
-        block = members[at : at + step]
-        i, j = block[:, left].ravel(), block[:, right].ravel()
-        k = np.repeat(key[block[:, 0]], len(left))
-        keep = classes[i] != classes[j]
-        if split:
-            keep &= own[i] != own[j]
-        i, j, k = i[keep], j[keep], k[keep]
-        for part in range(0, len(i), 100_000):
-            p, q, r = (x[part : part + 100_000] for x in (i, j, k))
-            near = (mins[p] == mins[q]).mean(1) >= least
-            p, q, r = p[near], q[near], r[near]
-            first = (keys[p] == keys[q]).argmax(1)
-            mine = keys[p, first] == r
-            yield from zip(p[mine].tolist(), q[mine].tolist())
+    c = classes[order]
+    n = len(order)
+    new_run = np.concatenate([[True], run[1:] != run[:-1]])
+    new_class = new_run | np.concatenate([[True], c[1:] != c[:-1]])
+    # for each place the end of its class in the run, and the end of the run: it meets those in between
+    heads, tops = np.append(np.flatnonzero(new_class), n), np.append(np.flatnonzero(new_run), n)
+    class_end, run_end = heads[np.cumsum(new_class)], tops[np.cumsum(new_run)]
+    reach = np.cumsum(run_end - class_end)
+    at = 0
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 100_000, side="right")))
+        count = (run_end - class_end)[at:stop]
+        left = np.repeat(np.arange(at, stop), count)
+        begin = np.cumsum(count) - count
+        right = np.arange(len(left)) - np.repeat(begin - class_end[at:stop], count)
+        keep = ~split[left] | (own[order[left]] != own[order[right]])
+        i, j = order[left[keep]], order[right[keep]]
+        near = (mins[i] == mins[j]).mean(1) >= least
+        i, j = i[near], j[near]
+        first = (keys[i] == keys[j]).argmax(1)
+        mine = keys[i, first] == key[i]
+        yield from zip(i[mine].tolist(), j[mine].tolist())
+        at = stop
 
 
 def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000) -> DataFrame:
@@ -206,11 +211,9 @@ def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], M
         keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(ids), -1)
         mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), np.uint8).reshape(len(ids), -1)
         texts = t.column("text")
-        order = np.lexsort((ids, hi, lo, key))
+        order = np.lexsort((ids, c, hi, lo, key))
         k, low, high = key[order], lo[order], hi[order]
-        heads = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        sizes = np.diff(np.append(heads, len(order)))
-        met = low[heads] != high[heads]
+        run = np.cumsum(np.concatenate([[True], (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         parent: dict[int, int] = {}
 
         def find(x):
@@ -219,14 +222,11 @@ def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], M
             return x
 
         out = []
-        for n, split in sorted(set(zip(sizes.tolist(), met.tolist()))):
-            if n > 1:
-                members = order[heads[(sizes == n) & (met == split)][:, None] + np.arange(n)]
-                for i, j in _near_pairs(members, key, own, split, c, keys, mins, matcher.least):
-                    a, b = find(int(c[i])), find(int(c[j]))
-                    if a != b and matcher.check(texts[i].as_py(), texts[j].as_py()):
-                        parent[max(a, b)] = min(a, b)
-                        out.append((int(ids[i]), int(ids[j])))
+        for i, j in _near_pairs(order, run, low != high, own, c, key, keys, mins, matcher.least):
+            a, b = find(int(c[i])), find(int(c[j]))
+            if a != b and matcher.check(texts[i].as_py(), texts[j].as_py()):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
         cols = list(zip(*out)) if out else [[], []]
         return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
 
