@@ -238,12 +238,6 @@ def _(spark, sf):
     return g.select("ticker", "mean_w", F.round(F.col("s") / F.sum("s").over(Window.partitionBy()), 6).alias("share"), "beta")
 
 
-@query("vol_target_scale", sql(RETURNS, "SELECT ticker, day, CASE WHEN v > 0 THEN round(0.10::DOUBLE / (v * sqrt(252)), 6) + 0.0 ELSE 0 END AS k FROM (SELECT ticker, day, coalesce(stddev_samp(r) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 0) AS v FROM rt)"))
-def _(spark, sf):
-    v = F.stddev_samp("r").over(Window.partitionBy("ticker").orderBy("day").rowsBetween(-59, 0))
-    return returns(spark, sf).withColumn("v", v).select("ticker", "day", F.when(F.col("v") > 0, rnd(0.10 / (F.col("v") * F.sqrt(F.lit(252.0))))).otherwise(0.0).alias("k"))
-
-
 @query("no_trade_band")
 def _(spark, sf):
     return book.no_trade_band(bk(spark, sf), ["ticker"], "day", "w", 0.1).select("ticker", "day", "w", "held")
@@ -271,12 +265,6 @@ def _(spark, sf):
     return z.select("ticker", "day", F.when(F.col("z").isNull(), 1.0).when(F.col("z") > 200000, 0.0).when(F.col("z") > 140000, 0.5).otherwise(1.0).alias("step"))
 
 
-@query("momentum_benchmark", sql(RETURNS, "SELECT ticker, day, sign(round(sum(r) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9)) + 0.0 AS s FROM rt"))
-def _(spark, sf):
-    w = Window.partitionBy("ticker").orderBy("day").rowsBetween(-9, 0)
-    return returns(spark, sf).select("ticker", "day", (F.signum(F.round(F.sum("r").over(w), 9)) + F.lit(0.0)).alias("s"))
-
-
 @query("phase_scan", sql(RETURNS, ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM rt) SELECT ticker, o::INT AS o, count(*) AS n, round(avg(r), 8) + 0.0 AS m FROM ri, unnest(generate_series(0, 19)) t(o) WHERE i % 20 = o AND r IS NOT NULL GROUP BY 1, 2").replace(")\n, ri", "), ri"))
 def _(spark, sf):
     r = returns(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("ticker").orderBy("day"))).where("r is not null")

@@ -165,11 +165,6 @@ def _(spark, sf):
     return cells(spark, sf).join(coef, "theme").groupBy("day").agg(rnd(F.sum(F.col("d_vw") * F.col("coef")), 4).alias("y"))
 
 
-@query("raw_position", sql(INDEX, "SELECT zone, theme, CAST(day AS DATE) AS day, round(d_vw - avg(d_vw) OVER (PARTITION BY day), 4) + 0.0 AS y FROM ix"))
-def _(spark, sf):
-    return index(spark, sf).select("zone", "theme", "day", rnd(F.col("d_vw") - F.avg("d_vw").over(Window.partitionBy("day")), 4).alias("y"))
-
-
 @query("decisive_term", sql(CELLS, "SELECT zone, theme, CAST(day AS DATE) AS day, CASE WHEN abs(d_vw) >= abs(d_ew) THEN 'vw' ELSE 'ew' END AS term FROM ce WHERE abs(abs(d_vw) - abs(d_ew)) > 1e-9"))
 def _(spark, sf):
     c = cells(spark, sf).where(F.abs(F.abs("d_vw") - F.abs("d_ew")) > 1e-9)

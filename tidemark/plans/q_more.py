@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
-from tidemark.functions.ewm import alpha_of, ewm_mean
+from tidemark.functions.ewm import alpha_of, decayed_sums, with_ewm_mean
 from tidemark.operators import book, regress, stats
 from tidemark.plans.base import MARKET, RETURNS, market_long, raw_tape, returns, sql, table
 from tidemark.plans.q_book import STAT, STACK, stacked, stat_out
@@ -57,48 +57,6 @@ def _(spark, sf):
     return cells(spark, sf).select("zone", "theme", "day", rnd(F.col("d_vw") * F.col("n_contracts"), 4).alias("x"))
 
 
-CARRY = RETURNS + """, cv AS (SELECT *, CASE WHEN count(r) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) >= 40 THEN stddev_samp(r) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) END AS vol FROM rt),
-cr AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, ticker) AS up, row_number() OVER (PARTITION BY day ORDER BY n, ticker DESC) AS dn, count(*) OVER (PARTITION BY day) AS c FROM cv WHERE vol > 0),
-cl AS (SELECT *, CASE WHEN up <= greatest(c // 3, 1) THEN 1 WHEN dn <= greatest(c // 3, 1) THEN -1 END AS leg FROM cr WHERE c >= 2),
-cw AS (SELECT ticker, day, leg * (1 / vol) / sum(1 / vol) OVER (PARTITION BY day, leg) AS w FROM cl WHERE leg IS NOT NULL)"""
-
-
-def carry(spark, sf):
-    w60 = by_ticker().rowsBetween(-59, 0)
-    r = returns(spark, sf).withColumn("vol", F.when(F.count("r").over(w60) >= 40, F.stddev_samp("r").over(w60))).where("vol > 0")
-    d = Window.partitionBy("day")
-    r = r.withColumn("up", F.row_number().over(d.orderBy(F.desc("n"), "ticker"))).withColumn("dn", F.row_number().over(d.orderBy("n", F.desc("ticker")))).withColumn("c", F.count("*").over(d)).where("c >= 2")
-    leg = F.when(F.col("up") <= book.leg_sizes("c"), 1).when(F.col("dn") <= book.leg_sizes("c"), -1)
-    r = r.withColumn("leg", leg).where("leg is not null").withColumn("iv", 1 / F.col("vol"))
-    return r.select("ticker", "day", (F.col("leg") * F.col("iv") / F.sum("iv").over(Window.partitionBy("day", "leg"))).alias("w"))
-
-
-@query("carry_weights", sql(CARRY, "SELECT ticker, day, round(w, 6) + 0.0 AS w FROM cw"))
-def _(spark, sf):
-    return carry(spark, sf).select("ticker", "day", rnd("w").alias("w"))
-
-
-TILT = "cv2 AS (SELECT ticker, day, CASE WHEN ticker < '3' THEN 1 ELSE -1 END AS s, 1 / vol AS iv FROM cv WHERE vol > 0), tw AS (SELECT ticker, day, s * iv / sum(iv) OVER (PARTITION BY day, s) AS w FROM cv2)"
-
-
-def tilt(spark, sf):
-    w60 = by_ticker().rowsBetween(-59, 0)
-    r = returns(spark, sf).withColumn("vol", F.when(F.count("r").over(w60) >= 40, F.stddev_samp("r").over(w60))).where("vol > 0")
-    r = r.select("ticker", "day", F.when(F.col("ticker") < "3", 1).otherwise(-1).alias("s"), (1 / F.col("vol")).alias("iv"))
-    return r.select("ticker", "day", (F.col("s") * F.col("iv") / F.sum("iv").over(Window.partitionBy("day", "s"))).alias("w"))
-
-
-@query("tilt_weights", sql(CARRY + ", " + TILT, "SELECT ticker, day, round(w, 6) + 0.0 AS w FROM tw"))
-def _(spark, sf):
-    return tilt(spark, sf).select("ticker", "day", rnd("w").alias("w"))
-
-
-@query("overlay_combine", sql(CARRY + ", " + TILT, "SELECT coalesce(cw.ticker, tw.ticker) AS ticker, coalesce(cw.day, tw.day) AS day, round(0.5::DOUBLE * coalesce(cw.w, 0) + 0.25::DOUBLE * coalesce(tw.w, 0), 6) + 0.0 AS w FROM cw FULL JOIN tw ON cw.ticker = tw.ticker AND cw.day = tw.day"))
-def _(spark, sf):
-    parts = carry(spark, sf).select("ticker", "day", (F.col("w") * 0.5).alias("w")).unionByName(tilt(spark, sf).select("ticker", "day", (F.col("w") * 0.25).alias("w")))
-    return parts.groupBy("ticker", "day").agg(rnd(F.sum("w")).alias("w"))
-
-
 @query("stress_cost_mult", sql(MARKET, "SELECT ticker, day, CASE WHEN lag(n > 4) OVER (PARTITION BY ticker ORDER BY day) THEN 0.0004::DOUBLE ELSE 0.0002::DOUBLE END AS cost FROM ml"))
 def _(spark, sf):
     return market_long(spark, sf).select("ticker", "day", F.when(F.lag(F.col("n") > 4).over(by_ticker()), 0.0004).otherwise(0.0002).alias("cost"))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import clip, rnd
-from tidemark.functions.ewm import alpha_of, ewm_mean, ewm_recursive, ewm_var
+from tidemark.functions.ewm import alpha_of, with_ewm_mean, with_ewm_recursive, with_ewm_var
 from tidemark.operators import changes, stats
 from tidemark.plans.base import DAYS, MARKET, PANEL, RETURNS, TRADES, days, market_long, panel, returns, sql, table, trades
 from tidemark.plans.registry import query
@@ -219,11 +219,6 @@ def by_ticker():
 RT_I = RETURNS + ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM rt)"
 
 
-@query("fx_excess_return", sql(RETURNS, "SELECT ticker, day, round(r, 8) + 0.0 AS r FROM rt"))
-def _(spark, sf):
-    return returns(spark, sf).select("ticker", "day", rnd("r", 8).alias("r"))
-
-
 @query("ffill", sql(PANEL, "SELECT platform, platform_id, CAST(snap_date AS DATE) AS snap_date, round(last_value(px_vwap_1h IGNORE NULLS) OVER (PARTITION BY platform, platform_id ORDER BY snap_date), 6) + 0.0 AS v FROM pn"))
 def _(spark, sf):
     v = F.last("px_vwap_1h", True).over(Window.partitionBy("platform", "platform_id").orderBy("snap_date"))
@@ -259,13 +254,13 @@ FROM ri a JOIN ri b ON a.ticker = b.ticker AND b.i <= a.i AND b.i >= a.i - 1200
 
 @query("ewm_halflife", sql(RT_I, ewm_sql("b.r", "(1 - pow(0.5::DOUBLE, 0.2::DOUBLE))")))
 def _(spark, sf):
-    return returns(spark, sf).select("ticker", "day", rnd(ewm_mean(F.col("r"), alpha_of(halflife=5), ["ticker"], "day"), 8).alias("y"))
+    return with_ewm_mean(returns(spark, sf), "y", F.col("r"), alpha_of(halflife=5), ["ticker"], "day").select("ticker", "day", rnd("y", 8).alias("y"))
 
 
 @query("ewma_vol_sparse", sql(RT_I, ewm_sql("CASE WHEN b.n > 1 THEN b.r * b.r END", "2 / 61.0::DOUBLE")))
 def _(spark, sf):
     x = F.when(F.col("n") > 1, F.col("r") * F.col("r"))
-    return returns(spark, sf).select("ticker", "day", rnd(ewm_mean(x, alpha_of(span=60), ["ticker"], "day"), 8).alias("y"))
+    return with_ewm_mean(returns(spark, sf), "y", x, alpha_of(span=60), ["ticker"], "day").select("ticker", "day", rnd("y", 8).alias("y"))
 
 
 @query("ewm_var_debiased", sql(RT_I, """SELECT ticker, day, round((q / w - (s / w) * (s / w)) * w * w / (w * w - w2), 8) + 0.0 AS y FROM (
@@ -273,7 +268,8 @@ SELECT a.ticker, a.day, sum(CASE WHEN b.r IS NOT NULL THEN pow(1 - 2 / 21.0::DOU
   sum(b.r * pow(1 - 2 / 21.0::DOUBLE, a.i - b.i)) AS s, sum(b.r * b.r * pow(1 - 2 / 21.0::DOUBLE, a.i - b.i)) AS q
 FROM ri a JOIN ri b ON a.ticker = b.ticker AND b.i <= a.i AND b.i >= a.i - 400 WHERE a.i > 20 GROUP BY 1, 2)"""))
 def _(spark, sf):
-    out = returns(spark, sf).withColumn("i", F.row_number().over(by_ticker())).withColumn("y", ewm_var(F.col("r"), alpha_of(span=20), ["ticker"], "day"))
+    out = returns(spark, sf).withColumn("i", F.row_number().over(by_ticker()))
+    out = with_ewm_var(out, "y", F.col("r"), alpha_of(span=20), ["ticker"], "day")
     return out.where("i > 20").select("ticker", "day", rnd("y", 8).alias("y"))
 
 
@@ -330,16 +326,6 @@ def _(spark, sf):
     return returns(spark, sf).select("ticker", "day", F.when(F.count("r").over(w) >= 40, rnd(F.stddev_samp("r").over(w) * F.sqrt(F.lit(252.0)), 8)).alias("vol"))
 
 
-@query("ewma_cov", sql(RT_I, """, pp AS (SELECT a.ticker AS t1, b.ticker AS t2, a.day, coalesce(a.r, 0) * coalesce(b.r, 0) AS p, row_number() OVER (PARTITION BY a.ticker, b.ticker ORDER BY a.day) AS j FROM ri a JOIN ri b ON a.day = b.day AND a.ticker <= b.ticker)
-SELECT x.t1, x.t2, x.day, round(sum(y.p * CASE WHEN y.j = 1 THEN pow(1 - 2 / 21.0::DOUBLE, x.j - 1) ELSE 2 / 21.0::DOUBLE * pow(1 - 2 / 21.0::DOUBLE, x.j - y.j) END), 9) + 0.0 AS c FROM pp x JOIN pp y ON x.t1 = y.t1 AND x.t2 = y.t2 AND y.j <= x.j WHERE x.j >= 20 AND x.j <= 300 GROUP BY 1, 2, 3""").replace(")\n, pp", "), pp"))
-def _(spark, sf):
-    r = returns(spark, sf).select("ticker", "day", F.coalesce("r", F.lit(0.0)).alias("r"))
-    p = r.select(F.col("ticker").alias("t1"), "day", F.col("r").alias("a")).join(r.select(F.col("ticker").alias("t2"), "day", F.col("r").alias("b")), "day").where("t1 <= t2")
-    w = Window.partitionBy("t1", "t2").orderBy("day")
-    p = p.withColumn("j", F.row_number().over(w)).where("j <= 300").withColumn("c", ewm_recursive(F.col("a") * F.col("b"), alpha_of(span=20), ["t1", "t2"], "day"))
-    return p.where("j >= 20").select("t1", "t2", "day", rnd("c", 9).alias("c"))
-
-
 DD = RETURNS + """, wl AS (SELECT ticker, day, r, exp(sum(ln(1 + r)) OVER (PARTITION BY ticker ORDER BY day)) AS wealth FROM rt WHERE r IS NOT NULL),
 dw AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY ticker ORDER BY day) - 1 AS dd FROM wl)"""
 
@@ -418,7 +404,7 @@ def _(spark, sf):
 SELECT ticker, day, CASE WHEN count(*) FILTER (n > 1) OVER w >= 20 THEN round(s / stddev_samp(s) OVER w, 6) + 0.0 ELSE 0 END AS z FROM e WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""").replace(")\n, e", "), e"))
 def _(spark, sf):
     x = F.when(F.col("n") > 1, F.coalesce("r", F.lit(0.0))).otherwise(0.0)
-    e = returns(spark, sf).withColumn("s", ewm_mean(x, alpha_of(halflife=5), ["ticker"], "day"))
+    e = with_ewm_mean(returns(spark, sf), "s", x, alpha_of(halflife=5), ["ticker"], "day")
     w = by_ticker().rowsBetween(Window.unboundedPreceding, -1)
     z = F.when(F.count_if(F.col("n") > 1).over(w) >= 20, rnd(F.col("s") / F.stddev_samp("s").over(w))).otherwise(0.0)
     return e.select("ticker", "day", z.alias("z"))
