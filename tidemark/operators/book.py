@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cap_weights(rows: DataFrame, keys: Sequence[str], share: float, gross_cap: float, w: str = "w") -> DataFrame:
+def cap_weights(rows: DataFrame, keys: Sequence[str], share: float | Column, gross_cap: float, w: str = "w") -> DataFrame:
     """Clip every weight to ``share`` of the gross, then scale to the gross cap; adds which caps bind."""
     by = Window.partitionBy(*keys)
     gross = F.sum(F.abs(w)).over(by)
@@ -71,10 +71,10 @@ def position_pnl(rows: DataFrame, keys: Sequence[str], order: str, w: str = "w",
     )
 
 
-def timing_exposure(since: str | Column, target: float, days: int) -> Column:
+def timing_exposure(since: str | Column, target: float | Column, days: int | Column) -> Column:
     """Exposure ``since`` rows after a hit: cut to ``target``, back to 1 linearly over ``days``."""
     s = F.col(since) if isinstance(since, str) else since
-    low = F.lit(float(target))
+    low = target if isinstance(target, Column) else F.lit(float(target))
     return F.when(s.isNull() | (s >= days), 1.0).otherwise(low + (1 - low) * s / days)
 
 

@@ -62,7 +62,7 @@ def stale(last_ts: str = "last_ts", day: str = "day", hours: int = 48, snap_hour
     return F.col(last_ts).isNull() | (snap - F.unix_seconds(last_ts) > hours * 3600)
 
 
-def eligible(min_volume: float, low: float = 0.02, high: float = 0.98, min_ttr: float = 3.0, max_ttr: float = 365.0) -> Column:
+def eligible(min_volume: float | Column, low: float = 0.02, high: float = 0.98, min_ttr: float = 3.0, max_ttr: float = 365.0) -> Column:
     """Price in the band, enough volume and time left; null counts as no."""
     ok = (
         F.col("px").between(low, high)

@@ -265,12 +265,6 @@ def _(spark, sf):
     return z.select("ticker", "day", F.when(F.col("z").isNull(), 1.0).when(F.col("z") > 200000, 0.0).when(F.col("z") > 140000, 0.5).otherwise(1.0).alias("step"))
 
 
-@query("phase_scan", sql(RETURNS, ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM rt) SELECT ticker, o::INT AS o, count(*) AS n, round(avg(r), 8) + 0.0 AS m FROM ri, unnest(generate_series(0, 19)) t(o) WHERE i % 20 = o AND r IS NOT NULL GROUP BY 1, 2").replace(")\n, ri", "), ri"))
-def _(spark, sf):
-    r = returns(spark, sf).withColumn("i", F.row_number().over(Window.partitionBy("ticker").orderBy("day"))).where("r is not null")
-    return resample.runs(r, 20, "o").where("i % 20 = o").groupBy("ticker", "o").agg(F.count("*").alias("n"), rnd(F.avg("r"), 8).alias("m"))
-
-
 @query("phase_summary", sql(RETURNS, ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) % 20 AS o FROM rt), p AS (SELECT ticker, o, round(avg(r), 9) AS m FROM ri GROUP BY 1, 2) SELECT ticker, round(avg(m), 8) + 0.0 AS mean, round(min(m), 8) + 0.0 AS lo, round(max(m), 8) + 0.0 AS hi, count(*) FILTER (m > 0) AS n_pos FROM p GROUP BY 1").replace(")\n, ri", "), ri"))
 def _(spark, sf):
     r = returns(spark, sf).withColumn("o", F.row_number().over(Window.partitionBy("ticker").orderBy("day")) % 20)
@@ -278,16 +272,6 @@ def _(spark, sf):
     return p.groupBy("ticker").agg(rnd(F.avg("m"), 8).alias("mean"), rnd(F.min("m"), 8).alias("lo"), rnd(F.max("m"), 8).alias("hi"), F.count_if(F.col("m") > 0).alias("n_pos"))
 
 
-@query("param_grid", sql(RETURNS, "SELECT ticker, k, d::INT AS d, round(sum(CASE WHEN abs(x) > k THEN r ELSE 0 END), 7) + 0.0 AS pnl FROM (SELECT t.d, ticker, r, CASE t.d WHEN 1 THEN lag(r, 1) OVER w ELSE lag(r, 2) OVER w END AS x FROM rt, (VALUES (1), (2)) t(d) WINDOW w AS (PARTITION BY t.d, ticker ORDER BY day)) CROSS JOIN (VALUES (0.005::DOUBLE), (0.01), (0.02)) g(k) WHERE r IS NOT NULL GROUP BY 1, 2, 3"))
-def _(spark, sf):
-    w = Window.partitionBy("d", "ticker").orderBy("day")
-    grid = F.broadcast(spark.createDataFrame([(k, d) for k in (0.005, 0.01, 0.02) for d in (1, 2)], "k double, d int"))
-    r = returns(spark, sf).crossJoin(grid)
-    w = Window.partitionBy("k", "d", "ticker").orderBy("day")
-    x = F.when(F.col("d") == 1, F.lag("r", 1).over(w)).otherwise(F.lag("r", 2).over(w))
-    return r.withColumn("x", x).where("r is not null").groupBy("ticker", "k", "d").agg(rnd(F.sum(F.when(F.abs("x") > F.col("k"), F.col("r")).otherwise(0.0)), 7).alias("pnl"))
-
-
 @query("news_tags", sql(RETURNS, "SELECT day, 'up:' || ticker AS tag FROM rt WHERE r > 0.03 UNION ALL SELECT day, 'busy:' || ticker FROM rt WHERE n > 4"))
 def _(spark, sf):
     r = returns(spark, sf)
@@ -298,23 +282,6 @@ def _(spark, sf):
 # -- regressions ----------------------------------------------------------------------------------
 
 
-@query("beta_hac", sql(RETURNS, ", x AS (SELECT b.ticker, b.day, a.r AS x, b.r AS y FROM rt a JOIN rt b ON a.day = b.day AND a.ticker = '1-URGENT' AND b.ticker > a.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL), f AS (SELECT *, regr_slope(y, x) OVER (PARTITION BY ticker) AS b, regr_intercept(y, x) OVER (PARTITION BY ticker) AS a, avg(x) OVER (PARTITION BY ticker) AS mx FROM x), u AS (SELECT *, (x - mx) * (y - a - b * x) AS u FROM f), l AS (SELECT *, u * u + 2 * (1 - 1 / 3.0::DOUBLE) * u * coalesce(lag(u, 1) OVER w, 0) + 2 * (1 - 2 / 3.0::DOUBLE) * u * coalesce(lag(u, 2) OVER w, 0) AS m FROM u WINDOW w AS (PARTITION BY ticker ORDER BY day)) SELECT ticker, round(any_value(b), 6) + 0.0 AS beta, count(*) AS n, round(any_value(b) / (sqrt(sum(m)) / sum((x - mx) * (x - mx))), 5) + 0.0 AS t FROM l GROUP BY 1").replace(")\n, x", "), x"))
-def _(spark, sf):
-    r = returns(spark, sf).where("r is not null").select("ticker", "day", "r")
-    a = r.where("ticker = '1-URGENT'").select("day", F.col("r").alias("x"))
-    j = r.where("ticker > '1-URGENT'").withColumnRenamed("r", "y").join(a, "day")
-    return regress.newey_west(j, ["ticker"], "day", "y", "x", 2).select("ticker", rnd("beta").alias("beta"), "n", rnd("t", 5).alias("t"))
-
-
-@query("downside_beta", sql(RETURNS, ", x AS (SELECT b.ticker, a.r AS x, b.r AS y, avg(a.r) OVER (PARTITION BY b.ticker) - stddev_samp(a.r) OVER (PARTITION BY b.ticker) AS cut FROM rt a JOIN rt b ON a.day = b.day AND a.ticker = '1-URGENT' AND b.ticker > a.ticker WHERE a.r IS NOT NULL AND b.r IS NOT NULL) SELECT ticker, count(*) AS n, round(covar_samp(y, x) / var_samp(x), 6) + 0.0 AS beta, round(avg(y) * 10000, 4) + 0.0 AS mean_bp FROM x WHERE x < cut GROUP BY 1").replace(")\n, x", "), x"))
-def _(spark, sf):
-    r = returns(spark, sf).where("r is not null").select("ticker", "day", "r")
-    a = r.where("ticker = '1-URGENT'").select("day", F.col("r").alias("x"))
-    p = Window.partitionBy("ticker")
-    j = r.where("ticker > '1-URGENT'").withColumnRenamed("r", "y").join(a, "day").withColumn("cut", F.avg("x").over(p) - F.stddev_samp("x").over(p))
-    return j.where("x < cut").groupBy("ticker").agg(F.count("*").alias("n"), rnd(F.covar_samp("y", "x") / F.var_samp("x")).alias("beta"), rnd(F.avg("y") * 10000, 4).alias("mean_bp"))
-
-
 def stacked(spark, sf):
     w = Window.partitionBy("ticker").orderBy("day")
     r = returns(spark, sf)
@@ -351,13 +318,6 @@ def _(spark, sf):
     return spark.createDataFrame([(r["coef"], r["t"])], "coef double, t double").select(rnd("coef").alias("coef"), rnd("t", 4).alias("t"))
 
 
-@query("ols_nonoverlap", sql(RETURNS, ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i, lead(r) OVER (PARTITION BY ticker ORDER BY day) AS y FROM rt) SELECT ticker, (i % 5)::INT AS o, round(regr_slope(y, r), 6) + 0.0 AS beta, regr_count(y, r)::BIGINT AS n FROM ri GROUP BY 1, 2").replace(")\n, ri", "), ri"))
-def _(spark, sf):
-    w = Window.partitionBy("ticker").orderBy("day")
-    r = returns(spark, sf).withColumn("o", F.row_number().over(w) % 5).withColumn("y", F.lead("r").over(w))
-    return r.groupBy("ticker", "o").agg(rnd(F.regr_slope("y", "r")).alias("beta"), F.regr_count("y", "r").alias("n"))
-
-
 # -- resampling -----------------------------------------------------------------------------------
 
 
@@ -371,34 +331,3 @@ def _(spark, sf):
     b = resample.block_bootstrap(returns(spark, sf).where("r is not null"), 20, 20, ["ticker"], "day", "r")
     q = b.groupBy("ticker", "draw").agg((F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("sh"))
     return q.groupBy("ticker").agg(rnd(F.percentile("sh", 0.05), 5).alias("lo"), rnd(F.percentile("sh", 0.95), 5).alias("hi"))
-
-
-@query("placebo_run", sql(RETURNS, "SELECT s.seed::INT AS seed, round(avg(x) / stddev_samp(x) * sqrt(252), 5) + 0.0 AS sharpe FROM (SELECT seed, CASE WHEN seed = 0 THEN r WHEN CAST('0x' || substr(md5('sign|' || seed || '|' || ticker || '|' || CAST(day AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 THEN r ELSE -r END AS x FROM rt, unnest(generate_series(0, 20)) t(seed)) s GROUP BY 1"))
-def _(spark, sf):
-    r = resample.runs(returns(spark, sf), 21)
-    x = F.when((F.col("seed") == 0) | (hash_int("sign", "seed", "ticker", "day") % 2 == 0), F.col("r")).otherwise(-F.col("r"))
-    return r.withColumn("x", x).groupBy("seed").agg(rnd(F.avg("x") / F.stddev_samp("x") * F.sqrt(F.lit(252.0)), 5).alias("sharpe"))
-
-
-@query("leave_one_event_out", sql(RETURNS, ", e AS (SELECT ticker FROM rt GROUP BY 1) SELECT e.ticker AS without, round(avg(r) * 252, 6) + 0.0 AS mean FROM e JOIN rt ON rt.ticker <> e.ticker GROUP BY 1").replace(")\n, e", "), e"))
-def _(spark, sf):
-    r = returns(spark, sf)
-    own = r.where("ticker is not null").groupBy("ticker").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"), F.count("r").alias("n"), F.count("*").alias("rows"))
-    total = F.broadcast(own.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.sum("rows").alias("all_rows")))
-    mean = F.when(F.col("all_n") > F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) * 252)
-    return own.crossJoin(total).where("all_rows > rows").select(F.col("ticker").alias("without"), rnd(mean).alias("mean"))
-
-
-@query("threshold_panels", sql(RETURNS, "SELECT k, ticker, count(*) AS n FROM rt JOIN (VALUES (1), (2), (4)) t(k) ON n >= k GROUP BY 1, 2"))
-def _(spark, sf):
-    g = F.broadcast(spark.createDataFrame([(1,), (2,), (4,)], "k int"))
-    return returns(spark, sf).crossJoin(g).where("n >= k").groupBy("k", "ticker").agg(F.count("*").alias("n"))
-
-
-@query("placebo_summary", sql(RETURNS, ", p AS (SELECT seed, avg(CASE WHEN CAST('0x' || substr(md5('sign|' || seed || '|' || ticker || '|' || CAST(day AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 THEN r ELSE -r END) AS m FROM rt, unnest(generate_series(1, 20)) t(seed) GROUP BY 1) SELECT count(*) AS n, round(avg(m), 8) + 0.0 AS mean, round(min(m), 8) + 0.0 AS lo, round(max(m), 8) + 0.0 AS hi, round(avg(CASE WHEN m < (SELECT avg(r) FROM rt) THEN 1.0::DOUBLE ELSE 0 END), 6) AS beaten FROM p").replace(")\n, p", "), p"))
-def _(spark, sf):
-    r = returns(spark, sf)
-    x = F.when(hash_int("sign", "seed", "ticker", "day") % 2 == 0, F.col("r")).otherwise(-F.col("r"))
-    p = resample.runs(r, 21).where("seed > 0").groupBy("seed").agg(F.avg(x).alias("m"))
-    actual = F.broadcast(r.agg(F.avg("r").alias("actual")))
-    return p.crossJoin(actual).agg(F.count("*").alias("n"), rnd(F.avg("m"), 8).alias("mean"), rnd(F.min("m"), 8).alias("lo"), rnd(F.max("m"), 8).alias("hi"), F.round(F.avg(F.when(F.col("m") < F.col("actual"), 1.0).otherwise(0.0)), 6).alias("beaten"))

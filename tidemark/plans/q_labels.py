@@ -142,23 +142,11 @@ def _(spark, sf):
     return z_rows(spark, sf).where("z is not null").groupBy("zone", "day").agg(part("hazard"), part("prob"))
 
 
-@query("subset_share_of_shock", sql(Z, "SELECT theme, CAST(day AS DATE) AS day, coalesce(round(abs(sum(z * vol7d) FILTER (is_deadline)), 9) > 0.5 * round(abs(sum(z * vol7d)), 9), false) AS mostly FROM zz WHERE z IS NOT NULL GROUP BY 1, 2"))
-def _(spark, sf):
-    part = F.round(F.abs(F.sum(F.when(F.col("is_deadline"), F.col("z") * F.col("vol7d")))), 9)
-    return z_rows(spark, sf).where("z is not null").groupBy("theme", "day").agg(F.coalesce(part > 0.5 * F.round(F.abs(F.sum(F.col("z") * F.col("vol7d"))), 9), F.lit(False)).alias("mostly"))
-
-
 @query("exposure_summary", sql(RETURNS, "SELECT ticker, round(avg(least(1.0::DOUBLE, 2.0 / n)), 6) + 0.0 AS mean_w, count(*) FILTER (n > 2) AS n_reduced FROM rt GROUP BY 1"))
 def _(spark, sf):
     return returns(spark, sf).groupBy("ticker").agg(rnd(F.avg(F.least(F.lit(1.0), 2.0 / F.col("n")))).alias("mean_w"), F.count_if(F.col("n") > 2).alias("n_reduced"))
 
 
-@query("signed_components", sql(CELLS, "SELECT CAST(day AS DATE) AS day, theme, round(coalesce(sum(d_vw) FILTER (zone = 'click'), 0) - coalesce(sum(d_vw) FILTER (zone = 'view'), 0), 4) + 0.0 AS x FROM ce GROUP BY 1, 2"))
-def _(spark, sf):
-    leg = F.when(F.col("zone") == "click", F.col("d_vw")).when(F.col("zone") == "view", -F.col("d_vw")).otherwise(0.0)
-    return cells(spark, sf).groupBy("day", "theme").agg(rnd(F.sum(leg), 4).alias("x"))
-
-
 @query("forecast_sum", sql(CELLS, "SELECT CAST(day AS DATE) AS day, round(sum(d_vw * (theme + 1) / 10.0::DOUBLE), 4) + 0.0 AS y FROM ce GROUP BY 1"))
 def _(spark, sf):
     coef = F.broadcast(spark.createDataFrame([(t, (t + 1) / 10) for t in range(5)], "theme int, coef double"))
@@ -176,21 +164,6 @@ def _(spark, sf):
     return cells(spark, sf).select("zone", "theme", "day", rnd("d_ew", 5).alias("d"))
 
 
-@query("counterfactual_cell", sql(Z, "SELECT zone, theme, CAST(day AS DATE) AS day, round(sum(z * vol7d) FILTER (NOT is_deadline) / nullif(sum(vol7d) FILTER (NOT is_deadline), 0), 5) + 0.0 AS d FROM zz WHERE z IS NOT NULL AND NOT is_deadline GROUP BY 1, 2, 3"))
-def _(spark, sf):
-    from tidemark.operators.changes import cell_aggregate
-
-    return cell_aggregate(z_rows(spark, sf).where("not is_deadline")).select("zone", "theme", "day", rnd("d_vw", 5).alias("d"))
-
-
-@query("event_window_slice", sql(INDEX, ", a AS (SELECT zone, theme, arg_max(day, (round(abs(d_vw), 6), day)) AS anchor FROM ix GROUP BY 1, 2) SELECT ix.zone, ix.theme, (ix.day - anchor)::INT AS off, round(d_vw, 5) + 0.0 AS d FROM ix JOIN a ON a.zone = ix.zone AND a.theme = ix.theme AND ix.day BETWEEN anchor - 3 AND anchor + 3").replace(")\n, a", "), a"))
-def _(spark, sf):
-    ix = index(spark, sf)
-    a = ix.groupBy("zone", "theme").agg(F.max_by("day", F.struct(F.round(F.abs("d_vw"), 6), "day")).alias("anchor"))
-    off = F.datediff("day", "anchor")
-    return ix.join(a, ["zone", "theme"]).withColumn("off", off).where(F.col("off").between(-3, 3)).select("zone", "theme", "off", rnd("d_vw", 5).alias("d"))
-
-
 @query("conditioners", sql(RETURNS, "SELECT ticker, day, lag(value) OVER w AS level, lag(sign(r)) OVER w + 0.0 AS sgn, max(n) OVER (PARTITION BY ticker, date_trunc('week', day)) AS week_n FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY day)"))
 def _(spark, sf):
     w = Window.partitionBy("ticker").orderBy("day")

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
-from tidemark.functions.ewm import alpha_of, decayed_sums, with_ewm_mean
 from tidemark.operators import book, regress, stats
 from tidemark.plans.base import MARKET, RETURNS, market_long, raw_tape, returns, sql, table
 from tidemark.plans.q_book import STAT, STACK, stacked, stat_out
@@ -52,11 +51,6 @@ def _(spark, sf):
     return files.export_registry(tables, scratch(spark), spark)
 
 
-@query("raw_interactions", sql(CELLS, "SELECT zone, theme, CAST(day AS DATE) AS day, round(d_vw * n_contracts, 4) + 0.0 AS x FROM ce"))
-def _(spark, sf):
-    return cells(spark, sf).select("zone", "theme", "day", rnd(F.col("d_vw") * F.col("n_contracts"), 4).alias("x"))
-
-
 @query("stress_cost_mult", sql(MARKET, "SELECT ticker, day, CASE WHEN lag(n > 4) OVER (PARTITION BY ticker ORDER BY day) THEN 0.0004::DOUBLE ELSE 0.0002::DOUBLE END AS cost FROM ml"))
 def _(spark, sf):
     return market_long(spark, sf).select("ticker", "day", F.when(F.lag(F.col("n") > 4).over(by_ticker()), 0.0004).otherwise(0.0002).alias("cost"))
@@ -65,25 +59,6 @@ def _(spark, sf):
 RI = RETURNS + ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM rt)"
 
 
-def half(x):
-    return f"sum({x} * pow(0.5::DOUBLE, (a.i - b.i) / 5.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (a.i - b.i) / 5.0::DOUBLE))"
-
-
-@query("split_signal_additive", sql(RI, f"SELECT a.ticker, a.day, round({half('CASE WHEN b.n > 1 THEN coalesce(b.r, 0) ELSE 0 END')}, 8) + 0.0 AS busy, round({half('CASE WHEN b.n > 1 THEN 0 ELSE coalesce(b.r, 0) END')}, 8) + 0.0 AS quiet FROM ri a JOIN ri b ON a.ticker = b.ticker AND b.i <= a.i AND b.i >= a.i - 270 GROUP BY 1, 2"))
-def _(spark, sf):
-    r, a = F.coalesce("r", F.lit(0.0)), alpha_of(halflife=5)
-    busy = ewm_mean(F.when(F.col("n") > 1, r).otherwise(0.0), a, ["ticker"], "day")
-    quiet = ewm_mean(F.when(F.col("n") > 1, 0.0).otherwise(r), a, ["ticker"], "day")
-    return returns(spark, sf).select("ticker", "day", rnd(busy, 8).alias("busy"), rnd(quiet, 8).alias("quiet"))
-
-
-@query("halflife_grid", sql(RI, "SELECT h, a.ticker, a.day, round(sum(coalesce(b.r, 0) * pow(0.5::DOUBLE, (a.i - b.i) / h)) / sum(pow(0.5::DOUBLE, (a.i - b.i) / h)), 7) + 0.0 AS y FROM ri a JOIN ri b ON a.ticker = b.ticker AND b.i <= a.i AND b.i >= a.i - 540 CROSS JOIN (VALUES (2.0::DOUBLE), (5.0), (10.0)) g(h) GROUP BY 1, 2, 3"))
-def _(spark, sf):
-    r = returns(spark, sf)
-    out = [r.select(F.lit(h).alias("h"), "ticker", "day", rnd(ewm_mean(F.coalesce("r", F.lit(0.0)), alpha_of(halflife=h), ["ticker"], "day"), 7).alias("y")) for h in (2.0, 5.0, 10.0)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @query("weekend_gap", sql("raw AS (SELECT event_type AS platform, ts, event_id, 0.01::DOUBLE + 0.98::DOUBLE * value / (value + 50) AS price FROM events), f AS (SELECT platform, CAST(d AS TIMESTAMP) + INTERVAL 21 HOUR AS t1, CAST(d AS TIMESTAMP) + INTERVAL 45 HOUR AS t2 FROM (SELECT DISTINCT platform, CAST(ts AS DATE) AS d FROM raw) WHERE isodow(d) = 5)", "SELECT f.platform, f.t1, round(ln((SELECT arg_min(price, (ts, event_id)) FROM raw WHERE raw.platform = f.platform AND ts >= f.t2) / (SELECT arg_max(price, (ts, event_id)) FROM raw WHERE raw.platform = f.platform AND ts <= f.t1)), 6) + 0.0 AS gap FROM f"))
 def _(spark, sf):
     from tidemark.operators.asof import asof_join
@@ -96,77 +71,9 @@ def _(spark, sf):
     return b.select("platform", "t1", rnd(F.log(F.col("price") / F.col("p1"))).alias("gap"))
 
 
-@query("signal_chain", sql(Z, "SELECT contract_id, CAST(day AS DATE) AS day, round(dv, 6) + 0.0 AS dv, round(sd, 6) + 0.0 AS sd, round(z, 5) + 0.0 AS z, eligible FROM zz"))
-def _(spark, sf):
-    return z_rows(spark, sf).select("contract_id", "day", rnd("dv").alias("dv"), rnd("sd").alias("sd"), rnd("z", 5).alias("z"), "eligible")
-
-
-@query("drop_collinear", "SELECT 'l_quantity' AS kept UNION ALL SELECT 'l_tax'")
-def _(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", (F.col("l_quantity") * 2).alias("twice"), F.lit(0.0).alias("zero"), "l_tax")
-    names = ["l_quantity", "twice", "zero", "l_tax"]
-    g, _, _ = regress.gram(l, "l_tax", names)
-    return spark.createDataFrame([(names[i],) for i in regress.independent(g)], "kept string")
-
-
-@query("gate", sql(STACK, "SELECT ticker, round(regr_slope(y, x1), 6) + 0.0 AS coef FROM st GROUP BY 1 HAVING regr_slope(y, x1) > -0.5 AND regr_slope(y, x1) < 0"))
-def _(spark, sf):
-    g = stacked(spark, sf).groupBy("ticker").agg(F.regr_slope("y", "x1").alias("b"))
-    return g.where("b > -0.5 and b < 0").select("ticker", rnd("b").alias("coef"))
-
-
-@query("wald_equal", sql(STACK, ", s AS (SELECT ticker, regr_slope(y, x1) AS b, regr_sxx(y, x1) AS sxx, regr_syy(y, x1) - regr_slope(y, x1) * regr_sxy(y, x1) AS rss, count(*) AS n FROM st GROUP BY 1), v AS (SELECT *, sxx / (rss / (n - 2)) AS w FROM s), m AS (SELECT sum(w * b) / sum(w) AS mb FROM v) SELECT count(*) - 1 AS df, round(sum(w * (b - mb) * (b - mb)), 5) + 0.0 AS chi2 FROM v, m").replace(")\n, s AS", "), s AS"))
-def _(spark, sf):
-    s = stacked(spark, sf).groupBy("ticker").agg(F.regr_slope("y", "x1").alias("b"), F.regr_sxx("y", "x1").alias("sxx"), (F.regr_syy("y", "x1") - F.regr_slope("y", "x1") * F.regr_sxy("y", "x1")).alias("rss"), F.count("*").alias("n"))
-    v = s.withColumn("w", F.col("sxx") / (F.col("rss") / (F.col("n") - 2)))
-    every = Window.partitionBy()
-    v = v.withColumn("mb", F.sum(F.col("w") * F.col("b")).over(every) / F.sum("w").over(every))
-    return v.agg((F.count("*") - 1).alias("df"), rnd(F.sum(F.col("w") * (F.col("b") - F.col("mb")) ** 2), 5).alias("chi2"))
-
-
-@query("nw_auto", sql(STACK, "SELECT ticker, round(regr_slope(y, x1), 6) + 0.0 AS beta, round(regr_intercept(y, x1), 8) + 0.0 AS alpha, count(*) AS n, CAST(floor(4 * pow(count(*) / 100.0::DOUBLE, 2 / 9.0::DOUBLE)) AS INT) AS lags, round(regr_r2(y, x1), 6) + 0.0 AS r2 FROM st GROUP BY 1"))
-def _(spark, sf):
-    g = stacked(spark, sf).groupBy("ticker").agg(*regress.simple_ols(["ticker"], "y", "x1"))
-    lags = F.floor(4 * F.pow(F.col("n") / 100.0, 2 / 9.0)).cast("int")
-    return g.select("ticker", rnd("beta").alias("beta"), rnd("alpha", 8).alias("alpha"), "n", lags.alias("lags"), rnd("r2").alias("r2"))
-
-
 @query("event_study_ci", sql(RI, ", e AS (SELECT ticker, i, sign(r) AS s FROM ri WHERE abs(r) > 0.015) SELECT k::INT AS k, count(*) AS n, round(avg(ri.r * e.s), 8) + 0.0 AS m, round(1.96::DOUBLE * stddev_samp(ri.r * e.s) / sqrt(count(*)), 8) + 0.0 AS half FROM e, unnest(generate_series(-6, 6)) t(k), ri WHERE ri.ticker = e.ticker AND ri.i = e.i + t.k AND ri.r IS NOT NULL GROUP BY 1").replace(")\n, e AS", "), e AS"))
 def _(spark, sf):
     r = returns(spark, sf).withColumn("i", F.row_number().over(by_ticker()))
     e = r.where("abs(r) > 0.015").select("ticker", F.col("i").alias("at"), F.signum("r").alias("s"), F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("k"))
     x = e.withColumn("i", F.col("at") + F.col("k")).join(r.select("ticker", "i", "r"), ["ticker", "i"]).where("r is not null").withColumn("x", F.col("r") * F.col("s"))
     return x.groupBy("k").agg(F.count("*").alias("n"), rnd(F.avg("x"), 8).alias("m"), rnd(1.96 * F.stddev_samp("x") / F.sqrt(F.count("*")), 8).alias("half"))
-
-
-@query("weekend_regression", sql(RETURNS, "SELECT f.ticker, round(regr_slope(m.r, f.r), 6) + 0.0 AS beta, regr_count(m.r, f.r)::BIGINT AS n FROM rt f JOIN rt m ON m.ticker = f.ticker AND m.day = f.day + 3 WHERE isodow(f.day) = 5 GROUP BY 1"))
-def _(spark, sf):
-    r = returns(spark, sf).select("ticker", "day", "r")
-    f = r.where(F.weekday("day") == 4).select("ticker", F.date_add("day", 3).alias("day"), F.col("r").alias("x"))
-    return f.join(r, ["ticker", "day"]).groupBy("ticker").agg(rnd(F.regr_slope("r", "x")).alias("beta"), F.regr_count("r", "x").alias("n"))
-
-
-@query("diagnostic_sweep", sql(RI, "SELECT h::INT AS h, a.ticker, round(regr_slope(b.y, a.r), 5) + 0.0 AS beta, regr_count(b.y, a.r)::BIGINT AS n FROM ri a JOIN (SELECT ticker, i - h AS i, h, sum(r) AS y FROM (SELECT g.h, x.ticker, x.i, y.r FROM ri x CROSS JOIN (VALUES (1), (5), (20)) g(h) JOIN ri y ON y.ticker = x.ticker AND y.i <= x.i AND y.i > x.i - g.h) GROUP BY ticker, i, h HAVING count(r) = h) b ON b.ticker = a.ticker AND b.i = a.i GROUP BY 1, 2"))
-def _(spark, sf):
-    r, out = returns(spark, sf), None
-    for h in (1, 5, 20):
-        w = by_ticker().rowsBetween(1, h)
-        y = r.withColumn("y", F.when(F.count("r").over(w) == h, F.sum("r").over(w)))
-        g = y.groupBy(F.lit(h).alias("h"), "ticker").agg(rnd(F.regr_slope("y", "r"), 5).alias("beta"), F.regr_count("y", "r").alias("n"))
-        out = g if out is None else out.unionByName(g)
-    return out
-
-
-@query("posthoc_placebos", sql(RETURNS, "SELECT seed::INT AS seed, ticker, round(avg(CASE WHEN seed = 0 THEN r WHEN CAST('0x' || substr(md5('post|' || seed || '|' || CAST(day AS VARCHAR)), 1, 8) AS BIGINT) % 2 = 0 THEN r ELSE -r END) * 252, 6) + 0.0 AS mean FROM rt, unnest(generate_series(0, 10)) t(seed) GROUP BY 1, 2"))
-def _(spark, sf):
-    from tidemark.functions.common import hash_int
-    from tidemark.operators.resample import runs
-
-    x = F.when((F.col("seed") == 0) | (hash_int("post", "seed", "day") % 2 == 0), F.col("r")).otherwise(-F.col("r"))
-    return runs(returns(spark, sf), 11).groupBy("seed", "ticker").agg(rnd(F.avg(x) * 252).alias("mean"))
-
-
-@query("universe_variants", sql(RETURNS, f"SELECT v, {STAT} FROM rt JOIN (VALUES ('all', '0', '9'), ('top', '0', '3'), ('low', '3', '9')) t(v, a, b) ON ticker BETWEEN a AND b WHERE r IS NOT NULL GROUP BY 1"))
-def _(spark, sf):
-    v = F.broadcast(spark.createDataFrame([("all", "0", "9"), ("top", "0", "3"), ("low", "3", "9")], "v string, a string, b string"))
-    return stat_out(stats.perf_stats(returns(spark, sf).join(v, F.expr("ticker between a and b")), ["v"]), "v")

@@ -177,36 +177,6 @@ def _(spark, sf):
     return z_rows(spark, sf).groupBy("contract_id").agg(F.min("theme").alias("theme"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), rnd(F.sum("vol1d"), 4).alias("volume"), rnd(F.sum(F.abs("z")), 4).alias("moves"))
 
 
-# -- shocks ---------------------------------------------------------------------------------------
-
-SHOCKS = (
-    INDEX
-    + """,
-sh0 AS (SELECT *, row_number() OVER (PARTITION BY zone, theme ORDER BY day) AS i FROM ix),
-sh AS (SELECT *, coalesce(d_vw > 0.6, false) AS c0, coalesce(d_vw + lag(d_vw) OVER (PARTITION BY zone, theme ORDER BY day) > 0.5, false) AS n FROM sh0)"""
-)
-
-
-def shocks(spark, sf):
-    w = Window.partitionBy("zone", "theme").orderBy("day")
-    return index(spark, sf).withColumn("c0", F.coalesce(F.col("d_vw") > 0.6, F.lit(False))).withColumn("n", F.coalesce(F.col("d_vw") + F.lag("d_vw").over(w) > 0.5, F.lit(False)))
-
-
-@query("shock_flag", sql(SHOCKS, "SELECT zone, theme, CAST(day AS DATE) AS day, c0 FROM sh"))
-def _(spark, sf):
-    return shocks(spark, sf).select("zone", "theme", "day", "c0")
-
-
-@query("shock_confirm", sql(SHOCKS.replace("WITH ", ""), """SELECT zone, theme, CAST(day AS DATE) AS day, confirmed FROM rec""").replace("\nSELECT zone, theme, CAST(day AS DATE) AS day, confirmed FROM rec", """,
-rec AS (SELECT zone, theme, day, i, c0 AS confirmed FROM sh WHERE i = 1 UNION ALL
-  SELECT s.zone, s.theme, s.day, s.i, s.c0 OR (s.n AND NOT r.confirmed) FROM rec r JOIN sh s ON s.zone = r.zone AND s.theme = r.theme AND s.i = r.i + 1)
-SELECT zone, theme, CAST(day AS DATE) AS day, confirmed FROM rec""").replace("WITH raw", "WITH RECURSIVE raw"))
-def _(spark, sf):
-    first = F.row_number().over(Window.partitionBy("zone", "theme").orderBy("day")) == 1
-    s = shocks(spark, sf).withColumn("n", F.col("n") & ~first)
-    return changes.confirmed_shocks(s, ["zone", "theme"], "day").select("zone", "theme", "day", "confirmed")
-
-
 # -- market series --------------------------------------------------------------------------------
 
 
@@ -398,13 +368,3 @@ def _(spark, sf):
 def _(spark, sf):
     w = Window.partitionBy("ticker").orderBy("r", "day")
     return returns(spark, sf).where("r is not null").withColumn("k", F.row_number().over(w)).where("k <= 5").select("ticker", "day", "k")
-
-
-@query("cell_signal", sql(RT_I, """, e AS (SELECT a.ticker, a.day, a.i, any_value(a.n) AS n, sum(CASE WHEN b.n > 1 THEN coalesce(b.r, 0) ELSE 0 END * pow(0.5::DOUBLE, (a.i - b.i) / 5.0::DOUBLE)) / sum(pow(0.5::DOUBLE, (a.i - b.i) / 5.0::DOUBLE)) AS s FROM ri a JOIN ri b ON a.ticker = b.ticker AND b.i <= a.i AND b.i >= a.i - 300 GROUP BY 1, 2, 3)
-SELECT ticker, day, CASE WHEN count(*) FILTER (n > 1) OVER w >= 20 THEN round(s / stddev_samp(s) OVER w, 6) + 0.0 ELSE 0 END AS z FROM e WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""").replace(")\n, e", "), e"))
-def _(spark, sf):
-    x = F.when(F.col("n") > 1, F.coalesce("r", F.lit(0.0))).otherwise(0.0)
-    e = with_ewm_mean(returns(spark, sf), "s", x, alpha_of(halflife=5), ["ticker"], "day")
-    w = by_ticker().rowsBetween(Window.unboundedPreceding, -1)
-    z = F.when(F.count_if(F.col("n") > 1).over(w) >= 20, rnd(F.col("s") / F.stddev_samp("s").over(w))).otherwise(0.0)
-    return e.select("ticker", "day", z.alias("z"))
