@@ -36,6 +36,49 @@ def test_toxicity_chain_feeds_forward(spark):
     assert kept.columns == docs(spark, data).columns and kept.count() == 80
 
 
+def test_toxicity_chain_against_plain_numpy(spark):
+    rng = random.Random(7)
+    words = ["bad", "awful", "good", "fine", "plain", "stone", "river", "cloud"]
+    data = [(i, " ".join(rng.choices(words, k=rng.randint(3, 12))) + "!" * (i % 4) + str(i % 5), "s") for i in range(150)]
+    marks = [(i, int("awful" not in t), int("bad" in t and rng.random() < 0.9)) for i, t, _ in data]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    chain = toxicity.fit_chain(docs(spark, data), labels, ridge=0.5, folds=3)
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.score(docs(spark, data), chain).collect()}
+
+    def fit(x, y):
+        w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], 0.5)
+        pull[0] = 1e-6
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(pull), x.T @ (p - y) + pull * w)
+        return w
+
+    present = np.zeros((len(data), len(chain.vocabulary)))
+    for i, (_, text, _) in enumerate(data):
+        letters = ["".join(c for c in w if c.isalpha()) for w in text.split()]
+        for w in letters:
+            for f in (w, *[w[:k] + "*" for k in (4, 5, 6) if len(w) >= k]):
+                if f in chain.vocabulary:
+                    present[i, chain.vocabulary[f]] = 1
+    dense = np.array([toxicity.measures(t, len(t.split())) for _, t, _ in data])
+    x = np.hstack([np.ones((len(data), 1)), (dense - dense.mean(0)) / (dense.std(0) + 1e-9), present])
+    y = np.array([[1 - q, t] for _, q, t in marks], float)
+    fold = np.array([i * 2654435761 % 2**32 * 3 >> 32 for i, _, _ in marks])
+    first = fit(x, y[:, 0])
+    held = np.concatenate([[0.0] * len(data)])
+    for f in range(3):
+        held[fold == f] = x[fold == f] @ fit(x[fold != f], y[fold != f, 0])
+    second = fit(np.hstack([x, np.clip(held, -12, 12)[:, None]]), y[:, 1])
+    z = x @ first
+    want = np.column_stack([z, np.hstack([x, np.clip(z, -12, 12)[:, None]]) @ second])
+    want = 1 / (1 + np.exp(-want))
+    assert np.allclose([got[i] for i, _, _ in data], want, atol=1e-4)
+    other = docs(spark, data).withColumnsRenamed({"text": "body", "doc_id": "key"})
+    named = labels.withColumnRenamed("doc_id", "key")
+    again = toxicity.classify(other, named, ridge=0.5, folds=3, id_col="key", text_col="body")
+    assert again.where("toxic").count() == toxicity.classify(docs(spark, data), labels, ridge=0.5, folds=3).where("toxic").count()
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(None, 1, 1), (3, None, 1), (4, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
     got = toxicity.classify(docs(spark, ODD).withColumnRenamed("lang", "toxic"), labels)

@@ -207,3 +207,14 @@ def test_lines_with_ids_of_all_sizes(spark):
     got = line_dedup.dedup_lines(df).collect()
     assert {r["doc_id"]: r["text"] for r in got} == {2**62 + 5: "", 2**62 + 6: "", None: "", -5: "other\n" + line}
     assert all((r["rid"], r["removed"], r["__at"], r["__text"]) == (1, 2, 3, 4) for r in got)
+
+
+def test_joined_classes_equal_components_of_all_links(spark):
+    rng = random.Random(3)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    more = [(rng.randrange(80), rng.randrange(80)) for _ in range(25)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long").where("a <> b")
+    classes = links.components(frame(first))
+    got = {r["id"]: r["component"] for r in links.joined_classes(classes, frame(more)).collect()}
+    want = {r["id"]: r["component"] for r in links.components(frame(first + more)).collect()}
+    assert got == want

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from tests.llm.test_models import check_pieces, library_encode
 from tests.llm.test_near import brute_lines, lcs, union
-from tests.llm.util import SMALL
+from tests.llm.util import ODD, SMALL, docs
 
 from tidemark.llm import mixing, registry, toxicity
 
@@ -69,3 +69,17 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").limit(50)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs(spark, ODD).selectExpr("*", "1 as __at", "2 as __n", "3 as __text", "4 as __removed", "5 as n", "6 as times", "7 as copies", "8 as rid")
+    for frame in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, str(tmp_path))
+            assert out.columns == frame.columns, name
+            rows = out.collect()
+            assert len(rows) <= 3 * len(ODD) and all((r["__at"], r["__n"], r["__text"], r["__removed"], r["n"], r["rid"]) == (1, 2, 3, 4, 5, 8) for r in rows)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
+        assert (pieces.count() > 0) == (frame is odd)

@@ -105,11 +105,14 @@ class JaccardMatcher(Matcher):
 
     #: shingle sets of lines up to so many characters are kept for later pairs
     SHORT = 8192
+    #: minimum hashes beyond those of the bands, of candidates only
+    MORE = 192
 
     def __init__(self, k: int, threshold: float, bands: int, rows: int):
         self.hashes, self.threshold, self.k = LineHashes(k, bands, rows), threshold, k
-        # four standard deviations under the threshold
-        self.least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
+        # further functions tell pairs near the threshold better apart; four and a half standard deviations under it
+        self.more = LineHashes(k, 1, self.MORE, seed=13)
+        self.stages = [(n, threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / n)) for n in (bands * rows, bands * rows + self.MORE)]
         self.kept = functools.lru_cache(maxsize=4096)(self.shingles)
 
     def shingles(self, line: str) -> np.ndarray:
@@ -120,7 +123,8 @@ class JaccardMatcher(Matcher):
 
     def sketch(self, texts):
         low = self.hashes.least_of_all(texts)
-        return np.ascontiguousarray(self.hashes.keys(low).T), np.ascontiguousarray((low.T >> np.uint32(24)).astype(np.uint8))
+        mins = np.concatenate([low, self.more.least_of_all(texts)])
+        return np.ascontiguousarray(self.hashes.keys(low).T), np.ascontiguousarray((mins.T >> np.uint32(8)).astype(np.uint8))
 
     def check(self, x, y):
         p, q = (self.kept(t) if len(t) <= self.SHORT else self.shingles(t) for t in (x, y))

@@ -110,12 +110,13 @@ def candidate_runs(items: DataFrame, make_signer: Callable[[], Signer], n_bucket
 class Matcher:
     """How candidates are judged; made anew in each task.
 
-    ``sketch(texts)`` gives for each text its keys and a row of minimum hashes (uint8);
-    ``least`` is the share of equal minimum hashes under which a pair can't be linked (several
-    standard deviations under the threshold); ``check(text, text)`` decides.
+    ``sketch(texts)`` gives for each text its keys and a row of minimum hashes (eight of their lower
+    bits, as the upper ones of a minimum are mostly 0); ``stages`` has (n, share) pairs: with a smaller share
+    of equals among the first n minimum hashes a pair isn't taken to be linked (several standard deviations
+    under the threshold); ``check(text, text)`` decides.
     """
 
-    least = 0.0
+    stages: list[tuple[int, float]] = []
 
     def sketch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -124,6 +125,14 @@ class Matcher:
         raise NotImplementedError
 
 
+def near(p: np.ndarray, q: np.ndarray, stages: list[tuple[int, float]]) -> np.ndarray:
+    """Numbers of the rows of minimum hashes that are alike enough at every stage."""
+    left = np.arange(len(p))
+    for n, share in stages:
+        left = left[(p[left, :n] == q[left, :n]).mean(1) >= share]
+    return left
+
+
 def with_sketches(payload: DataFrame, make_matcher: Callable[[], Matcher]) -> DataFrame:
     """(id, text) to (id, text, keys, mins)."""
 
@@ -146,11 +155,12 @@ def verified(pairs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Ma
     def run(batches):
         matcher = make_matcher()
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in ("p", "q"))
-            near = (p == q).reshape(batch.num_rows, -1).mean(1) >= matcher.least if batch.num_rows else []
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            ok = pa.array([bool(n) and matcher.check(x[i], y[i]) for i, n in enumerate(near)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(ok)
+            if not batch.num_rows:
+                continue
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("p", "q"))
+            x, y = batch.column("x"), batch.column("y")
+            linked = [i for i in near(p, q, matcher.stages).tolist() if matcher.check(x[i].as_py(), y[i].as_py())]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(linked, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
     left = payload.select(F.col("id").alias("a"), F.col("text").alias("x"), F.col("mins").alias("p"))
     right = payload.select(F.col("id").alias("b"), F.col("text").alias("y"), F.col("mins").alias("q"))
@@ -158,9 +168,11 @@ def verified(pairs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Ma
     return both.select("a", "x", "p", "b", "y", "q").mapInArrow(run, "a long, b long")
 
 
-def _near_pairs(order: np.ndarray, run: np.ndarray, split: np.ndarray, own, classes, key, keys, mins, least: float):
+def _near_pairs(order: np.ndarray, run: np.ndarray, split: np.ndarray, own, classes, parent, key, keys, mins, stages):
     """Pairs (i, j) worth checking: of one run and of different classes.
 
+    ``classes`` are numbers into ``parent``, the union-find array, which may be joined further while pairs are taken.
+
     ``order`` lists positions by run and class, ``run`` and ``split`` belong to it.  Left out are pairs on one
     side where two sides meet, pairs that share an earlier key, and pairs with too few equal minimum hashes.
     """
@@ -174,18 +186,23 @@ def _near_pairs(order: np.ndarray, run: np.ndarray, split: np.ndarray, own, clas
     reach = np.cumsum(run_end - class_end)
     at = 0
     while at < n:
-        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 100_000, side="right")))
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + 50_000, side="right")))
         count = (run_end - class_end)[at:stop]
         left = np.repeat(np.arange(at, stop), count)
         begin = np.cumsum(count) - count
         right = np.arange(len(left)) - np.repeat(begin - class_end[at:stop], count)
         keep = ~split[left] | (own[order[left]] != own[order[right]])
         i, j = order[left[keep]], order[right[keep]]
-        near = (mins[i] == mins[j]).mean(1) >= least
-        i, j = i[near], j[near]
+        apart = parent[classes[i]] != parent[classes[j]]
+        i, j = i[apart], j[apart]
+        for n_mins, share in stages:
+            alike = (mins[i, :n_mins] == mins[j, :n_mins]).mean(1) >= share
+            i, j = i[alike], j[alike]
         first = (keys[i] == keys[j]).argmax(1)
         mine = keys[i, first] == key[i]
         yield from zip(i[mine].tolist(), j[mine].tolist())
+        while (parent != parent[parent]).any():
+            parent[:] = parent[parent]
         at = stop
 
 
@@ -214,16 +231,17 @@ def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], M
         order = np.lexsort((ids, c, hi, lo, key))
         k, low, high = key[order], lo[order], hi[order]
         run = np.cumsum(np.concatenate([[True], (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        parent: dict[int, int] = {}
+        classes = np.unique(c, return_inverse=True)[1]
+        parent = np.arange(classes.max(initial=0) + 1)
 
         def find(x):
-            while (up := parent.get(x, x)) != x:
+            while (up := int(parent[x])) != x:
                 x = up
             return x
 
         out = []
-        for i, j in _near_pairs(order, run, low != high, own, c, key, keys, mins, matcher.least):
-            a, b = find(int(c[i])), find(int(c[j]))
+        for i, j in _near_pairs(order, run, low != high, own, classes, parent, key, keys, mins, matcher.stages):
+            a, b = find(classes[i]), find(classes[j])
             if a != b and matcher.check(texts[i].as_py(), texts[j].as_py()):
                 parent[max(a, b)] = min(a, b)
                 out.append((int(ids[i]), int(ids[j])))
@@ -285,4 +303,16 @@ def linked_classes(runs: DataFrame, payload: DataFrame, make_matcher: Callable[[
     second = materialize(run_links(placed.join(mixed, "key"), payload, make_matcher), "links")
     if not second.limit(1).count():
         return classes
-    return components(first.unionByName(second))
+    return joined_classes(classes, second)
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (id, component) after further links (a, b); only the graph of the classes is walked again."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    fresh = ends.join(classes, "id", "left_anti").withColumn("component", F.col("id"))
+    known = materialize(classes.select("id", "component").unionByName(fresh), "classes")
+    left = known.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    right = known.select(F.col("id").alias("b"), F.col("component").alias("y"))
+    between = links.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    moved = components(between).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return known.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))

@@ -204,14 +204,14 @@ class AlignmentMatcher(Matcher):
         self.k, self.threshold, self.take = k, threshold, take
         self.functions = hash_functions(sketches)
         self.hashes = _WordHash()
-        # four standard deviations under the threshold
-        self.least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / sketches)
+        # so far under the threshold that a pair at it is missed less often than by the sketches themselves
+        self.stages = [(sketches, threshold - 5.5 * math.sqrt(threshold * (1 - threshold) / sketches))]
         self.shingles = functools.lru_cache(maxsize=512)(lambda text: shingle_hashes(text.split(), k, self.hashes))
 
     def sketch(self, texts):
         parts = [shingle_hashes(t.split(), self.k, self.hashes) for t in texts]
         keys, least = _sketch(parts, *self.functions, self.take)
-        return np.ascontiguousarray(keys.T), np.ascontiguousarray((least.T >> np.uint64(56)).astype(np.uint8))
+        return np.ascontiguousarray(keys.T), np.ascontiguousarray((least.T >> np.uint64(32)).astype(np.uint8))
 
     def check(self, x, y):
         return aligned_similarity(self.shingles(x), self.shingles(y), self.threshold) >= self.threshold

@@ -281,20 +281,21 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float | None =
     """
     chain = fit_chain(documents, labels, **fit)
     limit = chain.threshold if threshold is None else threshold
-    return score(documents, chain).withColumn("toxic", F.col(f"p_{chain.categories[-1]}") >= limit)
+    names = {k: fit[k] for k in ("id_col", "text_col") if k in fit}
+    return score(documents, chain, **names).withColumn("toxic", F.col(f"p_{chain.categories[-1]}") >= limit)
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float | None = None, **fit) -> DataFrame:
     """The documents that are not toxic, with their own columns; texts are scored in place."""
     chain = fit_chain(documents, labels, **fit)
     limit = chain.threshold if threshold is None else threshold
-    columns = documents.columns
+    text_at = documents.columns.index(fit.get("text_col", "text"))
     schema = documents.schema
 
     def run(batches):
         features = _features_of(chain.vocabulary)
         for b in batches:
-            texts = b.column(columns.index("text")).to_pylist()
+            texts = b.column(text_at).to_pylist()
             got = [features(t or "") for t in texts]
             p = chain.predict([g[0] for g in got], np.array([g[1] for g in got]).reshape(-1, N_MEASURES))
             yield b.filter(pa.array(p[:, -1] < limit))
