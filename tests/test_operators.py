@@ -2,13 +2,15 @@
 
 import datetime as dt
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import clip, hazard, word_number
-from tidemark.functions.ewm import alpha_of, ewm_mean, ewm_recursive, ewm_var
-from tidemark.operators import asof, book, changes, grid, labels, regress, resample, stats, tape
+from tidemark.functions.ewm import alpha_of, frame_rows, with_ewm_mean, with_ewm_recursive, with_ewm_var
+from tidemark.operators import asof, book, changes, grid, labels, market, regress, resample, shocks, stats, tape
 
 
 def day(n, start=dt.date(2024, 1, 1)):
@@ -67,25 +69,41 @@ def test_asof_strictness(spark):
 
 
 def test_ewm_against_loops(spark):
-    xs = [1.0, None, 3.0, -2.0, 5.0, None, 4.0]
-    a, d = alpha_of(span=4), 1 - alpha_of(span=4)
+    rng = random.Random(4)
+    a = alpha_of(halflife=2)
+    d, n = 1 - a, 3 * frame_rows(a) + 7  # over several blocks
+    xs = [None if i and rng.random() < 0.2 else rng.gauss(0, 1) for i in range(n)]
     s = series(spark, xs)
-    got = [r["y"] for r in s.withColumn("y", ewm_mean(F.col("x"), a, ["k"], "day")).orderBy("day").collect()]
+    got = [r["y"] for r in with_ewm_mean(s, "y", F.col("x"), a, ["k"], "day").orderBy("day").collect()]
     num = den = 0.0
     for x, y in zip(xs, got):
         num, den = num * d + (x or 0.0), den * d + (x is not None)
-        assert y == pytest.approx(num / den)
+        assert y == pytest.approx(num / den, abs=1e-12)
     full = [x or 0.0 for x in xs]
-    got = [r["y"] for r in series(spark, full).withColumn("y", ewm_recursive(F.col("x"), a, ["k"], "day")).orderBy("day").collect()]
+    got = [r["y"] for r in with_ewm_recursive(series(spark, full), "y", F.col("x"), a, ["k"], "day").orderBy("day").collect()]
     state = None
     for x, y in zip(full, got):
         state = x if state is None else d * state + a * x
-        assert y == pytest.approx(state)
-    got = [r["y"] for r in series(spark, full).withColumn("y", ewm_var(F.col("x"), a, ["k"], "day")).orderBy("day").collect()]
-    w = [d ** (len(full) - 1 - i) for i in range(len(full))]
-    m = sum(a_ * b for a_, b in zip(w, full)) / sum(w)
-    var = sum(a_ * (b - m) ** 2 for a_, b in zip(w, full)) / sum(w) * sum(w) ** 2 / (sum(w) ** 2 - sum(x * x for x in w))
-    assert got[0] is None and got[-1] == pytest.approx(var)
+        assert y == pytest.approx(state, abs=1e-12)
+    got = [r["y"] for r in with_ewm_var(series(spark, full), "y", F.col("x"), a, ["k"], "day").orderBy("day").collect()]
+    assert got[0] is None
+    for last in (1, 40, n - 1):
+        w = [d ** (last - i) for i in range(last + 1)]
+        m = sum(p * q for p, q in zip(w, full)) / sum(w)
+        var = sum(p * (q - m) ** 2 for p, q in zip(w, full)) / sum(w) * sum(w) ** 2 / (sum(w) ** 2 - sum(p * p for p in w))
+        assert got[last] == pytest.approx(var)
+
+
+def test_expanding_median_against_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(u, day(rng.randint(0, 12)), rng.choice([0.0, None, rng.gauss(0, 1), round(rng.gauss(0, 1), 1)])) for u in ("p", "q") for _ in range(90)]
+    got = {(r["unit"], r["day"]): r["fallback"] for r in changes.fallback_scale(spark.createDataFrame(rows, "unit string, day date, dv double")).collect()}
+    want = {}
+    for u, d, _ in rows:
+        past = [abs(v) for x, y, v in rows if x == u and y < d and v is not None]
+        if past:
+            want[u, d] = 1.4826 * float(np.median(past))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_gap_scaling_and_causality(spark):
@@ -103,8 +121,6 @@ def test_gap_scaling_and_causality(spark):
 
 
 def test_shock_parity_equals_the_loop(spark):
-    import random
-
     rng = random.Random(2)
     for _ in range(3):
         flags = [(rng.random() < 0.3, rng.random() < 0.6) for _ in range(40)]
@@ -117,51 +133,176 @@ def test_shock_parity_equals_the_loop(spark):
         assert got == want
 
 
-def test_drawdown_dates(spark):
-    d = stats.drawdowns(series(spark, [0.1, -0.5, 0.0, 1.0, 0.0]).withColumnRenamed("x", "r"), ["k"], "day")
-    e = stats.drawdown_episodes(d, ["k"], "day").collect()
-    assert len(e) == 1 and e[0]["depth"] == pytest.approx(-0.5) and e[0]["trough"] == day(1) and e[0]["recovery"] == day(3)
-
-
-def test_pnl_next_day_and_round_trip_cost(spark):
-    rows = [("a", day(i), w, r) for i, (w, r) in enumerate(zip([1.0, 0.0, 0.0, 0.0], [0.0, 0.01, 0.02, -0.01]))]
-    p = book.position_pnl(spark.createDataFrame(rows, "k string, day date, w double, r double"), ["k"], "day").orderBy("day").collect()
-    assert [x["pnl"] for x in p] == [0, 0.01, 0, 0]
-    trip = [("a", day(i), w, 0.0) for i, w in enumerate([0.0, 2.0, 2.0, 0.0, 0.0, 0.0])]
-    c = book.position_pnl(spark.createDataFrame(trip, "k string, day date, w double, r double"), ["k"], "day", half_spread=0.0002)
-    assert c.agg(F.sum("cost")).first()[0] == pytest.approx(0.0008)
-
-
-def test_band_caps_and_waterfill(spark):
-    b = book.no_trade_band(series(spark, [1.0, 1.05, 1.2, 0.0]), ["k"], "day", "x", 0.10)
-    assert [r["held"] for r in b.orderBy("day").collect()] == [1, 1, 1.2, 0]
-    w = spark.createDataFrame([("a", i, x) for i, x in enumerate([0.7, 0.2, 0.1, 0.0001])] + [("b", 0, 0.9), ("b", 1, 0.1)], "leg string, i int, w double")
-    got = {(r["leg"], r["i"]): r["filled"] for r in book.waterfill(w, ["leg"], "w", 0.4, "i").collect()}
-    assert sum(v for (leg, _), v in got.items() if leg == "a") == pytest.approx(1) and max(v for v in got.values() if v < 0.5) == pytest.approx(0.4)
-    assert got[("b", 0)] == got[("b", 1)] == 0.5
-    c = {r["i"]: r["capped"] for r in book.cap_weights(w.where("leg = 'b'"), ["leg"], 0.5, 0.3).collect()}
-    assert c[0] == pytest.approx(0.25) and c[1] == pytest.approx(0.05)
-
-
-def test_timing_and_legs(spark):
-    got = [r[0] for r in spark.createDataFrame([(i,) for i in range(5)], "s int").select(book.timing_exposure("s", 0.25, 4)).collect()]
-    assert got == [0.25, 0.4375, 0.625, 0.8125, 1.0]
-    got = [r[0] for r in spark.createDataFrame([(n,) for n in (2, 4, 6, 9, 17)], "n int").select(book.leg_sizes("n")).collect()]
-    assert got == [1, 1, 2, 3, 5]
-
-
-def test_panel_regression_recovers_slope(spark):
-    import random
-
-    rng = random.Random(0)
+def test_drawdowns_against_a_loop(spark):
+    rng = random.Random(8)
+    rs = [rng.gauss(0, 0.03) for _ in range(60)]
+    d = stats.drawdowns(series(spark, rs).withColumnRenamed("x", "r"), ["k"], "day")
+    got = sorted((r["peak"], r["trough"], r["recovery"], round(r["depth"], 9)) for r in stats.drawdown_episodes(d, ["k"], "day").collect())
+    wealth, want, at = np.cumprod(1 + np.array(rs)), [], 0
+    while at < len(rs):
+        end = at + 1
+        while end < len(rs) and wealth[end] < wealth[at]:
+            end += 1
+        if end > at + 1:
+            low = at + int(np.argmin(wealth[at:end]))
+            want.append((day(at), day(low), day(end) if end < len(rs) else None, round(wealth[low] / wealth[at] - 1, 9)))
+        at = end
+    assert got == sorted(want)
+
+
+def test_book_against_loops(spark):
+    rng = random.Random(9)
+    ws, rs = [rng.choice([0.0, rng.uniform(-2, 2)]) for _ in range(50)], [rng.gauss(0, 0.01) for _ in range(50)]
+    df = spark.createDataFrame([("a", day(i), w, r) for i, (w, r) in enumerate(zip(ws, rs))], "k string, day date, w double, r double")
+    got = book.position_pnl(df, ["k"], "day", half_spread=0.003).orderBy("day").collect()
+    for i, row in enumerate(got):
+        before = ws[i - 1] if i else 0.0
+        assert row["pnl"] == pytest.approx(before * rs[i]) and row["cost"] == pytest.approx(abs(ws[i] - before) * 0.003)
+    band = [r["held"] for r in book.no_trade_band(df, ["k"], "day", "w", 0.3).orderBy("day").collect()]
+    last = 0.0
+    for w, held in zip(ws, band):
+        if last == 0 or w == 0 or abs(w - last) > 0.3 * abs(last):
+            last = w
+        assert held == last
+
+
+def test_caps_and_waterfill_against_loops(spark):
+    rng = random.Random(10)
+    legs = {leg: [rng.random() ** 3 + 1e-3 for _ in range(n)] for leg, n in (("x", 7), ("y", 3), ("z", 12))}
+    legs = {leg: [v / sum(vs) for v in vs] for leg, vs in legs.items()}
+    df = spark.createDataFrame([(leg, i, v) for leg, vs in legs.items() for i, v in enumerate(vs)], "leg string, i int, w double")
+    got = {(r["leg"], r["i"]): r["filled"] for r in book.waterfill(df, ["leg"], "w", 0.25, "i").collect()}
+    for leg, vs in legs.items():
+        out = list(vs)
+        if len(vs) * 0.25 < 1:
+            out = [1 / len(vs)] * len(vs)
+        else:
+            for _ in range(len(vs) + 1):
+                full = [v >= 0.25 - 1e-12 for v in out]
+                free = sum(v for v, f in zip(vs, full) if not f)
+                out = [0.25 if f else v * (1 - 0.25 * sum(full)) / free for v, f in zip(vs, full)]
+        assert [got[leg, i] for i in range(len(vs))] == pytest.approx(out)
+    capped = {(r["leg"], r["i"]): r["capped"] for r in book.cap_weights(df, ["leg"], 0.3, 0.8).collect()}
+    for leg, vs in legs.items():
+        out = [min(v, 0.3 * sum(vs)) for v in vs]
+        scale = min(1.0, 0.8 / sum(out))
+        assert [capped[leg, i] for i in range(len(vs))] == pytest.approx([v * scale for v in out])
+
+
+def test_timing_and_legs_against_formulas(spark):
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in range(9)], "s int").select(book.timing_exposure("s", 0.4, 7)).collect()]
+    assert got == pytest.approx([min(1.0, 0.4 + 0.6 * i / 7) for i in range(9)])
+    ns = range(1, 23)
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in ns], "n int").select(book.leg_sizes("n")).collect()]
+    assert got == [max(1, n // 3) for n in ns]
+
+
+def test_covariance_and_target_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.01, (40, 3))
+    x[5, 1] = np.nan
+    rows = [("abc"[j], day(i), None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(40) for j in range(3)]
+    df = spark.createDataFrame(rows, "ticker string, day date, rx double")
+    got = {(r["day"], r["a"], r["b"]): r["c"] for r in market.ewma_cov(df, span=9, min_rows=20).collect()}
+    s, w, z = None, np.array([1.0, -0.5, 0.2]), np.nan_to_num(x)
+    weights = spark.createDataFrame([("abc"[j], day(i), float(w[j])) for i in range(40) for j in range(3)] + [("a", day(50), 1.0)], "ticker string, day date, w double")
+    scale = {r["day"]: r["k"] for r in market.target_scale(weights, market.ewma_cov(df, span=9, min_rows=20), 0.1).collect()}
+    assert scale[day(50)] is None and scale[day(3)] is None
+    for i in range(40):
+        o = np.outer(z[i], z[i])
+        s = o if s is None else 0.8 * s + 0.2 * o
+        if i >= 19:
+            assert got[day(i), "a", "c"] == pytest.approx(s[0, 2]) and got[day(i), "b", "b"] == pytest.approx(s[1, 1])
+            assert scale[day(i)] == pytest.approx(0.1 / math.sqrt(252 * w @ s @ w))
+    assert len(got) == 21 * 6
+
+
+def test_held_weights_and_listed_tilt(spark):
+    w = spark.createDataFrame([(day(2), "a", 1.0), (day(2), "b", -1.0), (day(5), "a", 0.5)], "day date, ticker string, w double")
+    days = spark.createDataFrame([(day(i),) for i in range(8)], "day date")
+    got = {(r["day"], r["ticker"]): r["w"] for r in market.held(w, days).collect()}
+    want = {(day(i), t): v for i in (2, 3, 4) for t, v in (("a", 1.0), ("b", -1.0))} | {(day(i), "a"): 0.5 for i in (5, 6, 7)}
+    assert got == want
+    v = spark.createDataFrame([(day(i), t, None if (i, t) == (1, "b") else 0.1 * (j + 1)) for i in range(3) for j, t in enumerate("abcd")], "day date, ticker string, vol double")
+    side = F.when(F.col("ticker").isin("a", "b"), 1).when(F.col("ticker") == "c", -1)
+    got = {(r["day"], r["ticker"]): r["w"] for r in market.list_tilt(v, side).collect()}
+    assert {d for d, _ in got} == {day(0), day(2)}
+    assert [got[day(0), t] for t in "abc"] == pytest.approx([2 / 3, 1 / 3, -1.0])
+
+
+def panel(seed, n=120):
+    rng = np.random.default_rng(seed)
     rows = []
-    for p in "abc":
-        for i in range(200):
-            x = rng.gauss(0, 1)
-            rows.append((p, i, 0.002 * x + rng.gauss(0, 0.004), x, 2 * x, 1.0))
-    fit = regress.panel_fit(spark.createDataFrame(rows, "pair string, t int, y double, x double, twice double, one double"), "pair", "t", "y", ["x", "twice", "one"], lags=3)
-    assert [r["regressor"] for r in fit] == ["x"]
-    assert abs(fit[0]["coef"] - 0.002) < 0.0007 and fit[0]["t"] > 3 and fit[0]["n"] == 600
+    for j, p in enumerate("pqr"):
+        x = rng.normal(0, 1, n)
+        y = 0.3 * (j + 1) * x + rng.normal(0, 1, n) + j
+        rows += [(p, i, float(y[i]), float(x[i]), float(3 * x[i]), 2.0) for i in range(n)]
+    return rows
+
+
+def lagged(h, lags):
+    s = h.T @ h
+    for l in range(1, lags + 1):
+        g = h[l:].T @ h[:-l]
+        s = s + (1 - l / (lags + 1)) * (g + g.T)
+    return s
+
+
+def test_panel_slopes_and_wald_against_numpy(spark):
+    rows = panel(1)
+    df = spark.createDataFrame(rows, "pair string, t int, y double, x double, triple double, flat double")
+    y, x = (np.array([r[c] for r in rows]).reshape(3, -1) for c in (2, 3))
+    yc, xc = y - y.mean(1, keepdims=True), x - x.mean(1, keepdims=True)
+    b = (xc * yc).sum() / (xc * xc).sum()
+    se = math.sqrt(lagged((xc * (yc - b * xc)).sum(0)[:, None], 4)[0, 0]) / (xc * xc).sum()
+    fit = regress.panel_fit(df, "pair", "t", "y", ["x", "triple", "flat"], lags=4)
+    assert [r["regressor"] for r in fit] == ["x"] and fit[0]["n"] == len(rows)
+    assert fit[0]["coef"] == pytest.approx(b) and fit[0]["se"] == pytest.approx(se)
+    one = regress.panel_slopes(df.withColumn("lags", F.lit(4)).withColumn("g", F.lit("all")), ["g"], "pair", "t", "y", "x", "lags").first()
+    assert one["coef"] == pytest.approx(b) and one["t"] == pytest.approx(b / se) and one["n"] == len(rows)
+    bs, xx = (xc * yc).sum(1) / (xc * xc).sum(1), (xc * xc).sum(1)
+    v = lagged((xc * (yc - bs[:, None] * xc)).T, 4) / np.outer(xx, xx)
+    r = np.array([[1.0, -1.0, 0.0], [0.0, 1.0, -1.0]])
+    wald = (r @ bs) @ np.linalg.inv(r @ v @ r.T) @ (r @ bs)
+    got = regress.wald_equal_slopes(df, "pair", "t", "y", "x", lags=4)
+    assert got["n"] == 3 and got["wald"] == pytest.approx(wald) and got["p"] == pytest.approx(math.exp(-wald / 2))
+    assert regress.wald_equal_slopes(df.where("pair = 'p'"), "pair", "t", "y", "x")["wald"] is None
+
+
+def test_chi2_tail():
+    for x in (0.5, 3.0, 9.0):
+        assert regress.chi2_tail(x, 1) == pytest.approx(math.erfc(math.sqrt(x / 2)))
+        assert regress.chi2_tail(x, 4) == pytest.approx(math.exp(-x / 2) * (1 + x / 2))
+        assert regress.chi2_tail(x, 3) == pytest.approx(math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2))
+
+
+def test_newey_west_auto_against_numpy(spark):
+    rows = [r for r in panel(2) if r[0] == "q"]
+    df = spark.createDataFrame(rows, "pair string, t int, y double, x double, triple double, flat double")
+    y, x = (np.array([r[c] for r in rows]) for c in (2, 3))
+    m = np.column_stack([np.ones(len(x)), x])
+    b = np.linalg.solve(m.T @ m, m.T @ y)
+    lags = math.floor(4 * (len(x) / 100) ** (2 / 9))
+    inv = np.linalg.inv(m.T @ m)
+    cov = inv @ lagged(m * (y - m @ b)[:, None], lags) @ inv
+    got = regress.newey_west_auto(df, ["pair"], "t", "y", "x").first()
+    assert got["lags"] == lags and got["beta"] == pytest.approx(b[1]) and got["alpha"] == pytest.approx(b[0])
+    assert got["t"] == pytest.approx(b[1] / math.sqrt(cov[1, 1])) and got["t_alpha"] == pytest.approx(b[0] / math.sqrt(cov[0, 0]))
+
+
+def test_cell_signal_waits_for_active_days(spark):
+    rng = random.Random(12)
+    rows = [("c", day(i), rng.gauss(0, 1), int(rng.random() < 0.8)) for i in range(70)]
+    got = shocks.cell_signal(spark.createDataFrame(rows, "c string, day date, d double, n_contracts int"), ["c"], 4.0).orderBy("day").collect()
+    d, s, num, den = 0.5 ** (1 / 4), [], 0.0, 0.0
+    for _, _, x, n in rows:
+        num, den = num * d + (x if n else 0.0), den * d + 1
+        s.append(num / den)
+    for i, r in enumerate(got):
+        before = [n for _, _, _, n in rows[:i]]
+        used = [s[j] for j in range(i) if sum(before[:j]) > 0]
+        z = s[i] / np.std(used, ddof=1) if sum(before) >= 20 and len(used) >= 20 else 0.0
+        assert r["z"] == pytest.approx(z)
 
 
 def test_resampling_keeps_months_and_lengths(spark):
@@ -179,6 +320,33 @@ def test_labels(spark):
     a, b, c = labels.first_match("t", [("r1", "paged", r"page=\d+"), ("r2", "ring", "ring")])
     got = {r["id"]: (r["a"], r["b"], r["c"]) for r in df.select("id", a.alias("a"), b.alias("b"), c.alias("c")).collect()}
     assert got == {1: ("paged", "r1", "page=3"), 2: (None, None, None), 3: (None, None, None)}
-    ev = spark.createDataFrame([("e", 1.0), ("e", 2.0), ("e", 4.0), ("f", 1.0), ("f", 1.0), ("g", None)], "e string, v double")
-    out = sorted((r["e"], r["partition"], r["bucket"]) for r in labels.mark_partitions(ev, "e", "v", "v").collect() if r["e"] == "e")
-    assert out == [("e", True, 0.25), ("e", True, 2.0), ("e", True, 4.75)]
+
+
+def test_bucket_families_and_open_ends(spark):
+    rows = [("e", 1, 3.0, 7.0, 1), ("e", 2, 5.0, 7.0, -1), ("e", 3, None, 6.0, 1), ("e", 4, None, 2.0, -1), ("e", 5, None, 2.0, 0)]
+    rows += [("f", 6, 4.0, 1.0, 1), ("f", 7, 4.0, 2.0, 1), ("g", 8, 4.0, 1.0, -1)]
+    df = spark.createDataFrame(rows, "e string, i int, a double, b double, direction int")
+    out = labels.mark_families(df, "e", [("first", "a", "b"), ("second", "b", None)], "direction")
+    got = {r["i"]: (r["partition"], r["unit"], r["bucket"], r["direction"]) for r in out.collect()}
+    assert got[1] == (True, "first", 3.0, 0) and got[2] == (True, "first", 5.0, 0)
+    assert got[3] == (True, "first", 7.0, 0) and got[4] == (True, "first", 1.0, 0)  # half the gap of 2 beyond the threshold
+    assert got[5] == (False, None, None, 0)
+    assert got[6] == (True, "second", 1.0, 0) and got[7] == (True, "second", 2.0, 0)
+    assert got[8] == (False, None, None, -1)
+
+
+def test_eligible_partitions(spark):
+    rows = [("p", 1, day(0), True, 0.4), ("p", 1, day(0), True, 0.5), ("p", 2, day(0), True, 0.4), ("p", 1, day(1), True, 0.9), ("p", 1, day(1), True, 0.9), ("p", 1, day(2), True, 0.9), ("p", 1, day(2), True, None)]
+    df = spark.createDataFrame([(*r, 50.0, 9.0) for r in rows], "platform string, event_no int, day date, partition boolean, px double, vol7d double, ttr_days double")
+    got = sorted((r["event_no"], r["day"], r["ok"]) for r in grid.with_buckets(df, ["platform", "event_no"]).withColumn("ok", grid.eligible_partition(20.0)).collect())
+    assert got == [(1, day(0), True), (1, day(0), True), (1, day(1), False), (1, day(1), False), (1, day(2), False), (1, day(2), False), (2, day(0), False)]
+
+
+def test_partitioned_tape_reads_only_its_dates(spark, tmp_path):
+    from tidemark.sources import files
+
+    rows = [(i, "ab"[i % 2], day(i % 5)) for i in range(20)]
+    files.write_tape(spark.createDataFrame(rows, "id int, venue string, date date"), f"{tmp_path}/tape")
+    got = files.read_tape(spark, f"{tmp_path}/tape", "2024-01-02", "2024-01-03")
+    assert sorted(r["id"] for r in got.collect()) == [i for i, _, d in rows if d in (day(1), day(2))]
+    assert "PartitionFilters: [isnotnull(date" in got._jdf.queryExecution().toString()

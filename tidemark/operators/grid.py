@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import clip, hazard
+from tidemark.functions.common import hazard
 
 
 def calendar_days(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -92,5 +92,19 @@ def partition_ev(rows: DataFrame) -> DataFrame:
     )
 
 
-def winsorised_share(c: str, k: float = 5.0) -> Column:
-    return clip(c, -k, k)
+def with_buckets(rows: DataFrame, event: list[str], day: str = "day") -> DataFrame:
+    """Adds n_buckets (priced) and px_sum of the partition rows of an event and day."""
+    w = Window.partitionBy(*event, day, "partition")
+    return rows.withColumn("n_buckets", F.count("px").over(w)).withColumn("px_sum", F.sum("px").over(w))
+
+
+def eligible_partition(min_volume: float, min_ttr: float = 3.0, max_ttr: float = 365.0, low: float = 0.5, high: float = 1.5) -> Column:
+    """The rule for buckets of a partition: priced, enough volume and time left, two priced buckets at least, prices that add up."""
+    ok = (
+        F.col("px").isNotNull()
+        & (F.col("vol7d") >= min_volume)
+        & F.col("ttr_days").between(min_ttr, max_ttr)
+        & (F.col("n_buckets") >= 2)
+        & F.col("px_sum").between(low, high)
+    )
+    return F.coalesce(ok, F.lit(False))

@@ -78,3 +78,27 @@ def histogram(rows: DataFrame, value: str, bins: int, keys: Sequence[str]) -> Da
     b = rows.withColumn("lo", F.min(value).over(w)).withColumn("hi", F.max(value).over(w))
     at = F.floor((F.col(value) - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins))
     return b.withColumn("bin", F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)).cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+
+
+def perf_table(rows: DataFrame, keys: Sequence[str], order: str, r: str = "r", turnover: str = "dw", gross: str = "g", cost: str = "cost", year: float = 252.0) -> DataFrame:
+    """``perf_stats`` with the deepest drawdown and its length in days, Calmar, turnover, holding days, gross and cost drag.
+
+    ``order`` is a day.  A drawdown that goes on is counted to the last day.
+    """
+    keys = list(keys)
+    known = rows.where(F.col(r).isNotNull())
+    d = drawdowns(known, keys, order, r)
+    last = d.groupBy(*keys).agg(F.max(order).alias("__last"))
+    deepest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("depth", 12), "peak"))
+    worst = drawdown_episodes(d, keys, order).withColumn("__k", deepest).where("__k = 1").join(last, keys)
+    worst = worst.select(*keys, F.col("depth").alias("__depth"), F.datediff(F.coalesce("recovery", "__last"), "peak").alias("__days"))
+    traded = known.groupBy(*keys).agg(F.avg(turnover).alias("__t"), F.avg(gross).alias("gross"), (F.avg(cost) * year).alias("cost_drag"))
+    out = perf_stats(rows, keys, r, year).join(traded, keys).join(worst, keys, "left")
+    return (
+        out.withColumn("max_drawdown", F.coalesce("__depth", F.lit(0.0)))
+        .withColumn("duration", F.coalesce("__days", F.lit(0)))
+        .withColumn("calmar", F.col("ann_mean") / -F.col("__depth"))
+        .withColumn("turnover", F.col("__t") * year)
+        .withColumn("holding_days", F.col("gross") / F.when(F.col("__t") > 0, F.col("__t")))
+        .drop("__t", "__depth", "__days")
+    )

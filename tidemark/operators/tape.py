@@ -85,3 +85,17 @@ def hourly_last(trades: DataFrame) -> DataFrame:
     return trades.groupBy("platform", "platform_id", hour.alias("hour_end")).agg(
         last_by("px", "ts", "event_id").alias("px"), F.sum("usd").alias("usd")
     )
+
+
+def normalise_candles(candles: DataFrame, key: str, start: str, level: float, inverted: Column) -> DataFrame:
+    """Hourly candles (bid, ask, volume) in units of ``level``, stamped by the end of the hour, without empty ones.
+
+    Prices are divided by the power of ten that brings the key's median ask nearest to ``level``; inverted quotes swap
+    bid and ask.
+    """
+    scale = candles.groupBy(key).agg(F.pow(F.lit(10.0), F.round(F.log10(F.percentile("ask", 0.5) / level))).alias("__f"))
+    c = candles.join(scale, key).where(F.col("volume") > 0)
+    bid, ask = F.col("bid") / F.col("__f"), F.col("ask") / F.col("__f")
+    c = c.withColumn("__b", F.when(inverted, 1 / ask).otherwise(bid)).withColumn("__a", F.when(inverted, 1 / bid).otherwise(ask))
+    c = c.withColumn("hour_end", F.col(start) + F.expr("INTERVAL 1 HOUR"))
+    return c.withColumn("bid", F.col("__b")).withColumn("ask", F.col("__a")).withColumn("mid", (F.col("__b") + F.col("__a")) / 2).drop("__f", "__a", "__b", start)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import hash_key, rnd, second_of_day, seconds_between, word_number
 from tidemark.operators.asof import asof_join, on_calendar
-from tidemark.plans.base import DAYS, MARKET, MARKETS, PANEL, RAW, RETURNS, TRADES, days, market_long, markets, panel, raw_tape, returns, sql, table, trades
+from tidemark.plans.base import DAYS, MARKET, MARKETS, RAW, RETURNS, TRADES, days, market_long, markets, panel, raw_tape, returns, sql, table, trades
 from tidemark.plans.registry import query
 
 
@@ -58,7 +58,7 @@ def _(spark, sf):
     return markets(spark, sf).select("contract_id", F.explode(z).alias("zone"))
 
 
-ORD = "od AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS seen, min(o_orderkey) AS id, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), lp AS (SELECT DISTINCT l_suppkey % 1500 AS k, l_orderkey, CAST(l_shipdate AS DATE) AS pt FROM lineitem WHERE l_linenumber = 1)"
+ORD = "od AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS seen, min(o_orderkey) AS id, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2), lp AS (SELECT l_suppkey % 1500 AS k, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS pt FROM lineitem)"
 
 
 def od(spark, sf):
@@ -66,14 +66,14 @@ def od(spark, sf):
 
 
 def lp(spark, sf):
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_suppkey") % 1500).alias("k"), "l_orderkey", F.to_date("l_shipdate").alias("pt")).distinct()
+    return table(spark, sf, "lineitem").select((F.col("l_suppkey") % 1500).alias("k"), "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("pt"))
 
 
 for _key, _how, _op, _pick in (("asof_le", "le", "<=", "arg_max"), ("asof_lt", "lt", "<", "arg_max"), ("asof_next", "ge", ">=", "arg_min")):
 
-    @query(_key, sql(ORD, f"SELECT l_orderkey, {_pick}(id, seen) AS id FROM lp LEFT JOIN od ON od.k = lp.k AND od.seen {_op} lp.pt GROUP BY l_orderkey, lp.k, lp.pt"))
+    @query(_key, sql(ORD, f"SELECT l_orderkey, l_linenumber, {_pick}(id, seen) AS id FROM lp LEFT JOIN od ON od.k = lp.k AND od.seen {_op} lp.pt GROUP BY l_orderkey, l_linenumber, lp.k, lp.pt"))
     def _(spark, sf, how=_how):
-        return asof_join(lp(spark, sf), od(spark, sf), ["k"], "pt", "at", ["id"], how).select("l_orderkey", "id")
+        return asof_join(lp(spark, sf), od(spark, sf), ["k"], "pt", "at", ["id"], how).select("l_orderkey", "l_linenumber", "id")
 
 
 @query("asof_calendar", sql(MARKET, ", c AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM ml) SELECT t.ticker, c.day, (SELECT arg_max(m.value, m.day) FROM ml m WHERE m.ticker = t.ticker AND m.day <= c.day) AS value FROM c CROSS JOIN (SELECT DISTINCT ticker FROM ml) t").replace(")\n, c", "), c"))
@@ -342,11 +342,6 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "map<string,bigint>")["k"].alias("k"))
 
 
-@query("scan_json_dict", "SELECT event_id, unnest(json_keys(props)) AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
-def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")))
-
-
 @query("word_number", "SELECT page_id, CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 7 END AS k FROM (SELECT page_id, page_id % 4 AS n FROM pages)")
 def _(spark, sf):
     w = F.element_at(F.array(F.lit("7"), F.lit("one"), F.lit("Two"), F.lit("three")), (F.col("page_id") % 4 + 1).cast("int"))
@@ -364,21 +359,6 @@ def _(spark, sf):
     return p.select("h", rnd("click").alias("click"), rnd("view").alias("view"))
 
 
-@query("scan_mixed_long", "SELECT CAST(l_shipdate AS DATE) AS date, lower(l_returnflag) AS ticker, 'last' AS field, round(avg(l_extendedprice), 7) + 0.0 AS value FROM lineitem GROUP BY 1, 2 UNION ALL SELECT CAST(o_orderdate AS DATE), lower(o_orderpriority), 'last', round(avg(o_totalprice), 7) + 0.0 FROM orders GROUP BY 1, 2")
-def _(spark, sf):
-    def long(t, d, k, v):
-        g = table(spark, sf, t).groupBy(F.to_date(d).alias("date"), F.lower(k).alias("ticker")).agg(rnd(F.avg(v), 7).alias("value"))
-        return g.select("date", "ticker", F.lit("last").alias("field"), "value").dropna()
-
-    return long("lineitem", "l_shipdate", "l_returnflag", "l_extendedprice").unionByName(long("orders", "o_orderdate", "o_orderpriority", "o_totalprice"))
-
-
-@query("candle_normalise", sql(RAW, "SELECT platform, date_trunc('hour', ts) + INTERVAL 1 HOUR AS hour_end, round(1 / max(price), 6) + 0.0 AS bid, round(1 / min(price), 6) + 0.0 AS ask, round((1 / max(price) + 1 / min(price)) / 2, 6) + 0.0 AS mid FROM raw WHERE size > 0 GROUP BY 1, 2"))
-def _(spark, sf):
-    g = raw_tape(spark, sf).where("size > 0").groupBy("platform", (F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")).alias("hour_end"))
-    return g.agg(rnd(1 / F.max("price")).alias("bid"), rnd(1 / F.min("price")).alias("ask"), rnd((1 / F.max("price") + 1 / F.min("price")) / 2).alias("mid"))
-
-
 @query("series_block", sql(MARKET, ", c AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM ml) WHERE isodow(d) < 6) SELECT c.day, last_value(a.value IGNORE NULLS) OVER (ORDER BY c.day) AS urgent, last_value(b.value IGNORE NULLS) OVER (ORDER BY c.day) AS low FROM c LEFT JOIN ml a ON a.day = c.day AND a.ticker = '1-URGENT' LEFT JOIN ml b ON b.day = c.day AND b.ticker = '5-LOW'").replace(")\n, c", "), c"))
 def _(spark, sf):
     m = market_long(spark, sf)

@@ -1,15 +1,14 @@
 """Queries for labelling, panels of labels, streaming twins and remaining table operators."""
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import hash_key, rnd
 from tidemark.operators import labels
-from tidemark.plans.base import DAYS, MARKET, MARKETS, PANEL, RAW, RETURNS, TRADES, days, market_long, markets, raw_tape, returns, sql, table
-from tidemark.plans.q_series import CELLS, INDEX, Z, cells, index, z_rows
+from tidemark.plans.base import MARKET, PANEL, RAW, RETURNS, TRADES, market_long, raw_tape, returns, sql, table
+from tidemark.plans.q_series import CELLS, Z, cells, z_rows
 from tidemark.plans.registry import query
+from tidemark.sources import files
 from tidemark.streaming import tape as stream
 
 RULES = [("v1", "veto", "(?i)free trial"), ("r1", "paging", r"page=\d+"), ("r2", "tracked", "ref="), ("r3", "english", "/en/"), ("r4", "secure", "^https")]
@@ -51,14 +50,8 @@ def _(spark, sf):
 
 @query("stance_lookup", "SELECT p_partkey, arg_min(s, k) AS s FROM part JOIN (VALUES (1, '^red', 1), (2, 'bolt$', -1), (3, 'ring', 1)) t(k, pattern, s) ON regexp_matches(p_name, pattern) GROUP BY 1")
 def _(spark, sf):
-    seed = F.broadcast(spark.createDataFrame([(1, "^red", 1), (2, "bolt$", -1), (3, "ring", 1)], "k int, pattern string, s int"))
-    hit = table(spark, sf, "part").join(seed, F.expr("p_name rlike pattern"))
-    return hit.groupBy("p_partkey").agg(F.min_by("s", "k").alias("s"))
-
-
-@query("parse_decision_bp", r"SELECT page_id, 25 * CAST(nullif(regexp_extract(url, '/(\d)\d*', 1), '') AS INT) AS bp FROM pages")
-def _(spark, sf):
-    return table(spark, sf, "pages").select("page_id", (25 * labels.number_in("url", r"/(\d)\d*")).cast("int").alias("bp"))
+    stance, _, _ = labels.first_match("p_name", [("1", "1", "^red"), ("2", "-1", "bolt$"), ("3", "1", "ring")])
+    return table(spark, sf, "part").select("p_partkey", stance.cast("int").alias("s")).where("s is not null")
 
 
 @query("parse_count", r"SELECT page_id, CAST(nullif(regexp_extract(url, 'page=(\d+)', 1), '') AS INT) AS n FROM pages")
@@ -76,21 +69,6 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", labels.number_in("url", r"/(\d+)").alias("x"))
 
 
-PART = "v AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_size IS NOT NULL), g AS (SELECT *, lead(p_size) OVER (PARTITION BY p_brand ORDER BY p_size) - p_size AS gap FROM v), e AS (SELECT p_brand, count(*) AS n, quantile_cont(gap, 0.5) AS step, min(p_size) AS lo, max(p_size) AS hi FROM g GROUP BY 1 HAVING count(*) >= 2)"
-
-
-@query("mark_partitions", sql(PART, "SELECT p_partkey, e.n IS NOT NULL AS partition, CASE WHEN e.n IS NOT NULL THEN p_size + CASE WHEN p_size = lo THEN -step / 2 WHEN p_size = hi THEN step / 2 ELSE 0 END END::DOUBLE AS bucket FROM part LEFT JOIN e USING (p_brand)"))
-def _(spark, sf):
-    p = table(spark, sf, "part").withColumn("v", F.col("p_size").cast("double"))
-    return labels.mark_partitions(p, "p_brand", "v", "p_partkey").select("p_partkey", "partition", "bucket")
-
-
-@query("label_table", f"SELECT page_id, coalesce({case_sql('url', lambda i, n, p: repr(n))}, 'none') AS theme, CASE WHEN regexp_matches(url, '#top') THEN -1 WHEN regexp_matches(url, 'page=') THEN 1 ELSE 0 END::INT AS direction, CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS DOUBLE) AS level FROM pages")
-def _(spark, sf):
-    theme, _, _ = labels.first_match("url", RULES)
-    return table(spark, sf, "pages").select("page_id", F.coalesce(theme, F.lit("none")).alias("theme"), labels.direction("url", "page=", "#top").alias("direction"), labels.number_in("url", "/([0-9]+)").alias("level"))
-
-
 @query("subtype_label", "SELECT coalesce(CASE WHEN regexp_matches(p_name, '^(red|blue)') THEN 'colour' WHEN regexp_matches(p_name, '^small') THEN 'size' END, 'plain') AS subtype, count(*) AS n FROM part GROUP BY 1")
 def _(spark, sf):
     s, _, _ = labels.first_match("p_name", [("1", "colour", "^(red|blue)"), ("2", "size", "^small")])
@@ -185,25 +163,6 @@ def _(spark, sf):
     return c.groupBy("h").agg(rnd(-F.avg("d"), 7).alias("b"), F.count("*").alias("n")).where("n = 5").drop("n")
 
 
-@query("weekend_change", sql(DAYS, "SELECT f.contract_id, CAST(f.day AS DATE) AS friday, round(m.value - f.value, 6) + 0.0 AS change, coalesce(m.value <> f.value, false) AS moved FROM cd f JOIN cd m ON m.contract_id = f.contract_id AND m.day = f.day + 2 WHERE f.eligible AND isodow(f.day) = 5"))
-def _(spark, sf):
-    d = days(spark, sf).select("contract_id", "day", "value", "eligible")
-    f = d.where(F.col("eligible") & (F.weekday("day") == 4)).select("contract_id", F.col("day").alias("friday"), F.col("value").alias("v0"), F.date_add("day", 2).alias("day"))
-    j = f.join(d.select("contract_id", "day", "value"), ["contract_id", "day"])
-    return j.select("contract_id", "friday", rnd(F.col("value") - F.col("v0")).alias("change"), F.coalesce(F.col("value") != F.col("v0"), F.lit(False)).alias("moved"))
-
-
-@query("hourly_index", sql(TRADES, ", hl AS (SELECT platform, platform_id, date_trunc('hour', ts) + INTERVAL 1 HOUR AS h, arg_max(px, (ts, event_id)) AS px, sum(usd) AS usd FROM tr GROUP BY 1, 2, 3), hd AS (SELECT *, px - lag(px) OVER (PARTITION BY platform, platform_id, CAST(h AS DATE) ORDER BY h) AS d FROM hl) SELECT platform, h, round(sum(d * usd) / nullif(sum(usd), 0), 6) + 0.0 AS x FROM hd WHERE d IS NOT NULL GROUP BY 1, 2").replace(")\n, hl", "), hl"))
-def _(spark, sf):
-    from tidemark.operators.tape import hourly_last
-    from tidemark.plans.base import trades
-
-    h = hourly_last(trades(spark, sf)).withColumnRenamed("hour_end", "h")
-    w = Window.partitionBy("platform", "platform_id", F.to_date("h")).orderBy("h")
-    d = h.withColumn("d", F.col("px") - F.lag("px").over(w)).where("d is not null")
-    return d.groupBy("platform", "h").agg(rnd(F.sum(F.col("d") * F.col("usd")) / F.expr("nullif(sum(usd), 0)")).alias("x"))
-
-
 # -- streaming twins: the stream's result is the batch result -------------------------------------
 
 
@@ -216,7 +175,7 @@ def _source(spark, sf):
 
 
 def _paths(spark):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-shared").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = files.shared_path(spark, "stream")
     return root + "/out", root + "/state"
 
 
@@ -226,10 +185,10 @@ def _(spark, sf):
     return out.select("platform", "platform_id", "hour_end", rnd("px").alias("px"))
 
 
-@query("stream_snapshot_panel", sql(PANEL, "SELECT platform, platform_id, CAST(snap_date AS DATE) AS day, round(px_last, 6) + 0.0 AS px_last, last_ts, round(volume_usd, 4) + 0.0 AS volume_usd, n_trades FROM pn"))
+@query("stream_snapshot_panel", sql(PANEL, "SELECT platform, platform_id, CAST(snap_date AS DATE) AS day, round(px_last, 6) + 0.0 AS px_last, last_ts, round(volume_usd, 4) + 0.0 AS volume_usd, n_trades, 0::BIGINT AS n_late FROM pn"))
 def _(spark, sf):
-    out = stream.run_once(stream.snapshot_panel(_source(spark, sf)), "complete", *_paths(spark))
-    return out.select("platform", "platform_id", F.to_date("snap_ts").alias("day"), rnd("px_last").alias("px_last"), "last_ts", rnd("volume_usd", 4).alias("volume_usd"), "n_trades")
+    out, late = stream.run_counted(stream.snapshot_panel(_source(spark, sf)), "complete", *_paths(spark))
+    return out.select("platform", "platform_id", F.to_date("snap_ts").alias("day"), rnd("px_last").alias("px_last"), "last_ts", rnd("volume_usd", 4).alias("volume_usd"), "n_trades", F.lit(late).alias("n_late"))
 
 
 @query("stream_dedupe", "SELECT event_id FROM events")
@@ -238,7 +197,8 @@ def _(spark, sf):
     return stream.run_once(stream.dedupe(s.unionByName(s)), "append", *_paths(spark)).select("event_id")
 
 
-@query("stream_stale_state", sql(TRADES, "SELECT platform, platform_id, round(arg_max(px, (ts, event_id)), 6) + 0.0 AS px, max(ts) AS last_ts, max(ts) < TIMESTAMP '2024-01-29' AS stale FROM tr GROUP BY 1, 2"))
+@query("stream_stale_state", sql(TRADES, "SELECT platform, platform_id, round(arg_max(px, (ts, event_id)), 6) + 0.0 AS px, max(ts) AS last_ts, max(ts) + INTERVAL 48 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM tr) AS stale FROM tr GROUP BY 1, 2"))
 def _(spark, sf):
-    out = stream.run_once(stream.last_state(_source(spark, sf)), "complete", *_paths(spark))
-    return out.select("platform", "platform_id", rnd("px").alias("px"), "last_ts", (F.col("last_ts") < F.lit("2024-01-29").cast("timestamp")).alias("stale"))
+    out = stream.run_once(stream.stale_state(_source(spark, sf), hours=48, late="1 hour"), "append", *_paths(spark))
+    last = out.groupBy("platform", "platform_id").agg(F.max_by("px", F.struct("last_ts", "stale")).alias("px"), F.max("last_ts").alias("last_ts"), F.max_by("stale", F.struct("last_ts", "stale")).alias("stale"))
+    return last.select("platform", "platform_id", rnd("px").alias("px"), "last_ts", "stale")

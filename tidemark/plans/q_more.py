@@ -1,21 +1,16 @@
 """Queries for sinks, carry and overlay books, signal chains and regression sweeps."""
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
-from tidemark.operators import book, regress, stats
 from tidemark.plans.base import MARKET, RETURNS, market_long, raw_tape, returns, sql, table
-from tidemark.plans.q_book import STAT, STACK, stacked, stat_out
-from tidemark.plans.q_series import CELLS, Z, cells, z_rows
 from tidemark.plans.registry import query
 from tidemark.sources import files
 
 
 def scratch(spark):
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-shared").rstrip("/") + f"/files-{uuid.uuid4().hex}"
+    return files.shared_path(spark, "files")
 
 
 def by_ticker():

@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import clip, rnd
-from tidemark.functions.ewm import alpha_of, with_ewm_mean, with_ewm_recursive, with_ewm_var
+from tidemark.functions.common import rnd
+from tidemark.functions.ewm import alpha_of, with_ewm_mean, with_ewm_var
 from tidemark.operators import changes, stats
 from tidemark.plans.base import DAYS, MARKET, PANEL, RETURNS, TRADES, days, market_long, panel, returns, sql, table, trades
 from tidemark.plans.registry import query
@@ -180,8 +180,6 @@ def _(spark, sf):
 # -- market series --------------------------------------------------------------------------------
 
 
-
-
 def by_ticker():
     return Window.partitionBy("ticker").orderBy("day")
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
-from tidemark.operators import book, market, shocks, stats, study
+from tidemark.operators import book, shocks, stats, study
 from tidemark.operators.grid import eligible
 from tidemark.plans.base import returns, sql
 from tidemark.plans.q_book import STAT, stat_out

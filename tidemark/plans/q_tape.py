@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import clip, hash_int, hash_key, hazard, rnd
+from tidemark.functions.common import clip, hash_int, hash_key, rnd
 from tidemark.operators import grid, tape
+from tidemark.operators.asof import asof_join
 from tidemark.plans.base import (
     CUTOFF, DAYS, MARKET, MARKETS, PANEL, RAW, TRADES, days, market_long, markets, panel, raw_tape, sql, table, trades,
 )
@@ -27,11 +28,6 @@ def _(spark, sf):
     return panel_out(panel(spark, sf))
 
 
-@query("scan_tape", sql(RAW, "SELECT event_id, platform, platform_id, ts FROM raw WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'"))
-def _(spark, sf):
-    return raw_tape(spark, sf).where("ts >= '2024-01-05' and ts < '2024-01-12'").select("event_id", "platform", "platform_id", "ts")
-
-
 @query("union_cutoff", sql(RAW, f"SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT event_id) AS n_ids FROM (SELECT * FROM raw WHERE ts < TIMESTAMP '{CUTOFF}' UNION ALL SELECT * FROM raw WHERE ts >= TIMESTAMP '{CUTOFF}') GROUP BY 1"))
 def _(spark, sf):
     both = tape.archive_and_live(raw_tape(spark, sf), raw_tape(spark, sf), CUTOFF)
@@ -99,11 +95,6 @@ def _(spark, sf):
     return table(spark, sf, "pages").where(u.rlike(r"(?i)(page|ref|/en/)") & ~u.rlike(r"(?i)(example\.org|#top)")).select("page_id")
 
 
-@query("eligible_flag", sql(DAYS, "SELECT contract_id, CAST(day AS DATE) AS day, eligible FROM cd"))
-def _(spark, sf):
-    return days(spark, sf).select("contract_id", "day", "eligible")
-
-
 @query("stale_flag", sql(DAYS, "SELECT contract_id, CAST(day AS DATE) AS day, stale FROM cd"))
 def _(spark, sf):
     return days(spark, sf).select("contract_id", "day", "stale")
@@ -163,11 +154,19 @@ def _(spark, sf):
     return quotes(spark, sf).select("day", "ccy", rnd(f, 6).alias("fwd"))
 
 
-@query("cip_forward", sql(QUOTES, "SELECT q.day, q.ccy, round(q.mid * exp(-(q.i - u.i) / 12), 4) + 0.0 AS fwd FROM q JOIN q u ON u.day = q.day AND u.ccy = 'N' WHERE q.ccy <> 'N'"))
+# a month's rate is known from the first day of the second month after it on
+RATES = QUOTES + """, mr AS (SELECT ccy, date_trunc('month', day)::DATE + INTERVAL 2 MONTH AS known, avg(i) AS i FROM q GROUP BY 1, 2),
+fr AS (SELECT q.day, q.ccy, q.mid, arg_max(mr.i, mr.known) AS i FROM q JOIN mr ON mr.ccy = q.ccy AND mr.known <= q.day GROUP BY 1, 2, 3)"""
+
+
+@query("cip_forward", sql(RATES, "SELECT q.day, q.ccy, round(q.mid * exp(-(q.i - u.i) / 12), 4) + 0.0 AS fwd FROM fr q JOIN fr u ON u.day = q.day AND u.ccy = 'N' WHERE q.ccy <> 'N'"))
 def _(spark, sf):
     q = quotes(spark, sf)
-    us = q.where("ccy = 'N'").select("day", F.col("i").alias("i_us"))
-    return q.where("ccy <> 'N'").join(us, "day").select("day", "ccy", rnd(F.expr("mid * exp(-(i - i_us) / 12)"), 4).alias("fwd"))
+    known = F.add_months(F.trunc("day", "month"), 2).alias("known")
+    rates = q.groupBy("ccy", known).agg(F.avg("i").alias("i"))
+    r = asof_join(q.select("day", "ccy", "mid"), rates, ["ccy"], "day", "known", ["i"], "le").where("i is not null")
+    us = r.where("ccy = 'N'").select("day", F.col("i").alias("i_us"))
+    return r.where("ccy <> 'N'").join(us, "day").select("day", "ccy", rnd(F.expr("mid * exp(-(i - i_us) / 12)"), 4).alias("fwd"))
 
 
 @query("half_spread", sql(QUOTES, "SELECT day, ccy, round(coalesce(abs((mid * (1 + d) - mid * (1 - d)) / nullif(2 * mid, 0)), 0.0002), 8) + 0.0 AS half_spread FROM q"))
@@ -297,13 +296,6 @@ def _(spark, sf):
     return cover(spark, sf).withColumn("share", F.round(F.col("n_train") / 15.0, 6)).withColumn("keep", F.col("n_train") / 15.0 >= 0.60)
 
 
-@query("coverage_top_pivot", sql(DAYS, f", c AS ({COVER}) SELECT zone, coalesce(sum(n_test) FILTER (theme = 0), 0)::BIGINT AS t0, coalesce(sum(n_test) FILTER (theme = 1), 0)::BIGINT AS t1, coalesce(sum(n_test) FILTER (theme = 2), 0)::BIGINT AS t2 FROM (SELECT * FROM c ORDER BY n_test DESC, zone, theme LIMIT 12) GROUP BY zone").replace(")\n, c", "), c"))
-def _(spark, sf):
-    top = cover(spark, sf).orderBy(F.desc("n_test"), "zone", "theme").limit(12)
-    out = top.groupBy("zone").pivot("theme", [0, 1, 2]).agg(F.sum("n_test")).fillna(0)
-    return out.select("zone", *[F.col(str(t)).alias(f"t{t}") for t in (0, 1, 2)])
-
-
 @query("platform_summary", sql(PANEL, "SELECT platform, count(DISTINCT platform_id) AS n_markets, count(*) AS n_rows, round(sum(volume_usd), 4) + 0.0 AS volume FROM pn GROUP BY 1"))
 def _(spark, sf):
     return panel(spark, sf).groupBy("platform").agg(F.count_distinct("platform_id").alias("n_markets"), F.count("*").alias("n_rows"), rnd(F.sum("volume_usd"), 4).alias("volume"))

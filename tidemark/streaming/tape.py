@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.tape import last_by, with_snapshot, yes_trades
 
@@ -34,17 +38,61 @@ def last_state(tape: DataFrame) -> DataFrame:
     return yes_trades(tape).groupBy("platform", "platform_id").agg(last_by("px", "ts", "event_id").alias("px"), F.max("ts").alias("last_ts"))
 
 
+def stale_state(tape: DataFrame, hours: int = 48, late: str = "1 hour") -> DataFrame:
+    """(platform, platform_id, px, last_ts, stale): a row when a market trades, and a stale one ``hours`` of event time after its last trade.
+
+    Keyed state holds the last price and time of a market; an event-time timer tells when it gets stale.
+    """
+    t = yes_trades(tape).select("platform", "platform_id", "ts", "event_id", "px").withWatermark("ts", late)
+    gap = pd.Timedelta(hours=hours)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        px, at, event = state.get if state.exists else (None, None, None)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"platform": [key[0]], "platform_id": [key[1]], "px": [px], "last_ts": [pd.Timestamp(at, unit="us")], "stale": [True]})
+            return
+        for b in batches:
+            for p, ts, e in zip(b["px"], b["ts"], b["event_id"]):
+                now = ts.value // 1000
+                if at is None or (now, e) > (at, event):
+                    px, at, event = float(p), int(now), int(e)
+        state.update((px, at, event))
+        due = pd.Timestamp(at, unit="us") + gap
+        state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"platform": [key[0]], "platform_id": [key[1]], "px": [px], "last_ts": [pd.Timestamp(at, unit="us")], "stale": [False]})
+
+    return t.groupBy("platform", "platform_id").applyInPandasWithState(
+        update,
+        "platform string, platform_id string, px double, last_ts timestamp, stale boolean",
+        "px double, at long, event long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
+def run_counted(stream: DataFrame, mode: str, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """``run_once``, and how many rows came too late for the watermark and were dropped."""
+    query = _start(stream, mode, path, checkpoint)
+    late = sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(path), late
+
+
 def run_once(stream: DataFrame, mode: str, path: str, checkpoint: str) -> DataFrame:
-    """Process everything available into Parquet (append) or an in-memory table (complete), and read it."""
-    spark = stream.sparkSession
+    """Process everything available into Parquet (append: added to; complete: replaced) and read it."""
+    _start(stream, mode, path, checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def _start(stream: DataFrame, mode: str, path: str, checkpoint: str):
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(path)
+        query = writer.format("parquet").option("path", path).start()
+    else:
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        def keep(batch: DataFrame, _: int) -> None:
+            batch.write.mode("overwrite").parquet(path)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+        query = writer.foreachBatch(keep).start()
+    query.awaitTermination()
+    return query
