@@ -49,14 +49,14 @@ def test_late_rows_are_counted_and_stale_markets_told(spark, tmp_path):
 
     schema = "platform string, platform_id string, ts timestamp, event_id long, price double, size double, is_yes boolean"
     at = dt.datetime(2024, 1, 1)
-    batches = [[("p", "1", at, 1), ("p", "2", at, 2)], [("p", "1", at + dt.timedelta(days=9), 3)], [("p", "2", at + dt.timedelta(days=1), 4), ("p", "1", at + dt.timedelta(days=9, hours=1), 5)]]
+    batches = [[("p", "1", at, 1), ("p", "2", at, 2)], [("p", "1", at + dt.timedelta(days=9), 3)], [("p", "1", at + dt.timedelta(days=9, minutes=1), 6)], [("p", "2", at + dt.timedelta(days=1), 4), ("p", "1", at + dt.timedelta(days=9, hours=1), 5)]]
     for i, rows in enumerate(batches):
         spark.createDataFrame([(*r, 0.5, 10.0, True) for r in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b{i}")
     read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     _, late = stream.run_counted(stream.snapshot_panel(read()), "complete", f"{tmp_path}/o1", f"{tmp_path}/c1")
     assert late == 0  # complete mode keeps its state, so nothing is dropped
     _, late = stream.run_counted(stream.hourly_last(read()), "append", f"{tmp_path}/o2", f"{tmp_path}/c2")
-    assert late == 1
+    assert late == 1  # rows are held against the watermark of the batch before
     rows = stream.run_once(stream.stale_state(read()), "append", f"{tmp_path}/o3", f"{tmp_path}/c3").collect()
     assert {r["platform_id"] for r in rows if r["stale"]} >= {"2"}
     assert max(r["last_ts"] for r in rows if r["platform_id"] == "1") == at + dt.timedelta(days=9, hours=1)
