@@ -45,6 +45,12 @@ def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def partitions_for(df: DataFrame, row_bytes: Column, target_bytes: int) -> int:
+    """Number of partitions of about ``target_bytes`` for an exchange of all rows; one narrow scan adds up the sizes."""
+    total = df.agg(F.sum(row_bytes.cast("long"))).head()[0] or 0
+    return max(wide_partitions(df.sparkSession), -(-int(total) // target_bytes))
+
+
 def wide_partitions(spark: SparkSession, floor: int = 12) -> int:
     """Number of partitions for a keyed exchange: the session's own setting."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

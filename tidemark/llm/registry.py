@@ -7,7 +7,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, sharding, substring_dedup, toxicity
+from tidemark.llm import (
+    ann,
+    exact_dedup,
+    kmeans,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    runs,
+    secrets,
+    sharding,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 from tidemark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +94,23 @@ def op9_exact_dedup(spark, sf_dir):
 @_query("op10_mixing", mixing.ORACLE)
 def op10_mixing(spark, sf_dir):
     return mixing.systematic_mix(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_runs")
+def op11_runs(spark, sf_dir):
+    return runs.digest(runs.collapse_runs(table(spark, sf_dir, "documents"), words=runs.planted_words))
+
+
+@_query("op12_token_files")
+def op12_token_files(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    vocabulary = byte_bpe()
+    documents = table(spark, sf_dir, "documents")
+    token_files.write_tokens(documents, folder, lambda: packing.encoder(*vocabulary, added_tokens=True), end_id=2, id_bytes=2)
+    return token_files.digest(token_files.read_tokens(spark, folder))
+
+
+@_query("op13_centroids")
+def op13_centroids(spark, sf_dir):
+    found, centroids, _ = kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return kmeans.digest(found, centroids)
