@@ -1,13 +1,18 @@
 """Runs, components, near-duplicate documents and lines against brute force."""
 
+import glob
 import itertools
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tests.llm.util import ODD, docs
 
 from tidemark.llm import line_dedup, links, near_dedup, registry
+from tidemark.llm.common import shared_dir
 
 
 def union(pairs, ids):
@@ -119,12 +124,12 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.near_dedup(docs(spark, ODD).limit(0)).count() == 0
 
 
-def brute_lines(rows, k=8, t=0.8, least=10):
+def brute_lines(rows, k=8, t=0.8):
     """Line numbers to remove by document, comparing all pairs of lines."""
     first, places = {}, []
     for i, text in rows:
         for n, line in enumerate((text or "").split("\n")):
-            if len(line) >= least and line.strip():
+            if line.strip(" "):
                 first.setdefault(line, (i, n))
                 places.append((line, i, n))
     lines = list(first)
@@ -132,7 +137,7 @@ def brute_lines(rows, k=8, t=0.8, least=10):
     pairs = [
         (lines[a], lines[b])
         for a, b in itertools.combinations(range(len(lines)), 2)
-        if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])
+        if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])
     ]
     comp = union(pairs, lines)
     best = {}
@@ -175,10 +180,33 @@ def test_short_lines_count_as_exact_copies(spark, tmp_path):
     assert {i: r["removed"] for i, r in got.items()} == {1: "2", 2: "0,3", 3: ""}
     assert {i: (r["n_exact"], r["n_fuzzy"]) for i, r in got.items()} == {1: (1, 0), 2: (2, 0), 3: (0, 0)}
     df = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    clean = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, exact_chars=1).collect()}
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
     assert clean == {1: "Les.\n\nAnd ornd.", 2: " \nLes", 3: "\n\n"}
 
 
+def test_lines_of_k_characters_are_compared(spark):
+    rows = [(1, "-" * 9), (2, "-" * 8), (3, "-" * 11), (4, "-" * 7), (5, "-" * 7)]  # one shingle set; 7 characters have none
+    got = {r["doc_id"]: (r["removed"], r["n_exact"], r["n_fuzzy"]) for r in line_dedup.line_report(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == {1: ("", 0, 0), 2: ("0", 0, 1), 3: ("0", 0, 1), 4: ("", 0, 0), 5: ("0", 1, 0)}
+
+
+def test_a_large_run_sends_each_member_once(spark):
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(1500)]
+    for n in range(0, 1500, 50):  # planted links across parts
+        lines[n + 7] = lines[n][:30] + "x" + lines[n][31:]
+    make = lambda: line_dedup.JaccardMatcher(8, 0.6, 16, 4)
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    payload = links.with_sketches(texts, make).withColumn("keys", F.expr("unhex(repeat('01', 128))"))  # all share every key
+    mixed = spark.createDataFrame([(0x0101010101010101, i, i) for i in range(1500)], "key long, id long, c long")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in links.run_links(mixed, payload, make, block=100).collect()}
+    assert got == {(n, n + 7) for n in range(0, 1500, 50)}
+    files = max(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/run-parts-*"), key=lambda d: len(os.listdir(d)))
+    stored = [pq.read_metadata(f"{files}/{f}").num_rows for f in os.listdir(files)]
+    assert len(stored) == 15 and sum(stored) == 1500 and max(stored) < 200
+    assert links.run_links(mixed.limit(0), payload, make, block=100).count() == 0
+
+
 def test_line_dedup_odd_rows(spark):
     df = docs(spark, ODD)
     out = line_dedup.dedup_lines(df)

@@ -83,3 +83,9 @@ def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
             assert len(rows) <= 3 * len(ODD) and all((r["__at"], r["__n"], r["__text"], r["__removed"], r["n"], r["rid"]) == (1, 2, 3, 4, 5, 8) for r in rows)
         pieces = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
         assert (pieces.count() > 0) == (frame is odd)
+
+
+def test_equal_short_lines_go_in_the_pipeline(spark):
+    df = docs(spark, [(1, "Les.\na line of its own", "s"), (2, "Les.\nanother line here", "s")])
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, df, SMALL).collect()}
+    assert out == {1: "Les.\na line of its own", 2: "another line here"}

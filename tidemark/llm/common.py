@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and path within it of a plain path or a URI, for tasks that read or write files themselves."""
+    if path.startswith("file:"):
+        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        return arrow_fs.FileSystem.from_uri(path)
+    return arrow_fs.LocalFileSystem(), path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -8,11 +8,9 @@ document id, then line number.
 
 At a similarity of 0.8 a pair shares none of the 16 bands of 4 with probability 0.0002.
 
-Lines under ``min_chars`` characters are compared for equality only, from ``exact_chars``
-characters on.
+Lines under k characters have no shingles and are compared for equality only.
 
-Cases: a null text has no lines; blank lines and lines under ``exact_chars`` characters are
-always kept; a null id counts as the largest 64-bit number; rows that repeat id and text share their
+Cases: a null text has no lines; blank lines are always kept; a null id counts as the largest 64-bit number; rows that repeat id and text share their
 decisions; an empty table gives an empty result; other columns are kept or ignored,
 whatever their names.  Lines are told apart by 64-bit hashes.
 """
@@ -136,14 +134,14 @@ class JaccardMatcher(Matcher):
         return both >= self.threshold * (len(p) + len(q) - both)
 
 
-def _lines(documents: DataFrame, id_col: str, text_col: str, exact_chars: int) -> DataFrame:
+def _lines(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, th, line_no, line, id) of the lines that take part."""
     docs = documents.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("rid"),
         F.xxhash64(text_or_empty(text_col)).alias("th"),
         F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"),
     )
-    return docs.where((F.length("line") >= exact_chars) & (F.trim("line") != "")).withColumn("id", F.xxhash64("line"))
+    return docs.where(F.trim("line") != "").withColumn("id", F.xxhash64("line"))
 
 
 def removed_lines(
@@ -152,8 +150,6 @@ def removed_lines(
     threshold: float = 0.8,
     bands: int = 16,
     rows: int = 4,
-    min_chars: int = 10,
-    exact_chars: int = 10,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -161,8 +157,8 @@ def removed_lines(
 
     rid is the id (or a large stand-in for null) and th the hash of the text.
     """
-    lines = _lines(documents, id_col, text_col, exact_chars)
-    fuzzy = lines.where(F.length("line") >= min_chars).select("id", F.col("line").alias("text"))
+    lines = _lines(documents, id_col, text_col)
+    fuzzy = lines.where(F.length("line") >= k).select("id", F.col("line").alias("text"))
     runs = materialize(candidate_runs(fuzzy, minhash_signer(k, bands, rows)), "line-runs")
     places = materialize(lines.select("rid", "th", "line_no", "id"), "line-places")
     first = places.groupBy("id").agg(F.min(F.struct("rid", "th", "line_no")).alias("at"), F.count("*").alias("n"))

@@ -9,7 +9,8 @@ third of all items share never gathers in one task.
 ``linked_classes`` then finds the classes of the verified link graph without writing out
 all pairs of a run: each member is compared with the smallest id of its runs and
 components are formed.  Runs whose members are still in different classes are compared
-inside tasks, in blocks of bounded size; a task leaves out pairs of one class, pairs that
+inside tasks, in blocks of bounded size: a member is sent once, and blocks of large runs
+are read from files of the shared folder.  A task leaves out pairs of one class, pairs that
 an earlier key of both settles, and pairs whose sketches are too different, and returns
 the links of a spanning forest only.  When that is done, every two members of a run are
 either in one class or were found not to be linked.
@@ -17,14 +18,17 @@ either in one class or were found not to be linked.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileType as fs_type
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, wide_partitions
+from tidemark.llm.common import materialize, open_fs, shared_dir, wide_partitions
 
 #: signer(texts) -> (index of the text for each key, keys as uint64)
 Signer = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -206,49 +210,151 @@ def _near_pairs(order: np.ndarray, run: np.ndarray, split: np.ndarray, own, clas
         at = stop
 
 
+def _spanning(order, run, split, own, key, c, keys, mins, text_of, matcher) -> list[tuple[int, int]]:
+    """Linked pairs of positions, no more than join the classes ``c`` that are linked at all."""
+    classes = np.unique(c, return_inverse=True)[1]
+    parent = np.arange(classes.max(initial=0) + 1)
+
+    def find(x):
+        while (up := int(parent[x])) != x:
+            x = up
+        return x
+
+    out = []
+    for i, j in _near_pairs(order, run, split, own, classes, parent, key, keys, mins, matcher.stages):
+        a, b = find(classes[i]), find(classes[j])
+        if a != b and matcher.check(text_of(i), text_of(j)):
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+_BLOCK_COLUMNS = ["id", "c", "keys", "mins"]
+
+
+class _Block:
+    """Members of a part of a run, from its file; their texts are read when the first is asked for."""
+
+    def __init__(self, path: str):
+        self.path = path
+        t = self._columns(_BLOCK_COLUMNS)
+        self.ids, self.c = t["id"].to_numpy(), t["c"].to_numpy()
+        self.keys = np.frombuffer(b"".join(t["keys"].to_pylist()), np.int64).reshape(len(self.ids), -1)
+        self.mins = np.frombuffer(b"".join(t["mins"].to_pylist()), np.uint8).reshape(len(self.ids), -1)
+        self.texts = None
+
+    def _columns(self, names: list[str]) -> pa.Table:
+        fs, path = open_fs(self.path)
+        return pq.read_table(path, filesystem=fs, columns=names)
+
+    def text(self, i: int) -> str:
+        if self.texts is None:
+            self.texts = self._columns(["text"])["text"]
+        return self.texts[i].as_py()
+
+
+def _between(key: int, x: _Block, y: _Block | None, roots: dict[int, int], matcher: Matcher) -> list[tuple[int, int]]:
+    """Links (id, id) within a block or between two; ``roots`` is the union-find of the classes met so far."""
+
+    def root(c: int) -> int:
+        while (up := roots.setdefault(c, c)) != c:
+            c = up
+        return c
+
+    both = [x] if y is None else [x, y]
+    ids, c, keys, mins = (np.concatenate([getattr(b, n) for b in both]) for n in ("ids", "c", "keys", "mins"))
+    c = np.array([root(v) for v in c.tolist()], np.int64)
+    own = np.repeat(np.arange(len(both)), [len(b.ids) for b in both])
+    order = np.lexsort((ids, c))
+    one = np.zeros(len(ids), np.int64)
+    found = _spanning(
+        order, one, np.full(len(ids), y is not None), own, np.full(len(ids), key), c, keys, mins,
+        lambda i: x.text(i) if i < len(x.ids) else y.text(i - len(x.ids)), matcher,
+    )
+    for i, j in found:
+        a, b = root(int(c[i])), root(int(c[j]))
+        roots[max(a, b)] = min(a, b)
+    return [(int(ids[i]), int(ids[j])) for i, j in found]
+
+
+def _pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    cols = list(zip(*pairs)) if pairs else [[], []]
+    return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+
+def large_run_links(dealt: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher]) -> DataFrame:
+    """Links of runs in several parts (key, id, c, part, parts).
+
+    Every member is sent once, to the task that writes its part's file in the shared folder.  A part then meets half of
+    the others, whose sketches it reads from their files one after the other; their texts only where sketches agree.
+    """
+    folder = f"{shared_dir(dealt.sparkSession)}/run-parts-{uuid.uuid4().hex}"
+
+    def store(t: pa.Table) -> pa.Table:
+        key, part, parts = (t[c][0].as_py() for c in ("key", "part", "parts"))
+        fs, root = open_fs(folder)
+        fs.create_dir(root)
+        name = f"{root}/{key}-{part}"
+        staged = f"{name}.{uuid.uuid4().hex}"
+        pq.write_table(t.select([*_BLOCK_COLUMNS, "text"]).sort_by("id"), staged, filesystem=fs)
+        fs.move(staged, name)
+        return pa.table({"key": pa.array([key], pa.int64()), "part": pa.array([part], pa.int32()), "parts": pa.array([parts], pa.int32())})
+
+    def meet(batches):
+        matcher = make_matcher()
+        for batch in batches:
+            for key, part, parts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                # the files are there: a member of a part is a member of the run, so no part of a run is unknown here
+                own, roots = _Block(f"{folder}/{key}-{part}"), {}
+                links = _between(key, own, None, roots, matcher)
+                for step in range(1, parts // 2 + 1):
+                    if 2 * step == parts and part >= step:
+                        continue  # the other one of the two meets this one
+                    other = f"{folder}/{key}-{(part + step) % parts}"
+                    fs, path = open_fs(other)
+                    if fs.get_file_info(path).type != fs_type.NotFound:  # by chance, no member fell into that part
+                        links += _between(key, own, _Block(other), roots, matcher)
+                yield _pairs_table(links).combine_chunks().to_batches()[0] if links else _EMPTY_PAIRS
+
+    members = dealt.join(payload, "id").select("key", "part", "parts", *_BLOCK_COLUMNS, "text")
+    parts = materialize(members.groupBy("key", "part").applyInArrow(store, "key long, part int, parts int"), "run-parts")
+    spread = parts.repartition(4 * wide_partitions(dealt.sparkSession), "key", "part")
+    return spread.mapInArrow(meet, "a long, b long")
+
+
+_EMPTY_PAIRS = pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
 def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000) -> DataFrame:
     """mixed (key, id, c) to links (a, b) between members of different classes c.
 
-    A run of more than ``block`` members is cut into parts; every two parts meet in a task of their own.
+    Runs of up to ``block`` members meet in one task each, many in one group; larger ones are cut into
+    parts (``large_run_links``).  A member is sent once for each of its keys.
     """
     n_buckets = 4 * wide_partitions(mixed.sparkSession)
     sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int")
-    dealt = (
-        mixed.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "id", "c", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        .withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_buckets)).cast("int"))
-    )
+    dealt = mixed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    dealt = materialize(dealt.select("key", "id", "c", "part", "parts"), "dealt")
 
     def meet(t: pa.Table) -> pa.Table:
-        matcher = make_matcher()
-        key, ids, c, own, lo, hi = (t.column(x).to_numpy() for x in ("key", "id", "c", "own", "lo", "hi"))
+        key, ids, c = (t.column(x).to_numpy() for x in ("key", "id", "c"))
         keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64).reshape(len(ids), -1)
         mins = np.frombuffer(b"".join(t.column("mins").to_pylist()), np.uint8).reshape(len(ids), -1)
         texts = t.column("text")
-        order = np.lexsort((ids, c, hi, lo, key))
-        k, low, high = key[order], lo[order], hi[order]
-        run = np.cumsum(np.concatenate([[True], (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        classes = np.unique(c, return_inverse=True)[1]
-        parent = np.arange(classes.max(initial=0) + 1)
-
-        def find(x):
-            while (up := int(parent[x])) != x:
-                x = up
-            return x
-
-        out = []
-        for i, j in _near_pairs(order, run, low != high, own, classes, parent, key, keys, mins, matcher.stages):
-            a, b = find(classes[i]), find(classes[j])
-            if a != b and matcher.check(texts[i].as_py(), texts[j].as_py()):
-                parent[max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
-        cols = list(zip(*out)) if out else [[], []]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
-
-    return dealt.join(payload, "id").groupBy("bucket").applyInArrow(meet, "a long, b long")
+        order = np.lexsort((ids, c, key))
+        k = key[order]
+        run = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]]))
+        one = np.zeros(len(ids), bool)
+        found = _spanning(order, run, one, one, key, c, keys, mins, lambda i: texts[i].as_py(), make_matcher())
+        return _pairs_table([(int(ids[i]), int(ids[j])) for i, j in found])
+
+    bucket = F.pmod(F.xxhash64("key"), F.lit(n_buckets)).cast("int").alias("bucket")
+    small = dealt.where("parts = 1").select("key", "id", "c", bucket).join(payload, "id")
+    links = small.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    large = dealt.where("parts > 1")
+    if not large.limit(1).count():
+        return links
+    return links.unionByName(large_run_links(large, payload, make_matcher))
 
 
 def components(edges: DataFrame) -> DataFrame:

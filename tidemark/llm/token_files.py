@@ -30,12 +30,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions_for, text_or_empty, wide_partitions
+from tidemark.llm.common import open_fs, partitions_for, text_or_empty, wide_partitions
 
 # fixed values of the Zstandard seekable format
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -50,15 +49,6 @@ _READ = 8 << 20
 MANIFEST = "file string, part int, n_docs long, n_ids long, n_bytes long"
 
 
-def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
-    """File system and path within it of a plain path or a URI."""
-    if path.startswith("file:"):
-        return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return arrow_fs.FileSystem.from_uri(path)
-    return arrow_fs.LocalFileSystem(), path
-
-
 class Writer:
     """Adds documents to an open stream; ``close`` writes the document table and the seek table."""
 
