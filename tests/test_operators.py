@@ -1,6 +1,7 @@
 """Operators on literal frames: the cases that need no data file."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import clip, hazard, word_number
 from tidemark.functions.ewm import alpha_of, frame_rows, with_ewm_mean, with_ewm_recursive, with_ewm_var
-from tidemark.operators import asof, book, changes, grid, labels, market, regress, resample, shocks, stats, tape
+from tidemark.operators import asof, book, changes, grid, labels, market, ranks, regress, resample, shocks, stats, study, tape
 
 
 def day(n, start=dt.date(2024, 1, 1)):
@@ -133,6 +134,19 @@ def test_shock_parity_equals_the_loop(spark):
         assert got == want
 
 
+def test_total_losses_compound(spark):
+    for rs in ([0.1, -1.0, 0.2], [0.1, -1.5, 0.2], [0.1, None, -0.4]):
+        rows = series(spark, rs).withColumnRenamed("x", "r")
+        wealth, want = 1.0, []
+        for r in rs:
+            wealth *= 1 + (r or 0)
+            want.append(wealth)
+        d = stats.drawdowns(rows, ["k"], "day").orderBy("day").collect()
+        assert [round(r["wealth"], 9) for r in d] == [round(x, 9) for x in want]
+        assert [round(r["dd"], 9) for r in d] == [round(x / max(want[: i + 1]) - 1, 9) for i, x in enumerate(want)]
+        assert abs(stats.perf_stats(rows, ["k"]).head()["total_return"] - (want[-1] - 1)) < 1e-9
+
+
 def test_drawdowns_against_a_loop(spark):
     rng = random.Random(8)
     rs = [rng.gauss(0, 0.03) for _ in range(60)]
@@ -311,8 +325,79 @@ def test_resampling_keeps_months_and_lengths(spark):
     for seed in (0, 1):
         jan = sorted(r["x"] for r in sh if r["seed"] == seed and r["day"].month == 1)
         assert jan == [float(i) for i in range(31)]
-    b = resample.block_bootstrap(s, 3, 20, ["k"], "day", "x")
-    assert b.count() == 180 and resample.block_bootstrap(s.limit(30), 3, 20, ["k"], "day", "x").count() == 0
+    assert resample.block_bootstrap(s.limit(30), 3, 20, ["k"], "day", "x").count() == 0
+
+
+def test_bootstrap_against_exploded_blocks(spark):
+    rng = random.Random(8)
+    x = [rng.gauss(0.1, 1) for _ in range(67)]
+    b = resample.block_bootstrap(series(spark, x), 40, 20, ["k"], "day", "x")
+    got = {r["draw"]: (r["n"], r["sh"]) for r in b.withColumn("sh", resample.sharpe_of_sums()).collect()}
+    for draw in range(40):
+        values = []
+        for n in range(4):
+            start = int(hashlib.md5(f"boot|a|{draw}|{n}".encode()).hexdigest()[:8], 16) % 48
+            values += x[start : start + min(20, 67 - 20 * n)]
+        assert got[draw][0] == 67 and got[draw][1] == pytest.approx(np.mean(values) / np.std(values, ddof=1) * 252**0.5)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_running_quantiles_against_numpy(spark, strict):
+    rng = random.Random(9)
+    rows = [(k, rng.randint(0, 20), rng.choice([0.0, None, float("nan"), 5.0, -5.0, rng.gauss(0, 3), rng.gauss(0, 1) * 10 ** rng.randint(-300, 300)])) for k in "ab" for _ in range(150)]
+    rows += [("a", 20, 1.0 + i * 2.0**-50) for i in range(40)]  # values of one narrow cell
+    df = spark.createDataFrame(rows, "k string, t int, x double")
+    points = spark.createDataFrame([(k, t) for k in "abc" for t in range(22)], "k string, t int")
+    for q in (0.5, 0.9, 0.0, 1.0):
+        got = {(r["k"], r["t"]): (r["n"], r["quantile"]) for r in ranks.running_quantile(df, points, ["k"], "t", "x", q, strict).collect()}
+        want = {}
+        for k in "abc":
+            for t in range(22):
+                past = [x for y, s, x in rows if y == k and (s < t or s == t and not strict) and x is not None and x == x]
+                if past:
+                    want[k, t] = (len(past), float(np.quantile(past, q)))
+        assert got.keys() == want.keys()
+        for k in got:
+            assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-12)
+
+
+def test_a_hot_cell_is_counted_not_gathered(spark):
+    rows = spark.range(200000).select(F.lit("a").alias("k"), (F.col("id") % 40).cast("int").alias("t"), F.lit(2.5).alias("x"))
+    got = ranks.running_quantile(rows, rows, ["k"], "t", "x", 0.5, True).collect()
+    assert sorted((r["t"], r["n"], r["quantile"]) for r in got) == [(t, 5000 * t, 2.5) for t in range(1, 40)]
+
+
+def test_runs_are_combinations_of_event_sums(spark):
+    rng = random.Random(10)
+    rows = [(f"c{c}", c // 3, c % 2 == 0, day(d), rng.choice([None, rng.gauss(0, 1)]), rng.choice([5.0, 40.0, 90.0]), rng.random()) for c in range(24) for d in range(60) if rng.random() < 0.5]
+    df = spark.createDataFrame(rows, "contract_id string, event_no int, used boolean, day date, z double, vol7d double, vol1d double")
+    runs = [("actual", "actual", 0.0, 5.0), ("reversed", "sign", -1.0, 5.0), ("equal", "equal", 0.0, 5.0), ("random", "random", 0.0, 5.0), ("volume:30", "volume", 30.0, 5.0), ("halflife:2", "actual", 0.0, 2.0)]
+    sums = study.event_days(df, runs, F.col("used"))
+    volume = {}
+    for r in rows:
+        if r[2]:
+            volume[r[1]] = volume.get(r[1], 0) + r[6]
+    removed = study.top_events(sums, 3)
+    assert removed == sorted(volume, key=lambda e: (-round(volume[e], 6), e))[:3]
+    for least in (1, 3):
+        got = {(r["run"], r["day"]): (r["d"], r["n_contracts"]) for r in study.run_signals(sums, runs, 5.0, least, removed).collect()}
+        days = sorted({r[3] for r in rows})
+        every = [days[0] + dt.timedelta(days=i) for i in range((days[-1] - days[0]).days + 1)]
+        assert {d for _, d in got} == set(every)
+        for name, kind, p, _ in [*runs, *[(f"without:{e}", "without", e, 5.0) for e in removed]]:
+            for d in every:
+                mine = [r for r in rows if r[3] == d and r[4] is not None and r[2] == (kind != "random")]
+                mine = [r for r in mine if not (kind == "volume" and r[5] < p) and not (kind == "without" and r[1] == p)]
+                value = 0.0
+                if len({r[1] for r in mine}) >= least and mine:
+                    sign = lambda r: p if kind == "sign" else 1.0
+                    if kind == "random":
+                        sign = lambda r: 1.0 if int(hashlib.md5(f"placebo|{name}|{r[0]}".encode()).hexdigest()[:8], 16) % 2 == 0 else -1.0
+                    weight = [1.0 if kind == "equal" else r[5] for r in mine]
+                    value = sum(sign(r) * r[4] * w for r, w in zip(mine, weight)) / sum(weight)
+                else:
+                    mine = []
+                assert got[name, d] == (pytest.approx(value, abs=1e-9), len(mine)), (name, d)
 
 
 def test_labels(spark):

@@ -1,5 +1,6 @@
 """Every query with SQL gives the SQL's rows on the smallest tables; the subpackage stays optional."""
 
+import decimal
 import math
 import os
 import subprocess
@@ -23,7 +24,7 @@ KEYS = sorted(k for k, q in catalog.ORACLES.items() if "zz0 AS" not in q or k in
 
 def norm(rows):
     def one(v):
-        if isinstance(v, float):
+        if isinstance(v, (float, decimal.Decimal)):
             return None if math.isnan(v) else float(f"{v:.7g}")
         return v if v is None or isinstance(v, (bool, int)) else str(v)
 

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import clip
 from tidemark.functions.ewm import alpha_of, with_ewm_mean
+from tidemark.operators.ranks import running_quantile
 
 
-def gap_scaled_changes(rows: DataFrame, key: str = "contract_id", day: str = "day", max_gap: int = 7) -> DataFrame:
-    """Adds gap (days since the row before) and dv = change / sqrt(gap); null after gaps over ``max_gap``."""
-    w = Window.partitionBy(key).orderBy(day)
+def gap_scaled_changes(rows: DataFrame, key: Sequence[str] = ("contract_id",), day: str = "day", max_gap: int = 7) -> DataFrame:
+    """Adds gap (days since the row before) and dv = change / sqrt(gap); null after gaps over ``max_gap``.
+
+    ``key``, here and below, are the columns of a contract; those by which the rows are already dealt spare a shuffle.
+    """
+    w = Window.partitionBy(*key).orderBy(day)
     gap = F.datediff(day, F.lag(day).over(w))
     return (
         rows.withColumn("gap", gap)
@@ -22,42 +26,20 @@ def gap_scaled_changes(rows: DataFrame, key: str = "contract_id", day: str = "da
     )
 
 
-def past_scale(rows: DataFrame, span: float = 60, key: str = "contract_id", day: str = "day") -> DataFrame:
+def past_scale(rows: DataFrame, span: float = 60, key: Sequence[str] = ("contract_id",), day: str = "day") -> DataFrame:
     """Adds own_sd: root of the weighted mean of dv ** 2 over earlier rows."""
-    w = Window.partitionBy(key).orderBy(day)
-    smooth = with_ewm_mean(rows, "ewm", F.col("dv") * F.col("dv"), alpha_of(span=span), [key], day)
+    w = Window.partitionBy(*key).orderBy(day)
+    smooth = with_ewm_mean(rows, "ewm", F.col("dv") * F.col("dv"), alpha_of(span=span), list(key), day)
     return smooth.withColumn("own_sd", F.sqrt(F.lag("ewm").over(w))).drop("ewm")
 
 
-#: cells a doubling of the value, for the search of a median
-CELLS_PER_OCTAVE = 64
-
-
 def fallback_scale(rows: DataFrame, unit: str = "unit", day: str = "day") -> DataFrame:
     """(unit, day, fallback): 1.4826 x median of abs(dv) over all rows of the unit on earlier days.
 
-    Values are counted by (unit, day, cell), a cell being a narrow range on a logarithmic scale.  Running
-    counts over the days of a cell say in which cells the middle values of each day lie and how many lie
-    below; only the values of those cells are then looked at, by cell and day.
+    ``rows`` should be a written table: its days and its values are read one after the other.
     """
-    x = rows.where(F.col("dv").isNotNull()).select(unit, F.col(day).alias("__seen"), F.abs("dv").alias("__x"))
-    x = x.withColumn("__cell", F.when(F.col("__x") > 0, F.floor(F.log2("__x") * CELLS_PER_OCTAVE)).otherwise(-(2**31)).cast("long"))
-    counts = x.groupBy(unit, "__cell", F.col("__seen").alias(day)).agg(F.count("*").alias("__n"))
-    days = rows.select(unit, day).distinct()
-    grid = days.join(counts.select(unit, "__cell").distinct(), unit)  # days x cells of a unit, whatever the rows
-    grid = grid.join(counts, [unit, "__cell", day], "left")
-    past = Window.partitionBy(unit, "__cell").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("__n", F.sum("__n").over(past)).where("__n > 0")
-    cells = Window.partitionBy(unit, day).orderBy("__cell")
-    grid = grid.withColumn("__below", F.sum("__n").over(cells.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
-    grid = grid.withColumn("__all", F.sum("__n").over(Window.partitionBy(unit, day)))
-    middle = F.array(F.floor((F.col("__all") - 1) / 2), F.ceil((F.col("__all") - 1) / 2))
-    inside = F.filter(middle, lambda k: (k >= F.col("__below")) & (k < F.col("__below") + F.col("__n")))
-    wanted = grid.withColumn("__ranks", F.transform(inside, lambda k: (k - F.col("__below") + 1).cast("int"))).where(F.size("__ranks") > 0)
-    found = wanted.select(unit, day, "__cell", "__ranks").join(x, [unit, "__cell"]).where(F.col("__seen") < F.col(day))
-    found = found.groupBy(unit, day, "__cell", "__ranks").agg(F.sort_array(F.collect_list("__x")).alias("__x"))
-    found = found.select(unit, day, F.explode(F.transform("__ranks", lambda k: F.element_at("__x", k))).alias("__x"))
-    return found.groupBy(unit, day).agg((F.avg("__x") * 1.4826).alias("fallback"))
+    past = running_quantile(rows.select(unit, day, F.abs("dv").alias("__x")), rows, [unit], day, "__x", 0.5, strict=True)
+    return past.select(unit, day, (F.col("quantile") * 1.4826).alias("fallback"))
 
 
 def contract_z(rows: DataFrame, k: float = 5.0, min_past: int = 5) -> DataFrame:

@@ -42,7 +42,10 @@ def contract_days(markets: DataFrame, panel: DataFrame) -> DataFrame:
     back on the price of the day before.
     """
     key = ("platform", "platform_id")
-    dense = dense_days(markets, "created", "closes").join(panel.withColumnRenamed("snap_date", "day"), [*key, "day"], "left")
+    # Dealt to a fixed number of partitions: adaptive execution would size them by the few rows before the days are laid
+    # out.  The keys stand in another order than in an aggregate below, beside which the exchange would be taken out.
+    dealt = markets.repartition(int(markets.sparkSession.conf.get("spark.sql.shuffle.partitions")), *reversed(key))
+    dense = dense_days(dealt, "created", "closes").join(panel.withColumnRenamed("snap_date", "day"), [*key, "day"], "left")
     filled = dense.select(
         *markets.columns,
         "day",
@@ -51,7 +54,9 @@ def contract_days(markets: DataFrame, panel: DataFrame) -> DataFrame:
         "px_early",
         F.coalesce("volume_usd", F.lit(0.0)).alias("vol1d"),
         F.datediff("closes", "day").cast("double").alias("ttr_days"),
-    ).withColumn("vol7d", trailing_sum("vol1d", 7, *key))
+    )
+    week = Window.partitionBy(*key).orderBy("day").rowsBetween(-6, 0)  # every day has its row
+    filled = filled.withColumn("vol7d", F.sum("vol1d").over(week))
     before = F.lag("px").over(Window.partitionBy(*key).orderBy("day"))
     return filled.withColumn("px_early", F.coalesce("px_early", before))
 

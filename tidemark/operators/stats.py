@@ -19,11 +19,17 @@ def kurtosis_sample(x: str) -> Column:
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
+def compounded(r: str) -> Column:
+    """Product of 1 + r less 1; a return of -100 % or less counts like any other."""
+    return F.product(1 + F.col(r)) - 1
+
+
 def drawdowns(rows: DataFrame, keys: Sequence[str], order: str, r: str = "r") -> DataFrame:
-    """Adds wealth (product of 1 + r) and dd = wealth / its running maximum - 1."""
+    """Adds wealth (product of 1 + r) and dd = wealth / its running maximum - 1 (null while that is 0)."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("wealth", F.exp(F.sum(F.log1p(r)).over(w)))
-    return out.withColumn("dd", F.col("wealth") / F.max("wealth").over(w) - 1)
+    out = rows.withColumn("wealth", F.product(1 + F.col(r)).over(w))
+    top = F.max("wealth").over(w)
+    return out.withColumn("dd", F.col("wealth") / F.when(top != 0, top) - 1)
 
 
 def drawdown_episodes(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -48,7 +54,7 @@ def perf_stats(rows: DataFrame, keys: Sequence[str], r: str = "r", year: float =
     down = F.sqrt(F.sum(F.when(x < 0, x * x).otherwise(0.0)) / n)
     return rows.where(x.isNotNull()).groupBy(*keys).agg(
         n.alias("n"),
-        F.expm1(F.sum(F.log1p(r))).alias("total_return"),
+        compounded(r).alias("total_return"),
         (mean * year).alias("ann_mean"),
         (sd * F.lit(year) ** 0.5).alias("ann_vol"),
         (mean / F.when(sd > 0, sd) * F.lit(year) ** 0.5).alias("sharpe"),

@@ -9,7 +9,7 @@ from tidemark.plans.base import MARKET, RETURNS, market_long, returns, sql, tabl
 from tidemark.plans.q_joins import WIN, windows
 from tidemark.plans.registry import query
 
-STAT = """count(r) AS n, round(exp(sum(ln(1 + r))) - 1, 6) + 0.0 AS total_return, round(avg(r) * 252, 6) + 0.0 AS ann_mean, round(stddev_samp(r) * pow(252, 0.5), 6) + 0.0 AS ann_vol,
+STAT = """count(r) AS n, round(product(1 + r) - 1, 6) + 0.0 AS total_return, round(avg(r) * 252, 6) + 0.0 AS ann_mean, round(stddev_samp(r) * pow(252, 0.5), 6) + 0.0 AS ann_vol,
   round(avg(r) / stddev_samp(r) * pow(252, 0.5), 5) + 0.0 AS sharpe, round(avg(r) / sqrt(sum(CASE WHEN r < 0 THEN r * r ELSE 0 END) / count(r)) * pow(252, 0.5), 5) + 0.0 AS sortino,
   round(avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS hit_rate, round(skewness(r), 4) + 0.0 AS skew, round(kurtosis(r), 4) + 0.0 AS kurt, round(avg(r) / stddev_samp(r) * sqrt(count(r)), 5) + 0.0 AS t_mean"""
 
@@ -37,10 +37,10 @@ def _(spark, sf):
     return stats.hhi(returns(spark, sf).withColumn("m", F.trunc("day", "month")), ["ticker"], "m", "r").select("ticker", rnd("hhi", 8).alias("hhi"))
 
 
-@query("episode_returns", sql(RETURNS + ", " + WIN, "SELECT name, ticker, count(r) AS n, round(exp(sum(ln(1 + r))) - 1, 6) + 0.0 AS total, round(min(r), 6) + 0.0 AS worst FROM rt JOIN w ON day BETWEEN a AND b GROUP BY 1, 2"))
+@query("episode_returns", sql(RETURNS + ", " + WIN, "SELECT name, ticker, count(r) AS n, round(product(1 + r) - 1, 6) + 0.0 AS total, round(min(r), 6) + 0.0 AS worst FROM rt JOIN w ON day BETWEEN a AND b GROUP BY 1, 2"))
 def _(spark, sf):
     r = returns(spark, sf).join(windows(spark), F.col("day").between(F.col("a"), F.col("b")))
-    return r.groupBy("name", "ticker").agg(F.count("r").alias("n"), rnd(F.expm1(F.sum(F.log1p("r")))).alias("total"), rnd(F.min("r")).alias("worst"))
+    return r.groupBy("name", "ticker").agg(F.count("r").alias("n"), rnd(stats.compounded("r")).alias("total"), rnd(F.min("r")).alias("worst"))
 
 
 @query("resample_week", sql(RETURNS, "SELECT ticker, (day + CAST((12 - isodow(day)) % 7 AS INT))::DATE AS week, round(sum(r), 7) + 0.0 AS r FROM rt GROUP BY 1, 2 HAVING count(r) > 0"))
@@ -275,8 +275,16 @@ def _(spark, sf):
     return resample.shuffle_within_month(returns(spark, sf), 5, ["ticker"], "day", "r").withColumn("r", rnd("r", 8))
 
 
-@query("block_bootstrap_ci", sql(RETURNS, ", s AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY day) - 1 AS i FROM rt WHERE r IS NOT NULL), z AS (SELECT ticker, count(*) AS t FROM s GROUP BY 1), b AS (SELECT ticker, t, draw, bl, CAST('0x' || substr(md5('boot|' || ticker || '|' || draw || '|' || bl), 1, 8) AS BIGINT) % (t - 19) AS st FROM z, unnest(generate_series(0, 19)) d(draw), unnest(generate_series(0, (t - 1) // 20)) e(bl)), p AS (SELECT b.ticker, draw, st + o AS i FROM b, unnest(generate_series(0, 19)) f(o) WHERE bl * 20 + o < t), q AS (SELECT p.ticker, draw, avg(r) / stddev_samp(r) * sqrt(252) AS sh FROM p JOIN s ON s.ticker = p.ticker AND s.i = p.i GROUP BY 1, 2) SELECT ticker, round(quantile_cont(sh, 0.05::DOUBLE), 5) + 0.0 AS lo, round(quantile_cont(sh, 0.95::DOUBLE), 5) + 0.0 AS hi FROM q GROUP BY 1").replace(")\n, s AS", "), s AS"))
+BOOT = RETURNS + """,
+bs AS (SELECT ticker, r, row_number() OVER w AS i, sum(r) OVER w AS s1, sum(r * r) OVER w AS s2 FROM rt WHERE r IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY day)),
+bz AS (SELECT ticker, count(*) AS t FROM bs GROUP BY 1 HAVING count(*) >= 40),
+bb AS (SELECT ticker, draw, CAST('0x' || substr(md5('boot|' || ticker || '|' || draw || '|' || b), 1, 8) AS BIGINT) % (t - 19) AS st, least(20, t - b * 20) AS len FROM bz, unnest(generate_series(0, 999)) d(draw), unnest(generate_series(0, (t - 1) // 20)) e(b)),
+bq AS (SELECT bb.ticker, draw, sum(len) AS n, sum(y.s1 - coalesce(x.s1, 0)) AS s1, sum(y.s2 - coalesce(x.s2, 0)) AS s2 FROM bb JOIN bs y ON y.ticker = bb.ticker AND y.i = st + len LEFT JOIN bs x ON x.ticker = bb.ticker AND x.i = st GROUP BY 1, 2),
+bh AS (SELECT ticker, s1 / n / sqrt((s2 - s1 * s1 / n) / (n - 1)) * sqrt(252) AS sh FROM bq)"""
+
+
+@query("block_bootstrap_ci", sql(BOOT, "SELECT ticker, count(*) AS draws, round(quantile_cont(sh, 0.05::DOUBLE), 5) + 0.0 AS lo, round(quantile_cont(sh, 0.95::DOUBLE), 5) + 0.0 AS hi FROM bh GROUP BY 1"))
 def _(spark, sf):
-    b = resample.block_bootstrap(returns(spark, sf).where("r is not null"), 20, 20, ["ticker"], "day", "r")
-    q = b.groupBy("ticker", "draw").agg((F.avg("r") / F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("sh"))
-    return q.groupBy("ticker").agg(rnd(F.percentile("sh", 0.05), 5).alias("lo"), rnd(F.percentile("sh", 0.95), 5).alias("hi"))
+    b = resample.block_bootstrap(returns(spark, sf).where("r is not null"), 1000, 20, ["ticker"], "day", "r")
+    q = b.select("ticker", resample.sharpe_of_sums().alias("sh"))
+    return q.groupBy("ticker").agg(F.count("*").alias("draws"), rnd(F.percentile("sh", 0.05), 5).alias("lo"), rnd(F.percentile("sh", 0.95), 5).alias("hi"))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import hash_key, rnd, second_of_day, seconds_between, word_number
+from tidemark.operators import stats
 from tidemark.operators.asof import asof_join, on_calendar
 from tidemark.plans.base import DAYS, MARKET, MARKETS, RAW, RETURNS, TRADES, days, market_long, markets, panel, raw_tape, returns, sql, table, trades
 from tidemark.plans.registry import query
@@ -348,9 +349,9 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", word_number(w).alias("k"))
 
 
-@query("log_normal_tools", sql(RETURNS, "SELECT ticker, round(exp(sum(ln(1 + r))) - 1, 8) + 0.0 AS total FROM rt WHERE r IS NOT NULL GROUP BY 1"))
+@query("log_normal_tools", sql(RETURNS, "SELECT ticker, round(product(1 + r) - 1, 8) + 0.0 AS total FROM rt WHERE r IS NOT NULL GROUP BY 1"))
 def _(spark, sf):
-    return returns(spark, sf).groupBy("ticker").agg(rnd(F.expm1(F.sum(F.log1p("r"))), 8).alias("total"))
+    return returns(spark, sf).groupBy("ticker").agg(rnd(stats.compounded("r"), 8).alias("total"))
 
 
 @query("scan_intraday_pivot", sql(RAW, "SELECT date_trunc('hour', ts) AS h, round(avg(price) FILTER (platform = 'click'), 6) + 0.0 AS click, round(avg(price) FILTER (platform = 'view'), 6) + 0.0 AS view FROM raw WHERE platform IN ('click', 'view') GROUP BY 1"))

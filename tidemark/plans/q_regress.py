@@ -134,7 +134,7 @@ pb AS (SELECT {k}, sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n
 ph0 AS (SELECT {", ".join("pa." + c for c in keys)}, pa.day, sum(x * (y - b * x)) AS sc, max(pb.lags) AS lags FROM pa JOIN pb ON {on("pa", "pb")} GROUP BY {", ".join("pa." + c for c in keys)}, pa.day),
 ph AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY day) AS i FROM ph0),
 pv AS (SELECT {", ".join("p." + c for c in keys)}, sum(p.sc * q.sc * CASE WHEN p.i = q.i THEN 1 ELSE 2 * (1 - (p.i - q.i) / (p.lags + 1.0::DOUBLE)) END) AS s FROM ph p JOIN ph q ON {on("p", "q")} AND q.i <= p.i AND q.i >= p.i - p.lags GROUP BY {", ".join("p." + c for c in keys)}),
-pt AS (SELECT {", ".join("pb." + c for c in keys)}, b AS coef, b / (sqrt(s) / xx) AS t, n FROM pb JOIN pv ON {on("pb", "pv")})"""
+pt AS (SELECT {", ".join("pb." + c for c in keys)}, b AS coef, b / nullif(sqrt(s) / xx, 0) AS t, n FROM pb JOIN pv ON {on("pb", "pv")})"""
 
 
 WEEKEND = RETURNS + """,

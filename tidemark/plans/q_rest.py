@@ -25,7 +25,7 @@ def perf_sql(source, keys):
     """Full statistics of ``source`` (keys, ticker, day, r, dw, g, cost)."""
     k = ", ".join(keys)
     on = " AND ".join(f"a.{c} = b.{c}" for c in keys)
-    return f""", fa AS (SELECT {k}, day, exp(sum(ln(1 + r)) OVER w) AS wealth FROM {source} WHERE r IS NOT NULL WINDOW w AS (PARTITION BY {k} ORDER BY day)),
+    return f""", fa AS (SELECT {k}, day, product(1 + r) OVER w AS wealth FROM {source} WHERE r IS NOT NULL WINDOW w AS (PARTITION BY {k} ORDER BY day)),
 fb AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY {k} ORDER BY day) - 1 AS dd FROM fa),
 fc AS (SELECT *, sum(CASE WHEN dd >= -1e-12 THEN 1 ELSE 0 END) OVER (PARTITION BY {k} ORDER BY day) AS e FROM fb),
 fd AS (SELECT {k}, e, min(day) AS peak, min(dd) AS depth FROM fc GROUP BY {k}, e),
@@ -73,7 +73,7 @@ def _(spark, sf):
 
 
 PAIR = RETURNS + """, q0 AS (SELECT ticker, day, r FROM rt WHERE r IS NOT NULL), q1 AS (SELECT b.ticker, b.day, a.r AS x, b.r AS y FROM q0 a JOIN q0 b ON a.day = b.day AND a.ticker = '1-URGENT' AND b.ticker > a.ticker),
-q2 AS (SELECT *, exp(sum(ln(1 + x)) OVER w) AS wx, exp(sum(ln(1 + y)) OVER w) AS wy FROM q1 WINDOW w AS (PARTITION BY ticker ORDER BY day)),
+q2 AS (SELECT *, product(1 + x) OVER w AS wx, product(1 + y) OVER w AS wy FROM q1 WINDOW w AS (PARTITION BY ticker ORDER BY day)),
 q3 AS (SELECT *, wx / max(wx) OVER w - 1 AS dx, wy / max(wy) OVER w - 1 AS dy FROM q2 WINDOW w AS (PARTITION BY ticker ORDER BY day)),
 q4 AS (SELECT ticker, (day + CAST((12 - isodow(day)) % 7 AS INT))::DATE AS week, sum(x) AS x, sum(y) AS y FROM q1 GROUP BY 1, 2)"""
 

@@ -5,13 +5,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
 from tidemark.functions.ewm import alpha_of, with_ewm_mean, with_ewm_var
-from tidemark.operators import changes, stats
+from tidemark.operators import changes, ranks, stats
 from tidemark.plans.base import DAYS, MARKET, PANEL, RETURNS, TRADES, days, market_long, panel, returns, sql, table, trades
 from tidemark.plans.registry import query
+from tidemark.sources.files import written
+
+#: the columns of a contract in the day panel, by which it is dealt
+MARKET_KEY = ("platform", "platform_id")
+
 
 def changed(spark, sf):
     d = days(spark, sf).where("value is not null and not stale").withColumn("unit", F.when(F.col("is_deadline"), "hazard").otherwise("prob"))
-    return changes.gap_scaled_changes(d)
+    return changes.gap_scaled_changes(d, MARKET_KEY)
 
 
 CHANGED = (
@@ -24,7 +29,7 @@ ch AS (SELECT *, CASE WHEN is_deadline THEN 'hazard' ELSE 'prob' END AS unit, da
 
 
 def z_rows(spark, sf):
-    c = changes.past_scale(changed(spark, sf))
+    c = written(changes.past_scale(changed(spark, sf), key=MARKET_KEY), "changes")
     return changes.contract_z(c.join(changes.fallback_scale(c), ["unit", "day"], "left"))
 
 
@@ -62,12 +67,12 @@ def _(spark, sf):
 
 @query("ewma_var_past", sql(Z, "SELECT contract_id, CAST(day AS DATE) AS day, round(own_sd, 6) + 0.0 AS own_sd FROM zz"))
 def _(spark, sf):
-    return changes.past_scale(changed(spark, sf)).select("contract_id", "day", rnd("own_sd").alias("own_sd"))
+    return changes.past_scale(changed(spark, sf), key=MARKET_KEY).select("contract_id", "day", rnd("own_sd").alias("own_sd"))
 
 
 @query("fallback_median", sql(Z, "SELECT unit, CAST(day AS DATE) AS day, round(fallback, 6) + 0.0 AS fallback FROM fb"))
 def _(spark, sf):
-    return changes.fallback_scale(changed(spark, sf)).select("unit", "day", rnd("fallback").alias("fallback"))
+    return changes.fallback_scale(written(changed(spark, sf).select("unit", "day", "dv"), "changes")).select("unit", "day", rnd("fallback").alias("fallback"))
 
 
 @query("own_or_fallback_sd", sql(Z, "SELECT contract_id, CAST(day AS DATE) AS day, round(sd, 6) + 0.0 AS sd FROM zz"))
@@ -260,7 +265,7 @@ def _(spark, sf):
     return returns(spark, sf).select("ticker", "day", rnd(F.col("r") - m, 8).alias("d"))
 
 
-@query("rolling_corr_regime", sql(RETURNS, "SELECT ticker, day, lag(CASE WHEN c < 0 THEN 1 WHEN c >= 0 THEN 0 END) OVER (PARTITION BY ticker ORDER BY day) AS regime FROM (SELECT *, CASE WHEN count(r) OVER w >= 30 THEN round(corr(r, CAST(n AS DOUBLE)) OVER w, 9) END AS c FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"))
+@query("rolling_corr_regime", sql(RETURNS, "SELECT ticker, day, lag(CASE WHEN c < 0 THEN 1 WHEN c >= 0 THEN 0 END) OVER (PARTITION BY ticker ORDER BY day) AS regime FROM (SELECT *, CASE WHEN count(r) OVER w >= 30 AND (stddev_samp(r) OVER w) * (stddev_samp(CASE WHEN r IS NOT NULL THEN n END) OVER w) > 0 THEN round(corr(r, CAST(n AS DOUBLE)) OVER w, 9) END AS c FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"))
 def _(spark, sf):
     w = by_ticker().rowsBetween(-59, 0)
     n = F.when(F.col("r").isNotNull(), F.col("n").cast("double"))
@@ -277,8 +282,9 @@ def _(spark, sf):
 
 @query("expanding_quantile_flag", sql(MARKET, "SELECT ticker, day, lag(f) OVER (PARTITION BY ticker ORDER BY day) AS stress FROM (SELECT ticker, day, CASE WHEN count(*) OVER w >= 250 THEN value > quantile_cont(value, 0.9) OVER w END AS f FROM ml WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"))
 def _(spark, sf):
-    w = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
-    f = market_long(spark, sf).withColumn("f", F.when(F.count("*").over(w) >= 250, F.col("value") > F.percentile("value", 0.9).over(w)))
+    m = written(market_long(spark, sf).select("ticker", "day", "value"), "market")
+    past = ranks.running_quantile(m, m, ["ticker"], "day", "value", 0.9, strict=False)
+    f = m.join(past, ["ticker", "day"]).withColumn("f", F.when(F.col("n") >= 250, F.col("value") > F.col("quantile")))
     return f.select("ticker", "day", F.lag("f").over(by_ticker()).alias("stress"))
 
 
@@ -294,7 +300,7 @@ def _(spark, sf):
     return returns(spark, sf).select("ticker", "day", F.when(F.count("r").over(w) >= 40, rnd(F.stddev_samp("r").over(w) * F.sqrt(F.lit(252.0)), 8)).alias("vol"))
 
 
-DD = RETURNS + """, wl AS (SELECT ticker, day, r, exp(sum(ln(1 + r)) OVER (PARTITION BY ticker ORDER BY day)) AS wealth FROM rt WHERE r IS NOT NULL),
+DD = RETURNS + """, wl AS (SELECT ticker, day, r, product(1 + r) OVER (PARTITION BY ticker ORDER BY day) AS wealth FROM rt WHERE r IS NOT NULL),
 dw AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY ticker ORDER BY day) - 1 AS dd FROM wl)"""
 
 

@@ -12,10 +12,11 @@ from tidemark.plans.q_series import CHANGED, Z, changed, z_rows
 from tidemark.plans.q_shocks import signal_sql
 from tidemark.plans.q_strategy import RX, quotes
 from tidemark.plans.registry import query
+from tidemark.sources.files import written
 
 RUNS = [("actual", "actual", 0.0, 5.0), ("reversed", "sign", -1.0, 5.0), ("equal", "equal", 0.0, 5.0), ("random", "random", 0.0, 5.0)]
 RUNS += [(f"volume:{v}", "volume", float(v), 5.0) for v in (30, 60)] + [(f"halflife:{h}", "actual", 0.0, float(h)) for h in (2, 10)]
-N_EVENTS, N_SHUFFLES, LONGEST = 5, 10, 10.0
+N_EVENTS, N_SHUFFLES, LONGEST = 10, 100, 10.0
 USED = (0, 2, 4)
 
 BASKET = "rt AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS day, ln(avg(o_totalprice)) AS s FROM orders GROUP BY 1, 2), rs AS (SELECT day, (s - lag(s) OVER (PARTITION BY ticker ORDER BY day)) / 100 AS r FROM rt), mk2 AS (SELECT day, avg(r) AS m, row_number() OVER (ORDER BY day) - 1 AS j FROM rs WHERE r IS NOT NULL GROUP BY day)"
@@ -49,24 +50,15 @@ pr AS (SELECT run, pos * m AS r FROM po JOIN mk2 ON mk2.j = po.j),
 sh AS (SELECT run, count(r) AS n, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM pr GROUP BY 1)"""
 
 
-def runs_of(spark, runs, rows=None):
-    out = spark.createDataFrame(runs, "run string, kind string, p double, h double")
-    if rows is None:
-        return F.broadcast(out)
-    top = study.top_events(rows.where(F.col("theme").isin(*USED)), N_EVENTS)
-    p = F.col("event_no").cast("double")
-    return out.unionByName(top.select(F.concat(F.lit("without:"), F.col("event_no").cast("string")).alias("run"), F.lit("without").alias("kind"), p.alias("p"), F.lit(5.0).alias("h")))
-
-
-def calendar(rows):
-    span = rows.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
-    return span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
+def sums_of(spark, sf, runs):
+    """Sums by event and day, written once for all uses of a study."""
+    rows = z_rows(spark, sf).select("contract_id", "event_no", "theme", "day", "z", "vol7d", "vol1d")
+    return written(study.event_days(rows, runs, F.col("theme").isin(*USED)), "event-days")
 
 
-def signals(spark, sf, runs, events=True, min_events=1):
-    rows = z_rows(spark, sf).select("contract_id", "event_no", "theme", "day", "z", "vol7d", "vol1d")
-    r = runs_of(spark, runs, rows if events else None)
-    return study.run_signals(study.rows_by_run(rows, r, F.col("theme").isin(*USED)), r, calendar(rows), LONGEST, min_events)
+def signals(sums, runs, events=True, min_events=1):
+    removed = study.top_events(sums, N_EVENTS) if events else ()
+    return written(study.run_signals(sums, runs, LONGEST, min_events, removed), "run-signals")
 
 
 def basket(spark, sf):
@@ -75,13 +67,13 @@ def basket(spark, sf):
 
 @query("placebo_run", sql(study_sql(RUNS) + SHUFFLED + returns_sql(), "SELECT run, n, round(sharpe, 4) + 0.0 AS sharpe FROM sh"))
 def _(spark, sf):
-    s = study.with_shuffles(signals(spark, sf, RUNS), N_SHUFFLES)
+    s = study.with_shuffles(signals(sums_of(spark, sf, RUNS), RUNS), N_SHUFFLES)
     return study.sharpe_by_run(study.run_returns(s, basket(spark, sf))).select("run", "n", rnd("sharpe", 4).alias("sharpe"))
 
 
 @query("placebo_summary", sql(study_sql(RUNS) + SHUFFLED + returns_sql(), ", k AS (SELECT CASE WHEN run LIKE '%:%' THEN split_part(run, ':', 1) ELSE run END AS test, sharpe FROM sh WHERE sharpe IS NOT NULL), a AS (SELECT sharpe AS actual FROM sh WHERE run = 'actual') SELECT test, count(*) AS n, round(avg(sharpe), 4) + 0.0 AS mean, round(min(sharpe), 4) + 0.0 AS lo, round(max(sharpe), 4) + 0.0 AS hi, round(avg(CASE WHEN sharpe < actual THEN 1.0::DOUBLE ELSE 0 END), 6) AS beaten FROM k, a WHERE test <> 'actual' GROUP BY 1").replace(")\n, k", "), k"))
 def _(spark, sf):
-    s = study.with_shuffles(signals(spark, sf, RUNS), N_SHUFFLES)
+    s = study.with_shuffles(signals(sums_of(spark, sf, RUNS), RUNS), N_SHUFFLES)
     sh = study.sharpe_by_run(study.run_returns(s, basket(spark, sf))).where("sharpe is not null")
     actual = F.max(F.when(F.col("run") == "actual", F.col("sharpe"))).over(Window.partitionBy())  # a row a run
     k = sh.withColumn("actual", actual).withColumn("test", F.substring_index("run", ":", 1)).where("test <> 'actual'")
@@ -93,7 +85,7 @@ def _(spark, sf):
 
 @query("leave_one_event_out", sql(study_sql([RUNS[0]]) + returns_sql(source="sg"), "SELECT run, n, round(sharpe, 4) + 0.0 AS sharpe FROM sh"))
 def _(spark, sf):
-    s = signals(spark, sf, [RUNS[0]])
+    s = signals(sums_of(spark, sf, RUNS[:1]), RUNS[:1])
     return study.sharpe_by_run(study.run_returns(s, basket(spark, sf))).select("run", "n", rnd("sharpe", 4).alias("sharpe"))
 
 
@@ -103,9 +95,9 @@ LATER = [r for r in RUNS if r[0] in ("actual", "reversed", "random")]
 @query("posthoc_placebos", sql(study_sql(LATER, events=False) + SHUFFLED + returns_sql(hold=5), "SELECT 'weekly' AS strategy, run, n, round(sharpe, 4) + 0.0 AS sharpe FROM sh")
        + " UNION ALL SELECT * FROM (" + sql(study_sql(LATER, events=False, min_events=3) + SHUFFLED + returns_sql(), "SELECT 'three events' AS strategy, run, n, round(sharpe, 4) + 0.0 AS sharpe FROM sh") + ")")
 def _(spark, sf):
-    out = []
+    out, sums = [], sums_of(spark, sf, LATER)
     for name, hold, events in (("weekly", 5, 1), ("three events", 1, 3)):
-        s = study.with_shuffles(signals(spark, sf, LATER, events=False, min_events=events), N_SHUFFLES)
+        s = study.with_shuffles(signals(sums, LATER, events=False, min_events=events), N_SHUFFLES)
         out.append(study.sharpe_by_run(study.run_returns(s, basket(spark, sf), hold)).select(F.lit(name).alias("strategy"), "run", "n", rnd("sharpe", 4).alias("sharpe")))
     return out[0].unionByName(out[1])
 
@@ -115,7 +107,7 @@ HALVES = [(f"halflife:{h}", "actual", 0.0, float(h)) for h in (2, 5, 10)]
 
 @query("halflife_grid", sql(study_sql(HALVES, events=False), "SELECT run, CAST(day AS DATE) AS day, round(z, 4) + 0.0 AS z FROM sg"))
 def _(spark, sf):
-    return signals(spark, sf, HALVES, events=False).select("run", "day", rnd("z", 4).alias("z"))
+    return signals(sums_of(spark, sf, HALVES), HALVES, events=False).select("run", "day", rnd("z", 4).alias("z"))
 
 
 COUNTER = Z + """,
@@ -170,7 +162,7 @@ ge AS (SELECT *, CASE WHEN since IS NULL OR since >= n THEN 1.0::DOUBLE ELSE t +
 gr AS (SELECT k, t, n, lag(e) OVER (PARTITION BY k, t, n ORDER BY i) * m AS r FROM ge)"""
 
 
-@query("param_grid", sql(RX + ", " + GRID, "SELECT k, t, n::INT AS days, count(r) AS n, round(avg(r) / stddev_samp(r) * sqrt(252), 5) + 0.0 AS sharpe, round(exp(sum(ln(1 + r))) - 1, 6) + 0.0 AS total_return FROM gr WHERE r IS NOT NULL GROUP BY 1, 2, gr.n"))
+@query("param_grid", sql(RX + ", " + GRID, "SELECT k, t, n::INT AS days, count(r) AS n, round(avg(r) / stddev_samp(r) * sqrt(252), 5) + 0.0 AS sharpe, round(product(1 + r) - 1, 6) + 0.0 AS total_return FROM gr WHERE r IS NOT NULL GROUP BY 1, 2, gr.n"))
 def _(spark, sf):
     m = quotes(spark, sf).where("rx is not null").groupBy("day").agg(F.avg("rx").alias("m"))
     w = Window.orderBy("day")  # a row a day

@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back, so that several branches start from files."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and # comments; a byte-order mark is read over."""
     return spark.read.schema(schema).option("header", True).option("comment", "#").option("enforceSchema", True).csv(path)
