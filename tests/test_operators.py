@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import clip, hazard, word_number
 from tidemark.functions.ewm import alpha_of, frame_rows, with_ewm_mean, with_ewm_recursive, with_ewm_var
-from tidemark.operators import asof, book, changes, grid, labels, market, ranks, regress, resample, shocks, stats, study, tape
+from tidemark.operators import asof, book, changes, grid, labels, market, ranks, regress, resample, scan, shocks, stats, study, tape
 
 
 def day(n, start=dt.date(2024, 1, 1)):
@@ -180,6 +180,67 @@ def test_book_against_loops(spark):
         assert held == last
 
 
+@pytest.mark.parametrize("band", [0.0, 0.1, 0.5, 1.0, 2.5])
+def test_band_by_chunks_against_a_loop(spark, band):
+    rng = random.Random(int(band * 10))
+    rows = []
+    for k in ("a", "b", None):
+        x = 1.0
+        for i in range(120):
+            x = rng.choice([x * rng.uniform(0.85, 1.2), x, -x, 0.0 if rng.random() < 0.2 else x + 0.01, rng.uniform(-2, 2)])
+            rows.append((k, i, None if rng.random() < 0.1 or 40 <= i < 55 else x))
+    df = spark.createDataFrame(rows, "k string, i int, w double")
+    got = {(r["k"], r["i"]): r["held"] for r in book.no_trade_band(df, ["k"], "i", "w", band, chunk=F.floor(F.col("i") / 7)).collect()}
+    for k in ("a", "b", None):
+        last = 0.0
+        for _, i, w in (r for r in rows if r[0] == k):
+            if w is not None and (last == 0 or w == 0 or abs(w - last) > band * abs(last)):
+                last = w
+            assert got[k, i] == last
+    assert len(got) == 360
+
+
+@pytest.mark.parametrize("segment", ["i div 7", "i div 1000", "i"])
+def test_scans_over_segments_against_loops(spark, segment):
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice([None, None, rng.randint(-9, 9)])) for k in ("a", None, "b") for i in sorted(rng.sample(range(200), 60))]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    both = scan.running_sum(scan.last_known(df, "f", "v", ["k"], ["i"], F.expr(segment)), "s", "v", ["k"], ["i"], F.expr(segment))
+    got = {(r["k"], r["i"]): r.asDict() for r in scan.last_known(both, "n", "v", ["k"], ["i"], F.expr(segment), ahead=True).collect()}
+    assert len(got) == len(rows) and set(next(iter(got.values()))) == {"k", "i", "v", "f", "s", "n"}
+    for k, i, v in rows:
+        mine = [(j, x) for q, j, x in rows if q == k and x is not None]
+        past, later = [x for j, x in mine if j <= i], [x for j, x in mine if j >= i]
+        r = got[k, i]
+        assert r["v"] == v and r["f"] == (past[-1] if past else None) and r["n"] == (later[0] if later else None)
+        assert r["s"] == (sum(past) if past else None)
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    n = 60000
+    start = F.lit("2020-01-01").cast("timestamp").cast("long")
+    t = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"), (start + F.col("id") * 2000).cast("timestamp").alias("t"), F.col("id").alias("v"))
+    p = t.select("k", (F.col("t") + F.expr("interval 1 second")).alias("p"))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    for c, v in conf.items():
+        spark.conf.set(c, v)
+    try:
+        out = asof.asof_join(p, t, ["k"], "p", "t", ["v"])
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("v")).collect()]
+        assert sum(sizes) == n and max(sizes) < 2 * n / 16  # the hot key alone would be five shares
+        assert out.where("k = 'hot' and v is not null").count() == n // 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_asof_ties_are_settled(spark):
+    p = spark.createDataFrame([("k", 5)], "k string, p int")
+    r = spark.createDataFrame([("k", 5, 3, "x"), ("k", 5, 9, "y"), ("k", 5, 1, "z")], "k string, t int, o int, v string")
+    assert asof.asof_join(p, r, ["k"], "p", "t", ["v"], "le", ties=["o"]).head()["v"] == "y"
+    assert asof.asof_join(p, r, ["k"], "p", "t", ["v"], "ge", ties=["o"]).head()["v"] == "z"
+
+
 def test_caps_and_waterfill_against_loops(spark):
     rng = random.Random(10)
     legs = {leg: [rng.random() ** 3 + 1e-3 for _ in range(n)] for leg, n in (("x", 7), ("y", 3), ("z", 12))}

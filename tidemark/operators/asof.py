@@ -1,12 +1,14 @@
-"""As-of joins by union and window: one shuffle and sort by key, no explosion."""
+"""As-of joins by union and segmented scan: rows are dealt by key and month, no explosion."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import last_known
+
 
 def asof_join(
     probes: DataFrame,
@@ -16,26 +18,24 @@ def asof_join(
     row_at: str,
     values: Sequence[str],
     how: str = "le",
+    ties: Sequence[str] = (),
+    segment: str = "month",
 ) -> DataFrame:
     """The probes with ``values`` (and ``row_at``) of one row of their key each, or nulls.
 
     how: ``le`` latest row at or before the probe, ``lt`` latest strictly before, ``ge``
-    first at or after.  Rows at equal times are taken in no order, so they should not tie.
+    first at or after.  Of rows at equal times the last (``ge``: the first) by ``ties`` is taken, then by
+    the values themselves, so that runs agree.  Keys are cut into ``segment``s of time, so that a key with many rows is spread.
     """
     side = {"le": 1, "lt": -1, "ge": -1}[how]
     found = F.struct(F.col(row_at).alias("at"), *[F.col(v) for v in values])
+    tie = F.struct(*[F.col(t) for t in ties], *[F.col(v) for v in values if v not in ties], F.lit(0))
     p = probes.select(*[F.col(k) for k in keys], F.col(probe_at).alias("__at"), F.lit(side).alias("__side"), F.struct(*probes.columns).alias("__probe"))
-    r = rows.select(*[F.col(k) for k in keys], F.col(row_at).alias("__at"), F.lit(0).alias("__side"), found.alias("__found"))
+    r = rows.select(*[F.col(k) for k in keys], F.col(row_at).alias("__at"), F.lit(0).alias("__side"), tie.alias("__tie"), found.alias("__found"))
     both = p.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__at", "__side")
-    if how == "ge":
-        pick = F.first("__found", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        pick = F.last("__found", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        both.withColumn("__found", pick)
-        .where(F.col("__probe").isNotNull())
-        .select("__probe.*", F.col("__found.at").alias(f"{row_at}_found"), *[F.col(f"__found.{v}").alias(v) for v in values])
+    scanned = last_known(both, "__one", "__found", keys, ["__at", "__side", "__tie"], F.date_trunc(segment, F.col("__at").cast("timestamp")), how == "ge")
+    return scanned.where(F.col("__probe").isNotNull()).select(
+        "__probe.*", F.col("__one.at").alias(f"{row_at}_found"), *[F.col(f"__one.{v}").alias(v) for v in values]
     )
 
 

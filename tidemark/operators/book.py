@@ -22,21 +22,81 @@ def cap_weights(rows: DataFrame, keys: Sequence[str], share: float | Column, gro
     return out.withColumn("capped", F.col("w1") * scale).drop("__limit", "__after", "w1")
 
 
-def no_trade_band(rows: DataFrame, keys: Sequence[str], order: str, target: str, band: float) -> DataFrame:
-    """Adds held: the previous position is kept unless it is 0, the target is 0, or the move is over band * abs(previous)."""
+def _leaves(held: float, targets: np.ndarray, band: float) -> np.ndarray:
+    """Which targets a held position is given up for."""
+    return (targets == 0) | (np.abs(targets - held) > band * abs(held)) if held else np.ones(len(targets), bool)
+
+
+def _transfer(targets: np.ndarray, band: float) -> tuple[list[int], list[float], list[float]]:
+    """What a chunk makes of any position held before it: (place, target, end) of the targets that can be the first to change it.
+
+    The first target beyond the band on either side is a new highest or lowest one, or a 0; an unknown start is changed by
+    the first.  ``end`` is the position after the chunk if the target at ``place`` was taken.
+    """
+    n, end = len(targets), targets.copy()
+    for i in range(n - 2, -1, -1):
+        out = np.flatnonzero(_leaves(targets[i], targets[i + 1 :], band))
+        if len(out):
+            end[i] = end[i + 1 + out[0]]
+    first_zero = np.zeros(n, bool)
+    first_zero[np.flatnonzero(targets == 0)[:1]] = True
+    before = np.maximum.accumulate(targets), np.minimum.accumulate(targets)
+    record = first_zero | np.concatenate([[True], (targets[1:] > before[0][:-1]) | (targets[1:] < before[1][:-1])]) if n else first_zero
+    at = np.flatnonzero(record)
+    return at.tolist(), targets[at].tolist(), end[at].tolist()
+
+
+def no_trade_band(rows: DataFrame, keys: Sequence[str], order: str, target: str, band: float, chunk: Column | None = None) -> DataFrame:
+    """Adds held: the previous position is kept unless it is 0, the target is 0, or the move is over band * abs(previous).
+
+    Each chunk of a key (years of ``order`` by default) tells which of its targets would end a position held before it and what
+    position that leads to; these small tables are walked along the key, and then every chunk is walked from its start on.  A row
+    without a target keeps the position (0 at first).  ``order`` should have no ties.
+    """
     names = rows.columns
-    schema = rows.withColumn("held", F.lit(0.0)).schema
+    rows = rows.withColumn("__chunk", F.year(order) if chunk is None else chunk)
+    by = [*keys, "__chunk"]
+    schema = rows.select(*keys).schema
+    text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    part = rows.select(*by, order, F.col(target).cast("double").alias("__t"))
+    kind = dict(rows.dtypes)["__chunk"]
+
+    def summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, targets, ends = _transfer(pdf.sort_values(order)["__t"].dropna().to_numpy(float), band)
+        return pd.DataFrame([[*key, at, targets, ends]], columns=[*by, "at", "targets", "ends"])
+
+    def starts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, held = [], 0.0
+        for c, targets, ends in pdf.sort_values("__chunk")[["__chunk", "targets", "ends"]].itertuples(index=False):
+            out.append([*key, c, held])
+            left = np.flatnonzero(_leaves(held, np.asarray(targets, float), band))
+            held = float(ends[left[0]]) if len(left) else held
+        return pd.DataFrame(out, columns=[*by, "__start"])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        held, last = np.empty(len(pdf)), 0.0
-        for i, t in enumerate(pdf[target].to_numpy()):
-            if last == 0 or t == 0 or abs(t - last) > band * abs(last):
-                last = t
-            held[i] = last
+        targets = pdf["__t"].to_numpy(float)
+        at, last = 0, float(pdf["__start"].iloc[0])
+        known = np.flatnonzero(~np.isnan(targets))
+        held = np.full(len(targets), last)
+        while at < len(known):
+            out = np.flatnonzero(_leaves(last, targets[known[at:]], band))
+            if not len(out):
+                break
+            at += int(out[0])
+            last = targets[known[at]]
+            held[known[at] :] = last
+            at += 1
         return pdf[names].assign(held=held)
 
-    return rows.groupBy(*keys).applyInPandas(walk, schema)
+    maps = part.groupBy(*by).applyInPandas(summary, f"{text}, __chunk {kind}, at array<int>, targets array<double>, ends array<double>")
+    begun = maps.groupBy(*keys).applyInPandas(starts, f"{text}, __chunk {kind}, __start double")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`"))
+    joined = rows.withColumn("__t", F.col(target).cast("double")).alias("l").join(begun.alias("r"), same, "left").select("l.*", "r.__start")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return joined.groupBy(*by).applyInPandas(walk, f"{out}, held double")
 
 
 def waterfill(rows: DataFrame, keys: Sequence[str], w: str, cap: float, order: str) -> DataFrame:
