@@ -97,9 +97,9 @@ mk AS (SELECT platform, platform_id, platform || ':' || platform_id AS contract_
 )
 
 
-def days(spark, sf) -> DataFrame:
-    """Contract-day panel with value, stale and eligible."""
-    d = grid.contract_days(markets(spark, sf), panel(spark, sf))
+def days(spark, sf, contracts: DataFrame | None = None) -> DataFrame:
+    """Contract-day panel with value, stale and eligible; ``contracts`` are markets with further columns."""
+    d = grid.contract_days(markets(spark, sf) if contracts is None else contracts, panel(spark, sf))
     return (
         d.withColumn("value", grid.contract_value("px"))
         .withColumn("value_early", grid.contract_value("px_early"))

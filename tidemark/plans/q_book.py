@@ -76,10 +76,14 @@ def _(spark, sf):
     return returns(spark, sf).groupBy("ticker").agg(F.count_if(hit).alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("day").cast("string")))), ",").alias("dates"))
 
 
-@query("index_change_between", sql(MARKET + ", " + WIN, "SELECT name, ticker, round(arg_max(value, day) - arg_min(value, day), 6) + 0.0 AS change, round(avg(value), 6) + 0.0 AS mean FROM ml JOIN w ON day BETWEEN a AND b GROUP BY 1, 2"))
+@query("index_change_between", sql(RETURNS + ", " + WIN, "SELECT name, ticker, round(arg_max(value, day) - arg_min(value, day), 6) + 0.0 AS change, round(avg(value), 6) + 0.0 AS mean, round(arg_min(r, day) FILTER (r IS NOT NULL), 8) + 0.0 AS signal_start, round(arg_max(r, day) FILTER (r IS NOT NULL), 8) + 0.0 AS signal_end, round(avg(r), 8) + 0.0 AS signal_mean FROM rt JOIN w ON day BETWEEN a AND b GROUP BY 1, 2"))
 def _(spark, sf):
-    m = market_long(spark, sf).join(windows(spark), F.col("day").between(F.col("a"), F.col("b")))
-    return m.groupBy("name", "ticker").agg(rnd(F.max_by("value", "day") - F.min_by("value", "day")).alias("change"), rnd(F.avg("value")).alias("mean"))
+    m = returns(spark, sf).join(windows(spark), F.col("day").between(F.col("a"), F.col("b")))
+    known = F.when(F.col("r").isNotNull(), F.col("day"))
+    return m.groupBy("name", "ticker").agg(
+        rnd(F.max_by("value", "day") - F.min_by("value", "day")).alias("change"), rnd(F.avg("value")).alias("mean"),
+        rnd(F.min_by("r", known), 8).alias("signal_start"), rnd(F.max_by("r", known), 8).alias("signal_end"), rnd(F.avg("r"), 8).alias("signal_mean"),
+    )
 
 
 @query("window_profile", sql(RETURNS + ", " + WIN, "SELECT name, round(avg(abs(r)), 7) + 0.0 AS mean_abs, round(sum(r), 6) + 0.0 AS pnl, round(avg(CASE WHEN n > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS busy FROM rt JOIN w ON day BETWEEN a AND b GROUP BY 1"))
@@ -88,11 +92,14 @@ def _(spark, sf):
     return r.groupBy("name").agg(rnd(F.avg(F.abs("r")), 7).alias("mean_abs"), rnd(F.sum("r")).alias("pnl"), F.round(F.avg(F.when(F.col("n") > 1, 1.0).otherwise(0.0)), 6).alias("busy"))
 
 
-@query("pivot_first", sql(RETURNS, "SELECT year(day)::INT AS y, count(*) FILTER (ticker = '1-URGENT') AS urgent, count(*) FILTER (ticker = '5-LOW') AS low FROM rt GROUP BY 1"))
+PRIORITIES = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "unset": "4-NOT SPECIFIED", "low": "5-LOW"}
+
+
+@query("pivot_first", sql(RETURNS, "SELECT year(day)::INT AS y, " + ", ".join(f"count(*) FILTER (ticker = '{t}') AS {n}" for n, t in PRIORITIES.items()) + " FROM rt GROUP BY 1"))
 def _(spark, sf):
     n = returns(spark, sf).groupBy(F.year("day").alias("y"), "ticker").agg(F.count("*").alias("n"))
-    p = n.groupBy("y").pivot("ticker", ["1-URGENT", "5-LOW"]).agg(F.first("n")).fillna(0)
-    return p.select("y", F.col("1-URGENT").alias("urgent"), F.col("5-LOW").alias("low"))
+    p = n.groupBy("y").pivot("ticker", list(PRIORITIES.values())).agg(F.first("n")).fillna(0)  # the declared order of all priorities
+    return p.select("y", *[F.col(f"`{t}`").alias(n) for n, t in PRIORITIES.items()])
 
 
 @query("gap_excluding_month", sql(RETURNS, "SELECT round(sum(CASE WHEN ticker = '1-URGENT' THEN r WHEN ticker = '5-LOW' THEN -r END), 6) + 0.0 AS gap, round(sum(CASE WHEN year(day) = 1997 AND month(day) = 5 THEN 0 WHEN ticker = '1-URGENT' THEN r WHEN ticker = '5-LOW' THEN -r END), 6) + 0.0 AS without FROM rt"))
@@ -142,10 +149,12 @@ def _(spark, sf):
     return pl(spark, sf).groupBy("ticker").agg(rnd(F.sum("dw"), 5).alias("turnover"), rnd(F.sum("cost"), 8).alias("cost"))
 
 
-@query("cost_sensitivity", sql(PNL, "SELECT ticker, m, round(sum(pnl - m * dw * 0.0002), 7) + 0.0 AS net FROM pl CROSS JOIN (VALUES (0.0::DOUBLE), (1.0), (2.0)) g(m) GROUP BY 1, 2"))
+@query("cost_sensitivity", sql(PNL, f"SELECT ticker, m, {STAT} FROM (SELECT ticker, m, pnl - m * dw * 0.0002::DOUBLE AS r FROM pl CROSS JOIN (VALUES (0.0::DOUBLE), (0.5), (1.0), (2.0), (3.0)) g(m)) GROUP BY 1, 2"))
 def _(spark, sf):
-    g = F.broadcast(spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "m double"))
-    return pl(spark, sf).crossJoin(g).groupBy("ticker", "m").agg(rnd(F.sum(F.col("pnl") - F.col("m") * F.col("cost")), 7).alias("net"))
+    """Full statistics of the net return for each multiple of the costs."""
+    g = F.broadcast(spark.createDataFrame([(m,) for m in (0.0, 0.5, 1.0, 2.0, 3.0)], "m double"))
+    net = pl(spark, sf).crossJoin(g).withColumn("r", F.col("pnl") - F.col("m") * F.col("cost"))
+    return stat_out(stats.perf_stats(net, ["ticker", "m"]), "ticker", "m")
 
 
 @query("static_timing_split", sql(BOOK, "SELECT ticker, round(sum(mw * r), 7) + 0.0 AS static, round(sum((lw - mw) * r), 7) + 0.0 AS timing FROM (SELECT *, avg(w) FILTER (day < DATE '1998-01-01') OVER (PARTITION BY ticker) AS mw, lag(w) OVER (PARTITION BY ticker ORDER BY day) AS lw FROM bk) WHERE lw IS NOT NULL GROUP BY 1"))
@@ -181,15 +190,27 @@ def _(spark, sf):
     return g.agg(rnd(F.avg("g")).alias("mean"), rnd(F.percentile("g", 0.5)).alias("median"), rnd(F.percentile("g", 0.95)).alias("p95"), rnd(F.max("g")).alias("top"))
 
 
-@query("position_profile", sql(BOOK, "SELECT ticker, count(*) AS n, round(avg((w > 0)::INT::DOUBLE), 6) AS long_share, round(avg((w < 0)::INT::DOUBLE), 6) AS short_share FROM bk GROUP BY 1"))
+@query("position_profile", sql(BOOK, "SELECT ticker, count(*) AS n, round(avg((w > 0)::INT::DOUBLE), 6) AS long_share, round(avg((w < 0)::INT::DOUBLE), 6) AS short_share, round(avg((coalesce(w, 0) = 0)::INT::DOUBLE), 6) AS flat_share, count(*) FILTER (w IS DISTINCT FROM p) AS n_rebalances FROM (SELECT *, lag(w) OVER (PARTITION BY ticker ORDER BY day) AS p FROM bk) GROUP BY 1"))
 def _(spark, sf):
-    return bk(spark, sf).groupBy("ticker").agg(F.count("*").alias("n"), F.round(F.avg((F.col("w") > 0).cast("double")), 6).alias("long_share"), F.round(F.avg((F.col("w") < 0).cast("double")), 6).alias("short_share"))
+    b = bk(spark, sf).withColumn("moved", ~F.col("w").eqNullSafe(F.lag("w").over(Window.partitionBy("ticker").orderBy("day"))))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return b.groupBy("ticker").agg(
+        F.count("*").alias("n"), share(F.col("w") > 0).alias("long_share"), share(F.col("w") < 0).alias("short_share"),
+        share(F.coalesce("w", F.lit(0.0)) == 0).alias("flat_share"), F.count_if("moved").alias("n_rebalances"),
+    )
 
 
-@query("composition", sql(BOOK, "SELECT ticker, round(avg(w), 6) + 0.0 AS mean_w, round(sum(abs(w)) / (SELECT sum(abs(w)) FROM bk), 6) AS share, round(regr_slope(r, w), 6) + 0.0 AS beta FROM bk GROUP BY 1"))
+@query("composition", sql(BOOK, """, cg AS (SELECT *, abs(w) / nullif(sum(abs(w)) OVER (PARTITION BY day), 0) AS sh FROM bk), cw AS (SELECT ticker, (day + CAST((12 - isodow(day)) % 7 AS INT))::DATE AS week, sum(r) AS r FROM bk GROUP BY 1, 2),
+cm AS (SELECT week, avg(r) AS m FROM cw GROUP BY 1), cb AS (SELECT ticker, regr_slope(r, m) AS beta FROM cw JOIN cm ON cm.week = cw.week GROUP BY 1)
+SELECT cg.ticker, round(avg(w), 6) + 0.0 AS mean_w, round(avg(sh), 6) + 0.0 AS share, round(any_value(beta), 6) + 0.0 AS beta FROM cg JOIN cb ON cb.ticker = cg.ticker GROUP BY 1""").replace(")\n, cg", "), cg"))
 def _(spark, sf):
-    g = bk(spark, sf).groupBy("ticker").agg(rnd(F.avg("w")).alias("mean_w"), F.sum(F.abs("w")).alias("s"), rnd(F.regr_slope("r", "w")).alias("beta"))
-    return g.select("ticker", "mean_w", F.round(F.col("s") / F.sum("s").over(Window.partitionBy()), 6).alias("share"), "beta")
+    """Mean weight, mean of the daily shares of the gross, and the slope of weekly returns on those of the average."""
+    gross = F.sum(F.abs("w")).over(Window.partitionBy("day"))
+    b = bk(spark, sf)
+    g = b.withColumn("sh", F.abs("w") / F.when(gross != 0, gross)).groupBy("ticker").agg(rnd(F.avg("w")).alias("mean_w"), rnd(F.avg("sh")).alias("share"))
+    weekly = b.groupBy("ticker", F.date_add("day", (11 - F.weekday("day")) % 7).alias("week")).agg(F.sum("r").alias("r"))
+    market = weekly.groupBy("week").agg(F.avg("r").alias("m"))
+    return g.join(weekly.join(market, "week").groupBy("ticker").agg(rnd(F.regr_slope("r", "m")).alias("beta")), "ticker")
 
 
 @query("waterfill_cap")
@@ -214,11 +235,16 @@ def _(spark, sf):
     return z.select("ticker", "day", F.when(F.col("z").isNull(), 1.0).when(F.col("z") > 200000, 0.0).when(F.col("z") > 140000, 0.5).otherwise(1.0).alias("step"))
 
 
-@query("phase_summary", sql(RETURNS, ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) % 20 AS o FROM rt), p AS (SELECT ticker, o, round(avg(r), 9) AS m FROM ri GROUP BY 1, 2) SELECT ticker, round(avg(m), 8) + 0.0 AS mean, round(min(m), 8) + 0.0 AS lo, round(max(m), 8) + 0.0 AS hi, count(*) FILTER (m > 0) AS n_pos FROM p GROUP BY 1").replace(")\n, ri", "), ri"))
+@query("phase_summary", sql(RETURNS, ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) % 20 AS o FROM rt), p AS (SELECT ticker, o, round(avg(r), 9) AS m FROM ri GROUP BY 1, 2) SELECT ticker, round(avg(m), 8) + 0.0 AS mean, round(min(m), 8) + 0.0 AS lo, round(max(m), 8) + 0.0 AS hi, count(*) FILTER (m > 0) AS n_pos, round(max(m) FILTER (o = 0), 8) + 0.0 AS published, 1 + count(*) FILTER (m > pub) AS rank FROM (SELECT *, max(m) FILTER (o = 0) OVER (PARTITION BY ticker) AS pub FROM p) GROUP BY 1").replace(")\n, ri", "), ri"))
 def _(spark, sf):
+    """All 20 offsets against the published one, which is 0; rank 1 is the best."""
     r = returns(spark, sf).withColumn("o", F.row_number().over(Window.partitionBy("ticker").orderBy("day")) % 20)
     p = r.groupBy("ticker", "o").agg(F.round(F.avg("r"), 9).alias("m"))
-    return p.groupBy("ticker").agg(rnd(F.avg("m"), 8).alias("mean"), rnd(F.min("m"), 8).alias("lo"), rnd(F.max("m"), 8).alias("hi"), F.count_if(F.col("m") > 0).alias("n_pos"))
+    p = p.withColumn("pub", F.max(F.when(F.col("o") == 0, F.col("m"))).over(Window.partitionBy("ticker")))
+    return p.groupBy("ticker").agg(
+        rnd(F.avg("m"), 8).alias("mean"), rnd(F.min("m"), 8).alias("lo"), rnd(F.max("m"), 8).alias("hi"), F.count_if(F.col("m") > 0).alias("n_pos"),
+        rnd(F.max("pub"), 8).alias("published"), (1 + F.count_if(F.col("m") > F.col("pub"))).alias("rank"),
+    )
 
 
 @query("news_tags", sql(RETURNS, "SELECT day, 'up:' || ticker AS tag FROM rt WHERE r > 0.03 UNION ALL SELECT day, 'busy:' || ticker FROM rt WHERE n > 4"))

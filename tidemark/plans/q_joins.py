@@ -8,6 +8,7 @@ from tidemark.operators import stats
 from tidemark.operators.asof import asof_join, on_calendar
 from tidemark.plans.base import DAYS, MARKET, MARKETS, RAW, RETURNS, TRADES, days, market_long, markets, panel, raw_tape, returns, sql, table, trades
 from tidemark.plans.registry import query
+from tidemark.sources import files
 
 
 @query("semi_ids", sql(RAW, "SELECT event_id FROM raw WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"))
@@ -354,10 +355,16 @@ def _(spark, sf):
     return returns(spark, sf).groupBy("ticker").agg(rnd(stats.compounded("r"), 8).alias("total"))
 
 
-@query("scan_intraday_pivot", sql(RAW, "SELECT date_trunc('hour', ts) AS h, round(avg(price) FILTER (platform = 'click'), 6) + 0.0 AS click, round(avg(price) FILTER (platform = 'view'), 6) + 0.0 AS view FROM raw WHERE platform IN ('click', 'view') GROUP BY 1"))
+@query("scan_intraday_pivot", sql(RAW, "SELECT date_trunc('hour', ts) AS h, " + ", ".join(f'round(avg(price) FILTER (platform = \'{p}\'), 6) + 0.0 AS "{p}"' for p in ("click", "error", "purchase", "signup", "view")) + " FROM raw GROUP BY 1"))
 def _(spark, sf):
-    p = raw_tape(spark, sf).where("platform in ('click', 'view')").groupBy(F.date_trunc("hour", "ts").alias("h")).pivot("platform", ["click", "view"]).agg(F.avg("price"))
-    return p.select("h", rnd("click").alias("click"), rnd("view").alias("view"))
+    """Files of each platform with UTC times as text, read together and pivoted to the mean of each hour."""
+    path, names = files.shared_path(spark, "intraday"), ["click", "error", "purchase", "signup", "view"]
+    text = raw_tape(spark, sf).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"), "platform", "price")
+    text.write.partitionBy("platform").option("header", True).csv(path)
+    rows = spark.read.schema("time string, price double, platform string").option("header", True).csv(path)
+    hour = F.date_trunc("hour", F.to_timestamp("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX")).alias("h")
+    p = rows.groupBy(hour).pivot("platform", names).agg(F.avg("price"))
+    return p.select("h", *[rnd(n).alias(n) for n in names])
 
 
 @query("series_block", sql(MARKET, ", c AS (SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS d FROM ml) WHERE isodow(d) < 6) SELECT c.day, last_value(a.value IGNORE NULLS) OVER (ORDER BY c.day) AS urgent, last_value(b.value IGNORE NULLS) OVER (ORDER BY c.day) AS low FROM c LEFT JOIN ml a ON a.day = c.day AND a.ticker = '1-URGENT' LEFT JOIN ml b ON b.day = c.day AND b.ticker = '5-LOW'").replace(")\n, c", "), c"))

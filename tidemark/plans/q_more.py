@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
+from tidemark.operators.asof import asof_join
 from tidemark.plans.base import MARKET, RETURNS, market_long, raw_tape, returns, sql, table
 from tidemark.plans.registry import query
 from tidemark.sources import files
@@ -54,15 +55,16 @@ def _(spark, sf):
 RI = RETURNS + ", ri AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM rt)"
 
 
-@query("weekend_gap", sql("raw AS (SELECT event_type AS platform, ts, event_id, 0.01::DOUBLE + 0.98::DOUBLE * value / (value + 50) AS price FROM events), f AS (SELECT platform, CAST(d AS TIMESTAMP) + INTERVAL 21 HOUR AS t1, CAST(d AS TIMESTAMP) + INTERVAL 45 HOUR AS t2 FROM (SELECT DISTINCT platform, CAST(ts AS DATE) AS d FROM raw) WHERE isodow(d) = 5)", "SELECT f.platform, f.t1, round(ln((SELECT arg_min(price, (ts, event_id)) FROM raw WHERE raw.platform = f.platform AND ts >= f.t2) / (SELECT arg_max(price, (ts, event_id)) FROM raw WHERE raw.platform = f.platform AND ts <= f.t1)), 6) + 0.0 AS gap FROM f"))
+@query("weekend_gap", sql("raw AS (SELECT event_type AS platform, ts, event_id, 0.01::DOUBLE + 0.98::DOUBLE * value / (value + 50) AS price FROM events), f AS (SELECT platform, (CAST(d AS TIMESTAMP) + INTERVAL 17 HOUR) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS t1, (CAST(d AS TIMESTAMP) + INTERVAL 65 HOUR) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS t2 FROM (SELECT DISTINCT platform, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS DATE) AS d FROM raw) WHERE isodow(d) = 5)", "SELECT f.platform, f.t1, round(ln((SELECT arg_min(price, (ts, event_id)) FROM raw WHERE raw.platform = f.platform AND ts >= f.t2) / (SELECT arg_max(price, (ts, event_id)) FROM raw WHERE raw.platform = f.platform AND ts <= f.t1)), 6) + 0.0 AS gap FROM f"))
 def _(spark, sf):
-    from tidemark.operators.asof import asof_join
-
-    q = raw_tape(spark, sf).select("platform", "ts", "price")
-    d = q.select("platform", F.to_date("ts").alias("d")).distinct().where(F.weekday("d") == 4)
-    f = d.select("platform", (F.col("d").cast("timestamp") + F.expr("INTERVAL 21 HOUR")).alias("t1"), (F.col("d").cast("timestamp") + F.expr("INTERVAL 45 HOUR")).alias("t2"))
-    a = asof_join(f, q, ["platform"], "t1", "ts", ["price"], "le").withColumnRenamed("price", "p1").drop("ts_found")
-    b = asof_join(a, q, ["platform"], "t2", "ts", ["price"], "ge")
+    """From the close on Friday at 17:00 to the reopening on Sunday at 17:00, both by the clocks of New York."""
+    zone = "America/New_York"
+    q = raw_tape(spark, sf).select("platform", "ts", "event_id", "price")
+    d = q.select("platform", F.to_date(F.from_utc_timestamp("ts", zone)).alias("d")).distinct().where(F.weekday("d") == 4)
+    at = lambda hours: F.to_utc_timestamp(F.col("d").cast("timestamp") + F.expr(f"INTERVAL {hours} HOUR"), zone)
+    f = d.select("platform", at(17).alias("t1"), at(65).alias("t2"))
+    a = asof_join(f, q, ["platform"], "t1", "ts", ["price"], "le", ties=["event_id"]).withColumnRenamed("price", "p1").drop("ts_found")
+    b = asof_join(a, q, ["platform"], "t2", "ts", ["price"], "ge", ties=["event_id"])
     return b.select("platform", "t1", rnd(F.log(F.col("price") / F.col("p1"))).alias("gap"))
 
 

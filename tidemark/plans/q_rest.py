@@ -58,9 +58,9 @@ def _(spark, sf):
     return perf_out(stats.perf_table(r, ["ticker", "name"], "day"), "ticker", "name")
 
 
-@query("subperiod_stats", "WITH " + BOOK_ROWS + ", py AS (SELECT *, year(day)::INT AS y FROM pb WHERE year(day) < 2001)" + perf_sql("py", ["ticker", "y"]))
+@query("subperiod_stats", "WITH " + BOOK_ROWS + ", py AS (SELECT *, year(day)::INT AS y FROM pb)" + perf_sql("py", ["ticker", "y"]))
 def _(spark, sf):
-    r = book_rows(spark, sf).withColumn("y", F.year("day")).where("y < 2001")
+    r = book_rows(spark, sf).withColumn("y", F.year("day"))
     return perf_out(stats.perf_table(r, ["ticker", "y"], "day"), "ticker", "y")
 
 
@@ -202,14 +202,15 @@ def _(spark, sf):
     return d.select("contract_id", "day", F.when(F.col("partition"), grid.eligible_partition(20.0)).otherwise(F.col("eligible")).alias("eligible"))
 
 
-@query("coverage_top_pivot", sql(DAYS, ", c AS (SELECT zone || '/' || theme AS cell, date_trunc('month', day)::DATE AS q, count(DISTINCT day) AS n FROM cd WHERE eligible GROUP BY 1, 2), t AS (SELECT cell FROM c GROUP BY 1 ORDER BY sum(n) DESC, cell LIMIT 30) SELECT cell, coalesce(sum(n) FILTER (q = DATE '2024-01-01'), 0)::BIGINT AS p1, coalesce(sum(n) FILTER (q = DATE '2024-02-01'), 0)::BIGINT AS p2, coalesce(sum(n) FILTER (q = DATE '2024-03-01'), 0)::BIGINT AS p3 FROM c JOIN t USING (cell) GROUP BY 1").replace(")\n, c", "), c"))
+@query("coverage_top_pivot", sql(DAYS, ", c AS (SELECT zone || '/' || theme AS cell, date_trunc('month', day)::DATE AS month, count(DISTINCT day) AS n FROM cd WHERE eligible GROUP BY 1, 2), t AS (SELECT cell FROM c GROUP BY 1 ORDER BY sum(n) DESC, cell LIMIT 30) SELECT t.cell, m.month, coalesce(n, 0) AS n_days FROM t CROSS JOIN (SELECT DISTINCT month FROM c) m LEFT JOIN c ON c.cell = t.cell AND c.month = m.month").replace(")\n, c", "), c"))
 def _(spark, sf):
-    month = F.date_trunc("month", "day").cast("date")
-    c = days(spark, sf).where("eligible").groupBy(F.concat_ws("/", "zone", "theme").alias("cell"), month.cast("string").alias("q")).agg(F.count_distinct("day").alias("n"))
+    """The 30 cells with most days and every month of the data, 0 where there is none."""
+    month = F.trunc("day", "month").alias("month")
+    c = days(spark, sf).where("eligible").groupBy(F.concat_ws("/", "zone", "theme").alias("cell"), month).agg(F.count_distinct("day").alias("n"))
+    c = files.written(c, "cells")
     top = F.broadcast(c.groupBy("cell").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "cell").limit(30).select("cell"))
-    periods = ["2024-01-01", "2024-02-01", "2024-03-01"]
-    out = c.join(top, "cell").groupBy("cell").pivot("q", periods).agg(F.sum("n")).fillna(0)
-    return out.select("cell", *[F.col(f"`{q}`").alias(f"p{i + 1}") for i, q in enumerate(periods)])
+    grid_ = top.crossJoin(c.select("month").distinct())  # 30 cells and a row a month
+    return grid_.join(c, ["cell", "month"], "left").select("cell", "month", F.coalesce("n", F.lit(0)).alias("n_days"))
 
 
 WEEKEND = Z + """,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import rnd
 from tidemark.functions.ewm import alpha_of, with_ewm_mean, with_ewm_var
-from tidemark.operators import changes, ranks, stats
+from tidemark.operators import changes, ranks, shocks, stats
 from tidemark.plans.base import DAYS, MARKET, PANEL, RETURNS, TRADES, days, market_long, panel, returns, sql, table, trades
 from tidemark.plans.registry import query
 from tidemark.sources.files import written
@@ -119,10 +119,14 @@ def _(spark, sf):
     return some.groupBy("day").agg(rnd(F.avg("z"), 5).alias("d"), F.count("*").alias("n")).select(F.lit("ALL_EVEN").alias("cell"), "day", "d", "n")
 
 
-@query("platform_subindex", sql(Z, "SELECT theme, CAST(day AS DATE) AS day, round(avg(z) FILTER (platform = 'click'), 5) + 0.0 AS d_click, round(avg(z) FILTER (platform = 'view'), 5) + 0.0 AS d_view, coalesce(sign(round(avg(z) FILTER (platform = 'click'), 5)) = sign(round(avg(z) FILTER (platform = 'view'), 5)), false) AS agree FROM zz WHERE z IS NOT NULL GROUP BY 1, 2"))
+PLATFORMS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("platform_subindex", sql(Z, ", pf AS (SELECT theme, day, platform, round(sum(z * vol7d) / nullif(sum(vol7d), 0), 5) + 0.0 AS d FROM zz WHERE z IS NOT NULL GROUP BY 1, 2, 3) SELECT theme, CAST(day AS DATE) AS day, " + ", ".join(f"max(d) FILTER (platform = '{p}') AS d_{p}" for p in PLATFORMS) + ", count(d) >= 2 AND min(sign(d)) = max(sign(d)) AS agree FROM pf GROUP BY 1, 2").replace(")\n, pf", "), pf"))
 def _(spark, sf):
-    out = z_rows(spark, sf).where("z is not null").groupBy("theme", "day").agg(*[rnd(F.avg(F.when(F.col("platform") == p, F.col("z"))), 5).alias(f"d_{p}") for p in ("click", "view")])
-    return out.withColumn("agree", F.coalesce(F.signum("d_click") == F.signum("d_view"), F.lit(False)))
+    rows = z_rows(spark, sf).where("z is not null").groupBy("theme", "day", "platform").agg(rnd(changes.weighted_mean("z", "vol7d"), 5).alias("d"))
+    agree = (F.count("d") >= 2) & (F.min(F.signum("d")) == F.max(F.signum("d")))
+    return rows.groupBy("theme", "day").agg(*[F.max(F.when(F.col("platform") == p, F.col("d"))).alias(f"d_{p}") for p in PLATFORMS], agree.alias("agree"))
 
 
 @query("min_events_having", sql(CHANGED, "SELECT theme, CAST(day AS DATE) AS day, count(*) AS n FROM ch GROUP BY 1, 2 HAVING count(DISTINCT event_no) >= 10"))
@@ -144,10 +148,15 @@ def _(spark, sf):
     return z_rows(spark, sf).where("z is not null").select("contract_id", "day", rnd(F.col("vol7d") / F.when(total != 0, total)).alias("share"))
 
 
-@query("top_moves_per_group", sql(CHANGED, "SELECT CAST(day AS DATE) AS day, contract_id, k::INT AS k FROM (SELECT day, contract_id, row_number() OVER (PARTITION BY day ORDER BY round(abs(dv), 9) DESC, contract_id) AS k FROM ch WHERE dv IS NOT NULL) WHERE k <= 3"))
+@query("top_moves_per_group", sql(CHANGED, ", dt AS (SELECT day, row_number() OVER (ORDER BY round(sum(abs(dv)), 6) DESC, day) AS day_rank FROM ch WHERE dv IS NOT NULL GROUP BY day), mv AS (SELECT day, contract_id, round(abs(dv), 9) AS a, row_number() OVER (PARTITION BY day ORDER BY round(abs(dv), 9) DESC, contract_id) AS k FROM ch WHERE dv IS NOT NULL) SELECT dt.day_rank::INT AS day_rank, CAST(mv.day AS DATE) AS day, contract_id, k::INT AS k, round(a, 6) + 0.0 AS move FROM mv JOIN dt ON dt.day = mv.day WHERE k <= 3 AND day_rank <= 8").replace(")\n, dt", "), dt"))
 def _(spark, sf):
-    w = Window.partitionBy("day").orderBy(F.round(F.abs("dv"), 9).desc(), "contract_id")
-    return changed(spark, sf).where("dv is not null").withColumn("k", F.row_number().over(w)).where("k <= 3").select("day", "contract_id", "k")
+    """The three largest moves of each of the eight days with most movement."""
+    c = written(changed(spark, sf).where("dv is not null").select("day", "contract_id", F.round(F.abs("dv"), 9).alias("a"), F.abs("dv").alias("m")), "moves")
+    days_ = c.groupBy("day").agg(F.round(F.sum("m"), 6).alias("s")).orderBy(F.desc("s"), "day").limit(8)
+    days_ = days_.select("day", F.row_number().over(Window.orderBy(F.desc("s"), "day")).alias("day_rank"))  # eight rows
+    w = Window.partitionBy("day").orderBy(F.desc("a"), "contract_id")
+    top = c.join(F.broadcast(days_), "day").withColumn("k", F.row_number().over(w)).where("k <= 3")
+    return top.select("day_rank", "day", "contract_id", "k", rnd("a").alias("move"))
 
 
 @query("within_day_change", sql(TRADES, "SELECT event_id, round(px - lag(px) OVER (PARTITION BY platform, platform_id, CAST(ts AS DATE) ORDER BY ts, event_id), 6) + 0.0 AS d FROM tr"))
@@ -156,9 +165,9 @@ def _(spark, sf):
     return trades(spark, sf).select("event_id", rnd(F.col("px") - F.lag("px").over(w)).alias("d"))
 
 
-@query("regime_days", sql(INDEX, "SELECT zone, count(*) AS n_days, count(*) FILTER (idx < 0) AS n_regime, round(avg(CASE WHEN idx < 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM ix GROUP BY 1"))
+@query("regime_days", sql(INDEX, "SELECT zone, year(day)::INT AS y, count(*) AS n_days, count(*) FILTER (idx < 0) AS n_regime, round(avg(CASE WHEN idx < 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM ix GROUP BY 1, 2"))
 def _(spark, sf):
-    return index(spark, sf).groupBy("zone").agg(F.count("*").alias("n_days"), F.count_if(F.col("index") < 0).alias("n_regime"), F.round(F.avg(F.when(F.col("index") < 0, 1.0).otherwise(0.0)), 6).alias("share"))
+    return index(spark, sf).groupBy("zone", F.year("day").alias("y")).agg(F.count("*").alias("n_days"), F.count_if(F.col("index") < 0).alias("n_regime"), F.round(F.avg(F.when(F.col("index") < 0, 1.0).otherwise(0.0)), 6).alias("share"))
 
 
 @query("active_days_mean", sql(INDEX, "SELECT zone, theme, count(*) FILTER (n_contracts > 0) AS n_active, round(avg(n_contracts), 6) AS mean_n FROM ix GROUP BY 1, 2"))
@@ -230,10 +239,16 @@ def _(spark, sf):
     return with_ewm_mean(returns(spark, sf), "y", F.col("r"), alpha_of(halflife=5), ["ticker"], "day").select("ticker", "day", rnd("y", 8).alias("y"))
 
 
-@query("ewma_vol_sparse", sql(RT_I, ewm_sql("CASE WHEN b.n > 1 THEN b.r * b.r END", "2 / 61.0::DOUBLE")))
+SPARSE = RT_I + """, sa AS (SELECT ticker, day, r, n > 1 AND r IS NOT NULL AS active, row_number() OVER (PARTITION BY ticker ORDER BY day) AS i FROM rt),
+sv AS (SELECT a.ticker, a.i, CASE WHEN count(*) FILTER (b.active) >= 20 THEN sum(CASE WHEN b.active THEN b.r * b.r * pow(1 - 2 / 61.0::DOUBLE, a.i - b.i) END) / sum(CASE WHEN b.active THEN pow(1 - 2 / 61.0::DOUBLE, a.i - b.i) END) END AS v FROM sa a JOIN sa b ON a.ticker = b.ticker AND b.i <= a.i GROUP BY 1, 2)"""
+
+
+@query("ewma_vol_sparse", sql(SPARSE, "SELECT sa.ticker, sa.day, round(sqrt(last_value(sv.v IGNORE NULLS) OVER (PARTITION BY sa.ticker ORDER BY sa.i)), 8) + 0.0 AS vol FROM sa LEFT JOIN sv ON sv.ticker = sa.ticker AND sv.i = sa.i - 1"))
 def _(spark, sf):
-    x = F.when(F.col("n") > 1, F.col("r") * F.col("r"))
-    return with_ewm_mean(returns(spark, sf), "y", x, alpha_of(span=60), ["ticker"], "day").select("ticker", "day", rnd("y", 8).alias("y"))
+    """Volatility over active days only, from 20 of them on, as known the day before and carried forward."""
+    active = (F.col("n") > 1) & F.col("r").isNotNull()
+    s = returns(spark, sf).select("ticker", "day", F.col("r").alias("d"), F.when(active, 1).otherwise(0).alias("n_contracts"))
+    return shocks.with_sigma(s, ["ticker"]).select("ticker", "day", rnd("sigma", 8).alias("vol"))
 
 
 @query("ewm_var_debiased", sql(RT_I, """SELECT ticker, day, round((q / w - (s / w) * (s / w)) * w * w / (w * w - w2), 8) + 0.0 AS y FROM (
@@ -333,15 +348,30 @@ def _(spark, sf):
     return m.where("c >= 2").select("day", "ticker", F.when(F.col("up") <= leg, 1).when(F.col("dn") <= leg, -1).otherwise(0).alias("leg"))
 
 
-@query("period_last_day", sql(MARKET, "SELECT ticker, last_day(day) AS month_end, max(day) AS last_trading_day FROM ml GROUP BY 1, 2"))
+@query("period_last_day", sql(MARKET, "SELECT ticker, 'month' AS period, last_day(day) AS period_end, max(day) AS last_trading_day FROM ml GROUP BY 1, 3 UNION ALL SELECT ticker, 'week', (day + CAST((12 - isodow(day)) % 7 AS INT))::DATE, max(day) FROM ml GROUP BY 1, 3"))
 def _(spark, sf):
-    return market_long(spark, sf).groupBy("ticker", F.last_day("day").alias("month_end")).agg(F.max("day").alias("last_trading_day"))
+    """Last trading day of each month and of each week that ends on a Friday."""
+    ends = F.array(F.struct(F.lit("month").alias("period"), F.last_day("day").alias("period_end")), F.struct(F.lit("week").alias("period"), friday("day").alias("period_end")))
+    return market_long(spark, sf).select("ticker", "day", F.inline(ends)).groupBy("ticker", "period", "period_end").agg(F.max("day").alias("last_trading_day"))
+
+
+def friday(day):
+    """The Friday on or after a day."""
+    return F.date_add(day, (11 - F.weekday(day)) % 7)
+
+
+HELD = MARKET + """, hb AS (SELECT ticker, day, value, row_number() OVER (PARTITION BY ticker ORDER BY day) - 1 AS i, day = max(day) OVER (PARTITION BY ticker, (day + CAST((12 - isodow(day)) % 7 AS INT))::DATE) AS wk, day = max(day) OVER (PARTITION BY ticker, last_day(day)) AS mo FROM ml)"""
 
 
-@query("hold_between_rebalance", sql(MARKET, "SELECT ticker, day, last_value(CASE WHEN i % 20 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY day) AS held FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY day) - 1 AS i FROM ml)"))
+@query("hold_between_rebalance", sql(HELD, "SELECT ticker, day, rule, coalesce(last_value(CASE rule WHEN 'week' THEN CASE WHEN wk THEN value END WHEN 'month' THEN CASE WHEN mo THEN value END ELSE CASE WHEN i % 20 = 7 THEN value END END IGNORE NULLS) OVER (PARTITION BY ticker, rule ORDER BY day), 0) AS held FROM hb CROSS JOIN (VALUES ('week'), ('month'), ('every 20 from 7')) r(rule)"))
 def _(spark, sf):
-    m = market_long(spark, sf).withColumn("i", F.row_number().over(by_ticker()) - 1)
-    return m.select("ticker", "day", F.last(F.when(F.col("i") % 20 == 0, F.col("value")), True).over(by_ticker()).alias("held"))
+    """Values kept from the last day of a week or month, or from every twentieth row from the eighth on; 0 before the first."""
+    last_of = lambda period: F.col("day") == F.max("day").over(Window.partitionBy("ticker", period))
+    m = market_long(spark, sf).withColumn("i", F.row_number().over(by_ticker()) - 1).withColumn("wk", last_of(friday("day"))).withColumn("mo", last_of(F.last_day("day")))
+    rules = F.array(*[F.struct(F.lit(n).alias("rule"), hit.alias("hit")) for n, hit in (("week", F.col("wk")), ("month", F.col("mo")), ("every 20 from 7", F.col("i") % 20 == 7))])
+    r = m.select("ticker", "day", "value", F.inline(rules))
+    held = F.last(F.when(F.col("hit"), F.col("value")), True).over(Window.partitionBy("ticker", "rule").orderBy("day"))
+    return r.select("ticker", "day", "rule", F.coalesce(held, F.lit(0.0)).alias("held"))
 
 
 @query("sign_changes", sql(RETURNS, "SELECT ticker, count(*) AS n FROM (SELECT ticker, sign(r) AS s, lag(sign(r)) OVER (PARTITION BY ticker ORDER BY day) AS p FROM rt WHERE r <> 0) WHERE s <> p GROUP BY 1"))

@@ -4,12 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import clip, hash_int, hash_key, rnd
-from tidemark.operators import grid, tape
+from tidemark.operators import bitmaps, grid, tape
 from tidemark.operators.asof import asof_join
 from tidemark.plans.base import (
     CUTOFF, DAYS, MARKET, MARKETS, PANEL, RAW, TRADES, days, market_long, markets, panel, raw_tape, sql, table, trades,
 )
 from tidemark.plans.registry import query
+from tidemark.sources import files
 
 PANEL_OUT = """platform, platform_id, CAST(snap_date AS DATE) AS snap_date, round(px_last, 6) + 0.0 AS px_last, round(px_vwap_1h, 6) + 0.0 AS px_vwap_1h,
   last_ts, round(px_early, 6) + 0.0 AS px_early, early_ts, round(volume_usd, 4) + 0.0 AS volume_usd, round(volume_late_usd, 4) + 0.0 AS volume_late_usd, n_trades"""
@@ -274,11 +275,20 @@ def _(spark, sf):
 
 @query("coverage_quarter", sql(DAYS, "SELECT zone, theme, date_trunc('quarter', day)::DATE AS quarter, count(DISTINCT contract_id) AS n_contracts, count(DISTINCT event_no) AS n_events, count(DISTINCT day) AS n_days, round(sum(vol1d), 4) + 0.0 AS volume FROM cd WHERE eligible AND isodow(day) < 6 GROUP BY ALL"))
 def _(spark, sf):
-    d = days(spark, sf).where(F.col("eligible") & (F.weekday("day") < 5))
-    return d.groupBy("zone", "theme", F.to_date(F.date_trunc("quarter", "day")).alias("quarter")).agg(
-        F.count_distinct("contract_id").alias("n_contracts"), F.count_distinct("event_no").alias("n_events"),
-        F.count_distinct("day").alias("n_days"), rnd(F.sum("vol1d"), 4).alias("volume"),
-    )
+    m = bitmaps.with_code(markets(spark, sf), ["event_no"], "event_code")
+    m = bitmaps.with_code(m, ["contract_id"], "contract_code", near=["event_no"])
+    d = days(spark, sf, m).where(F.col("eligible") & (F.weekday("day") < 5)).withColumn("month", F.trunc("day", "month"))
+    codes = {"n_contracts": F.col("contract_code"), "n_events": F.col("event_code"), "n_days": day_code("day")}
+    months = files.written(bitmaps.bitmaps(d, ["zone", "theme", "month"], codes, {"volume": F.col("vol1d")}), "month-bitmaps")
+    quarter = F.to_date(F.date_trunc("quarter", "month"))
+    quarters = bitmaps.merged(months.withColumn("quarter", quarter), ["zone", "theme", "quarter"], list(codes), ["volume"])
+    out = bitmaps.counted(quarters, ["zone", "theme", "quarter"], list(codes), ["volume"])
+    return out.withColumn("volume", rnd("volume", 4))
+
+
+def day_code(day):
+    """Days since the first year, from 1."""
+    return F.unix_date(day) + 719163
 
 
 COVER = "SELECT zone, theme, count(DISTINCT day) FILTER (day < DATE '2024-01-16') AS n_train, count(DISTINCT day) FILTER (day >= DATE '2024-01-16') AS n_test FROM cd WHERE eligible GROUP BY 1, 2"
@@ -286,9 +296,9 @@ COVER = "SELECT zone, theme, count(DISTINCT day) FILTER (day < DATE '2024-01-16'
 
 def cover(spark, sf):
     first = F.col("day") < F.lit("2024-01-16").cast("date")
-    return days(spark, sf).where("eligible").groupBy("zone", "theme").agg(
-        F.count_distinct(F.when(first, F.col("day"))).alias("n_train"), F.count_distinct(F.when(~first, F.col("day"))).alias("n_test")
-    )
+    codes = {"n_train": F.when(first, day_code("day")), "n_test": F.when(~first, day_code("day"))}
+    parts = files.written(bitmaps.bitmaps(days(spark, sf).where("eligible"), ["zone", "theme"], codes), "cell-bitmaps")
+    return bitmaps.counted(parts, ["zone", "theme"], list(codes))
 
 
 @query("coverage_cells", sql(DAYS, f"SELECT *, round(n_train / 15.0::DOUBLE, 6) AS share, n_train / 15.0::DOUBLE >= 0.60 AS keep FROM ({COVER})"))
@@ -317,15 +327,17 @@ def _(spark, sf):
     return days(spark, sf).where("eligible").select("contract_id", unit.alias("unit"), "zone").distinct().groupBy("unit", "zone").agg(F.count("*").alias("n"))
 
 
-@query("volume_by_year_pivot", "SELECT l_returnflag, coalesce(sum(l_quantity) FILTER (year(l_shipdate) = 1996), 0) AS y1996, coalesce(sum(l_quantity) FILTER (year(l_shipdate) = 1997), 0) AS y1997 FROM lineitem GROUP BY 1")
+@query("volume_by_year_pivot", "WITH s AS (SELECT l_returnflag, year(l_shipdate)::INT AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) SELECT f.l_returnflag, y.y, coalesce(v, 0)::DOUBLE AS volume FROM (SELECT DISTINCT l_returnflag FROM s) f CROSS JOIN (SELECT DISTINCT y FROM s) y LEFT JOIN s ON s.l_returnflag = f.l_returnflag AND s.y = y.y")
 def _(spark, sf):
-    p = table(spark, sf, "lineitem").withColumn("y", F.year("l_shipdate")).groupBy("l_returnflag").pivot("y", [1996, 1997])
-    out = p.agg(F.sum("l_quantity")).fillna(0)
-    return out.select("l_returnflag", F.col("1996").alias("y1996"), F.col("1997").alias("y1997"))
+    """Every flag and every year of the data, 0 where there is nothing; wide by ``pivot`` over the years found, then long again."""
+    s = files.written(table(spark, sf, "lineitem").groupBy("l_returnflag", F.year("l_shipdate").alias("y")).agg(F.sum("l_quantity").cast("double").alias("v")), "years")
+    years = sorted(r["y"] for r in s.select("y").distinct().collect())  # a row a year
+    wide = s.groupBy("l_returnflag").pivot("y", years).agg(F.sum("v")).fillna(0)
+    return wide.unpivot(["l_returnflag"], [F.col(f"`{y}`") for y in years], "y", "volume").withColumn("y", F.col("y").cast("int"))
 
 
-@query("quarter_platform_volume", "SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0), 2) + 0.0 AS o, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) + 0.0 AS f FROM orders GROUP BY 1")
+@query("quarter_platform_volume", "SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0), 2) + 0.0 AS o, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) + 0.0 AS f, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0), 2) + 0.0 AS p FROM orders GROUP BY 1")
 def _(spark, sf):
     q = table(spark, sf, "orders").withColumn("quarter", F.to_date(F.date_trunc("quarter", "o_orderdate")))
-    p = q.groupBy("quarter").pivot("o_orderstatus", ["O", "F"]).agg(F.sum("o_totalprice")).fillna(0)
-    return p.select("quarter", rnd("O", 2).alias("o"), rnd("F", 2).alias("f"))
+    p = q.groupBy("quarter").pivot("o_orderstatus", ["O", "F", "P"]).agg(F.sum("o_totalprice")).fillna(0)
+    return p.select("quarter", rnd("O", 2).alias("o"), rnd("F", 2).alias("f"), rnd("P", 2).alias("p"))
