@@ -247,13 +247,6 @@ def _(spark, sf):
     )
 
 
-@query("news_tags", sql(RETURNS, "SELECT day, 'up:' || ticker AS tag FROM rt WHERE r > 0.03 UNION ALL SELECT day, 'busy:' || ticker FROM rt WHERE n > 4"))
-def _(spark, sf):
-    r = returns(spark, sf)
-    tag = lambda name, where: r.where(where).select("day", F.concat(F.lit(name + ":"), "ticker").alias("tag"))
-    return tag("up", "r > 0.03").unionByName(tag("busy", "n > 4"))
-
-
 # -- regressions ----------------------------------------------------------------------------------
 
 

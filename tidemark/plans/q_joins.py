@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import hash_key, rnd, second_of_day, seconds_between, word_number
-from tidemark.operators import stats
+from tidemark.operators import checks, stats
 from tidemark.operators.asof import asof_join, on_calendar
 from tidemark.plans.base import DAYS, MARKET, MARKETS, RAW, RETURNS, TRADES, days, market_long, markets, panel, raw_tape, returns, sql, table, trades
 from tidemark.plans.registry import query
@@ -238,7 +238,9 @@ def _(spark, sf):
 
 @query("duplicate_check", "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n")).where("n > 1")
+    """What the check stops at; the order keys themselves have to pass it."""
+    orders = checks.require_unique(table(spark, sf, "orders"), ["o_orderkey"])
+    return checks.duplicates(orders.withColumn("day", F.to_date("o_orderdate")), ["o_custkey", "day"])
 
 
 @query("order_output", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")

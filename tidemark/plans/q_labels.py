@@ -204,20 +204,6 @@ def _(spark, sf):
     return cells(spark, sf).select("zone", "theme", "day", rnd("d_ew", 5).alias("d"))
 
 
-@query("conditioners", sql(RETURNS, "SELECT ticker, day, lag(value) OVER w AS level, lag(sign(r)) OVER w + 0.0 AS sgn, max(n) OVER (PARTITION BY ticker, date_trunc('week', day)) AS week_n FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY day)"))
-def _(spark, sf):
-    w = Window.partitionBy("ticker").orderBy("day")
-    week = Window.partitionBy("ticker", F.date_trunc("week", "day"))
-    return returns(spark, sf).select("ticker", "day", F.lag("value").over(w).alias("level"), (F.lag(F.signum("r")).over(w) + F.lit(0.0)).alias("sgn"), F.max("n").over(week).alias("week_n"))
-
-
-@query("factor_table", sql(MARKET, "SELECT ticker, day, round(ln(value) - lag(ln(value)) OVER w, 7) + 0.0 AS dlog, round(value - lag(value) OVER w, 6) + 0.0 AS d FROM ml WINDOW w AS (PARTITION BY ticker ORDER BY day)"))
-def _(spark, sf):
-    w = Window.partitionBy("ticker").orderBy("day")
-    m = market_long(spark, sf)
-    return m.select("ticker", "day", rnd(F.log("value") - F.lag(F.log("value")).over(w), 7).alias("dlog"), rnd(F.col("value") - F.lag("value").over(w)).alias("d"))
-
-
 @query("basket_hourly", sql(RAW, ", h AS (SELECT platform, date_trunc('hour', ts) AS h, avg(price) AS p FROM raw GROUP BY 1, 2), c AS (SELECT *, ln(p) - lag(ln(p)) OVER (PARTITION BY platform ORDER BY h) AS d FROM h) SELECT h, round(-avg(d), 7) + 0.0 AS b FROM c WHERE d IS NOT NULL GROUP BY 1 HAVING count(*) = 5").replace(")\n, h", "), h"))
 def _(spark, sf):
     h = raw_tape(spark, sf).groupBy("platform", F.date_trunc("hour", "ts").alias("h")).agg(F.avg("price").alias("p"))

@@ -43,7 +43,8 @@ def _(spark, sf):
 
 @query("export_registry")
 def _(spark, sf):
-    tables = [(t, lambda t=t: table(spark, sf, t), f"the {t} table") for t in ("nation", "region", "customer", "orders")]
+    units = {"customer": {"c_acctbal": "USD"}, "orders": {"o_totalprice": "USD", "o_orderdate": "UTC"}}
+    tables = [(t, lambda t=t: table(spark, sf, t), f"the {t} table", units.get(t, {})) for t in ("nation", "region", "customer", "orders", "not_there")]
     return files.export_registry(tables, scratch(spark), spark)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,11 +78,20 @@ def read_json_dict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return entries.select("key", "value.*")
 
 
-def export_registry(registry: Sequence[tuple[str, Callable[[], DataFrame], str]], root: str, spark: SparkSession) -> DataFrame:
-    """Build and write every table (name, builder, description); returns the catalog, one row a column."""
+def export_registry(registry: Sequence[tuple], root: str, spark: SparkSession) -> DataFrame:
+    """Build and write every table (name, builder, description, units by column); returns the catalog, one row a column.
+
+    A table whose source is missing is skipped and has one row without columns, with ``written`` false.
+    """
     rows = []
-    for name, build, about in registry:
-        df = build()
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        rows += [(name, about, i, c, t) for i, (c, t) in enumerate(df.dtypes)]
-    return spark.createDataFrame(rows, "name string, about string, place int, column string, type string")
+    for name, build, about, units in registry:
+        try:
+            df = build()
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                raise
+            rows.append((name, about, None, None, None, None, False))
+            continue
+        rows += [(name, about, i, c, t, units.get(c), True) for i, (c, t) in enumerate(df.dtypes)]
+    return spark.createDataFrame(rows, "name string, about string, place int, column string, type string, units string, written boolean")
