@@ -40,6 +40,30 @@ def test_recall(spark):
     assert hit >= 0.9 * 20 * len(want)
 
 
+def test_recall_of_the_registered_query(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert len(rows) >= 2000
+    want = exact(rows)
+    got = {}
+    for r in registry.QUERIES["op8_ann"](spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add((r["vec_id"], r["score"]))
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & set(found)) for q, found in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_blocks_and_parts_are_merged(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((700, 8)).astype(np.float32).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (5, x[5].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, every=7, k=5, capacity=90, part=11, share=1.0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    want = exact(rows[:700], every=7, k=5)
+    assert {q: [found[n] for n in sorted(found)] for q, found in got.items()} == want
+
+
 def test_query_is_whole(spark):
     out = registry.QUERIES["op8_ann"](spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 20 = 0").count()

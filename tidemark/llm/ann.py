@@ -7,10 +7,10 @@ in sorted order; a prefix is a range of it.  A query goes down to its longest pr
 every tree and then up in all trees at once, one bit a step, until the ranges hold
 enough different vectors; those are scored exactly, in double precision.
 
-The index has a row for each block of ``capacity`` vectors with all trees of the block.
-Queries are packed by parts of ``part`` vectors; every part meets every block in a task of
-its own, which so holds one block and one part whatever the input, and the best of the
-blocks are merged.
+The index has a file for each block of ``capacity`` vectors with all trees of the block.
+Queries are packed by parts of ``part`` vectors, a file each.  A task takes a block and some
+parts and reads them from the shared folder, so that it holds one block and one part whatever
+the input and nothing but pairs of numbers is sent to it; the best of the blocks are merged.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows
 without an id, take no part; vectors of different lengths aren't compared; a query's own
@@ -24,13 +24,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, stored_row, stored_rows, wide_partitions
 
 _INDEX_DDL = "dim int, block int, vec_ids binary, vectors binary, keys binary, positions binary, top double"
 SEED = 5
+#: parts of queries that a task puts to its block
+PARTS = 4
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -180,39 +182,34 @@ def search(
     random components a share of 0.5 finds 0.93 of the nearest 20 among 500, 0.96 among 2,000, 0.97 among
     10,000 and 0.99 among 50,000; 0.3 finds 0.80, 0.86, 0.92 and 0.95.
     """
-    asked = materialize(pack_queries(queries, part), "queries")
-    pairs = forest.select("dim", "block").join(asked.select(F.col("q_dim").alias("dim"), "part"), "dim")
-    index = forest.join(pairs, ["dim", "block"])
-    asked = asked.join(pairs.select(F.col("dim").alias("q_dim"), F.col("block").alias("q_block"), "part"), ["q_dim", "part"])
-    asked = asked.withColumnRenamed("part", "q_part")
-
-    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        if index.num_rows and asked.num_rows:
-            block = Forest(index.to_pylist()[0], trees, bits)
-            names = np.frombuffer(asked.column("query_ids")[0].as_py(), np.int64).tolist()
-            vectors = np.frombuffer(asked.column("query_vectors")[0].as_py()).reshape(len(names), -1)
-            enough = max(least or k + 1, math.ceil(share * len(block.ids)))
-            for first in range(0, len(names), 1000):
-                some = vectors[first : first + 1000]
-                for q, v, at in zip(names[first : first + 1000], some, block.candidates(some, enough)):
-                    out += [(q, i, s) for i, s in block.nearest(q, v, at, k)]
-        cols = list(zip(*out)) if out else [[], [], []]
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
-        return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), cols)})
-
-    parts = (
-        index.groupBy("dim", "block", "part")
-        .cogroup(asked.groupBy("q_dim", "q_block", "q_part"))
-        .applyInArrow(run, "query_id long, vec_id long, score double")
-    )
-    best = F.slice(
-        F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k
-    )  # k rows a block at most
-    merged = parts.groupBy("query_id").agg(best.alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("r", "b")).select(
-        "query_id", (F.col("r") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score")
-    )
+    blocks, of_blocks = stored_rows(forest, "forest-blocks", ["dim", "block"])
+    asked, of_parts = stored_rows(pack_queries(queries, part), "query-parts", ["q_dim", "part"])
+    groups = of_parts.withColumn("g", F.floor(F.col("part") / PARTS)).groupBy(F.col("q_dim").alias("dim"), "g").agg(F.collect_list("part").alias("parts"))
+    pairs = of_blocks.join(groups, "dim").repartition(4 * wide_partitions(forest.sparkSession), "dim", "block", "g")
+    kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
+
+    def run(batches):
+        held, block = None, None
+        for batch in batches:
+            for dim, number, parts in zip(*(batch.column(c).to_pylist() for c in ("dim", "block", "parts"))):
+                if held != (dim, number):
+                    held, block = (dim, number), Forest(stored_row(blocks, dim, number), trees, bits)
+                enough = max(least or k + 1, math.ceil(share * len(block.ids)))
+                for p in sorted(parts):
+                    row, out = stored_row(asked, dim, p), []
+                    names = np.frombuffer(row["query_ids"], np.int64).tolist()
+                    vectors = np.frombuffer(row["query_vectors"]).reshape(len(names), -1)
+                    for first in range(0, len(names), 1000):
+                        some = vectors[first : first + 1000]
+                        for q, v, at in zip(names[first : first + 1000], some, block.candidates(some, enough)):
+                            out += [(q, i, s) for i, s in block.nearest(q, v, at, k)]
+                    cols = list(zip(*out)) if out else [[], [], []]
+                    yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), cols)})
+
+    found = pairs.select("dim", "block", "parts").mapInArrow(run, "query_id long, vec_id long, score double").repartition(4 * wide_partitions(forest.sparkSession), "query_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may stand in several rows
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, capacity: int = 8192, **options) -> DataFrame:

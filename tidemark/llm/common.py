@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,38 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_rows(df: DataFrame, label: str, names: Sequence[str]) -> tuple[str, DataFrame]:
+    """Writes every row of ``df`` to a file of its own in the shared folder; returns the folder and the ``names`` columns.
+
+    For rows of some megabytes that many tasks read (``stored_row``); ``names`` are unique. A repeated task writes the same files again.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    names = list(names)
+
+    def store(batches):
+        fs, root = open_fs(folder)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                fs.create_dir(root)
+                name = f"{root}/{'-'.join(str(row[n][0].as_py()) for n in names)}"
+                staged = f"{name}.{uuid.uuid4().hex}"
+                pq.write_table(row, staged, filesystem=fs)
+                fs.move(staged, name)
+            yield batch.select(names)
+
+    schema = df.select(*names).schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return folder, materialize(df.mapInArrow(store, ddl), label)
+
+
+def stored_row(folder: str, *names) -> dict:
+    """A row written by ``stored_rows``, in a task."""
+    fs, path = open_fs(f"{folder}/{'-'.join(map(str, names))}")
+    return pq.read_table(path, filesystem=fs).to_pylist()[0]
+
+
 def text_or_empty(col: str = "text"):
     """Null counts as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

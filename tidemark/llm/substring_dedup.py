@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty, wide_partitions
+from tidemark.llm.common import materialize, partitions_for, text_or_empty
 from tidemark.llm.near_dedup import mixed, rolling
 
 _NO_ID = 2**63 - 1
@@ -45,6 +45,8 @@ _KEY_ODD = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 60_000
 #: a key is hot only from one part in so many of all entries on, so there are fewer hot keys than this
 HOT_PARTS = 1_000_000
+#: bytes of text for each bucket; a task holds what is shared of about one bucket
+BUCKET_BYTES = 128 << 20
 
 
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -489,10 +491,10 @@ def dedup_substrings(
     text_col: str = "text",
 ) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: the remaining bytes)."""
-    n_buckets = n_buckets or wide_partitions(documents.sparkSession)
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), rid.alias("rid"), text_or_empty(text_col).alias("text"))
     docs = docs.withColumn("th", F.xxhash64("text"))
+    n_buckets = n_buckets or partitions_for(docs, F.octet_length("text"), BUCKET_BYTES)
     # rows without an id go by their text, so that they don't gather
     docs = docs.withColumn("u", F.when(F.col("rid") == _NO_ID, F.col("th")).otherwise(F.col("rid")))
     anchors = materialize(shared_anchors(docs.select("u", "text"), length, anchor, hot, n_buckets), "substring-anchors")
