@@ -1,5 +1,6 @@
 """Size-tiered shards: exact round trip, tiers and runs, versions, atomic commit."""
 
+import random
 import tempfile
 from collections import Counter
 
@@ -51,6 +52,25 @@ def test_runs_are_of_one_tier_and_target_sized(spark):
     assert len({r["path"] for r in store.plan(40_000, 2, 7).collect()}) <= 7
 
 
+def test_plan_against_a_loop(spark):
+    rng = random.Random(8)
+    for target, min_run, most in ((1000, 2, 10_000), (1000, 4, 10_000), (300, 2, 25), (50, 2, 10_000)):
+        rows = [(f"f{i}", i, rng.choice([None, rng.randint(0, 30)]), 1, rng.choice([30, 90, 250, 999, 1000, 5000]), rng.randint(0, 2), 1) for i in range(80)]
+        store = sharding.ShardStore(spark, "/none")
+        store.manifest = lambda version=None, rows=rows: spark.createDataFrame(rows, sharding.MANIFEST)
+        small = [r for r in rows if r[4] < target]
+        small.sort(key=lambda r: (r[5], r[2] is not None, r[2] or 0, r[0]))  # as the plan takes them: nulls first
+        runs = {}
+        for tier in (0, 1, 2):
+            before = 0
+            mine = [r for r in small[:most] if r[5] == tier]
+            for r in sorted(mine, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+                runs.setdefault(f"{tier}-{before // target}", []).append(r[0])
+                before += r[4]
+        want = {(path, run) for run, paths in runs.items() if len(paths) >= min_run for path in paths}
+        assert {(r["path"], r["run"]) for r in store.plan(target, min_run, most).collect()} == want
+
+
 def test_commit_is_exclusive_and_nothing_due(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     store = sharding.shard_documents(docs(spark, ODD).coalesce(1), root)
