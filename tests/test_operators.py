@@ -496,3 +496,10 @@ def test_partitioned_tape_reads_only_its_dates(spark, tmp_path):
     got = files.read_tape(spark, f"{tmp_path}/tape", "2024-01-02", "2024-01-03")
     assert sorted(r["id"] for r in got.collect()) == [i for i, _, d in rows if d in (day(1), day(2))]
     assert "PartitionFilters: [isnotnull(date" in got._jdf.queryExecution().toString()
+
+
+def test_too_many_entities_are_refused(spark):
+    rows = spark.range(60).selectExpr("id % 6 AS e", "id div 6 AS t", "CAST(id * id % 7 AS double) AS y", "CAST(id % 5 AS double) AS x")
+    assert regress.wald_equal_slopes(rows, "e", "t", "y", "x", lags=1)["n"] == 6
+    with pytest.raises(ValueError, match="too many"):
+        regress.wald_equal_slopes(rows, "e", "t", "y", "x", most=5)

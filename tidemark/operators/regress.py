@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import written
+
 
 def within(rows: DataFrame, entity: str, columns: Sequence[str]) -> DataFrame:
     """Columns less their entity means (fixed effects)."""
@@ -55,7 +57,7 @@ def panel_fit(rows: DataFrame, entity: str, time: str, y: str, xs: Sequence[str]
     Scores are summed by time, and their lagged products with Bartlett weights are a join of
     the time series with itself on the distance of ordinals.
     """
-    w = within(rows.select(entity, time, y, *xs).dropna(), entity, [y, *xs])
+    w = written(within(rows.select(entity, time, y, *xs).dropna(), entity, [y, *xs]), "within")  # read for the moments and for the scores
     g, xy, n = gram(w, y, xs)
     keep = independent(g)
     names = [xs[i] for i in keep]
@@ -175,8 +177,8 @@ def chi2_tail(x: float, df: int) -> float:
     return total
 
 
-def wald_equal_slopes(rows: DataFrame, entity: str, time: str, y: str, x: str, lags: int | None = None) -> dict:
-    """Wald test that all entities have one slope: n, wald, p.
+def wald_equal_slopes(rows: DataFrame, entity: str, time: str, y: str, x: str, lags: int | None = None, most: int = 500) -> dict:
+    """Wald test that all entities have one slope: n, wald, p.  Over ``most`` entities are refused, as every two of them are a cell of a matrix.
 
     Entities enter by interactions with fixed effects, so each slope comes from its own rows; the covariance is
     Driscoll-Kraay's.  Products of entities (one number a pair) come to the driver.  Entities without variance go.
@@ -184,12 +186,15 @@ def wald_equal_slopes(rows: DataFrame, entity: str, time: str, y: str, x: str, l
     by = Window.partitionBy(entity)
     r = rows.dropna(subset=[y, x]).select(entity, time, (F.col(y) - F.avg(y).over(by)).alias("__y"), (F.col(x) - F.avg(x).over(by)).alias("__x"))
     fit = r.groupBy(entity).agg(F.sum(F.col("__x") * F.col("__x")).alias("__xx"), F.sum(F.col("__x") * F.col("__y")).alias("__xy")).where("__xx > 1e-18")
-    fit = fit.withColumn("__b", F.col("__xy") / F.col("__xx"))
+    fit = written(fit.withColumn("__b", F.col("__xy") / F.col("__xx")), "slopes")
+    if (n := fit.count()) > most:
+        raise ValueError(f"{n} entities are too many for a test of equal slopes, at most {most}")
     slopes = {e[entity]: (e["__b"], e["__xx"]) for e in fit.collect()}
     names = sorted(slopes)
     if len(names) < 2:
         return {"n": len(names), "wald": None, "p": None}
     h = r.join(fit, entity).groupBy(entity, time).agg(F.sum(F.col("__x") * (F.col("__y") - F.col("__b") * F.col("__x"))).alias("__h"))
+    h = written(h, "entity-scores")
     days = h.select(time).distinct().withColumn("__i", F.row_number().over(Window.orderBy(time)))  # a row a day
     h = h.join(days, time).select(entity, "__i", "__h")
     lags = bandwidth(days.count()) if lags is None else lags

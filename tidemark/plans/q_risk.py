@@ -7,7 +7,7 @@ from tidemark.functions.common import rnd
 from tidemark.plans.base import market_long, returns, sql
 from tidemark.plans.q_series import CELLS, Z, cells, friday
 from tidemark.plans.q_shocks import SERIES, recursive, shocked
-from tidemark.plans.q_strategy import CARRY, carry, quotes
+from tidemark.plans.q_strategy import CARRY, carry, quotes_once
 from tidemark.plans.registry import query
 from tidemark.sources import files
 
@@ -68,7 +68,8 @@ fc AS (SELECT day, sum(coalesce(w, 0) * coalesce(rx, 0)) AS carry FROM fw GROUP
 def _(spark, sf):
     """Log and simple changes of each series, and the gross return of the carry book on the day."""
     w = Window.partitionBy("ticker").orderBy("day")
-    q = quotes(spark, sf).select("ticker", "day", "rx").join(carry(spark, sf).select("ticker", "day", "w"), ["ticker", "day"], "left")
+    once = quotes_once(spark, sf)
+    q = once.select("ticker", "day", "rx").join(carry(spark, sf, once).select("ticker", "day", "w"), ["ticker", "day"], "left")
     pnl = q.withColumn("p", F.coalesce(F.lag(F.coalesce("w", F.lit(0.0))).over(w), F.lit(0.0)) * F.coalesce("rx", F.lit(0.0)))
     book = pnl.groupBy("day").agg(rnd(F.sum("p"), 7).alias("carry"))
     m = returns(spark, sf).select("ticker", "day", rnd(F.log("value") - F.lag(F.log("value")).over(w), 7).alias("dlog"), rnd(F.col("value") - F.lag("value").over(w)).alias("d"))

@@ -8,6 +8,7 @@ from tidemark.functions.ewm import alpha_of, with_ewm_mean
 from tidemark.operators import book, market
 from tidemark.plans.base import RETURNS, returns, sql
 from tidemark.plans.registry import query
+from tidemark.sources.files import written
 
 TARGET = 0.10
 
@@ -22,6 +23,11 @@ def quotes(spark, sf):
     return market.excess_returns(q, "ticker", "day", "s", "carry", "stale")
 
 
+def quotes_once(spark, sf):
+    """The quotes as a written table, for books that read them several times."""
+    return written(quotes(spark, sf), "quotes")
+
+
 RX = (
     RETURNS
     + """,
@@ -86,10 +92,11 @@ ch AS (SELECT hd.day, cs.ticker, cs.w FROM hd JOIN cs ON cs.day = hd.reb)"""
 )
 
 
-def carry(spark, sf):
-    q = market.rolling_vol(quotes(spark, sf), "ticker", "day", "rx")
+def carry(spark, sf, quoted=None):
+    quoted = quotes_once(spark, sf) if quoted is None else quoted
+    q = market.rolling_vol(quoted, "ticker", "day", "rx")
     legs = market.carry_legs(q.join(market.month_ends(q), "day"))
-    return market.held(market.scaled(legs, market.ewma_cov(quotes(spark, sf)), TARGET, keep_unscaled=True), q)
+    return market.held(market.scaled(written(legs, "legs"), market.ewma_cov(quoted), TARGET, keep_unscaled=True), q)
 
 
 @query("carry_weights", sql(CARRY, "SELECT ticker, day, round(w, 6) + 0.0 AS w FROM ch"))
@@ -104,10 +111,11 @@ tw AS (SELECT ticker, day, side * (1 / vol) / sum(1 / vol) OVER (PARTITION BY da
 ts AS (SELECT tw.ticker, tw.day, tw.w * k AS w FROM tw JOIN k_tw ON k_tw.day = tw.day WHERE k IS NOT NULL)"""
 
 
-def tilt(spark, sf):
-    q = market.rolling_vol(quotes(spark, sf), "ticker", "day", "rx")
+def tilt(spark, sf, quoted=None):
+    quoted = quotes_once(spark, sf) if quoted is None else quoted
+    q = market.rolling_vol(quoted, "ticker", "day", "rx")
     side = F.when(F.col("ticker") < "3", 1).when(F.col("ticker") >= "4", -1)
-    return market.scaled(market.list_tilt(q, side), market.ewma_cov(quotes(spark, sf)), TARGET, keep_unscaled=False)
+    return market.scaled(written(market.list_tilt(q, side), "legs"), market.ewma_cov(quoted), TARGET, keep_unscaled=False)
 
 
 @query("tilt_weights", sql(CARRY + ", " + TILT, "SELECT ticker, day, round(w, 6) + 0.0 AS w FROM ts"))
@@ -123,9 +131,9 @@ ex AS (SELECT day, step * CASE WHEN since_a IS NULL OR since_a >= 10 THEN 1.0::D
   step - step * CASE WHEN since_b IS NULL OR since_b >= 10 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE + 0.75::DOUBLE * since_b / 10 END AS add FROM ex2)"""
 
 
-def exposure(spark, sf):
+def exposure(spark, sf, quoted=None):
     """(day, mult, add): one row a day, so its windows are over the days only."""
-    m = quotes(spark, sf).where("rx is not null").groupBy("day").agg(F.avg("rx").alias("m"))
+    m = (quotes(spark, sf) if quoted is None else quoted).where("rx is not null").groupBy("day").agg(F.avg("rx").alias("m"))
     w = Window.orderBy("day")
     m = m.withColumn("i", F.row_number().over(w))
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -142,8 +150,9 @@ def exposure(spark, sf):
 @query("overlay_combine", sql(CARRY + ", " + TILT + ", " + EXPOSURE, """, tk AS (SELECT DISTINCT ticker FROM rx), el AS (SELECT ticker, day, CASE WHEN ticker >= '4' THEN coalesce(lag(mult) OVER w, 1) ELSE mult END AS mult, CASE WHEN ticker >= '4' THEN coalesce(lag(add) OVER w, 0) ELSE add END AS add FROM ex CROSS JOIN tk WINDOW w AS (PARTITION BY ticker ORDER BY day))
 SELECT el.ticker, el.day, round(coalesce(ch.w, 0) * mult + coalesce(ts.w, 0) * add, 6) + 0.0 AS w FROM el LEFT JOIN ch ON ch.ticker = el.ticker AND ch.day = el.day LEFT JOIN ts ON ts.ticker = el.ticker AND ts.day = el.day WHERE ch.w IS NOT NULL OR ts.w IS NOT NULL""").replace(")\n, tk", "), tk"))
 def _(spark, sf):
-    lags = quotes(spark, sf).select("ticker").distinct().select("ticker", F.when(F.col("ticker") >= "4", 1).otherwise(0).alias("lag"))
-    return market.overlay(carry(spark, sf), tilt(spark, sf), exposure(spark, sf), lags).select("ticker", "day", rnd("w").alias("w"))
+    q = quotes_once(spark, sf)
+    lags = q.select("ticker").distinct().select("ticker", F.when(F.col("ticker") >= "4", 1).otherwise(0).alias("lag"))
+    return market.overlay(carry(spark, sf, q), tilt(spark, sf, q), exposure(spark, sf, q), lags).select("ticker", "day", rnd("w").alias("w"))
 
 
 VAR = """va AS (SELECT a.ticker, a.day, count(b.rx) AS seen, (sum(b.rx * b.rx * pow(1 - 2 / 61.0::DOUBLE, a.i - b.i)) / sum(CASE WHEN b.rx IS NOT NULL THEN pow(1 - 2 / 61.0::DOUBLE, a.i - b.i) END)
