@@ -28,7 +28,10 @@ MANIFEST = "path string, shard long, first_id long, n_docs long, n_bytes long, t
 
 
 class ShardStore:
-    """A folder with data files and manifest versions; works on any file system that Spark reads."""
+    """A folder with data files and manifest versions, on a file system whose rename is atomic and can refuse to replace (HDFS or a shared disk).
+
+    Plain object stores copy in place of a rename; there a commit is not atomic.
+    """
 
     def __init__(self, spark: SparkSession, root: str, id_col: str = "doc_id"):
         self.spark, self.root, self.id_col = spark, root.rstrip("/"), id_col
