@@ -422,6 +422,13 @@ def test_running_quantiles_against_numpy(spark, strict):
             assert got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-12)
 
 
+def test_running_quantiles_of_infinite_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", t, x) for t, x in enumerate([inf, -inf, 1.0, inf, None])] + [(None, 0, 1.0)], "k string, t int, x double")
+    got = {r["t"]: r["quantile"] for r in ranks.running_quantile(df, df, ["k"], "t", "x", 0.5, False).collect()}
+    assert got[0] == inf and got[2] == 1.0 and got[3] == inf and got[4] == inf
+
+
 def test_a_hot_cell_is_counted_not_gathered(spark):
     rows = spark.range(200000).select(F.lit("a").alias("k"), (F.col("id") % 40).cast("int").alias("t"), F.lit(2.5).alias("x"))
     got = ranks.running_quantile(rows, rows, ["k"], "t", "x", 0.5, True).collect()

@@ -28,7 +28,7 @@ _SHIFT = 1100  # above the largest and the smallest power of two of a double
 
 def _cell(x: str, level: int):
     """Number of the cell of ``x`` at a level; grows with x."""
-    size = F.when(F.col(x) == 0, 0.0).otherwise(F.signum(x) * (F.log2(F.abs(x)) + _SHIFT))
+    size = F.when(F.col(x) == 0, 0.0).otherwise(F.signum(x) * F.least(F.log2(F.abs(x)) + _SHIFT, F.lit(2.0 * _SHIFT)))
     return F.floor(size * float(OCTAVE * FANOUT**level)).cast("long")
 
 
@@ -53,7 +53,7 @@ def running_quantile(values: DataFrame, points: DataFrame, keys: Sequence[str],
     """(keys, at, n, quantile): the q-quantile of ``x`` over the key's values before each point (``strict``) or up to it.
 
     ``values`` (keys, at, x) and ``points`` (keys, at) may repeat; the quantile lies between the two middle values in
-    proportion.  Nulls and NaN are no values; points without values give no row.  ``values`` are read once a level and should be a written table.
+    proportion.  Nulls and NaN are no values; points without values and null keys give no row.  ``values`` are read once a level and should be a written table.
     """
     keys = list(keys)
     base = values.where(F.col(x).isNotNull() & ~F.isnan(x)).select(*keys, F.col(at).alias("at"), F.col(x).cast("double").alias("__x"))
