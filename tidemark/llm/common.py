@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -53,6 +54,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver look for exchanges that nothing refers to any more, so that their files are removed before the next step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored_rows(df: DataFrame, label: str, names: Sequence[str]) -> tuple[str, DataFrame]:
     """Writes every row of ``df`` to a file of its own in the shared folder; returns the folder and the ``names`` columns.
 
