@@ -50,6 +50,17 @@ def test_matches_sql(spark, con, key):
     assert norm(got) == norm([dict(zip(names, r)) for r in cur.fetchall()])
 
 
+def test_every_day_has_its_largest_moves(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import q_series
+
+    moves = q_series.changed(spark, SF).where("dv is not null").groupBy("day").agg(F.count("*").alias("n")).collect()
+    got = catalog.QUERIES["top_moves_per_group"](spark, SF).groupBy("day").agg(F.count("*").alias("n"), F.min("day_rank").alias("lo"), F.max("day_rank").alias("hi")).collect()
+    assert len(moves) > 8 and {r["day"]: r["n"] for r in got} == {r["day"]: min(3, r["n"]) for r in moves}
+    assert sorted(r["lo"] for r in got) == list(range(1, len(moves) + 1)) and all(r["lo"] == r["hi"] for r in got)
+
+
 def test_late_rows_are_counted_and_stale_markets_told(spark, tmp_path):
     import datetime as dt
 

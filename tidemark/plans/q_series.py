@@ -148,14 +148,14 @@ def _(spark, sf):
     return z_rows(spark, sf).where("z is not null").select("contract_id", "day", rnd(F.col("vol7d") / F.when(total != 0, total)).alias("share"))
 
 
-@query("top_moves_per_group", sql(CHANGED, ", dt AS (SELECT day, row_number() OVER (ORDER BY round(sum(abs(dv)), 6) DESC, day) AS day_rank FROM ch WHERE dv IS NOT NULL GROUP BY day), mv AS (SELECT day, contract_id, round(abs(dv), 9) AS a, row_number() OVER (PARTITION BY day ORDER BY round(abs(dv), 9) DESC, contract_id) AS k FROM ch WHERE dv IS NOT NULL) SELECT dt.day_rank::INT AS day_rank, CAST(mv.day AS DATE) AS day, contract_id, k::INT AS k, round(a, 6) + 0.0 AS move FROM mv JOIN dt ON dt.day = mv.day WHERE k <= 3 AND day_rank <= 8").replace(")\n, dt", "), dt"))
+@query("top_moves_per_group", sql(CHANGED, ", dt AS (SELECT day, row_number() OVER (ORDER BY round(sum(abs(dv)), 6) DESC, day) AS day_rank FROM ch WHERE dv IS NOT NULL GROUP BY day), mv AS (SELECT day, contract_id, round(abs(dv), 9) AS a, row_number() OVER (PARTITION BY day ORDER BY round(abs(dv), 9) DESC, contract_id) AS k FROM ch WHERE dv IS NOT NULL) SELECT dt.day_rank::INT AS day_rank, CAST(mv.day AS DATE) AS day, contract_id, k::INT AS k, round(a, 6) + 0.0 AS move FROM mv JOIN dt ON dt.day = mv.day WHERE k <= 3").replace(")\n, dt", "), dt"))
 def _(spark, sf):
-    """The three largest moves of each of the eight days with most movement."""
+    """The three largest moves of every day, and the day's place among all days by its movement."""
     c = written(changed(spark, sf).where("dv is not null").select("day", "contract_id", F.round(F.abs("dv"), 9).alias("a"), F.abs("dv").alias("m")), "moves")
-    days_ = c.groupBy("day").agg(F.round(F.sum("m"), 6).alias("s")).orderBy(F.desc("s"), "day").limit(8)
-    days_ = days_.select("day", F.row_number().over(Window.orderBy(F.desc("s"), "day")).alias("day_rank"))  # eight rows
+    days_ = c.groupBy("day").agg(F.round(F.sum("m"), 6).alias("s"))
+    days_ = days_.select("day", F.row_number().over(Window.orderBy(F.desc("s"), "day")).alias("day_rank"))  # a row a day
     w = Window.partitionBy("day").orderBy(F.desc("a"), "contract_id")
-    top = c.join(F.broadcast(days_), "day").withColumn("k", F.row_number().over(w)).where("k <= 3")
+    top = c.withColumn("k", F.row_number().over(w)).where("k <= 3").join(days_, "day")
     return top.select("day_rank", "day", "contract_id", "k", rnd("a").alias("move"))
 
 
