@@ -100,3 +100,22 @@ def test_ids_of_all_sizes_and_rows_without_one(spark):
     assert {r["doc_id"] for r in found.collect()} == set(ids)
     assert got(found.na.fill(2**63 - 1, ["doc_id"])) == want
     assert got(sd.dedup_substrings(df, hot=1, n_buckets=3).na.fill(2**63 - 1, ["doc_id"])) == want
+
+
+def test_exchange_files_go_with_each_step(spark, monkeypatch):
+    """Before a step is read again, the exchanges of its write are gone, whether or not the driver has collected its garbage."""
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    left = []
+    real = sd.materialize
+
+    def counted(df, *args, **options):
+        before = shuffles.size()
+        out = real(df, *args, **options)
+        left.append(shuffles.size() - before)
+        return out
+
+    monkeypatch.setattr(sd, "materialize", counted)
+    df = docs(spark, ODD).repartition(3)
+    assert got(sd.dedup_substrings(df)) == brute([(i, t) for i, t, _ in ODD])
+    assert len(left) == 3 and max(left) <= 0, left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting for the removal of exchange files at the end of an execution
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables, through Spark's reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,24 +45,26 @@ def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, drop_exchanges: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later steps then start from files that outlive any executor, and a costly scan
-    that two branches need runs once.
+    that two branches need runs once.  With ``drop_exchanges`` Spark removes the files of
+    the write's exchanges as soon as it has ended, not when the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FILE_CLEANUP, "false")
+    if drop_exchanges:
+        spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if drop_exchanges:
+            spark.conf.set(_FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Has the driver look for exchanges that nothing refers to any more, so that their files are removed before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored_rows(df: DataFrame, label: str, names: Sequence[str]) -> tuple[str, DataFrame]:
     """Writes every row of ``df`` to a file of its own in the shared folder; returns the folder and the ``names`` columns.
 
