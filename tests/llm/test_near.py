@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tests.llm.util import ODD, docs
 
-from tidemark.llm import line_dedup, links, near_dedup, registry
+from tidemark.llm import common, line_dedup, links, near_dedup, registry
 from tidemark.llm.common import shared_dir
 
 
@@ -246,3 +246,21 @@ def test_joined_classes_equal_components_of_all_links(spark):
     got = {r["id"]: r["component"] for r in links.joined_classes(classes, frame(more)).collect()}
     want = {r["id"]: r["component"] for r in links.components(frame(first + more)).collect()}
     assert got == want
+
+
+def test_small_tables_are_written_in_few_files(spark):
+    """A round's labels are no file for each shuffle partition; where there are more rows, there are more tasks."""
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("48", "false")):
+            spark.conf.set(k, v)
+        before = set(glob.glob(f"{shared_dir(spark)}/labels-*"))
+        edges = spark.range(400).selectExpr("id as a", "id + 1000 as b")
+        found = {r["id"]: r["component"] for r in links.components(edges).collect()}
+        assert found == {i + d: i for i in range(400) for d in (0, 1000)}
+        written = [len(glob.glob(f"{d}/part-*")) for d in set(glob.glob(f"{shared_dir(spark)}/labels-*")) - before]
+        assert written and max(written) <= 12, written
+        assert common.files_for(edges, 10) == 40 and common.files_for(edges, 1000) == 12
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

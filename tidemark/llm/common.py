@@ -45,14 +45,18 @@ def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.LocalFileSystem(), path
 
 
-def materialize(df: DataFrame, label: str, drop_exchanges: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str, drop_exchanges: bool = False, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Later steps then start from files that outlive any executor, and a costly scan
     that two branches need runs once.  With ``drop_exchanges`` Spark removes the files of
     the write's exchanges as soon as it has ended, not when the driver collects its garbage.
+    ``files`` (see ``files_for``) keeps a small table from being written as a file for each
+    shuffle partition: on some file systems every file starts processes of its own.
     """
     spark = df.sparkSession
+    if files and files < wide_partitions(spark):
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_FILE_CLEANUP, "false")
     if drop_exchanges:
@@ -108,6 +112,11 @@ def partitions_for(df: DataFrame, row_bytes: Column, target_bytes: int) -> int:
     return max(wide_partitions(df.sparkSession), -(-int(total) // target_bytes))
 
 
+def files_for(written: DataFrame, rows: int, floor: int = 12) -> int:
+    """Number of tasks of about ``rows`` rows each for a table with as many rows as the written one, by its files' footers."""
+    return max(floor, -(-written.count() // rows))
+
+
 def wide_partitions(spark: SparkSession, floor: int = 12) -> int:
     """Number of partitions for a keyed exchange: the session's own setting."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

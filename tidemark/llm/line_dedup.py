@@ -24,8 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_or_empty
-from tidemark.llm.links import Matcher, candidate_runs, linked_classes
+from tidemark.llm.common import files_for, materialize, text_or_empty
+from tidemark.llm.links import NUMBER_ROWS, TEXT_ROWS, Matcher, candidate_runs, linked_classes
 from tidemark.llm.near_dedup import _MIX, mixed, rolling
 
 _NO_ID = 2**63 - 1
@@ -164,7 +164,7 @@ def removed_lines(
     first = places.groupBy("id").agg(F.min(F.struct("rid", "th", "line_no")).alias("at"), F.count("*").alias("n"))
     in_runs = runs.select("id").distinct().withColumn("in_run", F.lit(True))
     first = first.join(in_runs, "id", "left").where((F.col("n") > 1) | F.col("in_run"))
-    first = materialize(first, "line-first")  # lines that stand in one place and are in no run stay
+    first = materialize(first, "line-first", files=files_for(places, NUMBER_ROWS))  # lines that stand in one place and are in no run stay
     wanted = first.where("in_run").select("id", "at.*")
     texts = (
         documents.select(
@@ -180,6 +180,7 @@ def removed_lines(
         .select("w.id", F.get("lines", "w.line_no").alias("text"))
         .dropDuplicates(["id"]),
         "line-texts",
+        files=files_for(runs, TEXT_ROWS),
     )
     classes = linked_classes(runs, payload, lambda: JaccardMatcher(k, threshold, bands, rows))
     named = first.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))

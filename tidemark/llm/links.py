@@ -28,7 +28,10 @@ from pyarrow.fs import FileType as fs_type
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, open_fs, shared_dir, wide_partitions
+from tidemark.llm.common import files_for, materialize, open_fs, shared_dir, wide_partitions
+
+#: rows of a few numbers, and of a text, that a task writes at least where the table's size is known
+NUMBER_ROWS, TEXT_ROWS = 200_000, 20_000
 
 #: signer(texts) -> (index of the text for each key, keys as uint64)
 Signer = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -317,7 +320,7 @@ def large_run_links(dealt: DataFrame, payload: DataFrame, make_matcher: Callable
                 yield _pairs_table(links).combine_chunks().to_batches()[0] if links else _EMPTY_PAIRS
 
     members = dealt.join(payload, "id").select("key", "part", "parts", *_BLOCK_COLUMNS, "text")
-    parts = materialize(members.groupBy("key", "part").applyInArrow(store, "key long, part int, parts int"), "run-parts")
+    parts = materialize(members.groupBy("key", "part").applyInArrow(store, "key long, part int, parts int"), "run-parts", files=files_for(dealt, TEXT_ROWS))
     spread = parts.repartition(4 * wide_partitions(dealt.sparkSession), "key", "part")
     return spread.mapInArrow(meet, "a long, b long")
 
@@ -325,7 +328,7 @@ def large_run_links(dealt: DataFrame, payload: DataFrame, make_matcher: Callable
 _EMPTY_PAIRS = pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
-def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000) -> DataFrame:
+def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000, files: int | None = None) -> DataFrame:
     """mixed (key, id, c) to links (a, b) between members of different classes c.
 
     Runs of up to ``block`` members meet in one task each, many in one group; larger ones are cut into
@@ -334,7 +337,7 @@ def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], M
     n_buckets = 4 * wide_partitions(mixed.sparkSession)
     sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = mixed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    dealt = materialize(dealt.select("key", "id", "c", "part", "parts"), "dealt")
+    dealt = materialize(dealt.select("key", "id", "c", "part", "parts"), "dealt", files=files)
 
     def meet(t: pa.Table) -> pa.Table:
         key, ids, c = (t.column(x).to_numpy() for x in ("key", "id", "c"))
@@ -368,9 +371,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.where("a <> b").select("a", "b"), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    files = files_for(both, NUMBER_ROWS)
     labels = materialize(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")),
         "labels",
+        files=files,
     )
     while True:
         ends = labels.select(F.col("id").alias("component"), F.col("component").alias("end"))
@@ -388,6 +393,7 @@ def components(edges: DataFrame) -> DataFrame:
             .groupBy("id")
             .agg(F.max("old").alias("old"), F.min("component").alias("component")),
             "labels",
+            files=files,
         )
         if not labels.where("component <> old").limit(1).count():
             return labels.select("id", "component")
@@ -400,13 +406,14 @@ def linked_classes(runs: DataFrame, payload: DataFrame, make_matcher: Callable[[
     runs (key, id) and payload (id, text) are read several times and should be written tables.
     """
     payload = materialize(with_sketches(payload, make_matcher), "sketched")
+    files = files_for(runs, NUMBER_ROWS)
     leaders = runs.groupBy("key").agg(F.min("id").alias("a"))
     stars = runs.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     first = materialize(verified(stars, payload, make_matcher), "links")
     classes = components(first)
-    placed = materialize(runs.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
+    placed = materialize(runs.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed", files=files)
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    second = materialize(run_links(placed.join(mixed, "key"), payload, make_matcher), "links")
+    second = materialize(run_links(placed.join(mixed, "key"), payload, make_matcher, files=files), "links")
     if not second.limit(1).count():
         return classes
     return joined_classes(classes, second)
@@ -416,7 +423,7 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     """The classes (id, component) after further links (a, b); only the graph of the classes is walked again."""
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
     fresh = ends.join(classes, "id", "left_anti").withColumn("component", F.col("id"))
-    known = materialize(classes.select("id", "component").unionByName(fresh), "classes")
+    known = materialize(classes.select("id", "component").unionByName(fresh), "classes", files=files_for(classes, NUMBER_ROWS))
     left = known.select(F.col("id").alias("a"), F.col("component").alias("x"))
     right = known.select(F.col("id").alias("b"), F.col("component").alias("y"))
     between = links.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()

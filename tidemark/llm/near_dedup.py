@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, materialize, row_order, text_or_empty
-from tidemark.llm.links import Matcher, candidate_runs, linked_classes
+from tidemark.llm.common import files_for, free_name, materialize, row_order, text_or_empty
+from tidemark.llm.links import TEXT_ROWS, Matcher, candidate_runs, linked_classes
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -232,6 +232,7 @@ def _classified(documents, k, threshold, take, sketches, id_col, text_col) -> Da
         .groupBy("id")
         .agg(F.first("text").alias("text")),
         "near-texts",
+        files=files_for(runs, TEXT_ROWS),
     )
     classes = linked_classes(runs, payload, lambda: AlignmentMatcher(k, threshold, take, sketches))
     named = items.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
