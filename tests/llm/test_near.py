@@ -264,3 +264,36 @@ def test_small_tables_are_written_in_few_files(spark):
     finally:
         for k, v in kept.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_refused_pair_with_the_smallest_of_a_run_is_not_sent_again(spark):
+    """The smallest id of a run has been compared with every other; only the others are sent to be compared with each other."""
+
+    class Never(links.Matcher):
+        def sketch(self, texts):
+            keys = np.array([[1], [1], [2], [2], [2]], np.int64)[[int(t) for t in texts]]
+            return keys, np.zeros((len(texts), 1), np.uint8)
+
+        def check(self, x, y):
+            return False
+
+    runs = spark.createDataFrame([(1, 0), (1, 1), (2, 2), (2, 3), (2, 4)], "key long, id long")
+    payload = spark.createDataFrame([(i, str(i)) for i in range(5)], "id long, text string")
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/dealt-*"))
+    assert links.linked_classes(runs, payload, Never).count() == 0
+    (written,) = set(glob.glob(f"{root}/dealt-*")) - before
+    assert sorted((r["key"], r["id"]) for r in spark.read.parquet(written).collect()) == [(2, 3), (2, 4)]
+
+
+def test_pairs_checked_together_and_one_by_one():
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abé😀 ") for _ in range(rng.randint(8, 60))) for _ in range(40)] + ["-" * 8, "-" * 30, "xy" * 6000]
+    lines += [x[:-1] + "!" for x in lines]
+    matcher = line_dedup.JaccardMatcher(8, 0.8, 16, 4)
+    pairs = list(itertools.product(lines, lines))
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    want = [len(a & b) >= 0.8 * len(a | b) for a, b in itertools.product(sets, sets)]
+    assert list(matcher.check_all(pairs)) == want == [matcher.check(x, y) for x, y in pairs]
+    low = matcher.hashes.least_of_all(lines, chars=100)
+    assert (low == np.concatenate([matcher.hashes.least([x]) for x in lines], axis=1)).all()

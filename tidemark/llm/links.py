@@ -8,8 +8,8 @@ third of all items share never gathers in one task.
 
 ``linked_classes`` then finds the classes of the verified link graph without writing out
 all pairs of a run: each member is compared with the smallest id of its runs and
-components are formed.  Runs whose members are still in different classes are compared
-inside tasks, in blocks of bounded size: a member is sent once, and blocks of large runs
+components are formed.  Where other members of a run are still in different classes, they are
+compared inside tasks, in blocks of bounded size: a member is sent once, and blocks of large runs
 are read from files of the shared folder.  A task leaves out pairs of one class, pairs that
 an earlier key of both settles, and pairs whose sketches are too different, and returns
 the links of a spanning forest only.  When that is done, every two members of a run are
@@ -18,6 +18,7 @@ either in one class or were found not to be linked.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,14 +37,17 @@ NUMBER_ROWS, TEXT_ROWS = 200_000, 20_000
 #: signer(texts) -> (index of the text for each key, keys as uint64)
 Signer = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 _LEADER, _LEADER_OF_RUN, _MEMBER = 0, 1, 2
 
 
 def _sorted_pairs(keys: np.ndarray, ids: np.ndarray):
     """Distinct (key, id) in order, and the start of each key."""
-    order = np.lexsort((ids, keys))
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
+    again = keys[1:] == keys[:-1]
+    tied = np.flatnonzero(np.append(again, False) | np.insert(again, 0, False)) if len(keys) else order  # few of a task's keys repeat
+    ids[tied] = ids[tied][np.lexsort((ids[tied], keys[tied]))]
     if not len(keys):
         return keys, ids, np.zeros(0, np.int64)
     fresh = np.ones(len(keys), bool)
@@ -60,7 +64,7 @@ def packed_entries(keys: np.ndarray, ids: np.ndarray, n_buckets: int) -> Iterato
     kinds[starts] = np.where(sizes > 1, _LEADER_OF_RUN, _LEADER)
     spread = np.where(kinds == _MEMBER, ids.view(np.uint64), keys)
     buckets = ((spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n_buckets
-    order = np.argsort(buckets, kind="stable")
+    order = np.argsort(buckets.astype(np.min_scalar_type(n_buckets)), kind="stable")  # narrow numbers are sorted by digits
     buckets, keys, ids, kinds = buckets[order], keys[order], ids[order], kinds[order]
     at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else []
     for a, b in zip(at, [*at[1:], len(buckets)]):
@@ -73,7 +77,9 @@ def runs_of(keys: np.ndarray, ids: np.ndarray, kinds: np.ndarray) -> tuple[np.nd
     k, i, starts = _sorted_pairs(keys[lead], ids[lead])
     sizes = np.diff(np.append(starts, len(k)))
     of_run = np.unique(keys[kinds == _LEADER_OF_RUN])
-    keep = np.repeat(sizes > 1, sizes) | np.isin(k, of_run)
+    keep = np.repeat(sizes > 1, sizes)
+    if len(of_run):
+        keep |= of_run[np.minimum(np.searchsorted(of_run, k), len(of_run) - 1)] == k
     return np.concatenate([k[keep], keys[~lead]]), np.concatenate([i[keep], ids[~lead]])
 
 
@@ -120,7 +126,7 @@ class Matcher:
     ``sketch(texts)`` gives for each text its keys and a row of minimum hashes (eight of their lower
     bits, as the upper ones of a minimum are mostly 0); ``stages`` has (n, share) pairs: with a smaller share
     of equals among the first n minimum hashes a pair isn't taken to be linked (several standard deviations
-    under the threshold); ``check(text, text)`` decides.
+    under the threshold); ``check(text, text)`` decides, and ``check_all`` does so for a list of pairs.
     """
 
     stages: list[tuple[int, float]] = []
@@ -131,6 +137,9 @@ class Matcher:
     def check(self, x: str, y: str) -> bool:
         raise NotImplementedError
 
+    def check_all(self, pairs: list[tuple[str, str]]) -> Iterator[bool]:
+        return (self.check(x, y) for x, y in pairs)
+
 
 def near(p: np.ndarray, q: np.ndarray, stages: list[tuple[int, float]]) -> np.ndarray:
     """Numbers of the rows of minimum hashes that are alike enough at every stage."""
@@ -165,8 +174,12 @@ def verified(pairs: DataFrame, payload: DataFrame, make_matcher: Callable[[], Ma
             if not batch.num_rows:
                 continue
             p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("p", "q"))
-            x, y = batch.column("x"), batch.column("y")
-            linked = [i for i in near(p, q, matcher.stages).tolist() if matcher.check(x[i].as_py(), y[i].as_py())]
+            left = near(p, q, matcher.stages)
+            linked = []
+            for at in range(0, len(left), 1000):
+                part = pa.array(left[at : at + 1000])
+                x, y = (batch.column(c).take(part).to_pylist() for c in ("x", "y"))
+                linked += itertools.compress(part.to_pylist(), matcher.check_all(list(zip(x, y))))
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(linked, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
     left = payload.select(F.col("id").alias("a"), F.col("text").alias("x"), F.col("mins").alias("p"))
@@ -328,15 +341,15 @@ def large_run_links(dealt: DataFrame, payload: DataFrame, make_matcher: Callable
 _EMPTY_PAIRS = pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
-def run_links(mixed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000, files: int | None = None) -> DataFrame:
-    """mixed (key, id, c) to links (a, b) between members of different classes c.
+def run_links(placed: DataFrame, payload: DataFrame, make_matcher: Callable[[], Matcher], block: int = 1000, files: int | None = None) -> DataFrame:
+    """Runs (key, id, c) to links (a, b) between members of different classes c.
 
-    Runs of up to ``block`` members meet in one task each, many in one group; larger ones are cut into
+    Runs of one class are left out. Runs of up to ``block`` members meet in one task each, many in one group; larger ones are cut into
     parts (``large_run_links``).  A member is sent once for each of its keys.
     """
-    n_buckets = 4 * wide_partitions(mixed.sparkSession)
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = mixed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    n_buckets = 4 * wide_partitions(placed.sparkSession)
+    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    dealt = placed.join(sizes.where("lo <> hi"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
     dealt = materialize(dealt.select("key", "id", "c", "part", "parts"), "dealt", files=files)
 
     def meet(t: pa.Table) -> pa.Table:
@@ -408,12 +421,13 @@ def linked_classes(runs: DataFrame, payload: DataFrame, make_matcher: Callable[[
     payload = materialize(with_sketches(payload, make_matcher), "sketched")
     files = files_for(runs, NUMBER_ROWS)
     leaders = runs.groupBy("key").agg(F.min("id").alias("a"))
-    stars = runs.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    members = materialize(runs.join(leaders, "key").where("id <> a"), "members", files=files)
+    stars = members.select("a", F.col("id").alias("b")).distinct()
     first = materialize(verified(stars, payload, make_matcher), "links")
     classes = components(first)
-    placed = materialize(runs.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed", files=files)
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    second = materialize(run_links(placed.join(mixed, "key"), payload, make_matcher, files=files), "links")
+    # without the smallest id of a run: it was compared with each of the others
+    placed = materialize(members.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed", files=files)
+    second = materialize(run_links(placed, payload, make_matcher, files=files), "links")
     if not second.limit(1).count():
         return classes
     return joined_classes(classes, second)

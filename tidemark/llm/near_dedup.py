@@ -51,26 +51,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def rolling(chars: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k values from each position on (k >= 1), by doubling."""
+    """Hash of the k values from each position on (k >= 1), by doubling; as wide as the values, unsigned."""
     whole, done = None, 0
     h, width = chars, 1
-    p = int(_BASE)
+    number, p = chars.dtype.type, int(_BASE)
     while True:
+        p %= 2 ** (8 * chars.itemsize)
         if k & width:
             if whole is None:
                 whole = h
             else:
                 n = len(chars) - done - width + 1
-                whole = whole[:n] * np.uint64(p) + h[done : done + n]
+                whole = whole[:n] * number(p) + h[done : done + n]
             done += width
         width *= 2
         if width > k:
             return whole
         n = len(h) - width // 2
         if n <= 0:
-            return np.zeros(0, np.uint64)
-        h = h[:n] * np.uint64(p) + h[width // 2 : width // 2 + n]
-        p = p * p % 2**64
+            return np.zeros(0, chars.dtype)
+        h = h[:n] * number(p) + h[width // 2 : width // 2 + n]
+        p *= p
 
 
 def shingle_hashes(words: list[str], k: int, hashes: dict) -> np.ndarray:
