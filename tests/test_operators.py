@@ -241,6 +241,15 @@ def test_asof_ties_are_settled(spark):
     assert asof.asof_join(p, r, ["k"], "p", "t", ["v"], "ge", ties=["o"]).head()["v"] == "z"
 
 
+def test_scans_ahead_compute_no_frame_anew_for_every_row(spark):
+    n = 20000
+    t = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 3).cast("int").alias("t"), F.col("id").alias("v"))  # one key and segment
+    p = spark.range(n + 1).select(F.lit("k").alias("k"), (F.col("id") * 3 - 1).cast("int").alias("p"))
+    out = asof.asof_join(p, t, ["k"], "p", "t", ["v"], "ge")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    assert out.where("v <=> if(p > 3 * 19999, null, (p + 1) div 3)").count() == n + 1
+
+
 def test_caps_and_waterfill_against_loops(spark):
     rng = random.Random(10)
     legs = {leg: [rng.random() ** 3 + 1e-3 for _ in range(n)] for leg, n in (("x", 7), ("y", 3), ("z", 12))}

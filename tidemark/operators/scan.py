@@ -31,20 +31,14 @@ def last_known(rows: DataFrame, out: str, value: str, keys: Sequence[str], order
     ``order`` should have no ties; ``segment`` grows with it.  Null keys are a key.
     """
     rows = rows.withColumn("__seg", segment).withColumn("__v", F.col(value))
-    over = Window.partitionBy(*keys).orderBy("__seg")
+    turn = F.desc if ahead else F.asc  # ahead is behind in the opposite order: a frame up to the last row is computed anew for every row
+    over = Window.partitionBy(*keys).orderBy(turn("__seg")).rowsBetween(Window.unboundedPreceding, -1)
     at, known = F.struct(*order), F.col("__v").isNotNull()
     v, when = F.when(known, F.col("__v")), F.when(known, at)
-    if ahead:
-        carried = F.first("__h", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
-        every = _with_carried(rows, keys, F.min_by(v, when), carried, 1)
-    else:
-        carried = F.last("__h", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-        every = _with_carried(rows, keys, F.max_by(v, when), carried, -1)
-    inside = Window.partitionBy(*keys, "__seg").orderBy("__place", *order)
-    if ahead:
-        found = F.first("__v", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    carried = F.last("__h", ignorenulls=True).over(over)
+    every = _with_carried(rows, keys, (F.min_by if ahead else F.max_by)(v, when), carried, 1 if ahead else -1)
+    inside = Window.partitionBy(*keys, "__seg").orderBy(*[turn(c) for c in ("__place", *order)])
+    found = F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return every.withColumn(out, found).where("__place = 0").drop("__seg", "__v", "__place")
 
 
