@@ -71,6 +71,16 @@ def test_thousands_of_rules_without_a_nested_loop(spark):
     assert "Join Inner" in plan and "Join Cross" not in plan
 
 
+def test_texts_of_small_files_are_not_broadcast(spark, tmp_path):
+    texts = spark.range(2000).select(F.col("id").cast("int").alias("i"), F.concat(F.lit("red bolt "), "id").alias("t"), F.lit("pro").alias("c"))
+    texts.write.parquet(f"{tmp_path}/texts")  # the size of the files says nothing about the pieces of the texts
+    table = spark.createDataFrame([(1, "bolt 7", "con", -1), (2, "^red", ".", 1)], "no int, pattern string, context string, s int")
+    out = rules.first_rule(spark.read.parquet(f"{tmp_path}/texts"), "i", "t", "c", table, "s")
+    assert [tuple(r) for r in out.groupBy("rule", "s").count().collect()] == [(2, 1, 2000)]
+    joins = [line for line in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "RLIKE" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]  # the rules are on the right
+
+
 def test_bitmap_counts_merge(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab") if rng.random() < 0.9 else None, rng.randint(1, 4), f"c{rng.randint(0, 300)}", rng.randint(0, 40000)) for _ in range(3000)]

@@ -63,7 +63,8 @@ def first_rule(texts: DataFrame, key: str, title: str, context: str, rules: Data
     """(key, rule, value): the first rule (no, pattern, context, value) whose pattern matches the title and its context pattern the context.
 
     Rules may be many thousands: each is found through one piece of its literal, the one that fewest rules have; rules without
-    a sure literal are tried on all texts.  Null texts match nothing; texts without a rule are left out.
+    a sure literal are tried on all texts.  The rules are broadcast, a row each; texts stay where they are up to the hits.  Null
+    texts match nothing; texts without a rule are left out.
     """
     literal = F.udf(mandatory_literal, StringType())  # once a rule, not a text
     r = rules.select(F.col("no").alias("__no"), F.col("pattern").alias("__p"), F.col("context").alias("__c"), F.col(value).alias("__v"))
@@ -73,7 +74,7 @@ def first_rule(texts: DataFrame, key: str, title: str, context: str, rules: Data
     rare = keyed.groupBy("__piece").agg(F.count("*").alias("__n"))
     chosen = keyed.join(rare, "__piece").groupBy("__no", "__p", "__c", "__v", "__lit").agg(F.min_by("__piece", F.struct("__n", "__piece")).alias("__piece"))
     t = texts.select(F.col(key).alias("__k"), F.col(title).alias("__t"), F.col(context).alias("__x")).where("__t is not null and __x is not null")
-    found = t.withColumn("__piece", F.explode(_pieces(F.lower("__t")))).join(chosen, "__piece").where(F.contains(F.lower("__t"), F.col("__lit")))
+    found = t.withColumn("__piece", F.explode(_pieces(F.lower("__t")))).join(F.broadcast(chosen), "__piece").where(F.contains(F.lower("__t"), F.col("__lit")))
     hits = found.where(F.expr("regexp_like(__t, '(?i)' || __p) and regexp_like(__x, '(?i)' || __c)"))
     first = hits.groupBy("__k").agg(F.min(F.struct(F.col("__no").alias("no"), F.col("__v").alias("v"))).alias("f"))
     return first.select(F.col("__k").alias(key), F.col("f.no").alias("rule"), F.col("f.v").alias(value))
