@@ -50,6 +50,21 @@ def test_matches_sql(spark, con, key):
     assert norm(got) == norm([dict(zip(names, r)) for r in cur.fetchall()])
 
 
+@pytest.mark.parametrize("key", ["asof_le"])
+def test_equal_lines_are_one_row(spark, tmp_path, key):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.unionByName(lines.where("l_linenumber = 1")).unionByName(lines.where("l_linenumber < 3")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = c.execute(catalog.ORACLES[key])
+    names = [d[0] for d in cur.description]
+    want = norm([dict(zip(names, r)) for r in cur.fetchall()])
+    assert norm([r.asDict() for r in catalog.QUERIES[key](spark, str(tmp_path)).collect()]) == want
+    assert len(want) == lines.distinct().count()
+
+
 def test_every_day_has_its_largest_moves(spark):
     from pyspark.sql import functions as F
 

@@ -25,10 +25,11 @@ def _with_carried(rows: DataFrame, keys: Sequence[str], handed: Column, carried:
     return rows.withColumn("__place", F.lit(0)).unionByName(parts, allowMissingColumns=True)
 
 
-def last_known(rows: DataFrame, out: str, value: str, keys: Sequence[str], order: Sequence[str], segment: Column, ahead: bool = False) -> DataFrame:
+def last_known(rows: DataFrame, out: str, value: str, keys: Sequence[str], order: Sequence[str], segment: Column, ahead: bool = False, once: str | None = None) -> DataFrame:
     """Adds the last non-null ``value`` of the key up to each row, or with ``ahead`` the first from it on.
 
-    ``order`` should have no ties; ``segment`` grows with it.  Null keys are a key.
+    ``order`` should have no ties but of rows without a value; ``segment`` grows with it.  Null keys are a key.  Of a key's rows that
+    are equal in ``order`` and in the column ``once``, where that is not null, one is kept; ``once`` holds what ``order`` is made of.
     """
     rows = rows.withColumn("__seg", segment).withColumn("__v", F.col(value))
     turn = F.desc if ahead else F.asc  # ahead is behind in the opposite order: a frame up to the last row is computed anew for every row
@@ -37,9 +38,13 @@ def last_known(rows: DataFrame, out: str, value: str, keys: Sequence[str], order
     v, when = F.when(known, F.col("__v")), F.when(known, at)
     carried = F.last("__h", ignorenulls=True).over(over)
     every = _with_carried(rows, keys, (F.min_by if ahead else F.max_by)(v, when), carried, 1 if ahead else -1)
-    inside = Window.partitionBy(*keys, "__seg").orderBy(*[turn(c) for c in ("__place", *order)])
+    inside = Window.partitionBy(*keys, "__seg").orderBy(*[turn(c) for c in ("__place", *order, *([once] if once else []))])
     found = F.last("__v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return every.withColumn(out, found).where("__place = 0").drop("__seg", "__v", "__place")
+    every = every.withColumn(out, found)
+    if once:
+        again = F.coalesce(F.col(once) == F.lag(once).over(inside), F.lit(False))  # equal rows are neighbours in the scan, so nothing is dealt again
+        every = every.withColumn("__again", again).where("not __again").drop("__again")
+    return every.where("__place = 0").drop("__seg", "__v", "__place")
 
 
 def running_sum(rows: DataFrame, out: str, value: str, keys: Sequence[str], order: Sequence[str], segment: Column) -> DataFrame:
