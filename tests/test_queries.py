@@ -50,7 +50,7 @@ def test_matches_sql(spark, con, key):
     assert norm(got) == norm([dict(zip(names, r)) for r in cur.fetchall()])
 
 
-@pytest.mark.parametrize("key", ["asof_le", "asof_lt"])
+@pytest.mark.parametrize("key", ["asof_le", "asof_lt", "asof_next"])
 def test_equal_lines_are_one_row(spark, tmp_path, key):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     lines.unionByName(lines.where("l_linenumber = 1")).unionByName(lines.where("l_linenumber < 3")).write.parquet(f"{tmp_path}/lineitem.parquet")
