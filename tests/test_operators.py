@@ -241,6 +241,14 @@ def test_asof_ties_are_settled(spark):
     assert asof.asof_join(p, r, ["k"], "p", "t", ["v"], "ge", ties=["o"]).head()["v"] == "z"
 
 
+def test_asof_nulls_match_nothing(spark):
+    p = spark.createDataFrame([("k", None), (None, 5), ("k", 5)], "k string, p int")
+    r = spark.createDataFrame([("k", None, "a"), (None, 3, "b"), (None, 5, "c"), (None, 7, "d"), ("k", 9, "e")], "k string, t int, v string")
+    for how, want in (("le", None), ("lt", None), ("ge", "e")):
+        got = {(x["k"], x["p"]): (x["t_found"], x["v"]) for x in asof.asof_join(p, r, ["k"], "p", "t", ["v"], how).collect()}
+        assert got == {("k", None): (None, None), (None, 5): (None, None), ("k", 5): (want and 9, want)}
+
+
 def test_scans_ahead_compute_no_frame_anew_for_every_row(spark):
     n = 20000
     t = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 3).cast("int").alias("t"), F.col("id").alias("v"))  # one key and segment

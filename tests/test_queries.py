@@ -50,17 +50,34 @@ def test_matches_sql(spark, con, key):
     assert norm(got) == norm([dict(zip(names, r)) for r in cur.fetchall()])
 
 
+def sql_rows(path, key):
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    for f in os.listdir(path):
+        c.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{path}/{f}/*.parquet'")
+    cur = c.execute(catalog.ORACLES[key])
+    names = [d[0] for d in cur.description]
+    return norm([dict(zip(names, r)) for r in cur.fetchall()])
+
+
+@pytest.mark.parametrize("key", ["asof_le", "asof_lt", "asof_next", "weekend_gap"])
+def test_nulls_match_nothing(spark, tmp_path, key):
+    from pyspark.sql import functions as F
+
+    holes = {"orders": ("o_totalprice", ["o_custkey", "o_orderdate", "o_orderkey"]), "lineitem": ("l_extendedprice", ["l_suppkey", "l_shipdate"]), "events": ("event_id", ["event_type", "ts", "value"])}
+    for t, (by, columns) in holes.items():
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        rows = rows.select(*[F.when(F.xxhash64(F.col(by), F.lit(c)) % 3 != 0, F.col(c)).alias(c) if c in columns else c for c in rows.columns])
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    assert norm([r.asDict() for r in catalog.QUERIES[key](spark, str(tmp_path)).collect()]) == sql_rows(tmp_path, key)
+
+
 @pytest.mark.parametrize("key", ["asof_le", "asof_lt", "asof_next"])
 def test_equal_lines_are_one_row(spark, tmp_path, key):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet")
     lines.unionByName(lines.where("l_linenumber = 1")).unionByName(lines.where("l_linenumber < 3")).write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.read.parquet(f"{SF}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
-    c = duckdb.connect()
-    for t in ("lineitem", "orders"):
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    cur = c.execute(catalog.ORACLES[key])
-    names = [d[0] for d in cur.description]
-    want = norm([dict(zip(names, r)) for r in cur.fetchall()])
+    want = sql_rows(tmp_path, key)
     assert norm([r.asDict() for r in catalog.QUERIES[key](spark, str(tmp_path)).collect()]) == want
     assert len(want) == lines.distinct().count()
 

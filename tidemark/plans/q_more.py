@@ -64,6 +64,7 @@ def _(spark, sf):
     d = q.select("platform", F.to_date(F.from_utc_timestamp("ts", zone)).alias("d")).distinct().where(F.weekday("d") == 4)
     at = lambda hours: F.to_utc_timestamp(F.col("d").cast("timestamp") + F.expr(f"INTERVAL {hours} HOUR"), zone)
     f = d.select("platform", at(17).alias("t1"), at(65).alias("t2"))
+    q = q.where("price is not null")
     a = asof_join(f, q, ["platform"], "t1", "ts", ["price"], "le", ties=["event_id"], segment="day").withColumnRenamed("price", "p1").drop("ts_found")
     b = asof_join(a, q, ["platform"], "t2", "ts", ["price"], "ge", ties=["event_id"], segment="day")
     return b.select("platform", "t1", rnd(F.log(F.col("price") / F.col("p1"))).alias("gap"))
